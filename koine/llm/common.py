@@ -76,3 +76,22 @@ def ranked(df: DataFrame, part: list[str], bucket: Column, order: list[str], nam
         .withColumn(name, F.row_number().over(within) - 1 + F.col("__shift"))
         .drop("__bucket", "__shift")
     )
+
+
+def text_slices(batch, column: str = "text", most: int = 2 << 20):
+    """Cut an Arrow batch into runs of rows with about `most` bytes of text; a longer text comes alone."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+    lots, start = (np.cumsum(sizes) - 1) // most, 0
+    for end in [*(np.flatnonzero(np.diff(lots)) + 1).tolist(), batch.num_rows]:
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def texts_of(batch, column: str = "text") -> list[str]:
+    """The texts of a batch; null counts as empty."""
+    return [x or "" for x in batch.column(column).to_pylist()]

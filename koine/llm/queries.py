@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from koine.llm import mixing, sharding
+from koine.llm import bpe, mixing, sharding
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -24,9 +27,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(_documents(spark, sf_dir))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(_documents(spark, sf_dir), RANKS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_mixing": op3_mixing,
+    "op8_bpe": op8_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE}
