@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from koine.llm import bpe, mixing, sharding
+from koine.llm import bpe, exact_dedup, fingerprints, mixing, sharding, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -16,25 +16,40 @@ def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_documents = _table("documents")
+_documents, _labels = _table("documents"), _table("labels")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(_documents(spark, sf_dir))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(_documents(spark, sf_dir))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_documents(spark, sf_dir), RANKS)
 
 
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup_report(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
+    "op7_fingerprints": op7_fingerprints,
     "op8_bpe": op8_bpe,
+    "op10_exact_dedup": op10_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}

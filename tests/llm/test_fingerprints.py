@@ -1,0 +1,51 @@
+import hashlib
+
+from hypothesis import given
+from hypothesis import strategies as st
+
+from koine.llm import fingerprints as fp
+
+words = st.text(alphabet="abß🙂", max_size=40)
+
+
+@given(words, words, st.integers(0, 40), st.integers(0, 40))
+def test_extension_matches_a_plain_comparison(a, b, i, j):
+    i, j = min(i, len(a)), min(j, len(b))
+    plain = 0
+    while i + plain < len(a) and j + plain < len(b) and a[i + plain] == b[j + plain]:
+        plain += 1
+    assert fp.PrefixHashes(a).common_extension(i, fp.PrefixHashes(b), j) == plain
+
+
+@given(words, words, st.integers(0, 40), st.integers(0, 40))
+def test_joined_fingerprint_is_that_of_the_joined_text(a, b, i, j):
+    i, j = min(i, len(a)), min(j, len(b))
+    assert fp.joined_fingerprint(fp.PrefixHashes(a), i, fp.PrefixHashes(b), j) == fp.fingerprint(fp.PrefixHashes(a[:i] + b[:j]))
+
+
+@given(words, words)
+def test_likeness_is_symmetric_and_one_for_equal_texts(a, b):
+    x, y = (fp.fingerprint(fp.PrefixHashes(t)) for t in (a, b))
+    assert fp.likeness(x, y) == fp.likeness(y, x) and 0 <= fp.likeness(x, y) <= 1
+    assert (x == y) == (a == b) and fp.likeness(x, x) == 1
+
+
+def brute(rows):
+    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    out = []
+    for k, (i, t) in enumerate(rows):
+        t, n = t or "", (rows[(k + 1) % len(rows)][1] or "")
+        h = len(t) // 2
+        edited = t[: len(t) - h] + n[:h]
+        marks = [fp.fingerprint(fp.PrefixHashes(x)) for x in (t, edited, n)]
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), marks[0], marks[1], fp.likeness(*marks[:2]), fp.likeness(marks[0], marks[2])))
+    return sorted(out, key=repr)
+
+
+def test_documents_match_brute_force(spark):
+    rows = [(i * 7 % 50, f"text {i} " * (i % 9) + "ñ🙂" * (i % 4)) for i in range(50)] + [(60, None), (None, "no id"), (61, ""), (7, "again"), (7, "again"), (99, "x" * 30000)]
+    for some in (rows, rows[:1], []):
+        docs = spark.createDataFrame(some, "doc_id long, text string").selectExpr("*", "1 as lot", "true as guest").repartition(3)
+        for lots in (None, 1, 3):
+            got = [tuple(r) for r in fp.fingerprint_documents(docs, lots).collect()]
+            assert sorted(got, key=repr) == brute(some)
