@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from koine.llm import bpe, exact_dedup, fingerprints, minhash, mixing, sharding, toxicity
+from koine.llm import bpe, exact_dedup, fingerprints, minhash, mixing, sharding, substring_dedup, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -31,6 +31,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(_documents(spark, sf_dir))
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_report(_documents(spark, sf_dir))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir), width=2)
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
+    "op4_suffix_array": op4_suffix_array,
     "op6_minhash": op6_minhash,
     "op7_fingerprints": op7_fingerprints,
     "op8_bpe": op8_bpe,
