@@ -253,7 +253,9 @@ def _encode(path: str, digests: bool):
                 else:
                     tokens = pa.array([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in ids], type=pa.list_(pa.int32()))
                     ends = [np.cumsum([len(p) // 4 for p in row], dtype=np.int64).astype(np.int32) for row in rows]
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, tokens, pa.array(ends, type=pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids", "piece_ends"])
+                    intact = pa.array([b"".join(map(decoded.__getitem__, row)) == t.encode() for row, t in zip(rows, texts_of(part), strict=True)])
+                    columns = [part.column("doc_id"), n, tokens, pa.array(ends, type=pa.list_(pa.int32())), intact]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "piece_ends", "intact"])
 
     return run
 
@@ -264,15 +266,15 @@ def _narrow(documents: DataFrame) -> DataFrame:
 
 
 def encode_documents(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids, piece_ends of documents(doc_id, text): the ids of each whole text by the rank file at
-    `path`, without special tokens, and the places in ids where its pieces end.
+    """doc_id, n_tokens, ids, piece_ends, intact of documents(doc_id, text): the ids of each whole text by the rank file
+    at `path`, without special tokens, the places in ids where its pieces end, and whether decoding gives the text back.
 
     Null texts count as empty: no ids. Repeated rows and null ids come out as they come in; other columns are
     ignored. `path` is read on the executors. Memory is bounded by the longest text.
     """
     docs = _narrow(documents)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(_encode(path, False), f"doc_id {kind}, n_tokens long, ids array<int>, piece_ends array<int>")
+    return docs.mapInArrow(_encode(path, False), f"doc_id {kind}, n_tokens long, ids array<int>, piece_ends array<int>, intact boolean")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from koine.llm import bpe, exact_dedup, fingerprints, minhash, mixing, sharding, substring_dedup, toxicity
+from koine.llm import bpe, exact_dedup, fingerprints, minhash, mixing, sharding, substring_dedup, token_counts, toxicity, warc
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -16,7 +16,7 @@ def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_documents, _labels = _table("documents"), _table("labels")
+_documents, _labels, _pages = _table("documents"), _table("labels"), _table("pages")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_report(_documents(spark, sf_dir))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.revisit_report(_pages(spark, sf_dir))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir), width=2)
 
@@ -47,6 +51,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_documents(spark, sf_dir), RANKS)
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_documents(spark, sf_dir), RANKS)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(_documents(spark, sf_dir))
 
@@ -56,10 +64,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
     "op4_suffix_array": op4_suffix_array,
+    "op5_warc": op5_warc,
     "op6_minhash": op6_minhash,
     "op7_fingerprints": op7_fingerprints,
     "op8_bpe": op8_bpe,
+    "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op5_warc": warc.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
