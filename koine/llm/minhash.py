@@ -5,10 +5,10 @@ j + u, with u uniform, to the slot that comes j-th. Slots keep their smallest va
 values below j + 1 no later step can change them, and it stops: large sets take a step or two.
 
 Texts with equal sets form one class before any pair is made. Bands of the signatures deal classes into buckets.
-Each class is compared with two members of each of its buckets, drawn anew in each band, so the number of pairs
-stays linear however large a bucket is. Where a bucket then still holds several components, the members outside its
-largest component are compared with all others of the bucket, in blocks, by their signatures: no pair is capped or
-left out. Links are confirmed on the full sets of shingles.
+Each class is compared with two members of each of its buckets, so the number of pairs stays linear however large a
+bucket is. Where a bucket then still holds several components, the members outside its largest component are compared
+with all of that component and with one another, in blocks: no pair is capped or left out, and none is written but
+links. Links are confirmed on the full sets of shingles.
 """
 
 from __future__ import annotations
@@ -24,9 +24,8 @@ from koine.llm.components import components
 #: Slots in a band and bands: a pair of similarity 0.8 shares no bucket with a probability of 3e-6.
 BAND, BANDS = 4, 24
 SLOTS = BAND * BANDS
-#: Members of a block where a bucket is compared by signatures, and the share of equal slots from which full sets
-#: are compared: 0.25 less than the threshold, six standard deviations.
-BLOCK, SLACK = 256, 0.25
+#: Members of a block where components are compared.
+BLOCK = 256
 
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
@@ -159,45 +158,81 @@ def _full_sets(width: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _sets(pairs: DataFrame, documents: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of all classes that share a bucket with another: each of them is in a pair."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     texts = documents.join(nodes, "node").select("node", "text")
-    sets = cut(texts.mapInArrow(_full_sets(width), "node long, shingles array<long>"), "sets")
+    return cut(texts.mapInArrow(_full_sets(width), "node long, shingles array<long>"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     one, two = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     both = pairs.join(one, "a").join(two, "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return both.filter(100 * shared >= percent * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
-def _left_over(buckets: DataFrame, found: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs of classes of different components that share a bucket and look alike by their signatures."""
-    found = found.withColumnRenamed("component", "c")
-    placed = buckets.filter("n > 3").join(found, "node", "left").select("band", "key", "node", F.coalesce("c", "node").alias("c"))
-    placed = cut(placed, "placed")
-    parts = placed.groupBy("band", "key", "c").agg(F.count("*").alias("k"))
-    mixed = parts.groupBy("band", "key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("n")).filter("top.k < n")
-    mixed = mixed.select("band", "key", F.col("top.c").alias("top"), F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("rows"), F.expr(f"cast(ceil((n - top.k) / {BLOCK}) as int)").alias("columns"))
-    members = placed.join(mixed, ["band", "key"]).join(classes.select("node", "bands"), "node")
-    block = F.expr("cast(pmod(xxhash64(node), rows) as int)"), F.expr("cast(pmod(xxhash64(node), columns) as int)")
-    every = members.select("band", "key", "node", "c", "bands", F.lit(False).alias("asks"), block[0].alias("i"), F.explode(F.expr("sequence(0, columns - 1)")).alias("j"))
-    asking = members.filter("c != top").select("band", "key", "node", "c", "bands", F.lit(True).alias("asks"), F.explode(F.expr("sequence(0, rows - 1)")).alias("i"), block[1].alias("j"))
+def _compare_blocks(percent: int):
+    """Links between the asking rows of a block and its others, on full sets: for each asking row and component one."""
 
     def compare(pdf):
         import pandas as pd
 
-        band = int(pdf["band"].iloc[0])
-        bands = np.array(pdf["bands"].tolist(), dtype=np.int64)
-        short, asks = bands.view(np.uint16).reshape(len(pdf), SLOTS), pdf["asks"].to_numpy()
-        node, c = pdf["node"].to_numpy(), pdf["c"].to_numpy()
+        asks, node, c = pdf["asks"].to_numpy(), pdf["node"].to_numpy(), pdf["c"].to_numpy()
         rest, out = np.flatnonzero(~asks), []
-        for q in np.flatnonzero(asks):
-            near = (short[rest] == short[q]).mean(axis=1) >= least
-            new = ~(bands[rest, :band] == bands[q, :band]).any(axis=1)  # else an earlier band has the pair
-            out += [(min(node[q], node[r]), max(node[q], node[r])) for r in rest[near & new & (c[rest] != c[q])]]
+        sizes = np.array([len(x) for x in pdf["shingles"]])
+        if len(rest):
+            flat = np.concatenate([pdf["shingles"].iloc[r] for r in rest])
+            owner = np.repeat(np.arange(len(rest)), sizes[rest])
+            for q in np.flatnonzero(asks):
+                own = np.sort(pdf["shingles"].iloc[q])
+                hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                shared = np.bincount(owner[hit], minlength=len(rest))
+                near = (100 * shared >= percent * (sizes[q] + sizes[rest] - shared)) & (c[rest] != c[q])
+                found = rest[near]
+                for r in found[np.unique(c[found], return_index=True)[1]]:
+                    out.append((min(node[q], node[r]), max(node[q], node[r])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return every.unionByName(asking).groupBy("band", "key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return compare
+
+
+def _in_blocks(every: DataFrame, asking: DataFrame, key: list[str], sets: DataFrame, percent: int) -> DataFrame:
+    """Compare the rows of asking with those of every that have the same key; both have key, node, c and the numbers of
+    blocks, `rows` of every and `columns` of asking. A task holds one block of each."""
+    place = [F.expr(f"cast(pmod(xxhash64(node), {n}) as int)") for n in ("rows", "columns")]
+    others = every.join(sets, "node").select(*key, "node", "c", "shingles", F.lit(False).alias("asks"), place[0].alias("i"), F.explode(F.expr("sequence(0, columns - 1)")).alias("j"))
+    ask = asking.join(sets, "node").select(*key, "node", "c", "shingles", F.lit(True).alias("asks"), F.explode(F.expr("sequence(0, rows - 1)")).alias("i"), place[1].alias("j"))
+    return others.unionByName(ask).groupBy(*key, "i", "j").applyInPandas(_compare_blocks(percent), "a long, b long").distinct()
+
+
+def _left_over(buckets: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that share a bucket: its members outside its largest component are compared with all of
+    that component, and with one another."""
+    blocks = lambda n: F.expr(f"cast(ceil({n} / {BLOCK}) as int)")
+    named = found.select("node", F.col("component").alias("c"))
+    placed = buckets.filter("n > 3").join(named, "node", "left").select("band", "key", "node", F.coalesce("c", "node").alias("c"))
+    placed = cut(placed, "placed")
+    parts = placed.groupBy("band", "key", "c").agg(F.count("*").alias("k"))
+    mixed = parts.groupBy("band", "key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("n")).filter("top.k < n")
+    outside = placed.join(mixed.select("band", "key", F.col("top.c").alias("top")), ["band", "key"]).filter("c != top")
+    outside = cut(outside, "outside")
+    if outside.isEmpty():
+        return outside.select(F.col("node").alias("a"), F.col("node").alias("b"))
+
+    asking = cut(outside.select("node", "c", "top").distinct(), "asking")
+    wanted = asking.groupBy("top").agg(F.count("*").alias("u"))
+    members = sets.select("node").join(named, "node", "left").select("node", F.coalesce("c", "node").alias("c"))
+    sizes = members.groupBy(F.col("c").alias("top")).agg(F.count("*").alias("m")).join(wanted, "top")
+    sizes = cut(sizes.select("top", blocks("m").alias("rows"), blocks("u").alias("columns")), "sizes")
+    every = members.withColumn("top", F.col("c")).join(sizes, "top")
+    to_top = _in_blocks(every, asking.join(sizes, "top"), ["top"], sets, percent)
+
+    count = outside.groupBy("band", "key").agg(F.count("*").alias("u"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
+    count = count.select("band", "key", blocks("u").alias("rows"), blocks("u").alias("columns"))
+    among = outside.join(count, ["band", "key"])
+    return to_top.unionByName(_in_blocks(among, among, ["band", "key"], sets, percent)).distinct()
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -219,7 +254,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     classes = cut(classes, "classes")
 
     dealt = classes.select("node", F.posexplode("bands").alias("band", "key"))
-    drawn = F.struct(F.xxhash64("node", "band").alias("h"), "node")
+    drawn = F.struct(F.xxhash64("node").alias("h"), "node")
     pivots = dealt.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(drawn).alias("p"), F.max(drawn).alias("q")).filter("n > 1")
     pivots = pivots.select("band", "key", "n", F.array("p.node", "q.node").alias("pivots"))
     buckets = cut(dealt.join(pivots, ["band", "key"]), "buckets")
@@ -228,12 +263,12 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
 
     # the text of a class is that of any of its documents
     of_node = docs.withColumn("node", F.col("doc_id").cast("long")).filter("node is not null")
-    links = cut(_confirmed(pairs, of_node, width, percent), "links")
+    sets = _sets(pairs, of_node, width)
+    links = cut(_confirmed(pairs, sets, percent), "links")
     found = components(links)
-    more = cut(_left_over(buckets, found, classes, percent / 100 - SLACK), "left-over")
+    more = cut(_left_over(buckets, found, sets, percent), "left-over")
     if not more.isEmpty():
-        links = links.unionByName(_confirmed(more, of_node, width, percent))
-        found = components(links)
+        found = components(links.unionByName(more))
     named = classes.join(found, "node", "left").select(*key, F.coalesce("component", "first").cast(kind).alias("component_id"))
     out = sketched.select("doc_id", *key).join(cut(named, "named"), key, "left")
     own = F.coalesce("component_id", "doc_id")

@@ -112,7 +112,7 @@ WITH plain AS (
 ), parts AS (
   SELECT *, regexp_replace(lower(regexp_extract(p, '^[^/?]*', 0)), '^www\\.|:80$|:443$', '', 'g') AS host,
     regexp_replace(regexp_extract(p, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
-    array_to_string(list_sort(list_filter(string_split(regexp_extract(p, '\\?(.*)$', 1), '&'), x -> x <> '' AND NOT regexp_matches(x, '^({TRACKING})='))), '&') AS query FROM plain
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(p, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^({TRACKING})='))), '&') AS query FROM plain
 ), urls AS (
   SELECT page_id, etag, n, host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canonical_url FROM parts
 ), responses AS (
