@@ -161,7 +161,7 @@ def _full_sets(width: int):
 def _sets(pairs: DataFrame, documents: DataFrame, width: int) -> DataFrame:
     """(node, shingles) of all classes that share a bucket with another: each of them is in a pair."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = documents.join(nodes, "node").select("node", "text")
+    texts = documents.join(nodes.hint("shuffle_hash"), "node").select("node", "text")  # at every size: texts aren't sorted
     return cut(texts.mapInArrow(_full_sets(width), "node long, shingles array<long>"), "sets")
 
 
@@ -256,7 +256,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     dealt = classes.select("node", F.posexplode("bands").alias("band", "key"))
     drawn = F.struct(F.xxhash64("node").alias("h"), "node")
     pivots = dealt.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(drawn).alias("p"), F.max(drawn).alias("q")).filter("n > 1")
-    pivots = pivots.select("band", "key", "n", F.array("p.node", "q.node").alias("pivots"))
+    pivots = cut(pivots.select("band", "key", "n", F.array("p.node", "q.node").alias("pivots")), "pivots")
     buckets = cut(dealt.join(pivots, ["band", "key"]), "buckets")
     pairs = buckets.select("node", F.explode("pivots").alias("pivot")).filter("node != pivot")
     pairs = cut(pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")
