@@ -242,7 +242,7 @@ def select(candidates: DataFrame, targets: DataFrame, until: dict[str, float], l
     shared = spark.sparkContext.broadcast((shares, wanted))
     pool = candidates.where("coalesce(override_action, '') <> 'hard_reject'")
 
-    def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         shares, wanted = shared.value
         pdf = pdf.sort_values("clip_id")
         clips = [

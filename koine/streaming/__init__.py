@@ -1,0 +1 @@
+"""Streams: progress logs as a source, incremental catalogs as a sink."""
