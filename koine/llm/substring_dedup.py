@@ -1,22 +1,26 @@
 """Suffix-array dedup: remove every byte that a string of 100 bytes covers which also starts earlier.
 
-1. Every window of 100 bytes picks an anchor: the smallest hash among its 20-byte strings, the leftmost of equals.
-   Equal windows pick the same anchor. A run of windows with one anchor is a segment, the anchor's shard of it.
-2. An anchor that occurs once has no window twice. Only documents with a repeated anchor go on, with those runs.
-3. Equal segments of an anchor are counted as one, at their earliest place, map-side first. Where several different
+1. Every window of 100 bytes picks an anchor: the smallest hash among its 32-byte strings, the leftmost of equals.
+   Equal windows pick the same anchor. A run of windows with one anchor is a segment.
+2. An anchor that occurs once has no window twice. A bit map of fixed size marks the hashes of repeated anchors; the
+   texts are read again and segments with a marked anchor go on, as digests.
+3. Equal segments of an anchor count as one, at their earliest place, map-side first. Where several different
    segments share an anchor, they meet in a shard; its suffix array, by induced sorting, brings equal windows
    together, and permuted common prefixes of 100 bytes or more bound their classes. The earliest of a class is first.
-4. An anchor with too many different segments for one shard has its windows anchored anew, by longer strings and in
+4. An anchor with too many different segments for one shard has their windows anchored anew, by longer strings and in
    the end by themselves, so that no shard is unbounded and nothing is left out.
-5. A window with a repeated anchor that isn't first of its class is removed, with all bytes it covers.
+5. A window with a marked anchor that isn't first of its class is removed, with all bytes it covers.
 
-A bit map of fixed size, of the repeated anchors' hashes, spares the shuffle most occurrences that are alone; when it
-fills up it only spares less.
+The texts are shuffled once, at the end; before that, maps of marked anchors choose what leaves a task. A map never
+misses an anchor. One that is marked by chance is solved like any other: all its windows are, wherever they are, so
+the result is the same. As a map fills up, more leaves the tasks; MAP_BITS is the bound on what is broadcast.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +31,9 @@ from koine.llm.common import cut, ship, text_slices
 from koine.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 #: Bytes of a window, and of the strings that anchor windows at each level.
-WINDOW, LEVELS = 100, (20, 64, 100)
-#: Bits of the map of repeated anchors, in buckets of a native bit map each.
-MAP_BITS, MAP_BUCKET = 1 << 26, 1 << 15
+WINDOW, LEVELS = 100, (32, 64, 100)
+#: Bits of a map of anchors, in buckets of a native bit map each.
+MAP_BITS, MAP_BUCKET = 1 << 27, 1 << 15
 #: Different segments of an anchor that one shard takes, bytes that one suffix array takes.
 SHARD, ARRAY_BYTES = 1000, 2 << 20
 LAST = (1 << 63) - 1
@@ -91,26 +95,90 @@ def segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, level: int)
     return hashes[anchor[first]], first, np.flatnonzero(stops) + 1 - first
 
 
-#: Bytes that are anchored at a time: places fit into the bits that the hash leaves.
-PIECE = 8 << 20
+#: Bytes of texts that are anchored together, so that the arrays stay in a core's cache, and bytes of a longer text that
+#: are: places fit into the bits that the hash leaves.
+GROUP, PIECE = 1 << 18, 8 << 20
 
 
-def document_segments(texts: list[bytes], level: int):
-    """Text number, anchor hash, first window in the text and number of windows of each segment, as arrays."""
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    if sizes.sum() <= PIECE:
-        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+@dataclass
+class Segments:
+    """Segments as arrays: data and where in it they begin, the row of their text, their place in it, windows, hash."""
+
+    data: np.ndarray
+    begin: np.ndarray
+    row: np.ndarray
+    at: np.ndarray
+    count: np.ndarray
+    hash: np.ndarray
+
+    def where(self, chosen: np.ndarray) -> Segments:
+        return Segments(self.data, *(x[chosen] for x in (self.begin, self.row, self.at, self.count, self.hash)))
+
+    def texts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the segments put together, and where each ends."""
+        sizes = self.count + WINDOW - 1
         ends = np.cumsum(sizes)
-        hashes, first, count = segments(data, ends - sizes, ends, level)
-        owner = np.searchsorted(ends, first, side="right")
-        return owner, hashes, first - (ends - sizes)[owner], count
-    parts = []
-    for i, text in enumerate(texts):  # a text beyond the bound is cut into pieces that share no window
+        return self.data[np.repeat(self.begin - (ends - sizes), sizes) + np.arange(int(sizes.sum()))], ends
+
+    def packed(self) -> np.ndarray:
+        """A run of windows in a long: first window times 256 and number of windows, at most 81."""
+        return self.at << 8 | self.count
+
+
+def document_segments(texts: list[bytes]):
+    """Segments of texts by the first level's anchors; a long text comes in pieces that share no window."""
+    rows, offsets, parts, size = [], [], [], 0
+    for row, text in enumerate(texts):
         for at in range(0, max(1, len(text) - WINDOW + 1), PIECE - WINDOW + 1):
-            piece = np.frombuffer(text[at : at + PIECE], dtype=np.uint8)
-            hashes, first, count = segments(piece, np.array([0]), np.array([len(piece)]), level)
-            parts.append((np.full(len(first), i), hashes, first + at, count))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+            piece = text[at : at + PIECE]
+            if parts and size + len(piece) > GROUP:
+                yield _anchored(parts, rows, offsets)
+                rows, offsets, parts, size = [], [], [], 0
+            rows.append(row)
+            offsets.append(at)
+            parts.append(piece)
+            size += len(piece)
+    if parts:
+        yield _anchored(parts, rows, offsets)
+
+
+def _anchored(parts: list[bytes], rows: list[int], offsets: list[int]) -> Segments:
+    data, ends = np.frombuffer(b"".join(parts), dtype=np.uint8), np.cumsum([len(p) for p in parts])
+    starts = ends - [len(p) for p in parts]
+    hashes, begin, count = segments(data, starts, ends, 0)
+    text = np.searchsorted(ends, begin, side="right")
+    return Segments(data, begin, np.array(rows)[text], np.array(offsets)[text] + begin - starts[text], count, hashes)
+
+
+def refined(found: Segments, level: int) -> Segments:
+    """The segments' windows by the anchors of this level."""
+    data, ends = found.texts()
+    starts = ends - (found.count + WINDOW - 1)
+    hashes, begin, count = segments(data, starts, ends, level)
+    of = np.searchsorted(ends, begin, side="right")
+    return Segments(data, begin, found.row[of], found.at[of] + begin - starts[of], count, hashes)
+
+
+@lru_cache(maxsize=1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a factor and of its inverse, modulo 2**64."""
+    out = []
+    for factor in (0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)):
+        powers = np.full(size, factor, dtype=np.uint64)
+        powers[0] = 1
+        out.append(np.multiply.accumulate(powers))
+    return out[0], out[1]
+
+
+def digests(found: Segments) -> np.ndarray:
+    """A second 64-bit hash of each segment, of all its bytes, by a prefix array."""
+    up, down = _powers(1 << max(20, len(found.data).bit_length()))
+    sums = np.concatenate([[_U(0)], np.cumsum(_BYTES[found.data] * up[: len(found.data)])])
+    spans = (sums[found.begin + found.count + WINDOW - 1] - sums[found.begin]) * down[found.begin]
+    return _mix(spans + found.count.astype(np.uint64))
+
+
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * _FACTORS[2])
 
 
 def _bytes_of(batch) -> list[bytes]:
@@ -121,77 +189,77 @@ def _signed(x: np.ndarray):
     return pa.array(np.asarray(x, dtype=np.uint64).view(np.int64))
 
 
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> _U(20)) % _U(MAP_BITS)
+def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes a map marks."""
+    slot = (hashes >> _U(20)) % _U(MAP_BITS)
+    return bits[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8) & np.uint8(1) == 1
+
+
+def _map_of(hashes: DataFrame):
+    """A map of the column h, broadcast: MAP_BITS / 8 bytes at most."""
+    slot = F.pmod(F.shiftrightunsigned("h", 20), F.lit(MAP_BITS))
+    maps = hashes.select(F.floor(slot / MAP_BUCKET).cast("int").alias("b"), (slot % MAP_BUCKET).alias("bit"))
+    bits = bytearray(MAP_BITS // 8)
+    for r in maps.groupBy("b").agg(F.bitmap_construct_agg("bit").alias("m")).collect():
+        bits[r.b * MAP_BUCKET // 8 : (r.b + 1) * MAP_BUCKET // 8] = r.m
+    return hashes.sparkSession.sparkContext.broadcast(bytes(bits))
+
+
+def _bits(broadcast) -> np.ndarray:
+    return np.frombuffer(broadcast.value, dtype=np.uint8)
 
 
 def _anchor_hashes(batches):
     """Each anchor of a text, once for each of its segments."""
     for batch in batches:
         for part in text_slices(batch):
-            yield pa.RecordBatch.from_arrays([_signed(document_segments(_bytes_of(part), 0)[1])], ["h"])
+            for found in document_segments(_bytes_of(part)):
+                yield pa.RecordBatch.from_arrays([_signed(found.hash)], ["h"])
+
+
+ROWS = "h long, sh long, doc long, rk long, at long"
 
 
-def _pack(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """A run of windows in a long: first window times 256 and number of windows, at most 81."""
-    return first << 8 | count
+def _columns(found: Segments, doc, rk, texts: bool):
+    """The segments as rows of ROWS, and their bytes."""
+    rows = pa.array(found.row)
+    columns, names = [_signed(found.hash), _signed(digests(found)), doc.take(rows), rk.take(rows), pa.array(found.packed())], ["h", "sh", "doc", "rk", "at"]
+    if texts:
+        data, ends = found.texts()
+        offsets = pa.py_buffer(np.append(0, ends).astype(np.int32))
+        columns.append(pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(np.ascontiguousarray(data))]))
+        names.append("segment")
+    return pa.RecordBatch.from_arrays(columns, names)
 
 
-def _likely_runs(bits):
+def _marked_segments(marks, texts: bool):
+    """Segments of documents whose anchor the map marks."""
+
     def run(batches):
-        seen = np.unpackbits(np.frombuffer(bits.value, dtype=np.uint8), bitorder="little").view(bool)
+        bits = _bits(marks)
         for batch in batches:
             for part in text_slices(batch):
-                owner, hashes, first, count = document_segments(_bytes_of(part), 0)
-                keep = seen[_slot(hashes)]
-                rows = pa.array(owner[keep])
-                yield pa.RecordBatch.from_arrays([_signed(hashes[keep]), part.column("rk").take(rows), pa.array(_pack(first[keep], count[keep]))], ["h", "rk", "at"])
+                for found in document_segments(_bytes_of(part)):
+                    yield _columns(found.where(_marked(bits, found.hash)), part.column("doc"), part.column("rk"), texts)
 
     return run
 
 
-def _digest(pieces: list[bytes]):
-    return pa.array([int.from_bytes(hashlib.blake2b(p, digest_size=8).digest(), "little", signed=True) for p in pieces], pa.int64())
-
-
-def _named_segments(level: int):
-    """The segments of the runs that a document brings, by anchors of this level: h, sh, doc, rk, at."""
+def _refined_segments(level: int):
+    """The windows of segments by the anchors of this level."""
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch):
-                out = [[], [], [], [], []]
-                for text, doc, rk, runs in zip(_bytes_of(part), part.column("doc").to_pylist(), part.column("rk").to_pylist(), part.column("runs").to_pylist(), strict=True):
-                    for r in runs:
-                        first, count = r["at"] >> 8, r["at"] & 255
-                        if level == 0:
-                            found = [(r["h"], first, count)]
-                        else:
-                            _, hashes, starts, counts = document_segments([text[first : first + count + WINDOW - 1]], level)
-                            found = zip(hashes.view(np.int64).tolist(), (starts + first).tolist(), counts.tolist(), strict=True)
-                        for h, at, k in found:
-                            for column, x in zip(out, (h, text[at : at + k + WINDOW - 1], doc, rk, at << 8 | k), strict=True):
-                                column.append(x)
-                longs = [pa.array(x, pa.int64()) for x in (out[0], out[2], out[3], out[4])]
-                yield pa.RecordBatch.from_arrays([longs[0], _digest(out[1]), *longs[1:]], ["h", "sh", "doc", "rk", "at"])
+            for part in text_slices(batch, "segment", GROUP):
+                segment = [bytes(x) for x in part.column("segment").to_pylist()]
+                sizes = np.array([len(x) for x in segment], dtype=np.int64)
+                at = np.asarray(part.column("at"), dtype=np.int64) >> 8
+                given = Segments(np.frombuffer(b"".join(segment), dtype=np.uint8), np.cumsum(sizes) - sizes, np.arange(len(sizes)), at, sizes - WINDOW + 1, np.zeros(len(sizes), dtype=np.uint64))
+                yield _columns(refined(given, level), part.column("doc"), part.column("rk"), True)
 
     return run
 
 
-def _shard_rows(batches):
-    """h, segment, doc, rk, at of the runs that a document brings."""
-    for batch in batches:
-        for part in text_slices(batch):
-            out = [[], [], [], [], []]
-            for text, doc, rk, runs in zip(_bytes_of(part), part.column("doc").to_pylist(), part.column("rk").to_pylist(), part.column("runs").to_pylist(), strict=True):
-                for r in runs:
-                    first, count = r["at"] >> 8, r["at"] & 255
-                    for column, x in zip(out, (r["h"], text[first : first + count + WINDOW - 1], doc, rk, r["at"]), strict=True):
-                        column.append(x)
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["h", "segment", "doc", "rk", "at"])
-
-
 def first_windows(pieces: list[bytes], docs: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows of the segments that are the earliest of their class: segment number, first window, number.
 
@@ -238,7 +306,7 @@ def _shard_arrays(batches):
         docs, keys = np.array(docs, dtype=np.int64), np.array(keys, dtype=np.int64)
         owner, offset, count = first_windows(segment, docs, keys, at >> 8)
         begin = (at >> 8)[owner] + offset
-        return pa.RecordBatch.from_arrays([pa.array(keys[owner]), pa.array(_pack(begin, count))], ["rk", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(keys[owner]), pa.array(begin << 8 | count)], ["rk", "at"])
 
     held, size, last = [], 0, None
     for batch in batches:
@@ -256,9 +324,7 @@ def _shard_arrays(batches):
 
 def _covered(size: int, first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Which of `size` places lie in one of the runs."""
-    step = np.zeros(size + 1, dtype=np.int64)
-    np.add.at(step, first, 1)
-    np.add.at(step, first + count, -1)
+    step = np.bincount(first, minlength=size + 1) - np.bincount(first + count, minlength=size + 1)
     return np.cumsum(step[:size]) > 0
 
 
@@ -269,21 +335,34 @@ def removed_bytes(size: int, runs: np.ndarray, kept: np.ndarray) -> np.ndarray:
     return _covered(size, windows, np.full(len(windows), WINDOW))
 
 
-def _results(full: bool):
+def _results(repeated, full: bool):
+    """What stays of each text, from the windows of repeated anchors and those of them that are first."""
+
     def run(batches):
+        bits = _bits(repeated)
         for batch in batches:
             for part in text_slices(batch):
-                rows = zip(_bytes_of(part), part.column("runs").to_pylist(), part.column("kept").to_pylist(), strict=True)
-                removed, spans, digests, rest = [], [], [], []
-                for text, runs, kept in rows:
-                    gone = removed_bytes(len(text), np.array([r["at"] for r in runs], dtype=np.int64), np.array(kept or [], dtype=np.int64))
-                    left = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
-                    removed.append(int(gone.sum()))
-                    spans.append(int((gone & ~np.append(False, gone[:-1])).sum()))
-                    digests.append(hashlib.sha256(left).hexdigest())
-                    rest.append(left)
-                tail = [pa.array(rest, pa.binary())] if full else [pa.array(digests, pa.string())]
-                yield pa.RecordBatch.from_arrays([part.column("rk"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), *tail], ["rk", "n_removed", "n_spans", "kept_bytes" if full else "kept_sha256"])
+                texts, kept = _bytes_of(part), part.column("kept").to_pylist()
+                runs: list[list[np.ndarray]] = [[] for _ in texts]
+                for found in document_segments(texts):
+                    found = found.where(_marked(bits, found.hash))
+                    cuts = np.searchsorted(found.row, np.arange(len(texts) + 1))
+                    for row in np.unique(found.row).tolist():
+                        runs[row].append(found.packed()[cuts[row] : cuts[row + 1]])
+                out = [[], [], [], []]
+                for text, some, first in zip(texts, runs, kept, strict=True):
+                    left, removed, spans = text, 0, 0
+                    if some:
+                        gone = removed_bytes(len(text), np.concatenate(some), np.array(first or [], dtype=np.int64))
+                        left = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
+                        removed, spans = int(gone.sum()), int((gone & ~np.append(False, gone[:-1])).sum())
+                    for column, x in zip(out, (len(text), removed, spans, left if full else hashlib.sha256(left).hexdigest()), strict=True):
+                        column.append(x)
+                last = pa.array(out[3], pa.binary() if full else pa.string())
+                names = ["n_bytes", "n_removed", "n_spans", "kept_bytes" if full else "kept_sha256"]
+                others = [c for c in part.schema.names if c not in ("text", "kept")] if not full else [c for c in part.schema.names if c != "kept"]
+                columns = [*(part.column(c) for c in others), *(pa.array(x, pa.int64()) for x in out[:3]), last]
+                yield pa.RecordBatch.from_arrays(columns, [*others, *names])
 
     return run
 
@@ -292,57 +371,45 @@ def _row_key() -> Column:
     return F.xxhash64("doc_id", "text", F.col("text").isNull())
 
 
-def _repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rk, text, doc, runs) of documents with a repeated anchor, and (rk, at) of their first windows."""
+def _first_windows(documents: DataFrame):
+    """The map of repeated anchors and, of their windows, runs that are first of their class: rk, at."""
     spark = documents.sparkSession
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), _row_key().alias("rk"), "text").filter(F.octet_length("text") >= WINDOW)
-    texts = docs.select("rk", "text")
-    twice = texts.select("text").mapInArrow(_anchor_hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    twice = cut(twice, "anchors")
-    slot = F.pmod(F.shiftrightunsigned("h", 20), F.lit(MAP_BITS))
-    maps = twice.select(F.floor(slot / MAP_BUCKET).cast("int").alias("b"), (slot % MAP_BUCKET).alias("bit"))
-    maps = maps.groupBy("b").agg(F.bitmap_construct_agg("bit").alias("m")).collect()  # MAP_BITS at most
-    bits = bytearray(MAP_BITS // 8)
-    for r in maps:
-        bits[r.b * MAP_BUCKET // 8 : (r.b + 1) * MAP_BUCKET // 8] = r.m
-    likely = texts.mapInArrow(_likely_runs(spark.sparkContext.broadcast(bytes(bits))), "h long, rk long, at long")
-    runs = likely.join(twice, "h").groupBy("rk").agg(F.collect_set(F.struct("at", "h")).alias("runs"))  # of one document
-    found = cut(docs.dropDuplicates(["rk"]).join(runs, "rk") if _has_twins(docs) else docs.join(runs, "rk"), "repeats")
-
-    kept, brought = [], found
+    twice = docs.select("text").mapInArrow(_anchor_hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = _map_of(twice)
+    first = docs.mapInArrow(_marked_segments(repeated, False), ROWS).groupBy("h", "sh").agg(F.min(F.struct("doc", "rk", "at")).alias("f"))
+    anchors = cut(first.groupBy("h").agg(F.count("*").alias("k"), F.min("f").alias("f")).select("h", "k", "f.rk", "f.at"), "anchors")
+    kept = anchors.filter("k = 1").select("rk", "at")  # one segment only: nothing to compare it with
+    rows = docs.mapInArrow(_marked_segments(_map_of(anchors.filter("k > 1")), True), f"{ROWS}, segment binary")
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     for level in range(len(LEVELS)):
-        names = brought.mapInArrow(_named_segments(level), "h long, sh long, doc long, rk long, at long")
-        first = names.groupBy("h", "sh").agg(F.min(F.struct("doc", "rk", "at")).alias("f"))
-        first = cut(first.select("h", "f.doc", "f.rk", "f.at"), "first")
-        shards = first.join(first.groupBy("h").agg(F.count("*").alias("k")), "h")
-        kept.append(shards.filter("k = 1").select("rk", "at"))  # one segment only: nothing to compare it with
-        shared = cut(shards.filter("k > 1").select("h", "rk", "at", "k"), "shared")
-        parts = shared.filter(F.col("k") <= SHARD) if level + 1 < len(LEVELS) else shared
-        bring = lambda rows: found.select("rk", "doc", "text").join(rows.groupBy("rk").agg(F.collect_list(F.struct("at", "h")).alias("runs")), "rk")
-        n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = bring(parts).mapInArrow(_shard_rows, "h long, segment binary, doc long, rk long, at long")
-        kept.append(cut(rows.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_shard_arrays, "rk long, at long"), "arrays"))
-        hot = shared.filter(F.col("k") > SHARD)
-        if level + 1 == len(LEVELS) or hot.isEmpty():
+        if level:
+            rows = rows.mapInArrow(_refined_segments(level), f"{ROWS}, segment binary")
+        earliest = F.min(F.struct("doc", "rk", "at", "segment")).alias("f")
+        rows = cut(rows.groupBy("h", "sh").agg(earliest).select("h", "f.*"), "segments")
+        if level:
+            anchors = rows.groupBy("h").agg(F.count("*").alias("k"))
+        hot = anchors.filter(F.col("k") > SHARD).select("h")
+        shards, last = rows, level + 1 == len(LEVELS) or hot.isEmpty()
+        if not last:
+            hot = cut(hot, "hot")
+            shards, rows = rows.join(hot, "h", "left_anti"), cut(rows.join(hot, "h", "left_semi"), "beyond")
+        arrays = shards.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_shard_arrays, "rk long, at long")
+        kept = kept.unionByName(cut(arrays, "arrays"))
+        if last:
             break
-        brought = bring(hot)
-    every = kept[0]
-    for some in kept[1:]:
-        every = every.unionByName(some)
-    return found, every
-
-
-def _has_twins(docs: DataFrame) -> bool:
-    """Whether a row, doc_id and text, is repeated."""
-    return not docs.groupBy("rk").count().filter("count > 1").isEmpty()
+    return repeated, kept
 
 
 def _solved(documents: DataFrame, full: bool) -> DataFrame:
+    """documents(..., __rk) with the results added and, unless full, without text."""
     ship(documents.sparkSession)
-    found, kept = _repeats(documents)
-    both = found.select("rk", "text", "runs").join(kept.groupBy("rk").agg(F.collect_list("at").alias("kept")), "rk", "left")
+    repeated, kept = _first_windows(documents)
+    lists = kept.groupBy("rk").agg(F.collect_set("at").alias("kept"))  # of one document
+    both = documents.join(lists.hint("shuffle_hash"), documents["__rk"] == lists["rk"], "left").drop("rk")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if full or f.name != "text")
     last = "kept_bytes binary" if full else "kept_sha256 string"
-    return cut(both.mapInArrow(_results(full), f"rk long, n_removed long, n_spans long, {last}"), "removed")
+    return both.mapInArrow(_results(repeated, full), f"{fields}, n_bytes long, n_removed long, n_spans long, {last}")
 
 
 def substring_report(documents: DataFrame) -> DataFrame:
@@ -352,18 +419,11 @@ def substring_report(documents: DataFrame) -> DataFrame:
     are one document and get the same result; of rows with one doc_id and different texts the order is by a hash of
     both; null ids come last. Other columns are ignored. Empty table: no rows.
     """
-    text = F.coalesce("text", F.lit(""))
-    plain = documents.select("doc_id", _row_key().alias("rk"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(F.encode(text, "utf-8"), 256).alias("whole"))
-    out = plain.join(_solved(documents, False), "rk", "left")
-    zero = F.lit(0).cast("long")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    return _solved(documents.select("doc_id", "text", _row_key().alias("__rk")), False).drop("__rk")
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
-    """documents(doc_id, text, ...) with all their columns and kept_bytes added: the text's bytes that stay.
-
-    They are bytes, not text: a removed window may begin or end inside a character. Null texts stay null.
-    """
-    base = documents.drop("kept_bytes").withColumn("__rk", _row_key())
-    solved = _solved(documents, True).select(F.col("rk").alias("__rk"), "kept_bytes")
-    return base.join(solved, "__rk", "left").withColumn("kept_bytes", F.coalesce("kept_bytes", F.encode("text", "utf-8"))).drop("__rk")
+    """documents(doc_id, text, ...) with all their columns and n_bytes, n_removed, n_spans, kept_bytes added: the text's
+    bytes that stay. They are bytes, not text: a removed window may begin or end inside a character."""
+    base = documents.drop("n_bytes", "n_removed", "n_spans", "kept_bytes", "kept")
+    return _solved(base.withColumn("__rk", _row_key()), True).drop("__rk")

@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Below this mean bucket size a recursion's waves are too short to pay; its string is then sorted by doubling.
-MEAN_BUCKET = 8
+MEAN_BUCKET = 512
 
 
 def _next_true(mask: np.ndarray) -> np.ndarray:

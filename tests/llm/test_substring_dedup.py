@@ -58,7 +58,7 @@ def test_odd_rows(spark):
     got = sorted((tuple(r) for r in sd.substring_report(docs).collect()), key=repr)
     assert got == sorted([inner, inner, (None, 260, 260, 1, empty), (2, 0, 0, 0, empty)], key=repr), whole
     assert sd.substring_report(docs.limit(0)).count() == 0
-    assert sd.remove_repeats(docs).columns == ["doc_id", "text", "kept_bytes"]
+    assert sd.remove_repeats(docs).columns == ["doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_bytes"]
 
 
 def test_shard_arrays_alone():
@@ -77,10 +77,25 @@ def test_long_texts_are_cut_without_losing_windows(monkeypatch):
     texts = [rng.randbytes(n) for n in (0, 99, 100, 101, 1000, 333)]
 
     def windows():
-        owner, hashes, first, count = sd.document_segments(texts, 0)
-        return sorted((int(o), int(f) + k, int(h)) for o, h, f, n in zip(owner, hashes, first, count) for k in range(n))
+        return sorted((int(o), int(f) + k, int(h)) for x in sd.document_segments(texts) for o, h, f, n in zip(x.row, x.hash, x.at, x.count) for k in range(n))
 
     whole = windows()
     monkeypatch.setattr(sd, "PIECE", 150)
+    monkeypatch.setattr(sd, "GROUP", 200)
     assert windows() == whole
     assert [(o, w) for o, w, _ in whole] == [(i, w) for i, t in enumerate(texts) for w in range(max(0, len(t) - 99))]
+
+
+def test_refined_segments_and_digests():
+    import random as r
+
+    texts = [r.Random(i % 4).randbytes(150 + i % 4 * 60) for i in range(8)]
+    (found,) = sd.document_segments(texts)
+    for level in (0, 1, 2):
+        found = found if level == 0 else sd.refined(found, level)
+        data, ends = found.texts()
+        cut = [data[e - n - 99 : e].tobytes() for e, n in zip(ends, found.count)]
+        assert all(texts[o][a : a + n + 99] == c for o, a, n, c in zip(found.row, found.at, found.count, cut))
+        assert sorted((int(o), int(a) + k) for o, a, n in zip(found.row, found.at, found.count) for k in range(n)) == [(i, k) for i, t in enumerate(texts) for k in range(len(t) - 99)]
+        names = dict(zip(cut, sd.digests(found).tolist()))
+        assert len(set(names.values())) == len(names) and [names[c] for c in cut] == sd.digests(found).tolist()
