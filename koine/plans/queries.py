@@ -199,12 +199,12 @@ def pass_rate_smoothed(spark, sf):
     return rounded(stats.crossJoin(overall).withColumn("rate", scoring.smoothed_rate(F.col("passes"), F.col("attempts"), 0.0) + 10.0 * F.col("r") / (F.col("attempts") + 10.0)).drop("r"), "rate")  # one row
 
 
-@query(f"WITH {ATTEMPTS}, {CLIPS}{PROBABILITY} SELECT clip_id, round(probability, 6) AS probability FROM probabilities")
+@query(f"WITH {ATTEMPTS}, {CLIPS}{PROBABILITY} SELECT clip_id, round(probability, 9) AS probability FROM probabilities")
 def pass_probability(spark, sf):
     stats = attempts(spark, sf)
     tried, passed = stats.agg(F.sum("attempts"), F.sum("passes")).first()
     rows = index_of(spark, sf).join(stats.withColumnRenamed("speaker_id", "client_id"), "client_id", "left")
-    return rounded(rows.select("clip_id", coverage.pass_column(passed / tried, coverage.PlannerConfig()).alias("probability")), "probability")
+    return rows.select("clip_id", F.round(coverage.pass_column(passed / tried, coverage.PlannerConfig()), 9).alias("probability"))
 
 
 PLANNED = f"WITH {ATTEMPTS}, {KEYS}{PROBABILITY}" + """, got AS (SELECT feature, count(*) AS accepted FROM keys WHERE CAST(clip_id AS BIGINT) % 7 = 1 GROUP BY 1),
