@@ -130,7 +130,7 @@ def duplicate_classes(documents: DataFrame) -> DataFrame:
         narrow = narrow.withColumn("apart", F.when(F.col("apart"), F.col("text_sha256")).otherwise(""))
     first = F.min(F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), "doc_id")).alias("first")
     groups = narrow.groupBy(*key).agg(first, F.count("*").alias("group_size")).select(*key, F.col("first.doc_id").alias("keep_id"), "group_size")
-    out = narrow.join(groups, key)
+    out = narrow.join(cut(groups, "groups"), key)  # read again, so that a hot group's join can be split at run time
     return out.select("doc_id", "row_key", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_chars")
 
 
