@@ -2,7 +2,7 @@
 
 Documents that belong together share a hub (here: equal texts). Each starts on a shard drawn by hash. In each
 round a hub counts its members by shard, and members ask to move to the shard, among those with room, where
-most of them are; a shard admits as many as its quota leaves, largest groups first. Links stay linear in the
+most of them are, or to as many such shards as a large hub fills; a shard admits as many as its quota leaves, largest groups first. Links stay linear in the
 number of documents: no pairs of members are made. At the end the quotas are met exactly: what a shard holds
 beyond its quota, and all documents without links, fill the shards below theirs, so counts differ by one at most.
 """
@@ -20,7 +20,7 @@ BUCKETS = 64
 SALT = 512
 
 
-def balanced_label_propagation(docs: DataFrame, links: DataFrame, shards: int = 24, rounds: int = 4) -> DataFrame:
+def balanced_label_propagation(docs: DataFrame, links: DataFrame, shards: int = 24, rounds: int = 6) -> DataFrame:
     """Assign each row of docs(node, ...) a `shard` from 0 and a `slot`, gapless from 0 in the shard.
 
     docs.node: unique long. links(node, hub): nodes with a hub in common are linked; a hub with one node links
@@ -76,16 +76,17 @@ def _round(linked: DataFrame, quota: list[int]) -> DataFrame | None:
     open_ = [b for b in range(shards) if load.get(b, 0) < quota[b]]
     if not open_:
         return None
-    by_hub = votes.groupBy("hub").agg(
-        F.max(F.when(F.col("label").isin(open_), F.struct("here", F.xxhash64("hub", "label").alias("tie"), "label"))).alias("best"),
-        F.map_from_entries(F.collect_list(F.struct("label", F.struct("here", F.xxhash64("hub", "label").alias("tie"))))).alias("at"),
-        F.max("n").alias("n"),
-    )
-    by_hub = by_hub.filter("best is not null and size(at) > 1").select(
+    entry = F.struct("here", F.xxhash64("hub", "label").alias("tie"), "label")
+    by_hub = votes.groupBy("hub").agg(F.collect_list(entry).alias("all"), F.max("n").alias("n"))  # an entry a shard at most
+    inviting = F.filter(F.sort_array("all", asc=False), lambda x: x["label"].isin(open_))
+    shares = F.ceil(F.col("n") / max(1, min(quota))).cast("int")  # shards that a hub fills
+    by_hub = by_hub.withColumns({"best": F.slice(inviting, 1, shares), "at": F.map_from_entries(F.transform("all", lambda x: F.struct(x["label"], x)))})
+    by_hub = by_hub.filter("size(best) > 0 and size(at) > 1").select(
         "hub", "best", "at", F.explode(F.expr(f"sequence(0L, cast(ceil(n / {SALT}) as long) - 1)")).alias("salt")
     )
     asked = linked.join(by_hub, ["hub", "salt"], "left").withColumn("own", F.col("at")[F.col("label")])
-    wants = F.col("best.label").isNotNull() & (F.struct(F.col("best.here"), F.col("best.tie")) > F.col("own"))
+    asked = asked.withColumn("best", F.expr("best[cast(pmod(xxhash64(node, 13), size(best)) as int)]"))
+    wants = F.col("best.label").isNotNull() & (F.col("best") > F.col("own"))
     asked = asked.select(
         *linked.columns,
         F.when(wants, F.col("best.label")).alias("to"),
