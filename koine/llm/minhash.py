@@ -216,6 +216,7 @@ def _left_over(buckets: DataFrame, found: DataFrame, sets: DataFrame, percent: i
     placed = cut(placed, "placed")
     parts = placed.groupBy("band", "key", "c").agg(F.count("*").alias("k"))
     mixed = parts.groupBy("band", "key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("n")).filter("top.k < n")
+    mixed = cut(mixed, "mixed")
     outside = placed.join(mixed.select("band", "key", F.col("top.c").alias("top")), ["band", "key"]).filter("c != top")
     outside = cut(outside, "outside")
     if outside.isEmpty():
