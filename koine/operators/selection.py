@@ -106,37 +106,45 @@ class Ledger:
 
 def reserve(clips: list[dict], constraints: dict[str, dict], ledger: Ledger) -> tuple[list[int], set[str], set[str]]:
     """Indices of clips taken for required features until each has its effective minimum; features blocked by limits,
-    and features left short. Highest gain first, ties by clip_id."""
-    short = {f: c["effective_minimum"] for f, c in constraints.items() if c["required"] and c["effective_minimum"] > 0}
-    holders: dict[str, list[int]] = {f: [] for f in short}
-    for i, c in enumerate(clips):
-        for f in set(c["keys"]) & short.keys():
-            holders[f].append(i)
+    and features left short. Highest gain first, ties by clip_id; gains only fall, so stale ones are bounds."""
+    least = {f: c["effective_minimum"] for f, c in constraints.items() if c["required"] and c["effective_minimum"] > 0}
+    short, held = dict(least), Counter(f for c in clips for f in c["keys"] & least.keys())
+    worth = {f: constraints[f].get("weight", 1.0) / math.sqrt(held[f] + 1) / n for f, n in least.items()}
+
+    def score(i: int) -> float | None:
+        c = clips[i]
+        needed = [f for f in c["keys"] if short.get(f, 0) > 0]
+        if not needed:
+            return None
+        extra = 0.1 * (c["quality"] or 0.0) / 100 + 0.05 * (ledger.clips[c["speaker"]] == 0) - 0.01 * c["duration"]
+        return math.fsum(worth[f] * short[f] for f in needed) + extra
+
+    heap = [(-s, c["clip_id"], i) for i, c in enumerate(clips) if (s := score(i)) is not None]
+    heapq.heapify(heap)
     chosen: list[int] = []
-    taken: set[int] = set()
-    blocked: set[str] = set()
-    while True:
-        open_ = {f: n for f, n in short.items() if n > 0 and f not in blocked}
-        if not open_:
-            break
-        best, rank = None, None
-        for i in sorted({i for f in open_ for i in holders[f]} - taken):
-            c = clips[i]
-            if not ledger.admits(c):
-                continue
-            gain = sum(constraints[f].get("weight", 1.0) / math.sqrt(len(holders[f]) + 1) * n / max(short[f] or 1, 1) for f, n in open_.items() if f in c["keys"])
-            gain += 0.1 * (c["quality"] or 0.0) / 100 + 0.05 * (ledger.clips[c["speaker"]] == 0) - 0.01 * c["duration"]
-            if rank is None or (-gain, c["clip_id"]) < rank:
-                best, rank = i, (-gain, c["clip_id"])
-        if best is None:
-            blocked |= set(open_)
-            break
-        taken.add(best)
-        chosen.append(best)
-        ledger.put(clips[best])
-        for f in set(clips[best]["keys"]) & short.keys():
+    waiting: list[tuple[str, int]] = []
+    while heap:
+        _, name, i = heapq.heappop(heap)
+        if (fresh := score(i)) is None:
+            continue
+        if not ledger.admits(clips[i]):
+            if ledger._is_low(clips[i]):  # the ratio may admit it later
+                waiting.append((name, i))
+            continue
+        if heap and (-fresh, name) > heap[0][:2]:
+            heapq.heappush(heap, (-fresh, name, i))
+            continue
+        chosen.append(i)
+        ledger.put(clips[i])
+        for f in clips[i]["keys"] & short.keys():
             short[f] -= 1
-    return chosen, blocked, {f for f, n in short.items() if n > 0}
+        if waiting and ledger.admits(clips[waiting[0][1]]):
+            for n, j in waiting:
+                if (s := score(j)) is not None:
+                    heapq.heappush(heap, (-s, n, j))
+            waiting = []
+    unmet = {f for f, n in short.items() if n > 0}
+    return chosen, {f for f in unmet if held[f] >= least[f]}, unmet
 
 
 class Utility:
@@ -152,6 +160,17 @@ class Utility:
         for x in tokens:
             self.counts[x] += by
 
+    def given_up(self, tokens) -> tuple[float, dict[str, float]]:
+        """What taking a clip away costs, and by token how much more the next one with it would then add."""
+        lost, back = 0.0, {}
+        for x in tokens:
+            if x in self.targets:
+                n, w = self.counts[x], self.targets[x]
+                now, less = w * math.log((self.t + n + 1) / (self.t + n)), w * math.log((self.t + n) / (self.t + n - 1))
+                lost += less
+                back[x] = less - now
+        return lost, back
+
     def value(self) -> float:
         return math.fsum(self.targets[x] * math.log(1 + n / self.t) for x, n in self.counts.items() if x in self.targets and n > 0)
 
@@ -198,20 +217,20 @@ def improve(clips: list[dict], chosen: set[int], pool: list[int], fixed: set[int
     reserved. A step budget, not a clock: results repeat. Returns the number of exchanges."""
     moves = 0
     for _ in range(weights.local_search_steps):
+        gains = sorted(((utility.gain(clips[j]["tokens"]), j) for j in pool if j not in chosen), key=lambda x: (-x[0], clips[x[1]]["clip_id"]))
         best, rank = None, 1e-9
         for i in sorted(chosen - fixed, key=lambda i: clips[i]["clip_id"]):
             a = clips[i]
-            before = utility.value()
-            utility.put(a["tokens"], -1)
+            lost, back = utility.given_up(a["tokens"])
+            slack = sum(back.values())
             ledger.put(a, -1)
-            lost = before - utility.value()
-            for j in pool:
+            for gain, j in gains:
+                if gain + slack - lost <= rank:  # no later one can do better
+                    break
                 b = clips[j]
-                if j in chosen or abs(ledger.total + b["duration"] - until) > weights.tolerance * until or not ledger.admits(b):
-                    continue
-                if (gain := utility.gain(b["tokens"]) - lost) > rank:
-                    best, rank = (i, j), gain
-            utility.put(a["tokens"])
+                total = gain - lost + sum(back[x] for x in back.keys() & set(b["tokens"]))
+                if total > rank and abs(ledger.total + b["duration"] - until) <= weights.tolerance * until and ledger.admits(b):
+                    best, rank = (i, j), total
             ledger.put(a)
         if best is None:
             break

@@ -75,6 +75,31 @@ def test_plan_keeps_limits_whatever_the_order(limits):
     assert sum(c["duration"] for c in chosen) <= 30 * 1.02 + 1e-9
 
 
+@pytest.mark.parametrize("limits", LIMITS[:3])
+@pytest.mark.parametrize("seed", range(4))
+def test_lazy_reservation_is_greedy(limits, seed):
+    clips, wanted = clips_of(seed), {f"k{i}": {"required": i != 3, "effective_minimum": 1 + i % 3} for i in range(8)}
+    got, _, unmet = sel.reserve(clips, wanted, sel.Ledger(limits))
+    ledger, short, taken = sel.Ledger(limits), {f: c["effective_minimum"] for f, c in wanted.items() if c["required"]}, []
+    least, held = dict(short), Counter(f for c in clips for f in c["keys"])
+    while True:
+        best = None
+        for i, c in enumerate(clips):
+            need = [f for f in c["keys"] if short.get(f, 0) > 0]
+            if i in taken or not need or not ledger.admits(c):
+                continue
+            s = math.fsum(short[f] / least[f] / math.sqrt(held[f] + 1) for f in need) + 0.1 * (c["quality"] or 0) / 100 + 0.05 * (ledger.clips[c["speaker"]] == 0) - 0.01 * c["duration"]
+            if best is None or s > best[0] + 1e-12:
+                best = (s, i)
+        if best is None:
+            break
+        taken.append(best[1])
+        ledger.put(clips[best[1]])
+        for f in clips[best[1]]["keys"] & short.keys():
+            short[f] -= 1
+    assert got == taken and unmet == {f for f, n in short.items() if n > 0}
+
+
 def test_local_search_only_gains():
     clips, shares, w = clips_of(9), {f"phone:{c}": 0.1 for c in "abcdefghij"}, sel.Weights(tolerance=0.1)
     ledger, utility = sel.Ledger(sel.Limits()), sel.Utility(shares, 1.0)
