@@ -59,7 +59,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     usable = F.col("canonical_url").isNotNull() & F.col("captured").isNotNull()
     out = revisits.join(before, ["canonical_url", "range"], "left").withColumn("original", F.when(usable, F.coalesce("near", "far")))
     texts = base.filter("full").select(F.col("record_id").alias("__id"), F.col("headers").alias("__headers")).dropDuplicates(["__id"])
-    out = out.join(texts, F.col("original.record_id") == F.col("__id"), "left")
+    out = out.withColumn("__key", F.coalesce("original.record_id", F.xxhash64("record_id")))  # rows without one don't meet in one task
+    out = out.join(texts, (F.col("__key") == F.col("__id")) & F.col("original").isNotNull(), "left")
     by_etag = F.col("etag").isNotNull() & F.col("original.etag").isNotNull()
     differs = F.when(by_etag, F.col("etag") != F.col("original.etag")).otherwise(F.coalesce(F.col("modified") != F.col("original.modified"), F.lit(False)))
     status = F.when(F.col("original").isNull(), "missing").when(differs, "changed").otherwise("resolved")
