@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from koine import sinks
 from koine.functions import text, tokens
-from koine.operators import filters, joins, reports, windows
+from koine.operators import aggregates as agg
+from koine.operators import coverage, filters, joins, reports, windows
 from koine.plans import build as b
 from koine.sources import tables
 
@@ -84,7 +85,45 @@ def _report(spark, c, a):
     Path(a.output).write_text(sinks.html_report("Catalog", found) if a.output.endswith(".html") else sinks.markdown_report("Catalog", found), encoding="utf-8")
 
 
+def _index(spark, c, a):
+    sinks.jsonl(b.coverage_index(spark, c), a.output)
+
+
+def _coverage(spark, c, a):
+    """targets of the configuration against what the catalog has, and the batch to analyse next."""
+    index = tables.index_jsonl(spark, a.input)
+    targets = spark.createDataFrame(coverage.target_rows(c.targets), "feature string, minimum long, desired long, required boolean, weight double")
+    done = spark.createDataFrame([], "clip_id string")
+    counts = agg.coverage_counts(index.join(done, "clip_id", "left_semi"))
+    if Path(f"{c.work}/catalog/clips.parquet").exists():
+        clips = _catalog(spark, c)
+        done = clips.select("clip_id")
+        counts = agg.coverage_counts(index.join(clips.where(filters.counted(F.col("disposition"))), "clip_id", "left_semi"))
+    stats = spark.createDataFrame([], "speaker_id string, attempts long, passes long")
+    short = joins.deficits(targets.withColumnRenamed("desired", "target"), counts)
+    batch = coverage.plan_batch(index, targets, counts, done, stats)
+    _show({"deficits": [r.asDict() for r in short.where("deficit > 0").orderBy("feature").collect()], "batch": [r.asDict() for r in batch.orderBy("rank").collect()]})
+
+
+def _manifest(spark, c, a):
+    if a.input:
+        rows = tables.textgrid_phones(spark, a.input).select(F.col("path").alias("source_path"), F.array_join(tokens.substitute(F.col("phones"), tables.token_map(a.base) if a.base else {}), " ").alias("phonemes"))
+    else:
+        rows = _catalog(spark, c).select(F.col("normalized_relative_source_path").alias("source_path"), "phonemes")
+    sinks.jsonl(rows, a.output)
+
+
+def _export(spark, c, a):
+    rows = joins.plan_with_clips(_plan(spark, c).where("disposition = 'selected'"), _catalog(spark, c)).withColumn("audio_path", F.concat("clip_id", F.lit(".wav")))
+    layout = {"piper": sinks.piper, "style-bert": sinks.style_bert, "ljspeech": sinks.ljspeech, "ljspeech-metadata": sinks.ljspeech_metadata}[a.layout]
+    sinks.one_file(layout(rows), a.output)
+
+
 COMMANDS = {
+    "coverage-index": _index,
+    "coverage-plan": _coverage,
+    "phoneme-manifest": _manifest,
+    "export-trainer": _export,
     "scan": _scan,
     "analyze": _analyze,
     "plan-split": _split,
@@ -121,6 +160,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--overwrite", action="store_true")
     p.add_argument("--contains")
     p.add_argument("--text", default="")
+    p.add_argument("--layout", default="piper")
     a = p.parse_args(argv)
     config = b.Config.from_file(a.config) if a.config else b.Config()
     COMMANDS[a.command](_session(), config, a)

@@ -9,9 +9,11 @@ from __future__ import annotations
 import heapq
 import json
 import math
+import warnings
 from collections import Counter
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +40,7 @@ class Weights:
     temperature: float = 1.0
     tolerance: float = 0.02
     local_search_steps: int = 200
+    acoustic: float = 0.0
 
 
 def coverage_constraints(targets: DataFrame, keys: DataFrame, index_counts: DataFrame | None = None) -> DataFrame:
@@ -175,15 +178,38 @@ class Utility:
         return math.fsum(self.targets[x] * math.log(1 + n / self.t) for x, n in self.counts.items() if x in self.targets and n > 0)
 
 
-def fill(clips: list[dict], ledger: Ledger, utility: Utility, taken: set[int], until: float, weights: Weights) -> list[tuple[int, float]]:
+class Diversity:
+    """Distance of each clip to the nearest chosen one, over standardised acoustic vectors; NaN where a number is missing.
+
+    Two clips without a common number are at distance 0. Nothing is penalised before the first choice.
+    """
+
+    def __init__(self, vectors: np.ndarray | None, weight: float):
+        self.weight = weight if vectors is not None and vectors.size else 0.0
+        if self.weight:
+            with np.errstate(invalid="ignore"), warnings.catch_warnings():
+                warnings.simplefilter("ignore", RuntimeWarning)  # a column without numbers has neither mean nor deviation
+                mean, std = np.nanmean(vectors, axis=0), np.nanstd(vectors, axis=0)
+            self.z = (vectors - mean) / np.where(np.nan_to_num(std) < 1e-12, 1.0, std)
+            self.nearest = np.full(len(vectors), np.inf)
+
+    def put(self, i: int) -> None:
+        if self.weight:
+            self.nearest = np.minimum(self.nearest, np.sqrt(np.nansum((self.z - self.z[i]) ** 2, axis=1)))
+
+    def penalty(self, i: int) -> float:
+        return self.weight / (1 + self.nearest[i]) if self.weight and np.isfinite(self.nearest[i]) else 0.0
+
+
+def fill(clips: list[dict], ledger: Ledger, utility: Utility, taken: set[int], until: float, weights: Weights, diversity: Diversity | None = None) -> list[tuple[int, float]]:
     """Greedy filling with stale bounds: a clip's gain only falls as others are taken, so the one whose fresh score is
-    still on top is the best. The new-speaker bonus only falls, too. Ends at (1 - tolerance) * until; never passes
+    still on top is the best. The new-speaker bonus only falls, and the penalty for being near only grows. Ends at (1 - tolerance) * until; never passes
     (1 + tolerance) * until."""
 
     def score(i: int) -> float:
         c = clips[i]
         bonus = weights.speaker_bonus * (ledger.clips[c["speaker"]] == 0) + weights.quality_bonus * (c["quality"] or 0.0) / 100
-        return utility.gain(c["tokens"]) + bonus
+        return utility.gain(c["tokens"]) + bonus - (diversity.penalty(i) if diversity else 0.0)
 
     heap = [(-score(i), clips[i]["clip_id"], i) for i in range(len(clips)) if i not in taken]
     heapq.heapify(heap)
@@ -205,6 +231,8 @@ def fill(clips: list[dict], ledger: Ledger, utility: Utility, taken: set[int], u
         taken.add(i)
         ledger.put(c)
         utility.put(c["tokens"])
+        if diversity:
+            diversity.put(i)
         if waiting and ledger.admits(clips[waiting[0][1]]):
             for n, j in waiting:
                 heapq.heappush(heap, (-score(j), n, j))
@@ -251,7 +279,8 @@ def select(candidates: DataFrame, targets: DataFrame, until: dict[str, float], l
     """Selected and reserve clips of each bucket, ranked.
 
     candidates: bucket, clip_id, speaker_id, duration_sec, quality_score, tokens ARRAY<STRING> (family:token), keys
-    ARRAY<STRING> (coverage features), groups MAP<STRING,STRING>, override_action. targets(family, token, target) and
+    ARRAY<STRING> (coverage features), groups MAP<STRING,STRING>, override_action, and vector ARRAY<DOUBLE> if acoustic
+    diversity has a weight. targets(family, token, target) and
     constraints(feature, required, effective_minimum) are bounded by the vocabulary and go to the driver. A bucket is
     one task: its clips come as integers' worth of a row each, about a million at most.
     """
@@ -269,14 +298,15 @@ def select(candidates: DataFrame, targets: DataFrame, until: dict[str, float], l
              "tokens": sorted(set(r.tokens)), "keys": set(r.keys), "groups": dict(r.groups or {}), "action": r.override_action}
             for r in pdf.itertuples()
         ]
-        return pd.DataFrame(run_kernel(key[0], clips, shares, wanted, until.get(key[0], 0.0), limits, weights), columns=[x.split()[0] for x in PLAN_FIELDS.split(", ")])
+        vectors = np.array([list(v) for v in pdf["vector"]], dtype=np.float64) if "vector" in pdf and weights.acoustic else None
+        return pd.DataFrame(run_kernel(key[0], clips, shares, wanted, until.get(key[0], 0.0), limits, weights, vectors), columns=[x.split()[0] for x in PLAN_FIELDS.split(", ")])
 
     return pool.groupBy("bucket").applyInPandas(kernel, PLAN_FIELDS)
 
 
-def run_kernel(bucket: str, clips: list[dict], shares: dict[str, float], wanted: dict[str, dict], until: float, limits: Limits, weights: Weights) -> list[tuple]:
+def run_kernel(bucket: str, clips: list[dict], shares: dict[str, float], wanted: dict[str, dict], until: float, limits: Limits, weights: Weights, vectors: np.ndarray | None = None) -> list[tuple]:
     """Forced clips, reservation, filling, local search; then the reserve by score."""
-    ledger, utility = Ledger(limits), Utility(shares, weights.temperature)
+    ledger, utility, diversity = Ledger(limits), Utility(shares, weights.temperature), Diversity(vectors, weights.acoustic)
     barred = {i for i, c in enumerate(clips) if c["action"] in ("force_exclude", "return_to_reserve")}
     order: list[tuple[int, float, str]] = []
     for i, c in enumerate(clips):
@@ -293,8 +323,10 @@ def run_kernel(bucket: str, clips: list[dict], shares: dict[str, float], wanted:
         order.append((i, utility.gain(clips[i]["tokens"]), "coverage"))
         utility.put(clips[i]["tokens"])
     taken |= set(reserved)
+    for i in taken:
+        diversity.put(i)
     fixed = set(taken)
-    order += [(i, s, "utility") for i, s in fill(clips, ledger, utility, taken | barred, until, weights)]
+    order += [(i, s, "utility") for i, s in fill(clips, ledger, utility, taken | barred, until, weights, diversity)]
     chosen = {i for i, _, _ in order}
     outside = sorted((i for i in range(len(clips)) if i not in chosen and i not in barred), key=lambda i: (-utility.gain(clips[i]["tokens"]), clips[i]["clip_id"]))
     improve(clips, chosen, outside[:200], fixed, ledger, utility, until, weights)

@@ -17,7 +17,7 @@ from koine.audio import metrics, steps
 from koine.functions import quality, text, tokens
 from koine.operators import aggregates as agg
 from koine.operators import filters, joins, reports, selection, split
-from koine.schema import CLIPS
+from koine.schema import CLIPS, INDEX
 from koine.sources import tables
 
 
@@ -38,6 +38,7 @@ class Config:
     min_up_votes: int | None = None
     max_down_votes: int | None = None
     chain: list[dict] = field(default_factory=list)
+    rescue: list[dict] = field(default_factory=list)
     gate: dict = field(default_factory=dict)
     targets: dict = field(default_factory=dict)
     hours: float = 1.0
@@ -101,6 +102,11 @@ def analyze(spark: SparkSession, c: Config) -> DataFrame:
     joined = joined.withColumn("processed", F.when(usable, chain(F.when(usable, F.col("content")))))
     joined = joined.withColumn("m", metrics.metrics_udf(F.col("processed.content")))
     gated = quality.gate_reason(F.col("m"), F.length("text_norm"), None, gate)
+    if c.rescue:  # what the gate turns down gets a second chain and is judged by that
+        failed = gated.isNotNull() & F.col("processed.content").isNotNull()
+        again = steps.process_udf(c.rescue)(F.when(failed, F.col("processed.content")))
+        joined = joined.withColumn("processed", F.when(failed, again).otherwise(F.col("processed")))
+        joined = joined.withColumn("m", metrics.metrics_udf(F.col("processed.content")))
     reason = F.coalesce(F.col("text_reason"), F.when(F.col("content").isNull(), "audio_missing"), F.col("processed.reason"), F.when(F.col("m.duration_sec").isNull(), "audio_error"), gated)
     phones = tokens.split_tokens(F.lower("text_norm"))
     rows = joined.select(
@@ -117,6 +123,33 @@ def analyze(spark: SparkSession, c: Config) -> DataFrame:
     return sinks.fixed_columns(rows, CLIPS)
 
 
+def secondary(rows: DataFrame, chain: list[dict], gate: quality.Gate) -> DataFrame:
+    """A second pass over finished clips (clip_id, content, text_norm, quality_score): processed again and gated again.
+    The first pass's score stays as primary_quality_score; reasons begin with `secondary_`."""
+    done = rows.withColumn("p", steps.process_udf(chain)("content")).withColumn("m", metrics.metrics_udf(F.col("p.content")))
+    reason = F.coalesce(F.col("p.reason"), quality.gate_reason(F.col("m"), F.length("text_norm"), None, gate))
+    score = quality.quality_score(F.col("m.snr_db"), F.col("m.silence_ratio"), F.col("m.clipping_ratio"), gate)
+    return done.select(
+        "clip_id", F.col("p.content").alias("content"), "text_norm", F.col("quality_score").alias("primary_quality_score"), score.alias("quality_score"), F.concat(F.lit("secondary_"), reason).alias("reject_reason")
+    )
+
+
+def coverage_index(spark: SparkSession, c: Config) -> DataFrame:
+    """The coverage index: features of every clip by its text, and cheap signs of its recording."""
+    rows = scan(spark, c).withColumn("text_norm", text.normalize_for_tts(F.col("sentence")))
+    files = tables.audio_files(spark, c.audio).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "content", "audio_sha256")
+    joined = rows.withColumn("name", F.regexp_extract("path", "[^/]+$", 0)).join(files, "name", "left").withColumn("cheap_quality", metrics.cheap_udf("content")).withColumn("m", metrics.metrics_udf("content"))
+    phones = tokens.split_tokens(F.lower("text_norm"))
+    keys = F.flatten(F.array(tokens.keys_of("phoneme", phones), tokens.keys_of("mora", text.morae(F.col("text_norm"))), tokens.keys_of("biphone", tokens.biphones_with_ends(phones))))
+    votes = lambda n: (F.expr(f"try_cast(trim({n}) as long)") if n in rows.columns else F.lit(None).cast("long")).alias(n)
+    out = joined.select(
+        clip_id(F.lit(c.release), F.col("path"), F.col("row_index"), F.col("audio_sha256"), F.col("sentence")).alias("clip_id"), F.col("path").alias("source_path"), F.col("row_index").alias("source_row_index"),
+        "client_id", "sentence", F.col("text_norm").alias("normalized_text"), F.col("m.duration_sec").alias("duration_sec"), votes("up_votes"), votes("down_votes"), "audio_sha256", keys.alias("feature_keys"),
+        "cheap_quality", F.col("content").isNull().alias("invalidated"),
+    )
+    return sinks.fixed_columns(out, INDEX)
+
+
 def plan_split(clips: DataFrame, c: Config) -> DataFrame:
     """clip_id, split of every clip that may be split."""
     usable = clips.where(filters.splittable(F.col("disposition")))
@@ -206,7 +239,7 @@ def build(spark: SparkSession, c: Config, force: bool = False) -> dict:
 
     read = lambda: tables.catalog_clips(spark, f"{work}/catalog/clips.parquet")
     splits_path, plan_path = f"{work}/plans/splits.parquet", f"{work}/plans/selection_plan.parquet"
-    stage("analyze", c.hash("tsv", "audio", "release", "locale", "text_length", "japanese_ratio", "speakers", "axes", "min_up_votes", "max_down_votes", "chain", "gate"), catalog)
+    stage("analyze", c.hash("tsv", "audio", "release", "locale", "text_length", "japanese_ratio", "speakers", "axes", "min_up_votes", "max_down_votes", "chain", "rescue", "gate"), catalog)
     stage("plan_split", c.hash(), lambda: sinks.parquet(plan_split(read(), c), splits_path))
     stage("select", c.hash(), lambda: sinks.selection_plan(select(read(), spark.read.parquet(splits_path), c), plan_path))
     plan = spark.read.parquet(plan_path)

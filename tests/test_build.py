@@ -83,6 +83,17 @@ def test_seen_speaker_protocol_and_overrides(spark, config, tmp_path):
         tables.overrides_jsonl(spark, str(path))
 
 
+def test_rescue_and_second_pass(spark, config):
+    config.gate = {"max_duration_sec": 1.5}
+    config.rescue = [{"type": "resample", "target": 4000}, {"type": "trim_silence"}]
+    few = b.analyze(spark, config)
+    assert few.where("reject_reason = 'gate_duration'").count() > 20
+    files = tables.audio_files(spark, config.audio).where("path like '%c1.wav' or path like '%c2.wav'")
+    rows = files.selectExpr("path as clip_id", "content", "'some words' as text_norm", "50.0 as quality_score")
+    out = {r.clip_id[-6:]: r for r in b.secondary(rows, [{"type": "normalize"}], b.quality.Gate(max_duration_sec=2.5)).collect()}
+    assert out["c1.wav"].reject_reason is None and out["c2.wav"].reject_reason == "secondary_gate_duration" and out["c1.wav"].primary_quality_score == 50
+
+
 def test_cli(spark, config, tmp_path, capsys):
     path = tmp_path / "config.json"
     path.write_text(json.dumps(vars(config)))
@@ -95,6 +106,18 @@ def test_cli(spark, config, tmp_path, capsys):
     assert main(["dataset-partition", "--input", f"{config.output}/metadata.jsonl", "--output", str(tmp_path / "parts"), "--group-by", "split__tier"]) == 0
     assert main(["report", "--config", str(path), "--output", str(tmp_path / "r.html")]) == 0
     assert "audio_missing" in (tmp_path / "r.html").read_text()
+    for layout in ("piper", "style-bert", "ljspeech"):
+        assert main(["export-trainer", "--config", str(path), "--layout", layout, "--output", str(tmp_path / layout)]) == 0 and (tmp_path / layout).read_text()
+    assert main(["phoneme-manifest", "--config", str(path), "--output", str(tmp_path / "phones")]) == 0
+    assert tables.phoneme_manifest(spark, str(tmp_path / "phones")).count() == 40, "two rows share a path"
+    assert main(["coverage-index", "--config", str(path), "--output", str(tmp_path / "index")]) == 0
+    index = tables.index_jsonl(spark, str(tmp_path / "index"))
+    assert index.count() == 41 and index.where("invalidated").count() == 1 and index.where("not cheap_quality.decode_ok").count() == 2
+    path.write_text(json.dumps(vars(config) | {"work": str(tmp_path / "fresh"), "targets": {"phoneme:number": 3}}))
+    capsys.readouterr()
+    assert main(["coverage-plan", "--config", str(path), "--input", str(tmp_path / "index")]) == 0
+    shown = json.loads(capsys.readouterr().out)
+    assert shown["deficits"][0]["deficit"] == 3 and len(shown["batch"]) == 3
     with pytest.raises(ValueError):
         bad = tmp_path / "bad.json"
         bad.write_text('{"no_such": 1}')

@@ -144,6 +144,20 @@ def test_lazy_batches_are_greedy(seed):
     assert [c for c, _ in got] == want
 
 
+def test_acoustic_diversity():
+    import numpy as np
+
+    v = np.array([[0.0, 1.0], [0.0, np.nan], [4.0, 1.0], [np.nan, np.nan]])
+    d = sel.Diversity(v, 2.0)
+    assert d.penalty(0) == 0
+    d.put(0)
+    std = np.nanstd(v[:, 0])
+    assert d.penalty(0) == 2 and d.penalty(1) == 2 and d.penalty(3) == 2 and abs(d.penalty(2) - 2 / (1 + 4 / std)) < 1e-12
+    clips = [{"clip_id": f"c{i}", "speaker": "s", "duration": 1.0, "quality": None, "tokens": ["phone:a"], "keys": set(), "groups": {}, "action": None} for i in range(4)]
+    rows = sel.run_kernel("b", clips, {"phone:a": 1.0}, {}, 2.0, sel.Limits(), sel.Weights(acoustic=1.0, local_search_steps=0), v)
+    assert [r[1] for r in rows if r[2] == "selected"] == ["c0", "c2"]
+
+
 def test_batch_sizes():
     assert cov.batch_size(0, 0.5, 10) == 0 and cov.batch_size(5, 0.5, 1000) == 20 and cov.batch_size(100, 0.5, 1000) == 300 and cov.batch_size(10**6, 0.5, 10**6) == 500 and cov.batch_size(100, 0.5, 7) == 7
 
