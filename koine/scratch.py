@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; one of our own only where that is unset."""
     if not (named := spark.conf.get("spark.checkpoint.dir", None)):
@@ -18,9 +22,26 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    path = f"{scratch_dir(df.sparkSession)}/koine-{name}-{uuid.uuid4().hex}"
+    """Write df to the shared folder and read it again: lineage ends there and a lost executor costs no
+    recomputation. The table goes when the driver ends."""
+    spark, path = df.sparkSession, f"{scratch_dir(df.sparkSession)}/koine-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch() -> None:
+    """Delete every table that cut() has written."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        except Exception:  # the session has ended: nothing can be deleted through it
+            return
+
+
+atexit.register(drop_scratch)
 
 
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
