@@ -12,10 +12,12 @@ from koine.functions.tokens import split_tokens
 
 
 def incidence(clips: DataFrame, families: Mapping[str, Column]) -> DataFrame:
-    """A row for each token of each family of each clip: one scan, one generator."""
+    """A row for each token of each family of each clip: one scan, one generator. `first` marks a token's first place in
+    its clip, so that clips can be counted without shuffling their ids; it costs nothing where it isn't used."""
     entries = F.array(*[F.struct(F.lit(name).alias("family"), tokens.alias("tokens")) for name, tokens in families.items()])
     rows = clips.select("clip_id", "speaker_id", F.explode(entries).alias("e"))
-    return rows.select("clip_id", "speaker_id", "e.family", F.explode("e.tokens").alias("token"))
+    rows = rows.select("clip_id", "speaker_id", "e.family", "e.tokens", F.posexplode("e.tokens").alias("place", "token"))
+    return rows.select("clip_id", "speaker_id", "family", "token", (F.array_position("tokens", F.col("token")) == F.col("place") + 1).alias("first"))
 
 
 def catalog_families() -> dict[str, Column]:
@@ -24,12 +26,13 @@ def catalog_families() -> dict[str, Column]:
 
 
 def feature_counts(rows: DataFrame) -> DataFrame:
-    """Occurrences, distinct speakers (a missing one counts as one) and distinct clips of each token.
+    """Occurrences, distinct speakers (a missing one counts as one) and clips of each token of an incidence table.
 
-    Rows are first counted by clip, which also removes most of them before the shuffle that distinct counts need.
+    Counted by speaker first, map-side: what is shuffled is a row for each token and speaker of a task, whatever the
+    number of clips. Clips are rows of the catalog, where an id occurs once.
     """
-    per = rows.groupBy("family", "token", "clip_id", F.coalesce("speaker_id", F.lit("")).alias("speaker")).agg(F.count("*").alias("n"))
-    out = per.groupBy("family", "token").agg(F.sum("n").alias("count"), F.countDistinct("speaker").alias("speaker_count"), F.countDistinct("clip_id").alias("utterance_count"))
+    by = rows.groupBy("family", "token", F.coalesce("speaker_id", F.lit("")).alias("speaker")).agg(F.count("*").alias("n"), F.count_if("first").alias("clips"))
+    out = by.groupBy("family", "token").agg(F.sum("n").alias("count"), F.count("*").alias("speaker_count"), F.sum("clips").alias("utterance_count"))
     return out.select(F.col("family").alias("feature_type"), F.col("token").alias("feature"), "count", "speaker_count", "utterance_count")
 
 
