@@ -18,6 +18,7 @@ from koine.functions.scoring import analysis_cost, deficit_share, pass_probabili
 from koine.operators.aggregates import coverage_counts
 from koine.operators.filters import useful
 from koine.operators.joins import deficits as short_of
+from koine.scratch import cut
 
 
 @dataclass(frozen=True)
@@ -118,9 +119,9 @@ def pick_batch(clips: list[dict], gains: dict[str, tuple[int, float]], size: int
 def plan_batch(index: DataFrame, targets: DataFrame, counts: DataFrame, analyzed: DataFrame, stats: DataFrame, config: PlannerConfig = PlannerConfig(), size: int | None = None) -> DataFrame:
     """rank, clip_id, score of the next batch. Queries prune the index to clips that help and join all factors of their
     scores; only those narrow rows reach the kernel."""
-    short = short_of(targets.withColumnRenamed("desired", "target"), counts)
-    open_ = useful(index, short, analyzed)
-    gains = feature_gains(short, coverage_counts(open_), config)
+    short = cut(short_of(targets.withColumnRenamed("desired", "target"), counts), "short")
+    open_ = cut(useful(index, short, analyzed), "open")  # read three times below
+    gains = cut(feature_gains(short, coverage_counts(open_), config), "gains")
     known = {r.feature: (r.deficit, r.gain) for r in gains.where("gain > 0").collect()}  # bounded by the targets
     tried = stats.agg(F.sum("attempts"), F.sum("passes")).first()
     overall = tried[1] / tried[0] if tried[0] else config.default_rate
