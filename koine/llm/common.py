@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from koine.scratch import cut
+
 ROOT = str(Path(__file__).resolve().parents[2])
 #: The white space that separates words: space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
-
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it; a cluster without a shared
     folder gets it by --py-files instead."""
@@ -26,37 +22,14 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a folder of our own only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="koine-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there and a lost executor costs no
-    recomputation. The table goes when the driver ends."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/koine-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch() -> None:
-    """Delete every table that cut() has written."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # the session has ended: nothing can be deleted through it
-            return
-
-
-atexit.register(drop_scratch)
+def with_totals(df: DataFrame, key: list[str], by: str, partial: dict[str, Column], total: dict[str, Column], salts: int = 32) -> DataFrame:
+    """Each row of df with its group's totals. A group is counted and joined in `salts` parts, by a hash of the column
+    `by`, so a hot one is never in one task. partial: aggregates of a part; total: aggregates over its parts."""
+    df = df.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    parts = cut(df.groupBy(*key, "__salt").agg(*[c.alias(n) for n, c in partial.items()]), "parts")
+    whole = parts.groupBy(*key).agg(*[c.alias(n) for n, c in total.items()])
+    named = parts.select(*key, "__salt").join(whole, key)  # `salts` rows of a group at most
+    return df.join(named, [*key, "__salt"]).drop("__salt")
 
 
 def ranked(df: DataFrame, part: list[str], bucket: Column, order: list[str], name: str = "rank") -> DataFrame:

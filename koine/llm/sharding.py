@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from koine.llm.common import cut, ranked
+from koine.llm.common import cut, ranked, with_totals
 
 #: Hub buckets by document buckets in which ranks are taken.
 BUCKETS = 64
@@ -28,9 +28,9 @@ def balanced_label_propagation(docs: DataFrame, links: DataFrame, shards: int =
     Empty docs: no rows. Ties between shards go to the smaller hash of (hub, shard).
     """
     spark = docs.sparkSession
-    sizes = links.groupBy("hub").agg(F.count("*").alias("n")).filter("n > 1")
+    counted = with_totals(links.select("node", "hub"), ["hub"], "node", {"k": F.count("*")}, {"n": F.sum("k")})
     linked = (
-        links.join(sizes, "hub")
+        counted.filter("n > 1")
         .groupBy("node")
         .agg(F.max(F.struct("n", "hub")).alias("m"))
         .select("node", "m.hub", "m.n", F.expr(f"pmod(xxhash64(node), cast(ceil(m.n / {SALT}) as int))").alias("salt"), F.expr(f"cast(pmod(xxhash64(node, 24), {shards}) as int)").alias("label"))
