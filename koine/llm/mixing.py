@@ -72,9 +72,10 @@ def _copies(seed: str) -> Column:
 
 
 def mix_sources(documents: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, ceiling: float = 2.0, seed: str = "mix") -> DataFrame:
-    """The mix itself: each row of documents as often as its copies say, with the columns of documents."""
-    out = mixed_copies(documents, weights, share, ceiling, seed)
-    return out.withColumn("__copy", F.explode(F.expr("array_repeat(0, cast(copies as int))"))).select(*documents.columns)
+    """The mix itself: each row of documents as often as its copies say, with the columns of documents as they are."""
+    rows = documents.select("doc_id", "text", "source", F.struct(*documents.columns).alias("__row"))
+    out = mixed_copies(rows, weights, share, ceiling, seed)
+    return out.select("__row", F.explode(F.expr("array_repeat(0, cast(copies as int))"))).select("__row.*")
 
 
 def mixing_report(documents: DataFrame, seed: str = "mix") -> DataFrame:

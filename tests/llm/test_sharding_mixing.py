@@ -78,5 +78,5 @@ def test_mixing(spark):
     report = sorted(map(repr, ((r.doc_id, r.size, r.taken) for r in mixing.mixing_report(docs).collect())))
     assert report == sorted(map(repr, ((r.doc_id, r.size, r.copies * r.size) for r in out)))
     mixed = mixing.mix_sources(docs)
-    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in out)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in out) and mixed.where("size <> 1 or copies <> 7").isEmpty()
     assert mixing.mixing_report(docs.limit(0)).count() == 0
