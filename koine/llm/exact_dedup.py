@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from koine.llm.common import cut, ship, text_slices, texts_of
+from koine.llm.common import cut, ship, text_slices, texts_of, with_totals
 
 #: The two moduli, largest primes below 2**31, and the bases.
 PRIMES = (2147483647, 2147483629)
@@ -99,11 +99,10 @@ def _narrow(documents: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, row_key long, n_chars long, n_bytes long, fingerprint long, text_sha256 string")
 
 
-def _collided(documents: DataFrame, narrow: DataFrame) -> DataFrame:
+def _collided(documents: DataFrame, rows: DataFrame) -> DataFrame:
     """(fingerprint, n_bytes) that stand for more than one text, found by comparing the texts chunk by chunk."""
     key = ["fingerprint", "n_bytes"]
-    shared = narrow.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1 and n_bytes > 0").select(*key)
-    members = narrow.join(shared, key).select("row_key", *key).distinct()
+    members = rows.filter("group_size > 1 and n_bytes > 0").select("row_key", *key).distinct()
     texts = documents.select(_row_key().alias("row_key"), "text").join(members, "row_key")
     plain = F.encode(F.translate("text", BLANKS.decode(), ""), "utf-8")
     places = F.explode(F.expr(f"sequence(0L, (n_bytes - 1) div {COMPARED})"))
@@ -121,17 +120,21 @@ def duplicate_classes(documents: DataFrame) -> DataFrame:
     stays are all marked kept; drop_duplicates() leaves one. Other columns are ignored. Empty table: no rows.
     """
     narrow = cut(_narrow(documents), "fingerprints")
-    collided = cut(_collided(documents, narrow), "collided")
-    key = ["fingerprint", "n_bytes", "apart"]
-    if collided.isEmpty():
-        narrow = narrow.withColumn("apart", F.lit(""))
-    else:  # different texts under one fingerprint: told apart by their digests
-        narrow = narrow.join(collided.withColumn("apart", F.lit(True)), ["fingerprint", "n_bytes"], "left")
-        narrow = narrow.withColumn("apart", F.when(F.col("apart"), F.col("text_sha256")).otherwise(""))
-    first = F.min(F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), "doc_id")).alias("first")
-    groups = narrow.groupBy(*key).agg(first, F.count("*").alias("group_size")).select(*key, F.col("first.doc_id").alias("keep_id"), "group_size")
-    out = narrow.join(cut(groups, "groups"), key)  # read again, so that a hot group's join can be split at run time
-    return out.select("doc_id", "row_key", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_chars")
+    key = ["fingerprint", "n_bytes"]
+    rows = cut(_with_groups(narrow, key), "groups")
+    collided = cut(_collided(documents, rows), "collided")
+    if not collided.isEmpty():  # different texts under one fingerprint: told apart by their digests
+        marked = narrow.join(collided.withColumn("apart", F.lit(True)), key, "left")
+        rows = _with_groups(marked.withColumn("apart", F.when(F.col("apart"), F.col("text_sha256")).otherwise("")), [*key, "apart"])
+    return rows.select("doc_id", "row_key", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_chars")
+
+
+def _with_groups(narrow: DataFrame, key: list[str]) -> DataFrame:
+    """Rows with keep_id and group_size of their group."""
+    best = F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), "doc_id")
+    partial = {"first": F.min(best), "n": F.count("*")}
+    out = with_totals(narrow, key, "row_key", partial, {"first": F.min("first"), "group_size": F.sum("n")})
+    return out.withColumn("keep_id", F.col("first.doc_id")).drop("first")
 
 
 def dedup_report(documents: DataFrame) -> DataFrame:
