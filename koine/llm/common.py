@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from koine.scratch import cut
 
 ROOT = str(Path(__file__).resolve().parents[2])
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: The white space that separates words: space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it; a cluster without a shared
-    folder gets it by --py-files instead."""
+    folder gets it by --py-files instead. Texts are long: where the session leaves the number of rows of an Arrow batch
+    at its default, it is lowered, so that a worker holds a few megabytes at a time."""
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "2000")
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
