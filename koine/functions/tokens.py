@@ -31,7 +31,7 @@ def phones(text: Column, excluded: Sequence[str] = EXCLUDED) -> Column:
 def ngrams(tokens: Column, n: int, glue: str = "-") -> Column:
     """Runs of n neighbours; an empty list where there are fewer."""
     starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), glue))
+    return F.transform(starts, lambda i: F.concat_ws(glue, *[F.get(tokens, i + (k - 1)) for k in range(n)]))  # a slice would copy the list
 
 
 def biphones_with_ends(tokens: Column) -> Column:

@@ -12,12 +12,14 @@ from koine.functions.tokens import split_tokens
 
 
 def incidence(clips: DataFrame, families: Mapping[str, Column]) -> DataFrame:
-    """A row for each token of each family of each clip: one scan, one generator. `first` marks a token's first place in
-    its clip, so that clips can be counted without shuffling their ids; it costs nothing where it isn't used."""
-    entries = F.array(*[F.struct(F.lit(name).alias("family"), tokens.alias("tokens")) for name, tokens in families.items()])
-    rows = clips.select("clip_id", "speaker_id", F.explode(entries).alias("e"))
-    rows = rows.select("clip_id", "speaker_id", "e.family", "e.tokens", F.posexplode("e.tokens").alias("place", "token"))
-    return rows.select("clip_id", "speaker_id", "family", "token", (F.array_position("tokens", F.col("token")) == F.col("place") + 1).alias("first"))
+    """A row for each token of each family of each clip: one scan, one generator. `first` marks one row of each token of a
+    clip, so that clips can be counted without shuffling their ids. Tokens are sorted for it: a search of the list for
+    each of its tokens would be quadratic in a text's length."""
+    entries = F.array(*[F.struct(F.lit(name).alias("family"), F.sort_array(tokens).alias("tokens")) for name, tokens in families.items()])
+    rows = clips.select("clip_id", "speaker_id", F.explode(entries).alias("e")).select("clip_id", "speaker_id", "e.family", "e.tokens")
+    is_first = lambda t, i: t.isNotNull() & ~t.eqNullSafe(F.get("tokens", i - 1))
+    marked = F.transform("tokens", lambda t, i: F.struct(t.alias("token"), is_first(t, i).alias("first")))
+    return rows.select("clip_id", "speaker_id", "family", F.inline(marked))
 
 
 def catalog_families() -> dict[str, Column]:

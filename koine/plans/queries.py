@@ -10,17 +10,24 @@ from pyspark.sql import functions as F
 from koine.functions import quality, scoring, text, tokens
 from koine.operators import aggregates as agg
 from koine.operators import coverage, filters, joins, reports, selection, split, windows
-from koine.plans.testdata import ALL_INCIDENCE, CLIPS, INCIDENCE, NGRAMS, clips, table, with_ngrams
+from koine.plans.testdata import ALL_INCIDENCE, CLIPS, INCIDENCE, NGRAMS, clips, first_words, table, whole, with_ngrams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
+    """Registers a query. One whose SQL takes phones from CLIPS keeps to the first words under its own name, and is
+    registered over whole texts as NAME_whole."""
+
     def register(f):
-        QUERIES[f.__name__] = f
+        name = f.__name__
+        cut = sql is not None and whole(sql) != sql and "phon" in sql.replace(CLIPS, "")
+        QUERIES[name] = first_words(f) if cut else f
         if sql:
-            ORACLE_SQL[f.__name__] = sql
+            ORACLE_SQL[name] = sql
+        if cut:
+            QUERIES[f"{name}_whole"], ORACLE_SQL[f"{name}_whole"] = f, whole(sql)
         return f
 
     return register
