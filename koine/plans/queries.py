@@ -550,6 +550,13 @@ def proportional_pairs(spark, sf):
     return clips(spark, sf).select("clip_id", F.explode(pairs).alias("p")).groupBy("clip_id", "p.src", "p.dst").agg(F.count("*").alias("n"))
 
 
+@query(whole(f"WITH {CLIPS}, t AS (SELECT clip_id, phones AS a, list_reverse(phones) AS b FROM clips)") + " SELECT clip_id, a[i + 1] AS src, b[i + 1] AS dst, count(*) AS n FROM (SELECT *, unnest(range(0, len(a))) AS i FROM t) GROUP BY 1, 2, 3")
+def proportional_pairs_whole(spark, sf):
+    """All phones of a clip with the same in reverse."""
+    pairs = tokens.proportional_pairs(F.col("phones"), F.reverse("phones"))
+    return clips(spark, sf).select("clip_id", F.explode(pairs).alias("p")).groupBy("clip_id", "p.src", "p.dst").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {CLIPS}, p AS (SELECT clip_id, list_concat(list_concat(['BOS'], phones), ['EOS']) AS x FROM clips WHERE len(phones) > 0) SELECT clip_id, array_to_string([x[i] || '-' || x[i + 1] FOR i IN range(1, len(x))], ' ') AS bigrams FROM p")
 def bigrams_bos_eos(spark, sf):
     rows = clips(spark, sf).where(F.size("phones") > 0)
@@ -593,11 +600,19 @@ def char_error_rate(spark, sf):
 
 @query()
 def token_error_rate(spark, sf):
-    per = tokens.token_error_rate(F.slice("phones", 1, 30), F.slice("phones", 3, 30))
+    """All phones of a clip against those from the third on."""
+    per = tokens.token_error_rate(F.col("phones"), F.expr("slice(phones, 3, greatest(size(phones), 1))"))
     return rounded(clips(spark, sf).select("clip_id", per.alias("per")), "per")
 
 
 # --- recording quality -----------------------------------------------------------------------------------------------
+@query()
+def char_error_rate_whole(spark, sf):
+    """Each whole text against itself without its first three characters."""
+    rows = clips(spark, sf).withColumn("x", F.regexp_replace("text_norm", "[^ -~]", "?"))
+    return rounded(rows.select("clip_id", tokens.char_error_rate(F.col("x"), F.expr("substring(x, 4)")).alias("cer")), "cer")
+
+
 SIGNS = "signs AS (SELECT vec_id, CASE WHEN vec_id % 7 <> 0 THEN (vec_id % 31)::DOUBLE END AS snr, (vec_id % 70) / 101.0::DOUBLE AS silence, (vec_id % 5) / 400.0 AS clipping, (vec_id % 250) / 10.0 AS duration FROM embeddings)"
 
 

@@ -23,9 +23,21 @@ def sf(spark, texts, tmp_path_factory):
     docs = [(i, t, "en", f"src{i % 3}", len(t)) for i, t in enumerate(texts)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
+    vectors = [(i, [float((i * 7 + d * i * i) % 23) for d in range(4)], 0) for i in range(33)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{root}/embeddings.parquet")
+    spark.createDataFrame([(i, "u", "きゃ り" + "a" * i) for i in range(5)], "page_id long, url string, html string").write.parquet(f"{root}/pages.parquet")
     return str(root)
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
 def test_counts_read_whole_texts(spark, sf, texts):
     want = Counter(w for t in texts for w in t.split(" "))
     assert {r.feature: r["count"] for r in core.QUERIES["feature_counts_whole"](spark, sf).collect()} == want
@@ -40,3 +52,14 @@ def test_only_queries_with_the_given_sql_keep_to_first_words(spark, sf, texts):
     assert sum(r["count"] for r in core.QUERIES["feature_counts"](spark, sf).collect()) == sum(min(64, len(t.split(" "))) for t in texts)
     cut = {n for n in core.ORACLE_SQL if f"{n}_whole" in core.QUERIES}
     assert {"feature_counts", "audit_status", "positioned_tokens"} <= cut and not cut & {"select_greedy", "plan_batch", "split_seen_speaker"}
+
+
+def test_edit_distances_of_whole_texts(spark, sf, texts):
+    cer = {int(r.clip_id): r.cer for r in core.QUERIES["char_error_rate_whole"](spark, sf).collect()}
+    per = {int(r.clip_id): r.per for r in core.QUERIES["token_error_rate"](spark, sf).collect()}
+    for i, t in enumerate(texts):
+        words = t.split(" ")
+        assert cer[i] == round(distance(t, t[3:]) / len(t), 6) and per[i] == round(distance(words, words[2:]) / len(words), 6)
+    pairs = core.QUERIES["proportional_pairs_whole"](spark, sf).collect()
+    got = {(int(r.clip_id), r.src, r.dst): r.n for r in pairs}
+    assert got == Counter((i, a, b) for i, t in enumerate(texts) for a, b in zip(t.split(" "), reversed(t.split(" "))))
