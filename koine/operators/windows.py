@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,3 +64,29 @@ def random_split(rows: DataFrame, train: float, validation: float, seed: int = 0
     place = F.col("__place")
     split = F.when(place <= a, "train").when(place <= b, "validation").otherwise("test")
     return numbered(rows, [F.xxhash64(F.lit(seed), "clip_id"), "clip_id"], "__place").withColumn("split", split).drop("__place")
+
+
+def nearest_vectors(rows: DataFrame, key: str, vector: str, block: int = 256) -> DataFrame:
+    """key, distance of each vector to the nearest other one, all against all: blocks meet blocks, each pair an array
+    operation. Places without a number in both are left out, as in `vector_distance`; a vector that is alone has no row."""
+    packed = (
+        rows.select(F.col(key).alias("id"), F.transform(vector, lambda x: F.coalesce(x.cast("double"), F.lit(float("nan")))).alias("v"))
+        .groupBy(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-rows.count() // block)))).alias("b")).agg(F.collect_list(F.struct("id", "v")).alias("m"))
+        .select("b", F.col("m.id").alias("ids"), F.col("m.v").alias("vs"))
+    )
+    others = packed.select(F.col("ids").alias("other_ids"), F.col("vs").alias("other_vs"))
+
+    def kernel(parts):
+        for pdf in parts:
+            for r in pdf.itertuples(index=False):
+                a, b, other = np.stack(list(r.vs)), np.stack(list(r.other_vs)), np.asarray(r.other_ids)
+                out = []
+                for i, v in zip(r.ids, a):
+                    squares = np.nansum((b - v) ** 2, axis=1)
+                    squares[other == i] = np.inf
+                    out.append(float(np.sqrt(squares.min())))
+                yield pd.DataFrame({"id": r.ids, "distance": out})
+
+    kind = rows.schema[key].dataType.simpleString()
+    met = packed.crossJoin(others).drop("b").mapInPandas(kernel, f"id {kind}, distance double")
+    return met.where(F.col("distance") < float("inf")).groupBy(F.col("id").alias(key)).agg(F.min("distance").alias("distance"))

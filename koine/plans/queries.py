@@ -581,6 +581,13 @@ def mora_split_literal(spark, sf):
     return pages.select("page_id", F.posexplode(text.morae(F.lit(MORAE))).alias("place", "mora")).withColumn("place", F.col("place").cast("long"))
 
 
+@query()
+def mora_split_whole(spark, sf):
+    """The pages' text, all rows of it."""
+    pages = table(spark, sf, "pages")
+    return pages.select("page_id", F.posexplode(text.morae(F.col("html"))).alias("place", "mora")).withColumn("place", F.col("place").cast("long"))
+
+
 @query(f"WITH {CLIPS} SELECT clip_id, CASE WHEN len(phones) <= 3 THEN '1-3' WHEN len(phones) <= 7 THEN '4-7' WHEN len(phones) <= 15 THEN '8-15' ELSE '16+' END AS band FROM clips")
 def length_band(spark, sf):
     return clips(spark, sf).select("clip_id", text.length_band(F.size("phones")).alias("band"))
@@ -598,6 +605,13 @@ def char_error_rate(spark, sf):
     return rounded(rows.select("clip_id", tokens.char_error_rate(F.substring("x", 1, 120), F.substring("x", 4, 110)).alias("cer")), "cer")
 
 
+@query()
+def char_error_rate_whole(spark, sf):
+    """Each whole text against itself without its first three characters."""
+    rows = clips(spark, sf).withColumn("x", F.regexp_replace("text_norm", "[^ -~]", "?"))
+    return rounded(rows.select("clip_id", tokens.char_error_rate(F.col("x"), F.expr("substring(x, 4)")).alias("cer")), "cer")
+
+
 @query()
 def token_error_rate(spark, sf):
     """All phones of a clip against those from the third on."""

@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from koine.operators import windows
 from koine.plans import queries as core
 from koine.plans.testdata import clips
 
@@ -63,3 +64,20 @@ def test_edit_distances_of_whole_texts(spark, sf, texts):
     pairs = core.QUERIES["proportional_pairs_whole"](spark, sf).collect()
     got = {(int(r.clip_id), r.src, r.dst): r.n for r in pairs}
     assert got == Counter((i, a, b) for i, t in enumerate(texts) for a, b in zip(t.split(" "), reversed(t.split(" "))))
+
+
+def test_nearest_of_all_vectors(spark, sf):
+    rows = {r.vec_id: r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    apart = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b)) ** 0.5
+    want = {i: round(min(apart(v, w) for j, w in rows.items() if j != i), 6) for i, v in rows.items()}
+    assert {r.vec_id: r.distance for r in core.QUERIES["nearest_neighbor_whole"](spark, sf).collect()} == want
+    small = windows.nearest_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", block=5)
+    assert {r.vec_id: round(r.distance, 6) for r in small.collect()} == want
+    got = core.QUERIES["nn_summary_whole"](spark, sf).first()
+    assert abs(got.mean - sum(want.values()) / len(want)) < 1e-5
+
+
+def test_morae_of_all_pages(spark, sf):
+    got = core.QUERIES["mora_split_whole"](spark, sf).collect()
+    assert Counter(r.page_id for r in got) == {i: 2 + i for i in range(5)}
+    assert [r.mora for r in sorted(got, key=lambda r: (r.page_id, r.place)) if r.page_id == 1] == ["きゃ", "り", "a"]
