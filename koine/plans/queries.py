@@ -620,13 +620,6 @@ def token_error_rate(spark, sf):
 
 
 # --- recording quality -----------------------------------------------------------------------------------------------
-@query()
-def char_error_rate_whole(spark, sf):
-    """Each whole text against itself without its first three characters."""
-    rows = clips(spark, sf).withColumn("x", F.regexp_replace("text_norm", "[^ -~]", "?"))
-    return rounded(rows.select("clip_id", tokens.char_error_rate(F.col("x"), F.expr("substring(x, 4)")).alias("cer")), "cer")
-
-
 SIGNS = "signs AS (SELECT vec_id, CASE WHEN vec_id % 7 <> 0 THEN (vec_id % 31)::DOUBLE END AS snr, (vec_id % 70) / 101.0::DOUBLE AS silence, (vec_id % 5) / 400.0 AS clipping, (vec_id % 250) / 10.0 AS duration FROM embeddings)"
 
 
@@ -707,6 +700,21 @@ def nn_summary(spark, sf):
     return rounded(nearest(spark, sf).agg(F.avg("distance").alias("mean"), F.percentile("distance", 0.5).alias("median")), "mean", "median")
 
 
+def nearest_of_all(spark, sf) -> DataFrame:
+    """Nearest other vector of every vector, in blocks of queries against blocks of vectors."""
+    return windows.nearest_vectors(table(spark, sf, "embeddings"), "vec_id", "embedding")
+
+
+@query()
+def nearest_neighbor_whole(spark, sf):
+    return rounded(nearest_of_all(spark, sf), "distance")
+
+
+@query()
+def nn_summary_whole(spark, sf):
+    return rounded(nearest_of_all(spark, sf).agg(F.avg("distance").alias("mean"), F.percentile("distance", 0.5).alias("median")), "mean", "median")
+
+
 @query("SELECT coalesce(o_orderstatus, 'unknown') || '__' || coalesce(upper(o_orderpriority), 'UNKNOWN') AS bucket, count(*) AS n FROM orders GROUP BY 1")
 def partition_bucket_counts(spark, sf):
     rows = table(spark, sf, "orders").withColumnsRenamed({"o_orderstatus": "split", "o_orderpriority": "quality_tier"})
@@ -782,15 +790,15 @@ def plan_batch(spark, sf):
 @query()
 def split_unseen_speaker(spark, sf):
     rows = clips(spark, sf)
-    rare = agg.incidence(rows.where("speaker_id in ('src3', 'src4')"), {"phone": F.col("phones")})
-    protected = agg.protected_speakers(rare, agg.critical_features(agg.feature_counts(rare)))
+    held = phones(spark, sf)
+    protected = agg.protected_speakers(held, agg.critical_features(agg.feature_counts(held)))
     return split.unseen_speaker(rows, protected, {"train": 0.8, "validation": 0.1, "test": 0.1})
 
 
 @query()
 def split_seen_speaker(spark, sf):
     rows = clips(spark, sf).withColumn("features", F.transform("phones", lambda t: F.concat(F.lit("phone:"), t)))
-    few = agg.critical_features(agg.feature_counts(phones(spark, sf))).where(F.length("feature") < 4)
+    few = agg.critical_features(agg.feature_counts(phones(spark, sf)))
     return split.seen_speaker(rows, few, {"train": 0.8, "validation": 0.1, "test": 0.1}, ("audio_sha256", "text_norm"))
 
 

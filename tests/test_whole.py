@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from koine.operators import windows
+from koine.operators import split, windows
 from koine.plans import queries as core
 from koine.plans.testdata import clips
 
@@ -81,3 +81,22 @@ def test_morae_of_all_pages(spark, sf):
     got = core.QUERIES["mora_split_whole"](spark, sf).collect()
     assert Counter(r.page_id for r in got) == {i: 2 + i for i in range(5)}
     assert [r.mora for r in sorted(got, key=lambda r: (r.page_id, r.place)) if r.page_id == 1] == ["きゃ", "り", "a"]
+
+
+def test_splits_see_all_critical_features(spark, sf, texts):
+    held = {}
+    for i, t in enumerate(texts):
+        for w in t.split(" "):
+            held.setdefault(w, set()).add(f"src{i % 3}")
+    critical = {w for w, s in held.items() if len(s) == 1}
+    rows = [
+        {"clip_id": r.clip_id, "duration": r.duration_sec, "features": set(r.phones), "audio": r.audio_sha256, "text": r.text_norm} for r in clips(spark, sf).collect()
+    ]
+    ratios = {"train": 0.8, "validation": 0.1, "test": 0.1}
+    want = split.assign_clips(rows, critical, ratios, ("audio", "text"))
+    assert {r.clip_id: r.split for r in core.QUERIES["split_seen_speaker"](spark, sf).collect()} == want
+    protected = {s for w in critical for s in held[w]}
+    durations = Counter()
+    for i, t in enumerate(texts):
+        durations[f"src{i % 3}"] += len(t) / 15.0
+    assert {r.speaker_id: r.split for r in core.QUERIES["split_unseen_speaker"](spark, sf).collect()} == split.assign_speakers(dict(durations), protected, ratios)
