@@ -159,6 +159,10 @@ class Utility:
     def gain(self, tokens) -> float:
         return math.fsum(self.targets[x] * math.log((self.t + self.counts[x] + 1) / (self.t + self.counts[x])) for x in tokens if x in self.targets)
 
+    def gains(self) -> dict[str, float]:
+        """What one more of each token adds."""
+        return {x: w * math.log((self.t + self.counts[x] + 1) / (self.t + self.counts[x])) for x, w in self.targets.items()}
+
     def put(self, tokens, by: int = 1) -> None:
         for x in tokens:
             self.counts[x] += by
@@ -242,10 +246,11 @@ def fill(clips: list[dict], ledger: Ledger, utility: Utility, taken: set[int], u
 
 def improve(clips: list[dict], chosen: set[int], pool: list[int], fixed: set[int], ledger: Ledger, utility: Utility, until: float, weights: Weights) -> int:
     """Exchange a chosen clip for one outside while that adds utility and keeps every limit, the duration and what was
-    reserved. A step budget, not a clock: results repeat. Returns the number of exchanges."""
+    reserved. pool is all that may come in. A step budget, not a clock: results repeat. Returns the number of exchanges."""
     moves = 0
-    for _ in range(weights.local_search_steps):
-        gains = sorted(((utility.gain(clips[j]["tokens"]), j) for j in pool if j not in chosen), key=lambda x: (-x[0], clips[x[1]]["clip_id"]))
+    for _ in range(weights.local_search_steps if chosen - fixed else 0):
+        gain_of = utility.gains()
+        gains = sorted(((math.fsum(gain_of[x] for x in clips[j]["tokens"] if x in gain_of), j) for j in pool if j not in chosen), key=lambda x: (-x[0], clips[x[1]]["clip_id"]))
         best, rank = None, 1e-9
         for i in sorted(chosen - fixed, key=lambda i: clips[i]["clip_id"]):
             a = clips[i]
@@ -328,8 +333,8 @@ def run_kernel(bucket: str, clips: list[dict], shares: dict[str, float], wanted:
     fixed = set(taken)
     order += [(i, s, "utility") for i, s in fill(clips, ledger, utility, taken | barred, until, weights, diversity)]
     chosen = {i for i, _, _ in order}
-    outside = sorted((i for i in range(len(clips)) if i not in chosen and i not in barred), key=lambda i: (-utility.gain(clips[i]["tokens"]), clips[i]["clip_id"]))
-    improve(clips, chosen, outside[:200], fixed, ledger, utility, until, weights)
+    outside = [i for i in range(len(clips)) if i not in chosen and i not in barred]
+    improve(clips, chosen, outside, fixed, ledger, utility, until, weights)
     order = [x for x in order if x[0] in chosen] + [(i, utility.gain(clips[i]["tokens"]), "exchange") for i in sorted(chosen - {x[0] for x in order})]
     rows = [
         (bucket, clips[i]["clip_id"], "selected", s, n, json.dumps({"score": s}), json.dumps({}), why, None) for n, (i, s, why) in enumerate(order, 1)

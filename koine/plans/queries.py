@@ -758,11 +758,10 @@ def _selection(spark, sf) -> DataFrame:
     limits = selection.Limits(max_clips_per_speaker=10, duplicates={"exact_audio": 1})
     until = {"en": 4000.0, "fr": 1500.0, "de": 1500.0, "es": 1500.0}
     keys = keyed(spark, sf)
-    rare = wanted(keys).select("feature", F.col("target").alias("minimum"), F.col("target").alias("desired"), (F.length("feature") == 11).alias("required"))
+    rare = wanted(keys).select("feature", F.col("target").alias("minimum"), F.col("target").alias("desired"), "required")
     eligible = keys.where(filters.counted(F.col("disposition"))).select("clip_id", "speaker_id", F.explode("feature_keys").alias("feature"))
     bounds = selection.coverage_constraints(rare, eligible).where("required")
-    weights = selection.Weights(local_search_steps=2)
-    return selection.select(_candidates(spark, sf), agg.target_table(rows, 0.5, 3, 2), until, limits, bounds, weights)
+    return selection.select(_candidates(spark, sf), agg.target_table(rows, 0.5, 3, 2), until, limits, bounds)
 
 
 @query()
