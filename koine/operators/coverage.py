@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import math
@@ -149,23 +150,44 @@ class LoopState:
     attempts: dict[str, int] = field(default_factory=dict)
     passes: dict[str, int] = field(default_factory=dict)
     stop: str | None = None
+    accepted: list[str] = field(default_factory=list)
+    config_hash: str | None = None
+    index_hash: str | None = None
+
+
+def config_hash(targets: DataFrame, config: PlannerConfig) -> str:
+    wanted = sorted(json.dumps(r.asDict(recursive=True), sort_keys=True, default=str) for r in targets.collect())
+    return hashlib.sha256(json.dumps([wanted, asdict(config)], sort_keys=True, default=str).encode()).hexdigest()
+
+
+def index_hash(index: DataFrame) -> str:
+    """Of the clips and their features, whatever their order; two sums of hashes, so equal rows don't cancel."""
+    row = [F.col(c) for c in ("clip_id", "client_id", "feature_keys")]
+    sums = index.agg(F.count("*"), *[F.sum(F.pmod(F.xxhash64(F.lit(seed), *row), F.lit(2**31))) for seed in (0, 1)]).first()
+    return hashlib.sha256(json.dumps(list(sums)).encode()).hexdigest()
 
 
 def run_loop(index: DataFrame, targets: DataFrame, analyze: Callable[[DataFrame], DataFrame], state_path: str, max_iterations: int = 50, max_clips: int = 10_000, config: PlannerConfig = PlannerConfig(), dry_run: bool = False) -> LoopState:
     """Plan a batch, analyse it, count what passed, until nothing required is short or no candidate helps.
 
-    analyze: a table of clip_id to one of clip_id, passed. A state file at state_path is resumed. Ends with a reason:
-    satisfied, candidate_exhausted, max_iterations, max_clips, dry_run.
+    analyze: a table of clip_id to one of clip_id, passed. A state file at state_path is resumed with the clips that it
+    accepted; one of other targets, config or index, or without accepted clips for its passes, raises ValueError. Ends
+    with a reason: satisfied, candidate_exhausted, max_iterations, max_clips, dry_run.
     """
     spark, path = index.sparkSession, Path(state_path)
     state = LoopState(**json.loads(path.read_text())) if path.exists() else LoopState()
+    hashes = config_hash(targets, config), index_hash(index)
+    if path.exists() and (state.config_hash, state.index_hash) != hashes:
+        raise ValueError(f"{path} is of other targets, another config or another index")
+    if len(state.accepted) != sum(state.passes.values()):
+        raise ValueError(f"{path} doesn't hold the clips that passed")
+    state.config_hash, state.index_hash = hashes
     state.stop = None
-    passed_ids = spark.createDataFrame([], "clip_id string")
     ids = lambda names: spark.createDataFrame([(x,) for x in names], "clip_id string")
     while True:
         done = ids(state.analyzed)
         stats = spark.createDataFrame([(s, n, state.passes.get(s, 0)) for s, n in sorted(state.attempts.items())], "speaker_id string, attempts long, passes long")
-        counts = coverage_counts(index.join(passed_ids, "clip_id", "left_semi"))
+        counts = coverage_counts(index.join(ids(state.accepted), "clip_id", "left_semi"))
         need = short_of(targets.withColumnRenamed("desired", "target"), counts).where("required").agg(F.sum("deficit")).first()[0] or 0
         if not need:
             state.stop = "satisfied"
@@ -185,7 +207,7 @@ def run_loop(index: DataFrame, targets: DataFrame, analyze: Callable[[DataFrame]
             state.attempts[r.client_id] = state.attempts.get(r.client_id, 0) + 1
             state.passes[r.client_id] = state.passes.get(r.client_id, 0) + int(r.passed)
         state.analyzed += [r.clip_id for r in batch]
-        passed_ids = passed_ids.unionByName(ids([r.clip_id for r in results if r.passed]))
+        state.accepted += sorted(r.clip_id for r in results if r.passed)
         state.iteration += 1
         path.write_text(json.dumps(asdict(state)))
     path.write_text(json.dumps(asdict(state)))
