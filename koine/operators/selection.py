@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from koine.functions.scoring import marginal
+from koine.scratch import cut
 
 
 @dataclass(frozen=True)
@@ -346,14 +347,60 @@ def run_kernel(bucket: str, clips: list[dict], shares: dict[str, float], wanted:
     return rows
 
 
-def select_distributed(candidates: DataFrame, targets: DataFrame, until: float, parts: int, limits: Limits = Limits(), weights: Weights = Weights()) -> DataFrame:
-    """Greedy in two rounds for pools beyond one task: each part picks its own share, the union of picks is picked from
-    again. A constant factor of the optimum for a monotone submodular utility."""
+def select_distributed(
+    candidates: DataFrame, targets: DataFrame, until: float, parts: int, limits: Limits = Limits(), weights: Weights = Weights(), constraints: DataFrame | None = None
+) -> DataFrame:
+    """Selection for pools beyond one task, with a row for every candidate as in `select`.
+
+    First what is forced and what required features need is taken in one task over the clips that have such a feature.
+    Then filling runs in two rounds: each part picks its own share, and the union of picks is picked from again, a
+    constant factor of the optimum for a monotone submodular utility. The rest is scored against what was selected.
+    """
+    spark = candidates.sparkSession
+    pool = candidates.where("coalesce(override_action, '') <> 'hard_reject'").withColumn("bucket", F.lit("all"))
+    forced = F.coalesce(F.col("override_action") == "force_include", F.lit(False))
+    first = pool.where(forced)
+    if constraints is not None:
+        needed = [r.feature for r in constraints.where("required and effective_minimum > 0").select("feature").collect()]  # bounded by the vocabulary
+        first = pool.where(forced | F.arrays_overlap("keys", F.array(*map(F.lit, needed)).cast("array<string>")))
+    core = cut(select(first, targets, {"all": 0.0}, limits, constraints, weights), "core")
+    told = core.where("disposition = 'reserve'").select("penalties").first()
+    ahead = core.where("disposition = 'selected'").select("clip_id", F.col("selection_rank").alias("r"), F.col("selection_score").alias("s"), F.col("selected_reason").alias("why"), F.col("positive_contributions").alias("p"))
+
+    rest = pool.join(ahead.select("clip_id"), "clip_id", "left_anti")
     part = F.concat(F.lit("part"), F.pmod(F.xxhash64("clip_id"), F.lit(parts)).cast("string"))
-    first = select(candidates.withColumn("bucket", part), targets, {f"part{i}": until for i in range(parts)}, limits, None, weights)
-    picked = first.where("disposition = 'selected'").select("clip_id")
-    again = candidates.join(picked, "clip_id", "left_semi").withColumn("bucket", F.lit("all"))
-    return select(again, targets, {"all": until}, limits, None, weights)
+    shares = select(rest.withColumn("bucket", part), targets, {f"part{i}": until for i in range(parts)}, limits, None, weights)
+    picked = shares.where("disposition = 'selected'").select("clip_id").unionByName(ahead.select("clip_id"))
+    held = F.when(F.col("r").isNotNull(), "force_include").otherwise(F.col("override_action"))
+    again = pool.join(picked, "clip_id", "left_semi").join(ahead.select("clip_id", "r"), "clip_id", "left").withColumn("override_action", held).drop("r")
+    last = select(again, targets, {"all": until}, limits, None, weights).where("disposition = 'selected'").join(ahead, "clip_id", "left")
+    known = {"selection_rank": "r", "selection_score": "s", "selected_reason": "why", "positive_contributions": "p"}
+    names = [x.split()[0] for x in PLAN_FIELDS.split(", ")]
+    plan = cut(last.withColumns({c: F.coalesce(F.col(x), F.col(c)) for c, x in known.items()}).select(*names), "plan")
+
+    ledger, utility = Ledger(limits), Utility({f"{r.family}:{r.token}": r.target for r in targets.collect()}, weights.temperature)
+    for r in pool.join(plan.select("clip_id"), "clip_id", "left_semi").toLocalIterator():  # bounded by the duration
+        ledger.put(_plain(r.speaker_id, r.duration_sec, r.quality_score, r.groups))
+        utility.put(set(r.tokens))
+    shared = spark.sparkContext.broadcast((ledger, utility, told.penalties if told else json.dumps({"blocked": []})))
+
+    def reserved(frames):
+        ledger, utility, penalties = shared.value
+        for pdf in frames:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                barred = r.override_action in ("force_exclude", "return_to_reserve")
+                admitted = ledger.admits(_plain(r.speaker_id, r.duration_sec, r.quality_score, r.groups))
+                reason = "barred by an override" if barred else "not needed" if admitted else "limits"
+                rows.append(("all", r.clip_id, "reserve", utility.gain(sorted(set(r.tokens))), None, json.dumps({}), penalties, None, reason))
+            yield pd.DataFrame(rows, columns=names)
+
+    left = pool.join(plan.select("clip_id"), "clip_id", "left_anti").select("clip_id", "speaker_id", "duration_sec", "quality_score", "tokens", "groups", "override_action")
+    return plan.unionByName(left.mapInPandas(reserved, PLAN_FIELDS))
+
+
+def _plain(speaker: str | None, seconds: float | None, quality: float | None, groups) -> dict:
+    return {"speaker": speaker or "", "duration": float(seconds or 0.0), "quality": None if pd.isna(quality) else float(quality), "groups": dict(groups or {})}
 
 
 def limits_report(limits: Limits) -> str:

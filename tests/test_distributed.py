@@ -1,0 +1,21 @@
+from koine.operators import selection as sel
+
+
+def test_distributed_selection_keeps_guarantees_and_rows(spark):
+    action = {3: "force_include", 4: "force_exclude", 5: "hard_reject"}
+    rows = [
+        (f"c{i:02}", f"s{i % 7}", 1.0, 50.0, [f"phone:{'abcde'[i % 5]}"], [f"k:{i // 10}"] if i % 10 > 5 else [], {"exact_audio": f"g{i // 2}"}, action.get(i)) for i in range(60)
+    ]
+    df = spark.createDataFrame(rows, "clip_id string, speaker_id string, duration_sec double, quality_score double, tokens array<string>, keys array<string>, groups map<string,string>, override_action string")
+    targets = spark.createDataFrame([("phone", c, 0.1) for c in "abcde"], "family string, token string, target double")
+    bounds = spark.createDataFrame([(f"k:{i}", True, 2) for i in range(5)] + [("k:5", False, 2)], "feature string, required boolean, effective_minimum int")
+    limits, w = sel.Limits(max_clips_per_speaker=4, duplicates={"exact_audio": 1}), sel.Weights(local_search_steps=0)
+    plan = {r.clip_id: r for r in sel.select_distributed(df, targets, 15.0, 3, limits, w, bounds).collect()}
+    whole = {r.clip_id: r for r in sel.select(df.selectExpr("'all' as bucket", "*"), targets, {"all": 15.0}, limits, bounds, w).collect()}
+    assert set(plan) == set(whole) == {r[0] for r in rows} - {"c05"}
+    first = lambda p: {(c, r.selection_rank, r.selected_reason) for c, r in p.items() if r.selected_reason in ("forced", "coverage")}
+    assert first(plan) == first(whole) and len(first(plan)) == 11
+    taken = [r for r in plan.values() if r.disposition == "selected"]
+    assert sorted(r.selection_rank for r in taken) == list(range(1, 16))
+    rest = [r for r in plan.values() if r.disposition == "reserve"]
+    assert plan["c04"].reserve_reason == "barred by an override" and {"limits"} <= {r.reserve_reason for r in rest} and all(r.reserve_reason and r.selection_score is not None for r in rest)
