@@ -94,7 +94,7 @@ def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     elements, owner = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]), np.repeat(np.arange(len(sets)), sizes)
     order = None
     for j in range(slots):
-        draw = _mix(elements + _U(j + 1) * _GOLDEN)
+        draw = _mix(elements + _U((j + 1) * int(_GOLDEN) % 2**64))
         offer = j + (draw >> _U(11)).astype(np.float64) * 2.0**-53
         place = j + (_mix(draw ^ _U(0xA5A5A5A5A5A5A5A5)) % _U(slots - j)).astype(np.int64)
         if order is None:
