@@ -1,15 +1,20 @@
 """Document fingerprints from prefix polynomial hashes.
 
 A prefix array holds the polynomial of every prefix of a text modulo two primes; two subtractions and a shift give
-the hash of any span, and a binary search over spans the longest common extension of two places. A fingerprint
-keeps the hashes of prefixes and of suffixes at lengths that grow geometrically; the longest common prefix and
-suffix of two texts, as far as their fingerprints tell, are again found by binary search.
+the hash of any span, and a binary search over spans the longest common extension of two places.
+
+A fingerprint keeps the prefix array at places that the text itself chooses: those where the hash of the next few code
+points ends in enough zero bits, so a passage has the same places wherever it stands. Every place has a level, the
+number of these bits; a text keeps the lowest level with at most KEPT places, and two texts meet at the higher of their
+levels. Their likeness is the share of the longer text in passages that both have: from a place where both have the
+same span, the longest common extension is found by binary search over the kept prefixes, and the longest is taken.
+So edits cost the spans they touch, wherever they are, and a passage that moves is found.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +26,10 @@ from koine.llm.common import ship, text_slices, texts_of
 #: Moduli and bases.
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
-#: Kept lengths to each doubling.
-STEPS = 4
+#: Code points that choose a place, places kept (until levels end), highest level, bits of the step from place to place.
+WINDOW, KEPT, TOP, STEP_BITS = 8, 64, 15, 29
+#: Code points of a common passage that count, at least; a quarter of a shorter text.
+PASSAGE = 12
 
 
 class _Powers:
@@ -86,27 +93,37 @@ class PrefixHashes:
         return low
 
 
-def lengths_kept(n: int) -> np.ndarray:
-    """The lengths up to n at which hashes are kept."""
-    steps = np.arange(STEPS * max(n, 1).bit_length() + 1)
-    return (found := np.unique(np.ceil(2.0 ** (steps / STEPS)).astype(np.int64)))[found <= n]
+def _levels(n: int, spans) -> np.ndarray:
+    """The level of each place of a text of n code points: zero bits at the end of the next span's hash."""
+    start = np.arange(n)
+    x = spans(start, np.minimum(start + WINDOW, n))[0] * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x = x * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - TOP)
+    low = x & (~x + np.uint64(1))
+    return np.where(x == 0, TOP, np.log2(np.maximum(low, np.uint64(1)).astype(np.float64)).astype(np.int64))
 
 
-def _string(n: int, whole: list[int], heads: list[np.ndarray], tails: list[np.ndarray]) -> str:
-    short = [(a + b * np.uint64(0x9E3779B1)).astype(np.uint32).astype(">u4").tobytes().hex() for a, b in (heads, tails)]
-    return f"{n:x}.{whole[0]:08x}{whole[1]:08x}.{short[0]}.{short[1]}"
+def _string(n: int, whole: list[int], spans) -> str:
+    """Length, hash of the whole, level, and for each kept place its prefix hash, its level and the step to it."""
+    levels = _levels(n, spans)
+    if n:
+        levels[0] = -1
+    above = np.cumsum(np.bincount(levels + 1, minlength=TOP + 2)[::-1])[::-1][1:]  # places of each level or a higher one
+    level = int(np.argmax(above <= KEPT)) if (above <= KEPT).any() else TOP
+    at = np.flatnonzero(levels >= level)
+    prefix = spans(0 * at, at)[0]
+    entry = prefix << np.uint64(33) | levels[at].astype(np.uint64) << np.uint64(STEP_BITS) | np.diff(at, prepend=0).astype(np.uint64)
+    return f"{n:x}.{whole[0]:08x}{whole[1]:08x}.{level:x}.{entry.astype('>u8').tobytes().hex()}"
 
 
 def fingerprint(own: PrefixHashes) -> str:
-    """Length, hash of the whole, hashes of kept prefixes and suffixes."""
-    n, kept = own.n, lengths_kept(own.n)
-    return _string(n, [int(h[n]) for h in own.prefix], own.spans(0 * kept, kept), own.spans(n - kept, 0 * kept + n))
+    """The fingerprint of a text, of at most 2**29 code points, from its prefix arrays."""
+    return _string(own.n, [int(h[own.n]) for h in own.prefix], own.spans)
 
 
 def joined_fingerprint(a: PrefixHashes, head: int, b: PrefixHashes, more: int) -> str:
     """The fingerprint of the first `head` code points of a followed by the first `more` of b, from their arrays."""
     n = head + more
-    kept = lengths_kept(n)
     _POWERS.reach(n + 1)
 
     def spans(start: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
@@ -115,23 +132,85 @@ def joined_fingerprint(a: PrefixHashes, head: int, b: PrefixHashes, more: int) -
         by = np.maximum(np.minimum(stop, head) - np.minimum(start, head), 0)
         return [(x + y * up[by]) % np.uint64(p) for x, y, up, p in zip(left, right, _POWERS.up, PRIMES, strict=True)]
 
-    whole = [int(x[0]) for x in spans(np.array([0]), np.array([n]))]
-    return _string(n, whole, spans(0 * kept, kept), spans(n - kept, 0 * kept + n))
+    return _string(n, [int(x[0]) for x in spans(np.array([0]), np.array([n]))], spans)
+
+
+@dataclass
+class Kept:
+    """A prefix array at the places that a fingerprint keeps, from 0 to the text's end, at one level."""
+
+    at: list[int]
+    prefix: list[int]
+
+    def length(self, i: int, k: int) -> int:
+        return self.at[k] - self.at[i]
+
+    def same(self, i: int, k: int, other: Kept, j: int, m: int) -> bool:
+        """Whether the spans from place i to k here and j to m there agree."""
+        p, up = PRIMES[0], _POWERS.up[0]
+        if self.length(i, k) != other.length(j, m):
+            return False
+        a, b = self.prefix[k] - self.prefix[i], other.prefix[m] - other.prefix[j]
+        shift = self.at[i] - other.at[j]
+        return (b * int(up[shift]) - a) % p == 0 if shift >= 0 else (a * int(up[-shift]) - b) % p == 0
+
+    def common_extension(self, i: int, other: Kept, j: int) -> int:
+        """How many spans from place i here and place j there agree: a binary search as far as the steps are the same."""
+        low, here, there = 0, self.at[i], other.at[j]
+        high = next((k for k, (x, y) in enumerate(zip(self.at[i + 1 :], other.at[j + 1 :])) if x - here != y - there), min(len(self.at) - i, len(other.at) - j) - 1)
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if self.same(i, i + mid, other, j, j + mid) else (low, mid - 1)
+        return low
+
+    def spans(self) -> list[tuple[int, int]]:
+        """Length and hash of each span between neighbouring places."""
+        at, p = np.array(self.at), np.uint64(PRIMES[0])
+        prefix = np.array(self.prefix, dtype=np.uint64)
+        hashes = (prefix[1:] + p - prefix[:-1]) % p * _POWERS.down[0][at[:-1]] % p
+        return list(zip(np.diff(at).tolist(), hashes.tolist(), strict=True))
+
+
+def kept_places(mark: str, level: int) -> Kept:
+    n, whole, _, hexed = mark.split(".")
+    entries = np.frombuffer(bytes.fromhex(hexed), dtype=">u8").astype(np.uint64)
+    at = np.cumsum((entries & np.uint64((1 << STEP_BITS) - 1)).astype(np.int64))
+    high = (entries >> np.uint64(STEP_BITS) & np.uint64(15)) >= np.uint64(level)
+    end = int(n, 16)
+    return Kept([0, *at[high].tolist(), end], [0, *(entries[high] >> np.uint64(33)).tolist(), int(whole[:8], 16)])
 
 
 def likeness(one: str, two: str) -> float:
-    """Common prefix and suffix of two texts by their fingerprints, as a share of the longer one; 1 if equal."""
-    (n, whole, heads, tails), (m, other, heads2, tails2) = one.split("."), two.split(".")
-    if (n, whole) == (m, other):
+    """The share of the longer text in passages that both fingerprints show, each passage once; 1 for equal texts, 0 for
+    an empty one and another. Passages are taken from left to right, always the longest."""
+    if one == two:
         return 1.0
-    n, m = int(n, 16), int(m, 16)
+    one, two = sorted((one, two))
+    (n, _, level, _), (m, _, other, _) = one.split("."), two.split(".")
+    n, m, level = int(n, 16), int(m, 16), max(int(level, 16), int(other, 16))
     if not n or not m:
         return 0.0
-    kept, same = lengths_kept(min(n, m)), 0
-    for x, y in ((heads, heads2), (tails, tails2)):
-        shared = bisect_left(range(len(kept)), True, key=lambda i: x[8 * i : 8 * i + 8] != y[8 * i : 8 * i + 8])
-        same += int(kept[shared - 1]) if shared else 0
-    return min(same, n, m) / max(n, m)
+    _POWERS.reach(max(n, m) + 1)
+    a, b = kept_places(one, level), kept_places(two, level)
+    places: dict[tuple[int, int], list[int]] = {}
+    for j, span in enumerate(b.spans()):
+        places.setdefault(span, []).append(j)
+    free, spans, least = [True] * len(b.at), a.spans(), min(PASSAGE, -(-min(n, m) // 4))
+    i = same = 0
+    while i < len(spans):
+        best = (0, 0)
+        for j in places.get(spans[i], ()):
+            if free[j]:
+                k = a.common_extension(i, b, j)
+                best = max(best, (next((x for x in range(k) if not free[j + x]), k), -j))
+        k, j = best[0], -best[1]
+        if k and a.length(i, i + k) >= least:
+            free[j : j + k] = [False] * k
+            same += a.length(i, i + k)
+            i += k
+        else:
+            i += 1
+    return same / max(n, m)
 
 
 LEAST = -(1 << 63)
