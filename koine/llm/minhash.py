@@ -6,9 +6,11 @@ values below j + 1 no later step can change them, and it stops: large sets take
 
 Texts with equal sets form one class before any pair is made. Bands of the signatures deal classes into buckets.
 Each class is compared with two members of each of its buckets, so the number of pairs stays linear however large a
-bucket is. Where a bucket then still holds several components, the members outside its largest component are compared
-with all of that component and with one another, in blocks: no pair is capped or left out, and none is written but
-links. Links are confirmed on the full sets of shingles.
+bucket is. Where a bucket then still holds several components, the members outside its largest component ask for links
+to that component and to one another. For each such component the documents of every shingle are counted once; an
+asking member goes on only if enough of its shingles occur in another set there, since a link needs that many in one
+set. Those that are left are compared in blocks, by an index of the block's shingles: no pair is capped or left out, and
+none is written but links. Links are confirmed on the full sets of shingles.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from koine.llm.components import components
 #: Slots in a band and bands: a pair of similarity 0.8 shares no bucket with a probability of 3e-6.
 BAND, BANDS = 4, 24
 SLOTS = BAND * BANDS
-#: Members of a block where components are compared.
-BLOCK = 256
+#: Members of a block where components are compared, rows of a bucket that one task joins.
+BLOCK, PART = 256, 1024
 
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
@@ -174,7 +176,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _compare_blocks(percent: int):
-    """Links between the asking rows of a block and its others, on full sets: for each asking row and component one."""
+    """Links between the asking rows of a block and its others, on full sets: for each asking row and component one.
+    The others' shingles are indexed once; an asking row reads the entries of its own."""
 
     def compare(pdf):
         import pandas as pd
@@ -184,11 +187,14 @@ def _compare_blocks(percent: int):
         sizes = np.array([len(x) for x in pdf["shingles"]])
         if len(rest):
             flat = np.concatenate([pdf["shingles"].iloc[r] for r in rest])
-            owner = np.repeat(np.arange(len(rest)), sizes[rest])
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], np.repeat(np.arange(len(rest)), sizes[rest])[order]
             for q in np.flatnonzero(asks):
-                own = np.sort(pdf["shingles"].iloc[q])
-                hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
-                shared = np.bincount(owner[hit], minlength=len(rest))
+                own = pdf["shingles"].iloc[q]
+                low, high = np.searchsorted(flat, own, side="left"), np.searchsorted(flat, own, side="right")
+                counts = high - low
+                at = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+                shared = np.bincount(owner[at], minlength=len(rest))
                 near = (100 * shared >= percent * (sizes[q] + sizes[rest] - shared)) & (c[rest] != c[q])
                 found = rest[near]
                 for r in found[np.unique(c[found], return_index=True)[1]]:
@@ -207,33 +213,57 @@ def _in_blocks(every: DataFrame, asking: DataFrame, key: list[str], sets: DataFr
     return others.unionByName(ask).groupBy(*key, "i", "j").applyInPandas(_compare_blocks(percent), "a long, b long").distinct()
 
 
+def _asking(buckets: DataFrame, named: DataFrame) -> DataFrame:
+    """top, node, c of the members of buckets that are outside their bucket's largest component, `top`. Rows of a bucket
+    are joined in parts of about PART, by its size."""
+    placed = buckets.filter("n > 3").join(named, "node", "left").select("band", "key", "n", "node", F.coalesce("c", "node").alias("c"))
+    placed = cut(placed, "placed")
+    parts = placed.groupBy("band", "key", "n", "c").agg(F.count("*").alias("k"))
+    mixed = parts.groupBy("band", "key", "n").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("all")).filter("top.k < all")
+    split = F.expr(f"cast(ceil(n / {PART}) as int)")
+    mixed = cut(mixed.select("band", "key", F.col("top.c").alias("top"), F.explode(F.sequence(F.lit(0), split - 1)).alias("part")), "mixed")
+    dealt = placed.withColumn("part", F.pmod(F.xxhash64("node"), split).cast("int"))
+    outside = dealt.join(mixed, ["band", "key", "part"]).filter("c != top")
+    return cut(outside.select("top", "node", "c").distinct(), "asking")
+
+
+def _hopeful(asking: DataFrame, every: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The asking rows of which enough shingles occur in another set of `every` with the same top. A link to any of them
+    needs `percent` of an asking set in that one set alone, so no link is lost."""
+    held = every.select("top", "node").join(sets, "node").select("top", F.explode("shingles").alias("shingle"))
+    often = held.groupBy("top", "shingle").agg(F.count("*").alias("n")).filter("n > 1").select("top", "shingle")
+    own = asking.join(sets, "node").select("top", "node", "c", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    shared = own.join(often, ["top", "shingle"]).groupBy("top", "node", "c", "size").agg(F.count("*").alias("shared"))
+    return shared.filter(100 * F.col("shared") >= percent * F.col("size")).select("top", "node", "c")
+
+
 def _left_over(buckets: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components that share a bucket: its members outside its largest component are compared with all of
-    that component, and with one another."""
-    blocks = lambda n: F.expr(f"cast(ceil({n} / {BLOCK}) as int)")
+    """Links between components that share a bucket: of its members outside its largest component, those that can have a
+    link are compared with all of that component, and with one another."""
     named = found.select("node", F.col("component").alias("c"))
-    placed = buckets.filter("n > 3").join(named, "node", "left").select("band", "key", "node", F.coalesce("c", "node").alias("c"))
-    placed = cut(placed, "placed")
-    parts = placed.groupBy("band", "key", "c").agg(F.count("*").alias("k"))
-    mixed = parts.groupBy("band", "key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("n")).filter("top.k < n")
-    mixed = cut(mixed, "mixed")
-    outside = placed.join(mixed.select("band", "key", F.col("top.c").alias("top")), ["band", "key"]).filter("c != top")
-    outside = cut(outside, "outside")
-    if outside.isEmpty():
-        return outside.select(F.col("node").alias("a"), F.col("node").alias("b"))
-
-    asking = cut(outside.select("node", "c", "top").distinct(), "asking")
-    wanted = asking.groupBy("top").agg(F.count("*").alias("u"))
+    asking = _asking(buckets, named)
+    none = asking.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    if asking.isEmpty():
+        return none
     members = sets.select("node").join(named, "node", "left").select("node", F.coalesce("c", "node").alias("c"))
-    sizes = members.groupBy(F.col("c").alias("top")).agg(F.count("*").alias("m")).join(wanted, "top")
-    sizes = cut(sizes.select("top", blocks("m").alias("rows"), blocks("u").alias("columns")), "sizes")
-    every = members.withColumn("top", F.col("c")).join(sizes, "top")
-    to_top = _in_blocks(every, asking.join(sizes, "top"), ["top"], sets, percent)
+    members = cut(members.withColumn("top", F.col("c")).join(asking.select("top").distinct(), "top").select("top", "node", "c"), "members")
+    asking = cut(_hopeful(asking, members.unionByName(asking), sets, percent), "hopeful")
+    if asking.isEmpty():
+        return none
+    blocks = lambda n: F.expr(f"cast(ceil({n} / {BLOCK}) as int)")
+    wanted = asking.groupBy("top").agg(F.count("*").alias("u"))
+    sizes = members.groupBy("top").agg(F.count("*").alias("m")).join(wanted, "top")
+    sizes = cut(sizes.select("top", blocks("(m + u)").alias("rows"), blocks("u").alias("columns")), "sizes")
+    every = members.unionByName(asking).join(sizes, "top")
+    return _in_blocks(every, asking.join(sizes, "top"), ["top"], sets, percent)
+
 
-    count = outside.groupBy("band", "key").agg(F.count("*").alias("u"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
-    count = count.select("band", "key", blocks("u").alias("rows"), blocks("u").alias("columns"))
-    among = outside.join(count, ["band", "key"])
-    return to_top.unionByName(_in_blocks(among, among, ["band", "key"], sets, percent)).distinct()
+def _one_document(sketched: DataFrame, classes: DataFrame, key: list[str]) -> DataFrame:
+    """Links (a, b) between the classes of rows that have one doc_id and different sets."""
+    some = sketched.filter("n_shingles > 0 and doc_id is not null")
+    twice = some.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).filter("x != y").select("doc_id")
+    nodes = some.join(twice, "doc_id").join(classes.select(*key, "node"), key).select("doc_id", "node").distinct()
+    return nodes.join(nodes.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").filter("a < node").select("a", F.col("node").alias("b"))
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -241,8 +271,9 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
 
     Two documents are linked where 100 * common shingles >= percent * shingles of either. component_id is the smallest
     doc_id reachable over links; kept marks it. Null texts and texts without words have no shingle and no link. Rows
-    with one doc_id count as one document; a null doc_id stands alone by its text and has itself as component unless a
-    row with an id has the same set. Other columns are ignored. Empty table: no rows.
+    with one doc_id count as one document, whose links are those of any of its texts; a null doc_id stands alone by its
+    text and has itself as component unless a row with an id has the same set. Other columns are ignored. Empty table:
+    no rows.
     """
     ship(documents.sparkSession)
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -265,7 +296,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     # the text of a class is that of any of its documents
     of_node = docs.withColumn("node", F.col("doc_id").cast("long")).filter("node is not null")
     sets = _sets(pairs, of_node, width)
-    links = cut(_confirmed(pairs, sets, percent), "links")
+    links = cut(_confirmed(pairs, sets, percent).unionByName(_one_document(sketched, classes, key)), "links")
     found = components(links)
     more = cut(_left_over(buckets, found, sets, percent), "left-over")
     if not more.isEmpty():

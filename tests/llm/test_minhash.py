@@ -124,6 +124,39 @@ def test_odd_rows(spark):
     assert mh.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_document_share_their_links(spark):
+    a, b, c = "a b c d e f g h i j k l", "m n o p q r s t", "u v w x y z"
+    docs = spark.createDataFrame([(5, a), (5, b), (3, b), (9, a), (7, c), (7, "one two")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in mh.near_duplicates(docs, 2).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (7, 7), (7, 7), (9, 3)]
+
+
+def test_left_over_components_in_one_bucket(spark):
+    """Every class in one bucket, all pivots' links withheld: what is left over still finds every link, and the count of
+    shared shingles turns down only sets without one."""
+    rows = [r for r in corpus(11, groups=6, size=10) if plain_set(r[1], 2)]
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(frozenset(plain_set(t, 2)), (i, t))
+    rows = sorted(texts.values())
+    F = __import__("pyspark.sql.functions").sql.functions
+    docs = spark.createDataFrame(rows, "node long, text string")
+    sets = docs.mapInArrow(mh._full_sets(2), "node long, shingles array<long>").cache()
+    buckets = docs.select("node", F.lit(0).alias("band"), F.lit(1).alias("key"), F.lit(len(rows)).cast("long").alias("n"))
+    none = docs.select("node", F.col("node").alias("component")).limit(0)
+    want, of = set(), {i: plain_set(t, 2) for i, t in rows}
+    for i in of:
+        want |= {(i, j) for j in of if i < j and 100 * len(of[i] & of[j]) >= 80 * len(of[i] | of[j])}
+    top = max(of)  # of components of one the largest number wins
+    got = {tuple(r) for r in mh._left_over(buckets, none, sets, 80).collect()}
+    assert want and got == want
+    asking = mh._asking(buckets, none.select("node", F.col("component").alias("c")))
+    assert {r.node for r in asking.collect()} == set(of) - {top} and {r.top for r in asking.collect()} == {top}
+    linked = {i for pair in want for i in pair} - {top}
+    hopeful = {r.node for r in mh._hopeful(asking, asking.unionByName(asking.select("top", F.col("top").alias("node"), F.col("top").alias("c")).distinct()), sets, 80).collect()}
+    assert linked <= hopeful < set(of)
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(7, 1000 + i) for i in range(80)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(90)]
