@@ -26,9 +26,11 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
 
 
-def with_totals(df: DataFrame, key: list[str], by: str, partial: dict[str, Column], total: dict[str, Column], salts: int = 32) -> DataFrame:
-    """Each row of df with its group's totals. A group is counted and joined in `salts` parts, by a hash of the column
-    `by`, so a hot one is never in one task. partial: aggregates of a part; total: aggregates over its parts."""
+def with_totals(df: DataFrame, key: list[str], by: str, partial: dict[str, Column], total: dict[str, Column], salts: int | None = None) -> DataFrame:
+    """Each row of df with its group's totals. A group is counted and joined in `salts` parts, as many as the session has
+    shuffle partitions, by a hash of the column `by`, so a hot one is spread over all tasks. partial: aggregates of a
+    part; total: aggregates over its parts."""
+    salts = salts or max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     df = df.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)))
     parts = cut(df.groupBy(*key, "__salt").agg(*[c.alias(n) for n, c in partial.items()]), "parts")
     whole = parts.groupBy(*key).agg(*[c.alias(n) for n, c in total.items()])

@@ -69,6 +69,7 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
 
 
 def _row_key() -> Column:
+    """Tells apart rows with one doc_id; a row is known by its doc_id and this."""
     return F.xxhash64("doc_id", "text", F.col("text").isNull())
 
 
@@ -146,14 +147,15 @@ def drop_duplicates(documents: DataFrame) -> DataFrame:
     """The rows of documents that stay, with all their columns: one of each class of equal texts."""
     rows = duplicate_classes(documents).filter("kept")
     per = rows.groupBy("keep_id", "text_sha256").agg(F.min(F.struct(-F.col("n_chars"), "row_key")).alias("m"))
-    stay = cut(per.select(F.col("m.row_key").alias("__row")).distinct(), "stay")
-    kept = documents.withColumn("__row", _row_key()).join(stay, "__row")
-    again = documents.groupBy(_row_key().alias("__row")).count().filter("count > 1").select("__row")
+    stay = cut(per.select(F.col("keep_id").alias("__id"), F.col("m.row_key").alias("__stay")).distinct(), "stay")
+    same = (F.col("__row") == F.col("__stay")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    kept = documents.withColumn("__row", _row_key()).join(stay, same, "left_semi")
+    again = documents.groupBy("doc_id", _row_key().alias("__stay")).count().filter("count > 1").select(F.col("doc_id").alias("__id"), "__stay")
     again = cut(again, "again")
     if again.isEmpty():
         return kept.select(*documents.columns)
-    once, more = kept.join(again, "__row", "left_anti"), kept.join(again, "__row", "left_semi")
-    return once.unionByName(more.dropDuplicates(["__row"])).select(*documents.columns)
+    once, more = kept.join(again, same, "left_anti"), kept.join(again, same, "left_semi")
+    return once.unionByName(more.dropDuplicates(["doc_id", "__row"])).select(*documents.columns)
 
 
 ORACLE = r"""

@@ -272,7 +272,7 @@ def first_windows(pieces: list[bytes], docs: np.ndarray, keys: np.ndarray, start
     symbols[ends] = 1
     symbols = np.append(symbols, 0)
     sa = suffix_array(symbols)
-    shared = permuted_common_prefixes(np.append(text, np.uint8(0)), sa, WINDOW)
+    shared = permuted_common_prefixes(symbols, sa, WINDOW)[: len(text)]
     owner = np.repeat(np.arange(len(pieces)), sizes + 1)
     room = ends[owner] - np.arange(len(text))
     by = sa[1:]  # the first is the end mark
@@ -306,7 +306,7 @@ def _shard_arrays(batches):
         docs, keys = np.array(docs, dtype=np.int64), np.array(keys, dtype=np.int64)
         owner, offset, count = first_windows(segment, docs, keys, at >> 8)
         begin = (at >> 8)[owner] + offset
-        return pa.RecordBatch.from_arrays([pa.array(keys[owner]), pa.array(begin << 8 | count)], ["rk", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(docs[owner]), pa.array(keys[owner]), pa.array(begin << 8 | count)], ["doc", "rk", "at"])
 
     held, size, last = [], 0, None
     for batch in batches:
@@ -368,18 +368,23 @@ def _results(repeated, full: bool):
 
 
 def _row_key() -> Column:
+    """Tells apart rows with one doc_id; a row is known by its doc_id and this."""
     return F.xxhash64("doc_id", "text", F.col("text").isNull())
 
 
+def _order_key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+
+
 def _first_windows(documents: DataFrame):
-    """The map of repeated anchors and, of their windows, runs that are first of their class: rk, at."""
+    """The map of repeated anchors and, of their windows, runs that are first of their class: doc, rk, at."""
     spark = documents.sparkSession
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), _row_key().alias("rk"), "text").filter(F.octet_length("text") >= WINDOW)
+    docs = documents.select(_order_key().alias("doc"), _row_key().alias("rk"), "text").filter(F.octet_length("text") >= WINDOW)
     twice = docs.select("text").mapInArrow(_anchor_hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     repeated = _map_of(twice)
     first = docs.mapInArrow(_marked_segments(repeated, False), ROWS).groupBy("h", "sh").agg(F.min(F.struct("doc", "rk", "at")).alias("f"))
-    anchors = cut(first.groupBy("h").agg(F.count("*").alias("k"), F.min("f").alias("f")).select("h", "k", "f.rk", "f.at"), "anchors")
-    kept = anchors.filter("k = 1").select("rk", "at")  # one segment only: nothing to compare it with
+    anchors = cut(first.groupBy("h").agg(F.count("*").alias("k"), F.min("f").alias("f")).select("h", "k", "f.doc", "f.rk", "f.at"), "anchors")
+    kept = anchors.filter("k = 1").select("doc", "rk", "at")  # one segment only: nothing to compare it with
     rows = docs.mapInArrow(_marked_segments(_map_of(anchors.filter("k > 1")), True), f"{ROWS}, segment binary")
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     for level in range(len(LEVELS)):
@@ -394,7 +399,7 @@ def _first_windows(documents: DataFrame):
         if not last:
             hot = cut(hot, "hot")
             shards, rows = rows.join(hot, "h", "left_anti"), cut(rows.join(hot, "h", "left_semi"), "beyond")
-        arrays = shards.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_shard_arrays, "rk long, at long")
+        arrays = shards.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_shard_arrays, "doc long, rk long, at long")
         kept = kept.unionByName(cut(arrays, "arrays"))
         if last:
             break
@@ -405,8 +410,9 @@ def _solved(documents: DataFrame, full: bool) -> DataFrame:
     """documents(..., __rk) with the results added and, unless full, without text."""
     ship(documents.sparkSession)
     repeated, kept = _first_windows(documents)
-    lists = kept.groupBy("rk").agg(F.collect_set("at").alias("kept"))  # of one document
-    both = documents.join(lists.hint("shuffle_hash"), documents["__rk"] == lists["rk"], "left").drop("rk")
+    lists = kept.groupBy("doc", "rk").agg(F.collect_set("at").alias("kept"))  # of one document
+    of_row = (_order_key() == F.col("doc")) & (F.col("__rk") == F.col("rk"))
+    both = documents.join(lists.hint("shuffle_hash"), of_row, "left").drop("doc", "rk")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if full or f.name != "text")
     last = "kept_bytes binary" if full else "kept_sha256 string"
     return both.mapInArrow(_results(repeated, full), f"{fields}, n_bytes long, n_removed long, n_spans long, {last}")
@@ -425,5 +431,5 @@ def substring_report(documents: DataFrame) -> DataFrame:
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """documents(doc_id, text, ...) with all their columns and n_bytes, n_removed, n_spans, kept_bytes added: the text's
     bytes that stay. They are bytes, not text: a removed window may begin or end inside a character."""
-    base = documents.drop("n_bytes", "n_removed", "n_spans", "kept_bytes", "kept")
+    base = documents.drop("n_bytes", "n_removed", "n_spans", "kept_bytes", "kept", "doc", "rk")
     return _solved(base.withColumn("__rk", _row_key()), True).drop("__rk")

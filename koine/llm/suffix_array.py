@@ -135,23 +135,27 @@ def _names(s: np.ndarray, small: np.ndarray, lms: np.ndarray, order: np.ndarray)
     return np.append(0, np.cumsum(differ))
 
 
-def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
-    """For each suffix, in the order of the text, its common prefix with the one before it in sa; at most `limit`.
+def permuted_common_prefixes(s: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
+    """For each suffix of s, in the order of the text, its common prefix with the one before it in sa; at most `limit`.
 
-    text: bytes. Eight bytes are compared at a time, for all suffixes at once; those that differ drop out.
+    s: symbols below 2**16, the last one 0 and unique. Where a suffix and the one before it in sa have the same left
+    neighbour, the common prefix is that of the place to the left, less one, and is carried from there. The others are
+    compared, four symbols at a time and all at once; their prefixes sum to n log n at most, in any text.
     """
-    n = len(text)
+    n = len(s)
     before = np.full(n, -1, dtype=np.int64)
     before[sa[1:]] = sa[:-1]
-    padded = np.concatenate([text, np.zeros(limit + 16, dtype=np.uint8)])
-    words = np.ascontiguousarray(np.ndarray((n + limit + 8,), dtype="<u8", buffer=padded.data, strides=(1,)))
-    out, going = np.zeros(n, dtype=np.int64), np.flatnonzero(before >= 0)
-    for k in range(0, limit, 8):
+    places = np.arange(n)
+    left, other = s[np.maximum(places - 1, 0)], s[np.maximum(before - 1, 0)]
+    compared = (places == 0) | (before <= 0) | (left != other)
+    padded = np.concatenate([s.astype("<u2"), np.zeros(8, dtype="<u2")])
+    words = np.ascontiguousarray(np.ndarray((n + 4,), dtype="<u8", buffer=padded.data, strides=(2,)))
+    found, going, k = np.zeros(n, dtype=np.int64), np.flatnonzero(compared & (before >= 0)), 0
+    while len(going):
         apart = words[going + k] ^ words[before[going] + k]
         odd = apart != 0
         low = apart[odd] & (~apart[odd] + np.uint64(1))
-        out[going[odd]] = k + (np.log2(low.astype(np.float64)).astype(np.int64) >> 3)
-        going = going[~odd]
-        out[going] = k + 8
-    room = n - np.maximum(np.arange(n), before)
-    return np.minimum(np.minimum(out, limit), room)
+        found[going[odd]] = k + (np.log2(low.astype(np.float64)).astype(np.int64) >> 4)
+        going, k = going[~odd], k + 4
+    origin = np.maximum.accumulate(np.where(compared, places, 0))
+    return np.minimum(found[origin] - (places - origin), limit)
