@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Tokens that are no phones, and those of them that match in any case.
 EXCLUDED = ("sil", "pau", "sp", "|", "BOS", "EOS")
@@ -92,19 +94,37 @@ def proportional_pairs(left: Column, right: Column) -> Column:
     return F.when((n > 0) & (m > 0), paired).otherwise(F.array().cast("array<struct<src:string,dst:string>>"))
 
 
+@F.pandas_udf(T.StructType().add("a", "string").add("b", "string"))
+def _spelled(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+    """Each distinct token of a pair of lists as a character of its own; surrogates are left out."""
+    out = []
+    for a, b in zip(left, right, strict=True):
+        codes: dict[str, str] = {}
+        for t in (*(() if a is None else a), *(() if b is None else b)):
+            n = 0x30 + len(codes)
+            codes.setdefault(t, chr(n if n < 0xD800 else n + 0x800))
+        out.append([None if x is None else "".join(map(codes.__getitem__, x)) for x in (a, b)])
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def edit_distance(a: Column, b: Column, bands: Sequence[int] = (16, 256, 4096)) -> Column:
+    """Edit distance by characters. Bands around the diagonal are tried first, each only where the narrower one didn't
+    do, so texts that are alike cost little however long they are."""
+    out = F.levenshtein(a, b)
+    for k in reversed(bands):
+        near = F.levenshtein(a, b, k)
+        out = F.when(near >= 0, near).otherwise(out)
+    return out
+
+
 def token_error_rate(a: Column, b: Column) -> Column:
-    """Edit distance of two token lists by the longer one's length: 0 for two empty ones, 1 for one.
-
-    The JVM's distance works on characters, so each distinct token of the pair becomes a character of its own.
-    """
-    names = F.array_distinct(F.concat(a, b))
-    letter = lambda tokens: F.array_join(F.transform(tokens, lambda t: F.char(F.lit(0x30) + F.array_position(names, t))), "")
-    wide = lambda tokens: F.decode(F.unhex(F.array_join(F.transform(tokens, lambda t: F.lpad(F.hex(F.lit(0x4E00) + F.array_position(names, t)), 4, "0")), "")), "UTF-16BE")
-    spell = lambda tokens: F.when(F.size(names) < 70, letter(tokens)).otherwise(wide(tokens))
+    """Edit distance of two token lists by the longer one's length: 0 for two empty ones, 1 for one. The JVM's distance
+    works on characters, so tokens are spelled as characters first."""
+    spelled = _spelled(a, b)
     longest = F.greatest(F.size(a), F.size(b))
-    return F.when(longest == 0, F.lit(0.0)).otherwise(F.levenshtein(spell(a), spell(b)) / longest)
+    return F.when(longest == 0, F.lit(0.0)).otherwise(edit_distance(spelled["a"], spelled["b"]) / longest)
 
 
 def char_error_rate(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, F.lit(0.0)).otherwise(F.levenshtein(a, b) / longest)
+    return F.when(longest == 0, F.lit(0.0)).otherwise(edit_distance(a, b) / longest)

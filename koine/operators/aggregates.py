@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from koine.functions.tokens import split_tokens
+from koine.scratch import chunked, summed_before
 
 
 def incidence(clips: DataFrame, families: Mapping[str, Column]) -> DataFrame:
@@ -66,13 +67,23 @@ def duplicate_keys() -> dict[str, Column]:
     }
 
 
-def duplicate_groups(clips: DataFrame, kinds: Mapping[str, Column] | None = None, least: int = 2) -> DataFrame:
-    """group_id, kind, clip_ids, size of groups of at least two clips."""
+def _keyed(clips: DataFrame, kinds: Mapping[str, Column] | None) -> DataFrame:
     entries = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in (kinds or duplicate_keys()).items()])
-    rows = clips.select("clip_id", F.explode(entries).alias("e")).select("clip_id", "e.*").where("key is not null and key <> ''")
-    found = rows.groupBy("kind", "key").agg(F.sort_array(F.collect_set("clip_id")).alias("clip_ids")).where(F.size("clip_ids") >= least)
+    return clips.select("clip_id", F.explode(entries).alias("e")).select("clip_id", "e.*").where("key is not null and key <> ''")
+
+
+def duplicate_groups(clips: DataFrame, kinds: Mapping[str, Column] | None = None, least: int = 2) -> DataFrame:
+    """group_id, kind, key, size of groups of at least two clips. Clips are counted, map-side first, never gathered: a
+    group may hold a third of them. An id occurs once in the catalog."""
     name = F.substring(F.sha2(F.concat("kind", F.lit(":"), "key"), 256), 1, 16)
-    return found.select(name.alias("group_id"), "kind", "clip_ids", F.size("clip_ids").cast("long").alias("size"))
+    found = _keyed(clips, kinds).groupBy("kind", "key").agg(F.count("*").alias("size")).where(F.col("size") >= least)
+    return found.select(name.alias("group_id"), "kind", "key", "size")
+
+
+def duplicate_members(clips: DataFrame, kinds: Mapping[str, Column] | None = None, least: int = 2) -> DataFrame:
+    """group_id, kind, size, part, items: the groups' clips in lists of bounded length."""
+    groups = duplicate_groups(clips, kinds, least)
+    return chunked(_keyed(clips, kinds).join(groups, ["kind", "key"]), ["group_id", "kind", "size"], "clip_id")
 
 
 def pool_counts(rows: DataFrame) -> DataFrame:
@@ -144,6 +155,6 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def running_total(rows: DataFrame, order: Sequence[Column], column: str, until: float, partition: Sequence[str] = ()) -> DataFrame:
-    """Rows in order while the sum of the column before them is below `until`."""
-    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("before", F.coalesce(F.sum(column).over(w), F.lit(0.0))).where(F.col("before") < until)
+    """Rows in order while the sum of the column before them is below `until`. Sums go over ranges of the order, so a
+    partition, or a table without one, may be larger than a task."""
+    return summed_before(rows, list(partition), list(order), F.col(column), "before").where(F.col("before") < until)

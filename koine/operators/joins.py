@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from koine.scratch import chunked
+
 
 def plan_with_clips(plan: DataFrame, clips: DataFrame) -> DataFrame:
     """Planned clips with their catalog rows; a plan that names an unknown clip is an error."""
@@ -48,8 +50,9 @@ def manifest_phonemes(clips: DataFrame, manifest: DataFrame, policy: str = "skip
 
 
 def inverted_index(incidence: DataFrame) -> DataFrame:
-    """Clips of each token, sorted."""
-    return incidence.groupBy("family", "token").agg(F.sort_array(F.collect_set("clip_id")).alias("clip_ids"))
+    """family, token, part, items: the clips of each token, sorted, in lists of bounded length. incidence marks the first
+    row of a token in its clip."""
+    return chunked(incidence.where("first"), ["family", "token"], "clip_id")
 
 
 def deficits(targets: DataFrame, counts: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from koine.functions.tokens import split_tokens
+from koine.scratch import chunked
 
 
 def js_distance(left: DataFrame, right: DataFrame, by: list[str], key: str, value: str) -> DataFrame:
@@ -83,7 +84,8 @@ LEAK_DIMENSIONS: dict[str, str] = {"speaker": "speaker_id", "audio": "audio_sha2
 
 
 def leakage(clips: DataFrame, policies: Mapping[str, str], dimensions: Mapping[str, str] = LEAK_DIMENSIONS) -> DataFrame:
-    """dimension, key, splits, clip_ids of keys that more than one split holds against their dimension's policy.
+    """dimension, key, splits, clips of keys that more than one split holds against their dimension's policy; splits is a
+    list of (split, clips). Counted map-side first; `leaking_clips` lists them.
 
     forbid: no two splits may share a key; forbid_for_test: test may share none; allow: anything goes. Null and empty
     keys leak nothing. clips: clip_id, split and the dimensions' columns.
@@ -93,14 +95,24 @@ def leakage(clips: DataFrame, policies: Mapping[str, str], dimensions: Mapping[s
         active, empty = dict(list(dimensions.items())[:1]), True
     else:
         empty = False
-    entries = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(c).cast("string").alias("key")) for d, c in active.items()])
-    rows = clips.select("clip_id", "split", F.explode(entries).alias("e")).select("clip_id", "split", "e.*").where("key is not null and key <> ''")
-    found = rows.groupBy("dimension", "key").agg(F.sort_array(F.collect_set("split")).alias("splits"), F.sort_array(F.collect_set("clip_id")).alias("clip_ids"))
+    counts = _leak_rows(clips, active).groupBy("dimension", "key", "split").agg(F.count("*").alias("clips"))
+    found = counts.groupBy("dimension", "key").agg(F.sort_array(F.collect_list(F.struct("split", "clips"))).alias("splits"), F.sum("clips").alias("clips"))  # an entry a split
     strict = [d for d in active if policies.get(d, "forbid") == "forbid"]
-    bad = (F.size("splits") > 1) & (F.col("dimension").isin(strict) | F.array_contains("splits", "test"))
+    bad = (F.size("splits") > 1) & (F.col("dimension").isin(strict) | F.array_contains("splits.split", "test"))
     return found.where(bad & ~F.lit(empty))
 
 
+def _leak_rows(clips: DataFrame, dimensions: Mapping[str, str]) -> DataFrame:
+    entries = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(c).cast("string").alias("key")) for d, c in dimensions.items()])
+    return clips.select("clip_id", "split", F.explode(entries).alias("e")).select("clip_id", "split", "e.*").where("key is not null and key <> ''")
+
+
+def leaking_clips(clips: DataFrame, found: DataFrame, dimensions: Mapping[str, str] = LEAK_DIMENSIONS) -> DataFrame:
+    """dimension, key, split, part, items: the clips of leaking keys by split, in lists of bounded length."""
+    rows = _leak_rows(clips, dimensions).join(found.select("dimension", "key"), ["dimension", "key"], "left_semi")
+    return chunked(rows, ["dimension", "key", "split"], "clip_id")
+
+
 def status_of_coverage(index_count: Column, eligible: Column, selected: Column, minimum: Column, desired: Column, conflict: Column) -> Column:
     """Where a feature's coverage stands after selection. minimum and desired are the configured ones; the effective
     ones are bounded by the eligible clips. A null index_count means that there is no index."""

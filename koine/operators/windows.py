@@ -26,12 +26,10 @@ def duplicate_cap(rows: DataFrame, key: str, score: str, most: int) -> DataFrame
 
 def reserve_ranking(rows: DataFrame, ratio: float = 0.2, seed: int = 0) -> DataFrame:
     """Rank by score, ties by clip_id; the head keeps that order, the tail is in the order of a seeded hash."""
-    total = rows.count()
-    head = round(total * ratio)
-    best = rows.orderBy(F.desc("score"), "clip_id").limit(head).select("clip_id", F.lit(True).alias("in_head"))
-    out = rows.join(best, "clip_id", "left").withColumn("in_head", F.coalesce("in_head", F.lit(False)))
-    order = [F.desc("in_head"), F.when(F.col("in_head"), -F.col("score")), F.when(~F.col("in_head"), F.xxhash64(F.lit(seed), "clip_id")), F.col("clip_id")]
-    return numbered(out, order, "reserve_rank")
+    head = round(rows.count() * ratio)
+    ranked = numbered(rows, [F.desc("score"), F.col("clip_id")], "reserve_rank").withColumn("in_head", F.col("reserve_rank") <= head)
+    tail = numbered(ranked.where("not in_head").drop("reserve_rank"), [F.xxhash64(F.lit(seed), "clip_id"), F.col("clip_id")], "reserve_rank")
+    return ranked.where("in_head").unionByName(tail.withColumn("reserve_rank", F.col("reserve_rank") + head))
 
 
 def first_ids(rows: DataFrame, column: str, order: str, n: int) -> DataFrame:
@@ -66,27 +64,48 @@ def random_split(rows: DataFrame, train: float, validation: float, seed: int = 0
     return numbered(rows, [F.xxhash64(F.lit(seed), "clip_id"), "clip_id"], "__place").withColumn("split", split).drop("__place")
 
 
-def nearest_vectors(rows: DataFrame, key: str, vector: str, block: int = 256) -> DataFrame:
-    """key, distance of each vector to the nearest other one, all against all: blocks meet blocks, each pair an array
-    operation. Places without a number in both are left out, as in `vector_distance`; a vector that is alone has no row."""
+def nearest_vectors(rows: DataFrame, key: str, vector: str, queries: DataFrame | None = None, block: int = 256) -> DataFrame:
+    """key, distance of each query vector to the nearest other row: a stated set of queries (all rows where none is named)
+    against all rows, in blocks. A block of each meets as a product of matrices, which finds what can be nearest; those
+    few distances are then taken as such. Places without a number in both are left out, as in `vector_distance`; a vector
+    that is alone has no row."""
+    asked = rows if queries is None else queries
+    n = max(1, -(-asked.count() // block))
+    numbers = F.transform(vector, lambda x: F.coalesce(x.cast("double"), F.lit(float("nan")))).alias("v")
     packed = (
-        rows.select(F.col(key).alias("id"), F.transform(vector, lambda x: F.coalesce(x.cast("double"), F.lit(float("nan")))).alias("v"))
-        .groupBy(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-rows.count() // block)))).alias("b")).agg(F.collect_list(F.struct("id", "v")).alias("m"))
-        .select("b", F.col("m.id").alias("ids"), F.col("m.v").alias("vs"))
+        asked.select(F.col(key).alias("id"), numbers).groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("b")).agg(F.collect_list(F.struct("id", "v")).alias("m"))
+        .select("b", F.col("m.id").alias("asked_ids"), F.col("m.v").alias("asked_vs"))
     )
-    others = packed.select(F.col("ids").alias("other_ids"), F.col("vs").alias("other_vs"))
-
-    def kernel(parts):
-        for pdf in parts:
-            for r in pdf.itertuples(index=False):
-                a, b, other = np.stack(list(r.vs)), np.stack(list(r.other_vs)), np.asarray(r.other_ids)
-                out = []
-                for i, v in zip(r.ids, a):
-                    squares = np.nansum((b - v) ** 2, axis=1)
-                    squares[other == i] = np.inf
-                    out.append(float(np.sqrt(squares.min())))
-                yield pd.DataFrame({"id": r.ids, "distance": out})
-
+    salt, salts = F.spark_partition_id(), rows.sparkSession.sparkContext.defaultParallelism
+    each = rows.select(F.col(key).alias("id"), numbers).withColumn("s", F.pmod(F.xxhash64("id") + salt, F.lit(salts)).cast("int"))
+    blocks = each.select("id", "v", "s", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))
+    both = packed.select("b", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s"), "asked_ids", "asked_vs")
     kind = rows.schema[key].dataType.simpleString()
-    met = packed.crossJoin(others).drop("b").mapInPandas(kernel, f"id {kind}, distance double")
+
+    def kernel(_, asked: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(others):
+            return pd.DataFrame({"id": [], "distance": []})
+        ids, a = np.array(asked["asked_ids"].iloc[0]), np.stack(list(map(np.asarray, asked["asked_vs"].iloc[0]))).astype(np.float64)
+        best = np.full(len(ids), np.inf)
+        for start in range(0, len(others), 4 * block):
+            some = others.iloc[start : start + 4 * block]
+            best = np.minimum(best, _nearest(ids, a, some["id"].to_numpy(), np.stack(list(some["v"])).astype(np.float64)))
+        return pd.DataFrame({"id": ids, "distance": best})
+
+    met = both.groupBy("b", "s").cogroup(blocks.groupBy("b", "s")).applyInPandas(kernel, f"id {kind}, distance double")
     return met.where(F.col("distance") < float("inf")).groupBy(F.col("id").alias(key)).agg(F.min("distance").alias("distance"))
+
+
+def _nearest(ids: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance of each row of a to the nearest row of b with another id."""
+    here, there = ~np.isnan(a), ~np.isnan(b)
+    x, y = np.where(here, a, 0.0), np.where(there, b, 0.0)
+    squares = (x * x) @ there.T + here @ (y * y).T - 2 * (x @ y.T)
+    squares[ids[:, None] == other[None, :]] = np.inf
+    room = 1e-9 * ((x * x).sum(axis=1)[:, None].max(initial=1.0) + (y * y).sum(axis=1).max(initial=1.0))
+    close = squares <= squares.min(axis=1, keepdims=True) + room  # what rounding can't tell apart
+    close &= np.isfinite(squares)
+    i, j = np.nonzero(close)
+    out = np.full(len(a), np.inf)
+    np.minimum.at(out, i, np.sqrt(np.nansum((a[i] - b[j]) ** 2, axis=1)))
+    return out

@@ -18,6 +18,7 @@ from koine.functions import quality, text, tokens
 from koine.operators import aggregates as agg
 from koine.operators import filters, joins, reports, selection, split
 from koine.schema import CLIPS, INDEX
+from koine.scratch import cut
 from koine.sources import tables
 
 
@@ -204,14 +205,19 @@ def materialize(clips: DataFrame, plan: DataFrame, c: Config) -> None:
     sinks.publish(staging, c.output)
 
 
-def audit(clips: DataFrame, plan: DataFrame, c: Config) -> dict:
-    """What the selection breaks: limits of speakers, leaks between splits."""
+def audit(clips: DataFrame, plan: DataFrame, c: Config, examples: int = 20) -> dict:
+    """What the selection breaks: limits of speakers, leaks between splits. All leaks are written as a table, with the
+    clips that leak; the report names their number and `examples` of them."""
     chosen = joins.plan_with_clips(plan.where("disposition = 'selected'"), clips)
     lim = selection.Limits(**c.limits)
     speakers = reports.speaker_audit(chosen, lim.max_clips_per_speaker, lim.max_duration_per_speaker) if lim.max_clips_per_speaker or lim.max_duration_per_speaker else None
     policies = c.leakage if c.protocol == "unseen_speaker" else c.leakage | {"speaker": "allow"}
-    leaks = reports.leakage(chosen, policies)
-    return {"speakers": [r.asDict() for r in speakers.collect()] if speakers is not None else [], "leaks": [r.asDict() for r in leaks.limit(1000).collect()], "leak_count": leaks.count()}
+    leaks = cut(reports.leakage(chosen, policies), "leaks")
+    sinks.parquet(leaks, f"{c.work}/audit/leaks.parquet", leaks.schema)
+    clips_of = reports.leaking_clips(chosen, leaks)
+    sinks.parquet(clips_of, f"{c.work}/audit/leaking_clips.parquet", clips_of.schema)
+    some = [r.asDict(recursive=True) for r in leaks.orderBy("dimension", "key").limit(examples).collect()]
+    return {"speakers": [r.asDict() for r in speakers.collect()] if speakers is not None else [], "leaks": some, "leak_count": leaks.count()}
 
 
 def build(spark: SparkSession, c: Config, force: bool = False) -> dict:

@@ -2,33 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from contextvars import ContextVar
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from koine.functions.text import collapse_ascii
 from koine.functions.tokens import ngrams
-
-
-#: How many words of a text become phones; None for the whole text.
-WORDS: ContextVar[int | None] = ContextVar("words", default=None)
-
-
-def first_words(f: Callable[..., DataFrame], most: int = 64) -> Callable[..., DataFrame]:
-    """The query over the first words of each text only, which is all that CLIPS reads."""
-
-    @wraps(f)
-    def cut(*args):
-        token = WORDS.set(most)
-        try:
-            return f(*args)
-        finally:
-            WORDS.reset(token)
-
-    return cut
+from koine.scratch import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,9 +19,8 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     norm = collapse_ascii(F.col("text"))
     toxic, short = F.coalesce(F.col("toxic"), F.lit(0)) == 1, F.col("n_chars") < 20
-    words, most = F.split(norm, " "), WORDS.get()
-    phones = F.filter(words if most is None else F.slice(words, 1, most), lambda t: t != "")
-    return docs.join(labels, "doc_id", "left").select(
+    phones = F.filter(F.split(norm, " "), lambda t: t != "")
+    return spread(docs).join(labels, "doc_id", "left").select(
         F.col("doc_id").cast("string").alias("clip_id"),
         "doc_id",
         F.col("source").alias("speaker_id"),
@@ -70,16 +48,11 @@ CLIPS = r"""clips AS (
     CASE quality WHEN 1 THEN 80.0::DOUBLE WHEN 0 THEN 40.0::DOUBLE END AS quality_score,
     CASE WHEN toxic = 1 OR n_chars < 20 THEN 'hard_rejected' ELSE 'eligible' END AS disposition,
     CASE WHEN toxic = 1 THEN 'toxic' WHEN n_chars < 20 THEN 'text_length' END AS reject_reason, doc_id % 5 AS up_votes, doc_id % 3 AS down_votes
-  FROM (SELECT *, list_filter(list_slice(string_split(text_norm, ' '), 1, 64), lambda x: x <> '') AS phones
+  FROM (SELECT *, list_filter(string_split(text_norm, ' '), lambda x: x <> '') AS phones
     FROM (SELECT d.*, quality, toxic, trim(regexp_replace(lower(text), '[ \t\n\r]+', ' ', 'g'), ' ') AS text_norm FROM documents d LEFT JOIN labels USING (doc_id)))
 )"""
 
 
-def whole(sql: str) -> str:
-    """SQL over CLIPS as it reads over whole texts."""
-    return sql.replace("list_slice(string_split(text_norm, ' '), 1, 64)", "string_split(text_norm, ' ')")
-
-
 def with_ngrams(rows: DataFrame) -> DataFrame:
     """Clips with the catalog's list columns; characters of the sentence id stand for morae and labels."""
     return rows.withColumns({"biphones": ngrams(F.col("phones"), 2), "triphones": ngrams(F.col("phones"), 3), "moras": F.split("lang", ""), "fullcontext_labels": F.array("lang", "sentence_id")})

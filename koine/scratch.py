@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -14,8 +14,10 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder named in spark.checkpoint.dir; one of our own only where that is unset and all runs on one machine."""
     if not (named := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder: on a cluster it must be one that all machines share")
         named = tempfile.mkdtemp(prefix="koine-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -44,14 +46,48 @@ def drop_scratch() -> None:
 atexit.register(drop_scratch)
 
 
-def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
-    """Gapless numbers from 1 over the whole table in the order given, without bringing it to one task.
+def spread(df: DataFrame) -> DataFrame:
+    """A table that comes in fewer partitions than there are cores, dealt anew before dear work on each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
-    The table is sorted by ranges and written with each row's range and place; ranges' sizes give the shifts.
-    """
-    placed = df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id())
-    placed = cut(placed.withColumn("__part", F.shiftright("__id", 33)), "numbered")
+
+def placed(df: DataFrame, order: list) -> DataFrame:
+    """df sorted by ranges and written, with each row's range `__part` and its place `__id`, which grows in the order."""
+    rows = df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id())
+    return cut(rows.withColumn("__part", F.shiftright("__id", 33)), "numbered")
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Gapless numbers from 1 over the whole table in the order given, without bringing it to one task: ranges' sizes give
+    the shifts."""
+    rows = placed(df, order)
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = placed.groupBy("__part").agg(F.count("*").alias("n"), F.min("__id").alias("first"))  # a row a range
+    shifts = rows.groupBy("__part").agg(F.count("*").alias("n"), F.min("__id").alias("first"))  # a row a range
     shifts = shifts.select("__part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    return placed.join(shifts, "__part").withColumn(name, F.col("__id") - F.col("first") + F.col("shift") + 1).drop("__id", "__part", "first", "shift")
+    return rows.join(shifts, "__part").withColumn(name, F.col("__id") - F.col("first") + F.col("shift") + 1).drop("__id", "__part", "first", "shift")
+
+
+def summed_before(df: DataFrame, keys: list[str], order: list, value: Column, name: str) -> DataFrame:
+    """For each row the sum of `value` over the rows of its keys before it in the order; 0 for the first.
+
+    A key's rows may lie in several ranges of the sort: sums within (key, range) are shifted by those of the ranges
+    before, so no task holds a hot key. Keys may be null.
+    """
+    rows = placed(df.withColumn("__value", value), [*map(F.col, keys), *order])
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy(*keys, "__part").agg(F.sum("__value").alias("s"))
+    zero = F.lit(0).cast(rows.schema["__value"].dataType)
+    names = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    shifts = ranges.select(*names, F.col("__part").alias("__p"), F.coalesce(F.sum("s").over(before(*keys).orderBy("__part")), zero).alias("__shift"))
+    same = F.col("__part") == F.col("__p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    own = F.coalesce(F.sum("__value").over(before(*keys, "__part").orderBy("__id")), zero)
+    return rows.join(shifts, same).withColumn(name, own + F.col("__shift")).select(*df.columns, name)
+
+
+def chunked(rows: DataFrame, keys: list[str], item: str, most: int = 1000) -> DataFrame:
+    """keys, part, items: the items of each key, sorted, in lists of at most `most`, numbered from 0. rows: distinct."""
+    at = summed_before(rows.select(*keys, item), keys, [F.col(item)], F.lit(1).cast("long"), "__n")
+    return at.groupBy(*keys, F.floor(F.col("__n") / most).alias("part")).agg(F.sort_array(F.collect_list(item)).alias("items"))

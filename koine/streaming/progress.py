@@ -36,10 +36,9 @@ def upsert_catalog(clips: DataFrame, path: str, checkpoint: str, schema) -> Stre
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         newest = batch.groupBy("clip_id").agg(F.max(F.struct("analyzed_at", F.struct(*batch.columns).alias("row"))).alias("m")).select("m.row.*")
-        try:
-            old = spark.read.schema(schema).parquet(path)
-        except Exception:  # no catalog yet
-            old = spark.createDataFrame([], schema)
+        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        known = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+        old = spark.read.schema(schema).parquet(path) if known else spark.createDataFrame([], schema)  # a catalog that can't be read is an error
         parquet(upsert(old, newest), path, schema)
 
     return clips.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -32,9 +32,24 @@ def test_duplicate_groups(spark):
         [("1", "h", "p1", "s1", "t", "x"), ("2", "h", "p2", None, "t", "y"), ("3", "", "p3", None, "", "x"), ("4", "", "p1", "s1", "t", "x")],
         "clip_id string, audio_sha256 string, normalized_relative_source_path string, sentence_id string, text_norm string, speaker_id string",
     )
-    got = {(r.kind, tuple(r.clip_ids)) for r in agg.duplicate_groups(clips).collect()}
+    got = {(r.kind, tuple(r["items"])) for r in agg.duplicate_members(clips).collect()}
     assert got == {("exact_audio", ("1", "2")), ("same_source_path", ("1", "4")), ("same_sentence_id", ("1", "4")), ("same_normalized_text", ("1", "2", "4")), ("same_speaker_same_text", ("1", "4"))}
-    assert all(len(r.group_id) == 16 and r.size == len(r.clip_ids) for r in agg.duplicate_groups(clips).collect())
+    groups = {r.group_id: r.size for r in agg.duplicate_groups(clips).collect()}
+    assert all(len(g) == 16 for g in groups) and {r.group_id: len(r["items"]) for r in agg.duplicate_members(clips).collect()} == groups
+
+
+def test_lists_in_chunks_and_sums_before(spark):
+    rows = [("a" if i % 3 else None, f"i{i:03}", i) for i in range(250)] + [("b", "z", 1)]
+    df = spark.createDataFrame(rows, "k string, item string, n long").repartition(7)
+    got = {(r.k, r.part): r["items"] for r in scratch.chunked(df, ["k"], "item", 40).collect()}
+    for k in ("a", "b", None):
+        items = sorted(x for key, x, _ in rows if key == k)
+        assert [x for part in sorted(p for key, p in got if key == k) for x in got[k, part]] == items
+    assert all(len(x) <= 40 for x in got.values()) and len(got) == 5 + 3 + 1
+    sums = {(r.k, r["item"]): r.before for r in scratch.summed_before(df, ["k"], [scratch.F.col("item")], scratch.F.col("n"), "before").collect()}
+    for k, x, _ in rows:
+        assert sums[k, x] == sum(n for key, y, n in rows if key == k and y < x)
+    assert scratch.summed_before(df.limit(0), [], [scratch.F.col("item")], scratch.F.col("n"), "before").count() == 0
 
 
 def test_distances(spark):
@@ -48,7 +63,10 @@ def test_distances(spark):
 @pytest.mark.parametrize("policy, leaks", [("forbid", 3), ("forbid_for_test", 2), ("allow", 0)])
 def test_leakage_policies(spark, policy, leaks):
     clips = spark.createDataFrame([("1", "train", "a"), ("2", "validation", "a"), ("3", "train", "b"), ("4", "test", "b"), ("5", "test", "c"), ("6", "train", "c"), ("7", "train", None), ("8", "test", None), ("9", "train", ""), ("10", "test", "")], "clip_id string, split string, audio_sha256 string")
-    assert reports.leakage(clips, {"audio": policy}, {"audio": "audio_sha256"}).count() == leaks
+    found = reports.leakage(clips, {"audio": policy}, {"audio": "audio_sha256"})
+    assert found.count() == leaks
+    members = reports.leaking_clips(clips, found, {"audio": "audio_sha256"}).collect()
+    assert len({r.key for r in members}) == leaks and sum(len(r["items"]) for r in members) == 2 * leaks
 
 
 def test_joins(spark):

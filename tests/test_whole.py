@@ -41,18 +41,15 @@ def distance(a, b):
 
 def test_counts_read_whole_texts(spark, sf, texts):
     want = Counter(w for t in texts for w in t.split(" "))
-    assert {r.feature: r["count"] for r in core.QUERIES["feature_counts_whole"](spark, sf).collect()} == want
+    assert {r.feature: r["count"] for r in core.QUERIES["feature_counts"](spark, sf).collect()} == want
     pairs = Counter(f"{a}-{b}" for t in texts for a, b in zip(t.split(" "), t.split(" ")[1:]))
     got = core.feature_counts_ngrams(spark, sf).where("feature_type = 'biphone'").collect()
     assert {r.feature: r["count"] for r in got} == pairs
 
 
-def test_only_queries_with_the_given_sql_keep_to_first_words(spark, sf, texts):
-    words = lambda rows: [r.phones for r in rows.orderBy("doc_id").collect()]
-    assert words(clips(spark, sf)) == [t.split(" ") for t in texts]
-    assert sum(r["count"] for r in core.QUERIES["feature_counts"](spark, sf).collect()) == sum(min(64, len(t.split(" "))) for t in texts)
-    cut = {n for n in core.ORACLE_SQL if f"{n}_whole" in core.QUERIES}
-    assert {"feature_counts", "audit_status", "positioned_tokens"} <= cut and not cut & {"select_greedy", "plan_batch", "split_seen_speaker"}
+def test_clips_hold_whole_texts(spark, sf, texts):
+    assert [r.phones for r in clips(spark, sf).orderBy("doc_id").collect()] == [t.split(" ") for t in texts]
+    assert not any("list_slice(string_split" in sql or "LIMIT 1000" in sql for sql in core.ORACLE_SQL.values())
 
 
 def test_edit_distances_of_whole_texts(spark, sf, texts):
@@ -61,24 +58,31 @@ def test_edit_distances_of_whole_texts(spark, sf, texts):
     for i, t in enumerate(texts):
         words = t.split(" ")
         assert cer[i] == round(distance(t, t[3:]) / len(t), 6) and per[i] == round(distance(words, words[2:]) / len(words), 6)
-    pairs = core.QUERIES["proportional_pairs_whole"](spark, sf).collect()
-    got = {(int(r.clip_id), r.src, r.dst): r.n for r in pairs}
-    assert got == Counter((i, a, b) for i, t in enumerate(texts) for a, b in zip(t.split(" "), reversed(t.split(" "))))
 
 
-def test_nearest_of_all_vectors(spark, sf):
-    rows = {r.vec_id: r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+def test_nearest_vectors(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    vectors = {r.vec_id: r.embedding for r in rows.collect()}
     apart = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b)) ** 0.5
-    want = {i: round(min(apart(v, w) for j, w in rows.items() if j != i), 6) for i, v in rows.items()}
-    assert {r.vec_id: r.distance for r in core.QUERIES["nearest_neighbor_whole"](spark, sf).collect()} == want
-    small = windows.nearest_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", block=5)
-    assert {r.vec_id: round(r.distance, 6) for r in small.collect()} == want
-    got = core.QUERIES["nn_summary_whole"](spark, sf).first()
-    assert abs(got.mean - sum(want.values()) / len(want)) < 1e-5
+    want = {i: min(apart(v, w) for j, w in vectors.items() if j != i) for i, v in vectors.items()}
+    for block in (5, 256):
+        got = {r.vec_id: r.distance for r in windows.nearest_vectors(rows, "vec_id", "embedding", block=block).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    some = {r.vec_id: r.distance for r in windows.nearest_vectors(rows, "vec_id", "embedding", rows.where("vec_id % 7 = 0"), block=2).collect()}
+    assert some.keys() == {i for i in want if i % 7 == 0} and all(abs(some[i] - want[i]) < 1e-9 for i in some)
+
+
+def test_nearest_vectors_with_missing_numbers(spark):
+    nan = float("nan")
+    rows = [(1, [0.0, nan, 1.0]), (2, [0.0, 5.0, nan]), (3, [3.0, 5.0, 1.0]), (4, [None, 9.0, 9.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {r.id: round(r.distance, 6) for r in windows.nearest_vectors(df, "id", "v").collect()}
+    assert got == {1: 0.0, 2: 0.0, 3: 3.0, 4: 4.0}
+    assert windows.nearest_vectors(df.limit(1), "id", "v").count() == 0
 
 
 def test_morae_of_all_pages(spark, sf):
-    got = core.QUERIES["mora_split_whole"](spark, sf).collect()
+    got = core.QUERIES["mora_split"](spark, sf).collect()
     assert Counter(r.page_id for r in got) == {i: 2 + i for i in range(5)}
     assert [r.mora for r in sorted(got, key=lambda r: (r.page_id, r.place)) if r.page_id == 1] == ["きゃ", "り", "a"]
 
