@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,10 +31,20 @@ def phones(text: Column, excluded: Sequence[str] = EXCLUDED) -> Column:
     return F.filter(split_tokens(text), lambda t: ~is_excluded(t, excluded))
 
 
+def bound(f: Callable[..., Column], *values: Column) -> Column:
+    """f of the values, each of which is evaluated once: inside a lambda an expression would be for every element."""
+    entry = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return F.transform(F.array(entry), lambda e: f(*[e[f"v{i}"] for i in range(len(values))]))[0]
+
+
 def ngrams(tokens: Column, n: int, glue: str = "-") -> Column:
     """Runs of n neighbours; an empty list where there are fewer."""
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.concat_ws(glue, *[F.get(tokens, i + (k - 1)) for k in range(n)]))  # a slice would copy the list
+
+    def runs(t: Column) -> Column:
+        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat_ws(glue, *[F.get(t, i + (k - 1)) for k in range(n)]))  # a slice would copy the list
+
+    return bound(runs, tokens)
 
 
 def biphones_with_ends(tokens: Column) -> Column:
@@ -88,41 +99,69 @@ def substitute(tokens: Column, table: Mapping[str, str]) -> Column:
 
 def proportional_pairs(left: Column, right: Column) -> Column:
     """Pairs of each token of left with the token of right at the same share of the list."""
-    n, m = F.size(left), F.size(right)
-    pick = lambda i: F.least(m - 1, F.greatest(F.lit(0), F.floor(F.try_divide((2 * i + 1) * m, 2 * n)))).cast("int")
-    paired = F.transform(left, lambda x, i: F.struct(x.alias("src"), F.get(right, pick(i)).alias("dst")))
-    return F.when((n > 0) & (m > 0), paired).otherwise(F.array().cast("array<struct<src:string,dst:string>>"))
-
-
-@F.pandas_udf(T.StructType().add("a", "string").add("b", "string"))
-def _spelled(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    """Each distinct token of a pair of lists as a character of its own; surrogates are left out."""
-    out = []
-    for a, b in zip(left, right, strict=True):
-        codes: dict[str, str] = {}
-        for t in (*(() if a is None else a), *(() if b is None else b)):
-            n = 0x30 + len(codes)
-            codes.setdefault(t, chr(n if n < 0xD800 else n + 0x800))
-        out.append([None if x is None else "".join(map(codes.__getitem__, x)) for x in (a, b)])
-    return pd.DataFrame(out, columns=["a", "b"])
-
-
-def edit_distance(a: Column, b: Column, bands: Sequence[int] = (16, 256, 4096)) -> Column:
-    """Edit distance by characters. Bands around the diagonal are tried first, each only where the narrower one didn't
-    do, so texts that are alike cost little however long they are."""
-    out = F.levenshtein(a, b)
-    for k in reversed(bands):
-        near = F.levenshtein(a, b, k)
-        out = F.when(near >= 0, near).otherwise(out)
+
+    def pairs(a: Column, b: Column) -> Column:
+        n, m = F.size(a), F.size(b)
+        pick = lambda i: F.least(m - 1, F.greatest(F.lit(0), F.floor(F.try_divide((2 * i + 1) * m, 2 * n)))).cast("int")
+        paired = F.transform(a, lambda x, i: F.struct(x.alias("src"), F.get(b, pick(i)).alias("dst")))
+        return F.when((n > 0) & (m > 0), paired).otherwise(F.array().cast("array<struct<src:string,dst:string>>"))
+
+    return bound(pairs, left, right)
+
+
+def distance(a: Sequence, b: Sequence) -> int:
+    """Edit distance of two sequences by bit vectors: a column of the table is two integers of as many bits as the longer
+    sequence has elements, and a step of the shorter one a dozen operations on them."""
+    if len(a) < len(b):
+        a, b = b, a
+    start = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(b))
+    a, b = a[start:], b[start:]
+    same = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), len(b))
+    a, b = a[: len(a) - same], b[: len(b) - same]
+    if not b:
+        return len(a)
+    where: dict = {x: [] for x in b}
+    for i, x in enumerate(a):
+        if x in where:
+            where[x].append(i)
+    at = {}
+    for x, places in where.items():
+        bits = np.zeros(len(a), dtype=np.uint8)
+        bits[places] = 1
+        at[x] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, out = full, 0, len(a)
+    for x in b:
+        equal = at[x]
+        diagonal = (((equal & up) + up) ^ up) | equal | down
+        plus, minus = down | (full & ~(diagonal | up)), up & diagonal
+        out += bool(plus & last) - bool(minus & last)
+        plus, minus = (plus << 1 | 1) & full, minus << 1 & full
+        up, down = minus | (full & ~(equal | down | plus)), plus & (equal | down)
     return out
 
 
+@F.pandas_udf(T.LongType())
+def _distances(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or b is None else distance(a, b) for a, b in zip(left, right, strict=True)], dtype="Int64")
+
+
+@F.pandas_udf(T.LongType())
+def _list_distances(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or b is None else distance(list(a), list(b)) for a, b in zip(left, right, strict=True)], dtype="Int64")
+
+
+def edit_distance(a: Column, b: Column, short: int = 256) -> Column:
+    """Edit distance by characters: the JVM's for short texts, by bit vectors for longer ones, where a table of all
+    cells would be too much."""
+    small = F.greatest(F.length(a), F.length(b)) <= short
+    return F.when(small, F.levenshtein(a, b)).otherwise(_distances(F.when(~small, a), F.when(~small, b)))
+
+
 def token_error_rate(a: Column, b: Column) -> Column:
-    """Edit distance of two token lists by the longer one's length: 0 for two empty ones, 1 for one. The JVM's distance
-    works on characters, so tokens are spelled as characters first."""
-    spelled = _spelled(a, b)
+    """Edit distance of two token lists by the longer one's length: 0 for two empty ones, 1 for one."""
     longest = F.greatest(F.size(a), F.size(b))
-    return F.when(longest == 0, F.lit(0.0)).otherwise(edit_distance(spelled["a"], spelled["b"]) / longest)
+    return F.when(longest == 0, F.lit(0.0)).otherwise(_list_distances(a, b) / longest)
 
 
 def char_error_rate(a: Column, b: Column) -> Column:

@@ -89,3 +89,17 @@ def test_transcripts(spark):
     assert [r("ab", "ab"), r(None, "ab"), r("", "ab"), r("a", "abcdef"), r("ab", "ab", conf=0.1), r("ab", "ab", cer=0.9), r("ab", "ab", ok=False)] == [None, "asr_missing", "asr_too_short", "asr_length_ratio", "asr_confidence", "asr_cer", "asr_decode_failed"]
     a = lambda p, e: one(spark, quality.aligner_reason(F.col("p"), F.col("e"), "nfa", 0.2), p=p, e=e)
     assert a(["x"], ["x"]) is None and a([], ["x"]) == "nfa_missing" and a(["x"], ["y"]) == "nfa_token_mismatch"
+
+
+def test_distance_by_bit_vectors_is_the_table():
+    import random
+
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = (["".join(rng.choice("ab c")) for _ in range(rng.randrange(0, 90))] for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        assert tokens.distance(a, b) == row[-1] == tokens.distance("".join(a), "".join(b))
