@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,19 +67,28 @@ class PrefixHashes:
         codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
         self.n = len(codes)
         _POWERS.reach(self.n + 1)
-        self.prefix = []
+        self.prefix, self.mark = [], None
         for up, p in zip(_POWERS.up, PRIMES, strict=True):
             sums = np.zeros(self.n + 1, dtype=np.uint64)
             np.cumsum(codes * up[: self.n] % np.uint64(p), out=sums[1:])
             self.prefix.append(sums % np.uint64(p))
 
+    def span(self, k: int, start, stop) -> np.ndarray:
+        """Hashes of spans [start, stop) modulo the k-th prime."""
+        h, p = self.prefix[k], np.uint64(PRIMES[k])
+        return (h[stop] + p - h[start]) % p * _POWERS.down[k][start] % p
+
     def spans(self, start, stop) -> list[np.ndarray]:
         """Hashes of spans [start, stop), by prime."""
         start, stop = np.asarray(start), np.asarray(stop)
-        return [
-            (h[stop] + np.uint64(p) - h[start]) % np.uint64(p) * down[start] % np.uint64(p)
-            for h, down, p in zip(self.prefix, _POWERS.down, PRIMES, strict=True)
-        ]
+        return [self.span(k, start, stop) for k in range(len(PRIMES))]
+
+    @cached_property
+    def levels(self) -> np.ndarray:
+        """The level of each place."""
+        full = max(0, self.n - WINDOW + 1)  # places with a whole window
+        most = _levels_of(self.span(0, slice(0, full), slice(WINDOW, WINDOW + full)))
+        return np.concatenate([most, _levels(self.n, self.span, full, self.n)])
 
     def equal(self, a: int, other: PrefixHashes, b: int, length: int) -> bool:
         """Whether the spans of this length at a here and at b there agree."""
@@ -93,46 +103,53 @@ class PrefixHashes:
         return low
 
 
-def _levels(n: int, spans) -> np.ndarray:
-    """The level of each place of a text of n code points: zero bits at the end of the next span's hash."""
-    start = np.arange(n)
-    x = spans(start, np.minimum(start + WINDOW, n))[0] * np.uint64(0x9E3779B97F4A7C15)
+def _levels_of(hashes: np.ndarray) -> np.ndarray:
+    """Zero bits at the end of each hash, after mixing."""
+    x = hashes * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(32)
     x = x * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - TOP)
-    low = x & (~x + np.uint64(1))
-    return np.where(x == 0, TOP, np.log2(np.maximum(low, np.uint64(1)).astype(np.float64)).astype(np.int64))
+    low = (x & (~x + np.uint64(1))).astype(np.float64)
+    return np.where(x == 0, TOP, np.frexp(low)[1] - 1).astype(np.int64)
+
 
+def _levels(n: int, span, first: int, last: int) -> np.ndarray:
+    """The levels of places from first to last of a text of n code points, by the hash of the next span."""
+    start = np.arange(first, last)
+    return _levels_of(span(0, start, np.minimum(start + WINDOW, n)))
 
-def _string(n: int, whole: list[int], spans) -> str:
+
+def _string(n: int, whole: list[int], levels: np.ndarray, span) -> str:
     """Length, hash of the whole, level, and for each kept place its prefix hash, its level and the step to it."""
-    levels = _levels(n, spans)
-    if n:
-        levels[0] = -1
-    above = np.cumsum(np.bincount(levels + 1, minlength=TOP + 2)[::-1])[::-1][1:]  # places of each level or a higher one
-    level = int(np.argmax(above <= KEPT)) if (above <= KEPT).any() else TOP
-    at = np.flatnonzero(levels >= level)
-    prefix = spans(0 * at, at)[0]
-    entry = prefix << np.uint64(33) | levels[at].astype(np.uint64) << np.uint64(STEP_BITS) | np.diff(at, prepend=0).astype(np.uint64)
+    counts = np.bincount(levels[1:], minlength=TOP + 1)  # the text's start is no place
+    above = np.cumsum(counts[::-1])[::-1]  # places of each level or a higher one
+    level = int(np.argmax(above <= KEPT)) if above[TOP] <= KEPT else TOP
+    at = np.flatnonzero(levels[1:] >= level) + 1
+    step = at.copy()
+    step[1:] -= at[:-1]
+    entry = span(0, 0 * at, at) << np.uint64(33) | (levels[at] << STEP_BITS | step).astype(np.uint64)
     return f"{n:x}.{whole[0]:08x}{whole[1]:08x}.{level:x}.{entry.astype('>u8').tobytes().hex()}"
 
 
 def fingerprint(own: PrefixHashes) -> str:
     """The fingerprint of a text, of at most 2**29 code points, from its prefix arrays."""
-    return _string(own.n, [int(h[own.n]) for h in own.prefix], own.spans)
+    return _string(own.n, [int(h[own.n]) for h in own.prefix], own.levels, own.span)
 
 
 def joined_fingerprint(a: PrefixHashes, head: int, b: PrefixHashes, more: int) -> str:
-    """The fingerprint of the first `head` code points of a followed by the first `more` of b, from their arrays."""
+    """The fingerprint of the first `head` code points of a followed by the first `more` of b, from their arrays. Places
+    whose next span lies in one of the two have its level; only those before the joint and the end are made anew."""
     n = head + more
     _POWERS.reach(n + 1)
 
-    def spans(start: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
-        left = a.spans(np.minimum(start, head), np.minimum(stop, head))
-        right = b.spans(np.maximum(start - head, 0), np.maximum(stop - head, 0))
+    def span(k: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        left = a.span(k, np.minimum(start, head), np.minimum(stop, head))
+        right = b.span(k, np.maximum(start - head, 0), np.maximum(stop - head, 0))
         by = np.maximum(np.minimum(stop, head) - np.minimum(start, head), 0)
-        return [(x + y * up[by]) % np.uint64(p) for x, y, up, p in zip(left, right, _POWERS.up, PRIMES, strict=True)]
+        return (left + right * _POWERS.up[k][by]) % np.uint64(PRIMES[k])
 
-    return _string(n, [int(x[0]) for x in spans(np.array([0]), np.array([n]))], spans)
+    x, y = max(0, head - WINDOW + 1), max(0, more - WINDOW + 1)
+    levels = np.concatenate([a.levels[:x], _levels(n, span, x, head), b.levels[:y], _levels(n, span, head + y, n)])
+    return _string(n, [int(span(k, 0, n)) for k in range(len(PRIMES))], levels, span)
 
 
 @dataclass
@@ -163,14 +180,16 @@ class Kept:
             low, high = (mid, high) if self.same(i, i + mid, other, j, j + mid) else (low, mid - 1)
         return low
 
+    @cached_property
     def spans(self) -> list[tuple[int, int]]:
         """Length and hash of each span between neighbouring places."""
         at, p = np.array(self.at), np.uint64(PRIMES[0])
         prefix = np.array(self.prefix, dtype=np.uint64)
         hashes = (prefix[1:] + p - prefix[:-1]) % p * _POWERS.down[0][at[:-1]] % p
-        return list(zip(np.diff(at).tolist(), hashes.tolist(), strict=True))
+        return list(zip((at[1:] - at[:-1]).tolist(), hashes.tolist(), strict=True))
 
 
+@lru_cache(maxsize=16)
 def kept_places(mark: str, level: int) -> Kept:
     n, whole, _, hexed = mark.split(".")
     entries = np.frombuffer(bytes.fromhex(hexed), dtype=">u8").astype(np.uint64)
@@ -192,10 +211,13 @@ def likeness(one: str, two: str) -> float:
         return 0.0
     _POWERS.reach(max(n, m) + 1)
     a, b = kept_places(one, level), kept_places(two, level)
-    places: dict[tuple[int, int], list[int]] = {}
-    for j, span in enumerate(b.spans()):
-        places.setdefault(span, []).append(j)
-    free, spans, least = [True] * len(b.at), a.spans(), min(PASSAGE, -(-min(n, m) // 4))
+    places: dict[tuple[int, int], list[int]] = {span: [] for span in set(a.spans) & set(b.spans)}
+    if not places:
+        return 0.0
+    for j, span in enumerate(b.spans):
+        if span in places:
+            places[span].append(j)
+    free, spans, least = [True] * len(b.at), a.spans, min(PASSAGE, -(-min(n, m) // 4))
     i = same = 0
     while i < len(spans):
         best = (0, 0)
@@ -276,6 +298,7 @@ def fingerprint_documents(documents: DataFrame, lots: int | None = None) -> Data
                     if done:
                         continue
                     own = PrefixHashes(text)
+                    own.mark = fingerprint(own)
                     if held:
                         out.append(_compared(*held, text, own))
                     held, done = (doc_id, text, own), guest
@@ -302,7 +325,7 @@ def _compared(doc_id, text: str, own: PrefixHashes, next_text: str, following: P
     half = own.n // 2
     head, more = own.n - half, min(half, following.n)
     edited = joined_fingerprint(own, head, following, more)
-    mark, other = fingerprint(own), fingerprint(following)
+    mark, other = own.mark, following.mark
     return {
         "doc_id": doc_id,
         "n_chars": own.n,
