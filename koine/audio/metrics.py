@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import io
+import shutil
+import subprocess
 import wave
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,9 +21,54 @@ class Frames:
     hop_ms: float = 10.0
     silence_floor: float = 0.05
     silence_percentile: float = 100.0
-    noise_percentile: float = 10.0
-    signal_percentile: float = 90.0
-    least: int = 5
+    noise_percentile: float = 15.0
+    signal_percentile: float = 60.0
+    least: int = 4
+
+
+#: Decoders beside PCM wav, asked in turn: content to (mono samples in [-1, 1], rate), or None for another format.
+DECODERS: list[Callable[[bytes], tuple[np.ndarray, int] | None]] = []
+
+
+def decode(content: bytes) -> tuple[np.ndarray, int]:
+    """Mono samples and rate of a recording: PCM wav here, other formats by DECODERS, by soundfile where it is installed,
+    or by an ffmpeg on the path. No decoder is an error."""
+    if content[:4] == b"RIFF":
+        try:
+            return decode_wav(content)
+        except wave.Error:  # not PCM
+            pass
+    for one in (*DECODERS, _soundfile, _ffmpeg):
+        if (found := one(content)) is not None:
+            y = np.asarray(found[0], dtype=np.float32)
+            if not np.isfinite(y).all():
+                raise ValueError("samples that are no numbers")
+            return y, int(found[1])
+    raise ValueError("no decoder knows this format")
+
+
+def _soundfile(content: bytes) -> tuple[np.ndarray, int] | None:
+    try:
+        import soundfile
+    except ImportError:
+        return None
+    try:
+        y, rate = soundfile.read(io.BytesIO(content), dtype="float32", always_2d=True)
+    except RuntimeError:
+        return None
+    return y.mean(axis=1), rate
+
+
+def _ffmpeg(content: bytes) -> tuple[np.ndarray, int] | None:
+    if not (program := shutil.which("ffmpeg")):
+        return None
+    done = subprocess.run([program, "-v", "error", "-i", "pipe:0", "-f", "wav", "-acodec", "pcm_s16le", "-"], input=content, capture_output=True, timeout=300)
+    # a pipe has no length to write into the header, so the samples' size is taken from what came
+    if done.returncode or len(done.stdout) < 44 or (at := done.stdout.find(b"data")) < 0:
+        return None
+    channels, rate = int.from_bytes(done.stdout[22:24], "little"), int.from_bytes(done.stdout[24:28], "little")
+    x = np.frombuffer(done.stdout[at + 8 : at + 8 + (len(done.stdout) - at - 8) // (2 * channels) * 2 * channels], dtype="<i2")
+    return x.reshape(-1, channels).mean(axis=1) / 32768.0, rate
 
 
 def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
@@ -53,13 +100,17 @@ def encode_wav(y: np.ndarray, rate: int) -> bytes:
     return out.getvalue()
 
 
-def frame_rms(y: np.ndarray, rate: int, f: Frames = Frames()) -> np.ndarray:
-    """Root mean squares of frames that end before the last sample: a window flush with the end isn't one of them."""
+def frame_levels(y: np.ndarray, rate: int, f: Frames = Frames(), flush: bool = True) -> np.ndarray:
+    """Mean square of each frame. Frames begin every hop; the last one may be flush with the end, unless `flush` is off."""
     size, hop = max(1, int(rate * f.frame_ms / 1000)), max(1, int(rate * f.hop_ms / 1000))
-    if len(y) <= size:
-        return np.zeros(0)
-    windows = sliding_window_view(np.asarray(y, dtype=np.float64), size)[: len(y) - size : hop]
-    return np.sqrt((windows**2).mean(axis=1) + 1e-18)
+    starts = np.arange(0, len(y) - size + bool(flush), hop)
+    sums = np.concatenate([[0.0], np.cumsum(np.asarray(y, dtype=np.float64) ** 2)])
+    return np.maximum(sums[starts + size] - sums[starts], 0.0) / size
+
+
+def frame_rms(y: np.ndarray, rate: int, f: Frames = Frames()) -> np.ndarray:
+    """Root mean squares of frames that end before the last sample."""
+    return np.sqrt(frame_levels(y, rate, f, flush=False) + 1e-18)
 
 
 def silence(y: np.ndarray, rate: int, f: Frames = Frames()) -> tuple[float, float]:
@@ -74,14 +125,13 @@ def silence(y: np.ndarray, rate: int, f: Frames = Frames()) -> tuple[float, floa
 
 
 def snr_db(y: np.ndarray, rate: int, f: Frames = Frames()) -> float | None:
-    """Ratio of loud to quiet frames' energy in decibels; none for short or flat recordings."""
-    energy = frame_rms(y, rate, f) ** 2
+    """Ratio in decibels of two percentiles of the frames' energy, the loud one by the quiet one; none for recordings of
+    few frames or without a difference."""
+    energy = frame_levels(y, rate, f) + 1e-12
     if len(energy) < f.least:
         return None
     noise, signal = np.percentile(energy, [f.noise_percentile, f.signal_percentile])
-    if noise <= 1e-12 or signal <= noise:
-        return None
-    return float(10 * np.log10(signal / noise))
+    return float(10 * np.log10(signal / noise)) if signal > noise else None
 
 
 def measure(y: np.ndarray, rate: int, f: Frames = Frames()) -> dict:
@@ -126,7 +176,7 @@ def _measured(measure_one, fields: str):
         rows = []
         for c in content:
             try:
-                rows.append(measure_one(*decode_wav(bytes(c))))
+                rows.append(measure_one(*decode(bytes(c))))
             except Exception:  # a recording that can't be decoded has no measures
                 rows.append(dict.fromkeys(names) | ({"decode_ok": False} if "decode_ok" in names else {}))
         return pd.DataFrame(rows, columns=names)
@@ -134,6 +184,6 @@ def _measured(measure_one, fields: str):
     return udf
 
 
-#: Columns of wav contents to structs of measures.
+#: Columns of recordings' contents to structs of measures.
 metrics_udf = _measured(measure, METRICS)
 cheap_udf = _measured(cheap, CHEAP)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from koine.audio.metrics import decode_wav, encode_wav, frame_rms
+from koine.audio.metrics import METRICS, decode, encode_wav, frame_rms, measure
 
 #: Steps that need a model: name to (samples, rate, parameters) to samples. Register one to use it.
 BACKENDS: dict[str, Callable[[np.ndarray, int, dict], np.ndarray]] = {}
@@ -86,38 +86,57 @@ def _ms(rate: int, ms: float) -> int:
 
 
 # --- steps -----------------------------------------------------------------------------------------------------------
-def resample(y: np.ndarray, rate: int, target: int, width: int = 32) -> tuple[np.ndarray, int]:
-    """Windowed-sinc interpolation, low-passed below half of the lower rate."""
+def resample(y: np.ndarray, rate: int, target: int, width: int = 32, block: int = 1 << 14) -> tuple[np.ndarray, int]:
+    """Windowed-sinc interpolation, low-passed below half of the lower rate; `block` samples at a time, whatever the
+    recording's length."""
     if rate == target or not len(y):
         return y, target
     n, cutoff = int(round(len(y) * target / rate)), min(1.0, target / rate)
-    at = np.arange(n) * rate / target
-    reach = int(np.ceil(width / cutoff))
-    near = np.floor(at).astype(np.int64)[:, None] + np.arange(1 - reach, reach + 1)
-    d = at[:, None] - near
-    kernel = cutoff * np.sinc(cutoff * d) * (0.5 + 0.5 * np.cos(np.pi * np.clip(d / reach, -1, 1)))
-    values = np.where((near >= 0) & (near < len(y)), y[np.clip(near, 0, len(y) - 1)], 0.0)
-    return (kernel * values).sum(axis=1).astype(np.float32), target
-
-
-def trim_silence(y: np.ndarray, rate: int, top_db: float = 40.0, frame_ms: float = 25.0, hop_ms: float = 10.0, sides: str = "both", pad_ms: float = 50.0, max_keep_sec: float | None = None, spike_ms: float = 30.0) -> np.ndarray:
-    """Cut what is top_db below the loudest frame at the ends. A short burst after a long silence at the end counts as
-    silence. A recording longer than max_keep_sec afterwards is rejected."""
-    size, hop = _ms(rate, frame_ms), _ms(rate, hop_ms)
-    padded = np.pad(y.astype(np.float64), size // 2)
-    level = np.sqrt(np.array([np.mean(padded[i : i + size] ** 2) for i in range(0, max(1, len(padded) - size + 1), hop)]) + 1e-18)
-    loud = 20 * np.log10(level / level.max()) > -top_db
-    found = runs(loud)
-    if not len(found):
-        return y[:0]
-    while len(found) > 1 and (found[-1][1] - found[-1][0]) * hop <= _ms(rate, spike_ms) and (found[-1][0] - found[-2][1]) * hop > rate * 0.2:
-        found = found[:-1]
-    pad = _ms(rate, pad_ms) if pad_ms > 0 else 0
-    a = max(0, found[0][0] * hop - pad) if sides in ("both", "start") else 0
-    b = min(len(y), found[-1][1] * hop + pad) if sides in ("both", "end") else len(y)
-    if max_keep_sec is not None and (b - a) / rate > max_keep_sec:
-        raise Rejected("trim_too_long")
-    return y[a:b]
+    reach, out = int(np.ceil(width / cutoff)), np.empty(n, dtype=np.float32)
+    for start in range(0, n, block):
+        at = np.arange(start, min(n, start + block)) * rate / target
+        near = np.floor(at).astype(np.int64)[:, None] + np.arange(1 - reach, reach + 1)
+        d = at[:, None] - near
+        kernel = cutoff * np.sinc(cutoff * d) * (0.5 + 0.5 * np.cos(np.pi * np.clip(d / reach, -1, 1)))
+        values = np.where((near >= 0) & (near < len(y)), y[np.clip(near, 0, len(y) - 1)], 0.0)
+        out[start : start + block] = (kernel * values).sum(axis=1)
+    return out, target
+
+
+def trim_silence(
+    y: np.ndarray, rate: int, top_db: float = 40.0, frame: int = 2048, hop: int = 512, sides: str = "both", pad_head_ms: float = 0.0, pad_tail_ms: float = 0.0,
+    max_keep_sec: float | None = None, reject_if_truncated: bool = True, spike_frames: int = 0,
+) -> np.ndarray:
+    """Cut what is top_db below the loudest frame at the ends that `sides` names: both, leading or trailing.
+
+    Frames are centred. Trailing only, islands of at most spike_frames frames at the end that silence comes before don't
+    count. A recording without a loud frame, or one that a cut would silence, stays. What is longer than max_keep_sec is
+    cut off there, and rejected if so asked. Silence is put before and after by the pads.
+    """
+    if sides not in ("both", "leading", "trailing"):
+        raise ValueError(f"sides must be both, leading or trailing, not {sides!r}")
+    y = np.nan_to_num(y.astype(np.float32), nan=0.0, posinf=0.0, neginf=0.0)
+    if not len(y):
+        return y
+    squares = np.concatenate([[0.0], np.cumsum(np.pad(y.astype(np.float64), frame // 2) ** 2)])
+    starts = np.arange(0, len(squares) - frame, hop)
+    level = np.maximum(np.maximum(squares[starts + frame] - squares[starts], 0.0) / frame, 1e-10)
+    found = runs(10 * np.log10(level / level.max()) > -top_db)
+    kept = y
+    if len(found):
+        last = len(found) - 1
+        if sides == "trailing":
+            while last > 0 and found[last][1] - found[last][0] <= spike_frames:
+                last -= 1
+        a = found[0][0] * hop if sides != "trailing" else 0
+        b = min(len(y), found[last][1] * hop) if sides != "leading" else len(y)
+        kept = y[a:b] if a < b else y
+        if np.abs(y).max() > 1e-6 and np.abs(kept).max() < 1e-12:
+            kept = y
+    most = len(kept) if max_keep_sec is None else int(rate * max_keep_sec)
+    if len(kept) > most and reject_if_truncated:
+        raise Rejected("trim_exceeds_max_keep_sec")
+    return np.pad(kept[:most], (round(pad_head_ms * rate / 1000), round(pad_tail_ms * rate / 1000)))
 
 
 def loudness(y: np.ndarray, rate: int) -> float:
@@ -231,16 +250,46 @@ def lip_noise_repair(y: np.ndarray, rate: int, frame_ms: float = 4.0, crest: flo
     return out
 
 
-def diff_click_repair(y: np.ndarray, rate: int, first: float = 12.0, second: float = 12.0, gap_ms: float = 1.0, pad_ms: float = 0.5, most_ms: float = 8.0, most: int | None = None, kind: str = "cubic") -> np.ndarray:
-    """Replace places where both differences exceed so many median deviations; the strongest ones if `most` is given."""
-    if len(y) < 8:
-        return y
-    d1, d2 = np.abs(np.diff(y, prepend=y[0])), np.abs(np.diff(y, n=2, prepend=[y[0], y[0]]))
-    over = lambda d, k: d > k * (np.median(np.abs(d - np.median(d))) + 1e-9) + np.median(d)
-    found = merged(runs(over(d1, first) & over(d2, second)), _ms(rate, gap_ms), _ms(rate, pad_ms), len(y))
-    found = [x for x in found if x[1] - x[0] <= _ms(rate, most_ms)]
-    if most is not None:
-        found = sorted(sorted(found, key=lambda x: -d2[x[0] : x[1]].max())[:most])
+#: Fixed value: a median deviation times this estimates a standard deviation.
+MAD = 1.4826
+
+
+def diff_click_repair(
+    y: np.ndarray, rate: int, first: float = 9.0, second: float | None = 8.0, both: bool = False, min_jump: float | None = None,
+    gap_ms: float = 0.35, pad_ms: float = 1.5, most_ms: float = 20.0, most: int = 256, kind: str = "cubic",
+) -> np.ndarray:
+    """Replace places where the first or the second difference exceeds its median by so many robust deviations.
+
+    `both` asks for both of them, second=None for the first only; min_jump is a least jump as a share of the peak. A
+    place longer than most_ms is cut down to its middle. The `most` places with the largest jumps are replaced, all if it
+    is 0. Short recordings and rates below 4 kHz stay as they are.
+    """
+    if len(y) < 8 or rate < 4000:
+        return y.copy()
+    x = y.astype(np.float64)
+    jumps = np.abs(np.diff(x))
+
+    def outliers(d: np.ndarray, k: float, least: float = 0.0) -> np.ndarray:
+        """Samples that a difference beyond the threshold touches."""
+        middle = np.median(d)
+        hit = d > max(middle + k * MAD * (np.median(np.abs(d - middle)) + 1e-20), least)
+        return np.convolve(hit, np.ones(len(x) - len(d) + 1)) > 0.5
+
+    mask = outliers(jumps, first, (min_jump or 0.0) * np.abs(x).max())
+    if second is not None:
+        bends = outliers(np.abs(np.diff(x, n=2)), second)
+        mask = mask & bends if both else mask | bends
+    found, widest = [], max(4, round(most_ms * rate / 1000))
+    for a, b in merged(runs(mask), round(gap_ms * rate / 1000), 0, len(y)):
+        a, b = max(0, a - round(pad_ms * rate / 1000)), min(len(y), b + round(pad_ms * rate / 1000))
+        if b - a > widest:
+            a = max(0, (a + b) // 2 - widest // 2)
+            b = min(len(y), a + widest)
+            a = max(0, b - widest)
+        found.append((a, b))
+    found = merged(np.array(found).reshape(-1, 2), 0, 0, len(y))
+    if 0 < most < len(found):
+        found = sorted(found, key=lambda x: -jumps[max(0, x[0] - 1) : x[1]].max(initial=0.0))[:most]
     out = y.copy()
     for a, b in found:
         fill_hole(out, a, b, kind)
@@ -276,9 +325,9 @@ def edge_click(y: np.ndarray, rate: int, window_ms: float = 250.0, ratio: float
             x[n - fade : n] *= np.linspace(0, 1, fade)
         return x[n - fade :] if action == "mute_then_trim" else x
 
-    if sides in ("both", "start"):
+    if sides in ("both", "leading"):
         out = treat(out)
-    if sides in ("both", "end"):
+    if sides in ("both", "trailing"):
         out = treat(out[::-1].copy())[::-1].copy()
     return out
 
@@ -341,23 +390,39 @@ def run(y: np.ndarray, rate: int, chain: Sequence[dict]) -> tuple[np.ndarray, in
     return y, rate
 
 
-def process_udf(chain: Sequence[dict], skip_denoise: bool = False):
-    """A column of wav contents to (content, reason): processed, or why not."""
+_METRIC_NAMES = [x.split()[0] for x in METRICS.split(", ")]
+PROCESSED = T.StructType(
+    [T.StructField("content", T.BinaryType()), T.StructField("reason", T.StringType()), T.StructField("m", T.StructType([T.StructField(n, T.DoubleType()) for n in _METRIC_NAMES]))]
+)
+
+
+def process_udf(chain: Sequence[dict], skip_denoise: bool = False, early: Callable[[dict, int], str | None] | None = None):
+    """Columns of recordings' contents and their texts' lengths to (content, reason, m): processed with its measures, or
+    why not. A recording is decoded once; `early` may turn it down by its measures before the chain."""
     steps = compiled(chain, skip_denoise)
 
-    @F.pandas_udf(T.StructType([T.StructField("content", T.BinaryType()), T.StructField("reason", T.StringType())]))
-    def udf(content: pd.Series) -> pd.DataFrame:
-        out = []
-        for c in content:
+    def one(content: bytes, letters: int) -> tuple:
+        y, rate = decode(content)
+        if early and (reason := early(measure(y, rate), letters)):
+            raise Rejected(reason)
+        y, rate = run(y, rate, steps)
+        written = encode_wav(y, rate)
+        return written, None, measure(*decode(written))
+
+    @F.pandas_udf(PROCESSED)
+    def udf(content: pd.Series, letters: pd.Series) -> pd.DataFrame:
+        out, none = [], dict.fromkeys(_METRIC_NAMES)
+        for c, n in zip(content, letters, strict=True):
             try:
-                out.append((encode_wav(*run(*decode_wav(bytes(c)), steps)), None))
+                out.append(one(bytes(c), n) if c is not None else (None, None, none))
             except Rejected as e:
-                out.append((None, str(e)))
+                out.append((None, str(e), none))
             except Exception as e:  # one bad recording doesn't stop a batch
-                out.append((None, f"audio_error: {type(e).__name__}"))
-        return pd.DataFrame(out, columns=["content", "reason"])
+                out.append((None, f"audio_error: {type(e).__name__}", none))
+        measures = pd.DataFrame([m for _, _, m in out], columns=_METRIC_NAMES)
+        return pd.DataFrame({"content": [c for c, _, _ in out], "reason": [r for _, r, _ in out], "m": measures.to_dict("records")})
 
-    return udf
+    return lambda content, letters=F.lit(0): udf(content, letters)
 
 
 def level_db(y: np.ndarray, rate: int) -> np.ndarray:

@@ -5,16 +5,18 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import time
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from koine import sinks
-from koine.functions import text, tokens
+from koine.functions import backends, text, tokens
 from koine.operators import aggregates as agg
 from koine.operators import coverage, filters, joins, reports, windows
 from koine.plans import build as b
+from koine.scratch import cut
 from koine.sources import tables
 
 
@@ -86,7 +88,8 @@ def _report(spark, c, a):
 
 
 def _index(spark, c, a):
-    sinks.jsonl(b.coverage_index(spark, c), a.output)
+    prior = tables.index_jsonl(spark, a.base) if a.base else None
+    sinks.jsonl(b.coverage_index(spark, c, prior), a.output)
 
 
 def _coverage(spark, c, a):
@@ -119,7 +122,98 @@ def _export(spark, c, a):
     sinks.one_file(layout(rows), a.output)
 
 
+def _targets(spark, c):
+    return spark.createDataFrame(coverage.target_rows(c.targets), "feature string, minimum long, desired long, required boolean, weight double")
+
+
+def _coverage_run(spark, c, a):
+    """Batches of the index are planned and analysed until the targets are met or nothing helps; the state is kept."""
+    index, found = tables.index_jsonl(spark, a.input).cache(), f"{c.work}/coverage/clips.parquet"
+    Path(c.work, "coverage").mkdir(parents=True, exist_ok=True)
+
+    def analyze(ids):
+        rows = cut(b.analyze_some(spark, c, index, ids), "batch")
+        rows.write.mode("append").parquet(found)
+        return rows.select("clip_id", (F.col("disposition") == "eligible").alias("passed"))
+
+    limits = coverage.LoopLimits(a.max_iterations, a.max_clips, a.max_hours)
+    state = coverage.run_loop(index, _targets(spark, c), analyze, f"{c.work}/coverage/state.json", limits, dry_run=a.dry_run)
+    _show({"stop": state.stop, "iterations": state.iteration, "analyzed": len(state.analyzed), "accepted": len(state.accepted), "seconds": state.seconds})
+
+
+def _coverage_report(spark, c, a):
+    """Where each target stands in a loop's state."""
+    index, state = tables.index_jsonl(spark, a.input), coverage.LoopState(**json.loads(Path(c.work, "coverage", "state.json").read_text()))
+    ids = lambda names: spark.createDataFrame([(x,) for x in names], "clip_id string")
+    rows = coverage.standing(index, _targets(spark, c), ids(state.accepted), ids(state.analyzed), sum(state.passes.values()) / max(1, sum(state.attempts.values())))
+    kept = rows.orderBy("feature").collect()  # a row a target
+    _show({"stop": state.stop, "features": [r.asDict() for r in kept], "top_reasons": coverage.top_deficits(kept)})
+    if a.output:
+        sinks.report_csv(a.output, [r.asDict() for r in kept])
+
+
+def _phonemize(spark, c, a):
+    df = spark.createDataFrame([(a.text,)], "t string")
+    print(df.select(backends.phonemes(text.normalize_for_tts(F.col("t")), c.reading or "words")).first()[0] or "")
+
+
+def _secondary(spark, c, a):
+    """Finished recordings of a folder through the chain again; gated again, written beside their list."""
+    meta = tables.metadata_jsonl(spark, f"{a.input}/metadata.jsonl", "clip_id string, text_norm string, quality_score double")
+    files = tables.audio_files(spark, f"{a.input}/wavs").select(F.regexp_extract("path", r"([^/]+)\.wav$", 1).alias("clip_id"), "content")
+    done = cut(b.secondary(meta.join(files, "clip_id"), c.rescue or c.chain, b.quality.Gate().merged(overrides=c.gate)), "secondary")
+    Path(a.output).mkdir(parents=True, exist_ok=True)
+    sinks.write_audio(done.where("reject_reason is null"), f"{a.output}/wavs")
+    sinks.one_file(done.drop("content").orderBy("clip_id").select(F.to_json(F.struct("*")).alias("value")), f"{a.output}/metadata.jsonl")
+    _show({r.reason: r.n for r in done.groupBy(F.coalesce("reject_reason", F.lit("passed")).alias("reason")).agg(F.count("*").alias("n")).collect()})
+
+
+def _to_tsv(spark, c, a):
+    """A metadata.jsonl as a clip table."""
+    meta = tables.metadata_jsonl(spark, a.input, "clip_id string, audio_path string, text_raw string, text_norm string, speaker_id string")
+    told = sinks.one_line(F.coalesce("text_raw", "text_norm"))
+    line = F.concat_ws("\t", F.coalesce("speaker_id", F.lit("unknown")), F.regexp_extract("audio_path", "[^/]+$", 0), told).alias("value")
+    head = spark.createDataFrame([("client_id\tpath\tsentence", -1)], "value string, n long")
+    rows = meta.orderBy("clip_id").select(line, F.monotonically_increasing_id().alias("n"))
+    sinks.one_file(head.unionByName(rows).orderBy("n").select("value"), a.output)
+
+
+def _preprocess(spark, c, a):
+    """Analysis of all clips with the list of what was rejected, without a selection."""
+    clips = cut(b.analyze(spark, c), "preprocess")
+    sinks.rejects(clips, f"{c.work}/rejects")
+    usable = clips.where("disposition = 'eligible'").withColumn("audio_path", F.concat("clip_id", F.lit(".wav")))
+    Path(c.work).mkdir(parents=True, exist_ok=True)
+    sinks.one_file(sinks.ljspeech(usable), f"{c.work}/ljspeech.tsv")
+    _show({"rejected": {r.reason: r.clips for r in reports.rejection_summary(clips).collect()}, "usable": usable.count(), "settings": c.hash()})
+
+
+def _benchmark(spark, c, a):
+    """Seconds of scoring, selecting and counting over the catalog, the best of three."""
+    clips, took = _catalog(spark, c).cache(), {}
+    splits = clips.select("clip_id", F.lit("train").alias("split"))
+    jobs = {
+        "feature_counts": lambda: agg.feature_counts(agg.incidence(clips, agg.catalog_families())), "duplicate_groups": lambda: agg.duplicate_groups(clips),
+        "select": lambda: b.select(clips, splits, c),
+    }
+    for name, job in jobs.items():
+        runs = []
+        for _ in range(3):
+            began = time.perf_counter()
+            job().write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - began)
+        took[name] = round(min(runs), 3)
+    _show(took)
+
+
 COMMANDS = {
+    "coverage-run": _coverage_run,
+    "coverage-report": _coverage_report,
+    "phonemize": _phonemize,
+    "secondary": _secondary,
+    "metadata-jsonl-to-validated-tsv": _to_tsv,
+    "preprocess": _preprocess,
+    "benchmark-selection": _benchmark,
     "coverage-index": _index,
     "coverage-plan": _coverage,
     "phoneme-manifest": _manifest,
@@ -161,6 +255,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--contains")
     p.add_argument("--text", default="")
     p.add_argument("--layout", default="piper")
+    p.add_argument("--max-iterations", type=int, default=50)
+    p.add_argument("--max-clips", type=int, default=10_000)
+    p.add_argument("--max-hours", type=float, default=100.0)
     a = p.parse_args(argv)
     config = b.Config.from_file(a.config) if a.config else b.Config()
     COMMANDS[a.command](_session(), config, a)

@@ -91,9 +91,38 @@ def gate_reason(metrics: Column, text_length: Column, mora_count: Column | None
     return reason
 
 
-def early_gate_reason(metrics: Column, text_length: Column, mora_count: Column | None, gate: Gate) -> Column:
-    """The early gate: the same checks without trailing silence and tiers."""
-    return gate_reason(metrics, text_length, mora_count, replace(gate, max_trailing_silence_sec=None, tier_mode="off"))
+@dataclass(frozen=True)
+class EarlyGate:
+    """Checks of the early gate, which runs before a chain that costs much; limits are those of the final gate."""
+
+    duration: bool = True
+    silence_ratio: bool = False
+    snr: bool = False
+    clipping: bool = False
+    dc_offset: bool = False
+    chars_per_sec: bool = False
+    mora_duration: bool = False
+
+    def reason(self, gate: Gate):
+        """(measures, letters, morae) to the first check that a recording fails, or None."""
+
+        def check(m: dict, letters: int, morae: int | None = None) -> str | None:
+            seconds = m["duration_sec"]
+            pace = letters / seconds if seconds > 0 else 0.0
+            needed = (morae or 0) * (gate.min_sec_per_mora or 0.0) * gate.mora_relax
+            checks = (
+                (self.duration, not gate.min_duration_sec <= seconds <= gate.max_duration_sec, "duration"),
+                (self.silence_ratio, m["silence_ratio"] > gate.max_silence_ratio, "silence"),
+                (self.snr, gate.min_estimated_snr_db is not None and m["snr_db"] is not None and m["snr_db"] < gate.min_estimated_snr_db, "snr"),
+                (self.clipping, m["clipping_ratio"] > gate.max_clipping_ratio, "clipping"),
+                (self.dc_offset, m["dc_offset"] > gate.max_abs_dc_offset, "dc"),
+                (self.chars_per_sec, gate.min_chars_per_sec is not None and pace < gate.min_chars_per_sec, "text_audio_low"),
+                (self.chars_per_sec, gate.max_chars_per_sec is not None and pace > gate.max_chars_per_sec, "text_audio_high"),
+                (self.mora_duration, seconds + 1e-9 < needed, "text_audio_mora"),
+            )
+            return next((f"early_gate_{name}" for on, bad, name in checks if on and bad), None)
+
+        return check
 
 
 @dataclass(frozen=True)

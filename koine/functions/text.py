@@ -88,11 +88,16 @@ def accent_labels(labels: Column, pattern: str) -> Column:
 
 
 def accent_phrase_lengths(labels: Column) -> Column:
-    return accent_labels(labels, r"/F:(\d+)_")
+    """Lengths of accent phrases, from the F fields, each once."""
+    return F.filter(accent_labels(labels, r"(?:^|/)F:(\d+)_\d+#"), lambda x: x.cast("int") > 0)
 
 
 def accent_nuclei(labels: Column) -> Column:
-    return accent_labels(labels, r"/F:\d+_(\d+)")
+    """nucleus@PHONE:pLENGTH_nPLACE of each label with an E field that has both, each once; PHONE is what stands before
+    the label's first hyphen."""
+    field = r"(?:^|/)E:(\d+)_\d+![^/]*-(\d+)"
+    name = lambda x: F.concat(F.lit("nucleus@"), F.substring_index(x, "-", 1), F.lit(":p"), F.regexp_extract(x, field, 1), F.lit("_n"), F.regexp_extract(x, field, 2))
+    return F.array_distinct(F.transform(F.filter(labels, lambda x: x.rlike(field)), name))
 
 
 def pipe_safe(text: Column) -> Column:

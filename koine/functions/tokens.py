@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Tokens that are no phones, and those of them that match in any case.
-EXCLUDED = ("sil", "pau", "sp", "|", "BOS", "EOS")
+EXCLUDED = ("sil", "pau", "sp", "|")
 ANY_CASE = ("sil", "pau", "sp")
 
 
@@ -73,6 +73,15 @@ def boundary_marks(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda t: F.when(t == "|", t).otherwise(F.lower(t))))
 
 
+def down_weighted(text: Column, marked: Sequence[str]) -> Column:
+    """Distinct tokens that are among `marked`, in their order; pauses match in any case and come in lower case."""
+    if not marked:
+        return F.array().cast("array<string>")
+    listed = [x.lower() if x.lower() in ANY_CASE else x for x in marked]
+    found = F.filter(split_tokens(text), lambda t: is_excluded(t, listed))
+    return F.array_distinct(F.transform(found, lambda t: F.when(F.lower(t).isin(*ANY_CASE), F.lower(t)).otherwise(t)))
+
+
 def keys_of(family: str, tokens: Column) -> Column:
     """Distinct `family:token` keys in their order."""
     return F.transform(F.array_distinct(tokens), lambda t: F.concat(F.lit(f"{family}:"), t))

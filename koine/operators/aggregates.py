@@ -150,6 +150,11 @@ def status_histogram(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(F.col(column).alias("status")).agg(F.count("*").alias("n"))
 
 
+def recent_jobs(jobs: DataFrame, most: int = 10) -> DataFrame:
+    """The jobs that began last."""
+    return jobs.orderBy(F.desc("created_at"), F.desc("job_id")).limit(most)
+
+
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 

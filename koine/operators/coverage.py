@@ -19,6 +19,7 @@ from koine.functions.scoring import analysis_cost, deficit_share, pass_probabili
 from koine.operators.aggregates import coverage_counts
 from koine.operators.filters import useful
 from koine.operators.joins import deficits as short_of
+from koine.operators.reports import status_of_plan
 from koine.scratch import cut
 
 
@@ -80,11 +81,12 @@ def batch_size(required_deficit: int, rate: float, candidates: int, config: Plan
     return min(candidates, max(config.min_batch, min(config.max_batch, wanted)))
 
 
-def pick_batch(clips: list[dict], gains: dict[str, tuple[int, float]], size: int, config: PlannerConfig) -> list[tuple[str, float]]:
+def pick_batch(clips: list[dict], gains: dict[str, tuple[int, float]], size: int, config: PlannerConfig, rest: float | None = None) -> list[tuple[str, float]]:
     """Greedy batch: a picked clip lowers its features' deficits, and the scores of its speaker and text.
 
     Scores only fall, so a candidate whose fresh score is still on top is the best; ties by clip_id. gains: deficit and
-    gain at that deficit by feature. clips: clip_id, speaker, text, keys, rate (probability / cost).
+    gain at that deficit by feature. clips: clip_id, speaker, text, keys, rate (probability / cost). rest: a bound on the
+    first scores of candidates that aren't here; picking ends where one of them might be the better.
     """
     left, speakers, texts = {f: d for f, (d, _) in gains.items()}, Counter(), Counter()
 
@@ -108,6 +110,8 @@ def pick_batch(clips: list[dict], gains: dict[str, tuple[int, float]], size: int
         if heap and (-fresh, name) > heap[0][:2]:
             heapq.heappush(heap, (-fresh, name, i))
             continue
+        if rest is not None and fresh <= rest * (1 + 1e-9):
+            break
         out.append((name, fresh))
         speakers[clips[i]["speaker"]] += 1
         texts[clips[i]["text"]] += 1
@@ -117,28 +121,48 @@ def pick_batch(clips: list[dict], gains: dict[str, tuple[int, float]], size: int
     return out
 
 
-def plan_batch(index: DataFrame, targets: DataFrame, counts: DataFrame, analyzed: DataFrame, stats: DataFrame, config: PlannerConfig = PlannerConfig(), size: int | None = None) -> DataFrame:
-    """rank, clip_id, score of the next batch. Queries prune the index to clips that help and join all factors of their
-    scores; only those narrow rows reach the kernel."""
+def _batch_kernel(size: int, config: PlannerConfig, rest: float | None):
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        known = {k["feature"]: (k["deficit"], k["gain"]) for keys in pdf["keys"] for k in keys}
+        rows = pdf.sort_values("clip_id").itertuples(index=False)
+        clips = [{"clip_id": r.clip_id, "speaker": r.speaker, "text": r.text, "rate": r.rate, "keys": sorted(k["feature"] for k in r.keys)} for r in rows]
+        picked = pick_batch(clips, known, size, config, rest)
+        return pd.DataFrame([(n, c, s) for n, (c, s) in enumerate(picked, 1)], columns=["rank", "clip_id", "score"])
+
+    return kernel
+
+
+def plan_batch(
+    index: DataFrame, targets: DataFrame, counts: DataFrame, analyzed: DataFrame, stats: DataFrame, config: PlannerConfig = PlannerConfig(), size: int | None = None, at_first: int | None = None
+) -> DataFrame:
+    """rank, clip_id, score of the next batch. All candidates are scored in Spark; scores only fall as clips are picked,
+    so the best few thousand, `at_first`, decide as long as the pick is above what the others had at first. Where it
+    isn't, four times as many are taken: the batch is that of all candidates, and no task holds them all unless all are
+    needed. Gains go to that task for the features of its clips only."""
     short = cut(short_of(targets.withColumnRenamed("desired", "target"), counts), "short")
-    open_ = cut(useful(index, short, analyzed), "open")  # read three times below
-    gains = cut(feature_gains(short, coverage_counts(open_), config), "gains")
-    known = {r.feature: (r.deficit, r.gain) for r in gains.where("gain > 0").collect()}  # bounded by the targets
+    open_ = cut(useful(index, short, analyzed), "open")  # read several times below
+    gains = cut(feature_gains(short, coverage_counts(open_), config).where("gain > 0"), "gains")
     tried = stats.agg(F.sum("attempts"), F.sum("passes")).first()
     overall = tried[1] / tried[0] if tried[0] else config.default_rate
     if size is None:
         need = short.where("required").agg(F.sum("deficit")).first()[0] or 0
         size = batch_size(need, overall, open_.count(), config)
-    scored = first_scores(open_, gains, stats, overall, config)
-    rows = scored.join(open_.select("clip_id", "feature_keys", "normalized_text"), "clip_id")
-    narrow = rows.select(F.lit(0).alias("all"), "clip_id", F.col("client_id").alias("speaker"), F.col("normalized_text").alias("text"), F.array_distinct("feature_keys").alias("keys"), (F.col("probability") / F.col("cost")).alias("rate"))
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        clips = [r._asdict() | {"keys": sorted(r.keys)} for r in pdf.sort_values("clip_id").itertuples(index=False)]
-        picked = pick_batch(clips, known, size, config)
-        return pd.DataFrame([(n, c, s) for n, (c, s) in enumerate(picked, 1)], columns=["rank", "clip_id", "score"])
+    scored = cut(first_scores(open_, gains, stats, overall, config).select("clip_id", F.col("client_id").alias("speaker"), (F.col("probability") / F.col("cost")).alias("rate"), "score"), "scored")
+    n, most = scored.count(), at_first or max(2000, 20 * size)
+    spark = index.sparkSession
+    while True:
+        best = cut(scored.orderBy(F.desc("score"), "clip_id").limit(most), "best")
+        rest = best.agg(F.min("score")).first()[0] if n > most else None
+        rows = best.join(open_.select("clip_id", F.col("normalized_text").alias("text"), F.array_distinct("feature_keys").alias("keys")), "clip_id")
+        keys = rows.select("clip_id", F.explode("keys").alias("feature")).join(gains, "feature")
+        keys = keys.groupBy("clip_id").agg(F.collect_list(F.struct("feature", "deficit", "gain")).alias("keys"))
+        narrow = rows.drop("keys", "score").join(keys, "clip_id").withColumn("all", F.lit(0))
 
-    return narrow.groupBy("all").applyInPandas(kernel, "rank long, clip_id string, score double")
+        fields = "rank long, clip_id string, score double"
+        picked = [tuple(r) for r in narrow.groupBy("all").applyInPandas(_batch_kernel(size, config, rest), fields).collect()]  # a batch
+        if len(picked) >= size or rest is None:
+            return spark.createDataFrame(sorted(picked), fields)
+        most *= 4
 
 
 @dataclass
@@ -151,6 +175,8 @@ class LoopState:
     passes: dict[str, int] = field(default_factory=dict)
     stop: str | None = None
     accepted: list[str] = field(default_factory=list)
+    seconds: float = 0.0
+    error: str | None = None
     config_hash: str | None = None
     index_hash: str | None = None
 
@@ -167,12 +193,52 @@ def index_hash(index: DataFrame) -> str:
     return hashlib.sha256(json.dumps(list(sums)).encode()).hexdigest()
 
 
-def run_loop(index: DataFrame, targets: DataFrame, analyze: Callable[[DataFrame], DataFrame], state_path: str, max_iterations: int = 50, max_clips: int = 10_000, config: PlannerConfig = PlannerConfig(), dry_run: bool = False) -> LoopState:
+def standing(index: DataFrame, targets: DataFrame, accepted: DataFrame, analyzed: DataFrame, rate: float) -> DataFrame:
+    """feature, target, accepted, candidates, required, status of each target."""
+    short = short_of(targets.withColumnRenamed("desired", "target"), coverage_counts(index.join(accepted, "clip_id", "left_semi")))
+    pool = coverage_counts(index.join(analyzed, "clip_id", "left_anti")).withColumnRenamed("count", "candidates")
+    rows = short.join(pool, "feature", "left").na.fill(0, ["candidates"])
+    status = status_of_plan(F.col("target"), F.col("accepted"), F.col("candidates"), F.lit(rate), F.col("required"))
+    return rows.select("feature", "target", "accepted", "candidates", "required", status.alias("status"))
+
+
+def top_deficits(rows: list, most: int = 5) -> list[list]:
+    """The targets that lack most, required ones first."""
+    lacking = sorted((not r.required, r.accepted - r.target, r.feature) for r in rows if r.accepted < r.target)
+    return [[f, -d] for _, d, f in lacking[:most]]
+
+
+#: How a loop may end.
+STOPS = ("complete", "candidate_exhausted", "unreachable", "likely_unreachable", "analysis_budget_exceeded", "iteration_limit_reached", "cancelled", "failed", "dry_run")
+
+
+@dataclass(frozen=True)
+class LoopLimits:
+    max_iterations: int = 50
+    max_clips: int = 10_000
+    max_audio_hours: float = 100.0
+
+
+def _nothing_left(index: DataFrame, short: DataFrame, analyzed: DataFrame, rate: float) -> str:
+    """Why no clip is planned although something required is short."""
+    pool = coverage_counts(useful(index, short, analyzed)).withColumnRenamed("count", "candidates")
+    needed = short.where("required and deficit > 0").join(pool, "feature", "left").na.fill(0, ["candidates"])
+    counts = needed.agg(
+        F.count_if(F.col("candidates") == 0).alias("none"), F.count_if((F.col("candidates") > 0) & (F.col("candidates") < F.col("deficit"))).alias("few"),
+        F.count_if((F.col("candidates") >= F.col("deficit")) & (F.col("candidates") * rate + 1e-9 < F.col("deficit"))).alias("unlikely"),
+    ).first()
+    return "candidate_exhausted" if counts["none"] else "unreachable" if counts["few"] else "likely_unreachable" if counts["unlikely"] else "candidate_exhausted"
+
+
+def run_loop(
+    index: DataFrame, targets: DataFrame, analyze: Callable[[DataFrame], DataFrame], state_path: str, limits: LoopLimits = LoopLimits(), config: PlannerConfig = PlannerConfig(),
+    dry_run: bool = False, cancelled: Callable[[], bool] = lambda: False,
+) -> LoopState:
     """Plan a batch, analyse it, count what passed, until nothing required is short or no candidate helps.
 
     analyze: a table of clip_id to one of clip_id, passed. A state file at state_path is resumed with the clips that it
     accepted; one of other targets, config or index, or without accepted clips for its passes, raises ValueError. Ends
-    with a reason: satisfied, candidate_exhausted, max_iterations, max_clips, dry_run.
+    with one of STOPS; where analyze raises, the state says so before the error goes on.
     """
     spark, path = index.sparkSession, Path(state_path)
     state = LoopState(**json.loads(path.read_text())) if path.exists() else LoopState()
@@ -182,33 +248,44 @@ def run_loop(index: DataFrame, targets: DataFrame, analyze: Callable[[DataFrame]
     if len(state.accepted) != sum(state.passes.values()):
         raise ValueError(f"{path} doesn't hold the clips that passed")
     state.config_hash, state.index_hash = hashes
-    state.stop = None
+    state.stop = state.error = None
+    save = lambda: path.write_text(json.dumps(asdict(state)))
     ids = lambda names: spark.createDataFrame([(x,) for x in names], "clip_id string")
     while True:
         done = ids(state.analyzed)
         stats = spark.createDataFrame([(s, n, state.passes.get(s, 0)) for s, n in sorted(state.attempts.items())], "speaker_id string, attempts long, passes long")
         counts = coverage_counts(index.join(ids(state.accepted), "clip_id", "left_semi"))
-        need = short_of(targets.withColumnRenamed("desired", "target"), counts).where("required").agg(F.sum("deficit")).first()[0] or 0
+        short = short_of(targets.withColumnRenamed("desired", "target"), counts)
+        need = short.where("required").agg(F.sum("deficit")).first()[0] or 0
         if not need:
-            state.stop = "satisfied"
-        elif state.iteration >= max_iterations:
-            state.stop = "max_iterations"
-        elif len(state.analyzed) >= max_clips:
-            state.stop = "max_clips"
+            state.stop = "complete"
+        elif state.iteration >= limits.max_iterations:
+            state.stop = "iteration_limit_reached"
+        elif len(state.analyzed) >= limits.max_clips or state.seconds / 3600 >= limits.max_audio_hours:
+            state.stop = "analysis_budget_exceeded"
+        elif cancelled():
+            state.stop = "cancelled"
         batch = [] if state.stop else plan_batch(index, targets, counts, done, stats, config).orderBy("rank").collect()  # max_batch rows
         if not state.stop and not batch:
-            state.stop = "candidate_exhausted"
+            tried = sum(state.attempts.values())
+            state.stop = _nothing_left(index, short, done, sum(state.passes.values()) / tried if tried else config.default_rate)
         if not state.stop and dry_run:
             state.stop = "dry_run"
         if state.stop:
             break
-        results = analyze(ids([r.clip_id for r in batch])).select("clip_id", "passed").join(index.select("clip_id", "client_id"), "clip_id").collect()
+        try:
+            results = analyze(ids([r.clip_id for r in batch])).select("clip_id", "passed").join(index.select("clip_id", "client_id", "duration_sec"), "clip_id").collect()
+        except Exception as e:
+            state.stop, state.error = "failed", f"{type(e).__name__}: {e}"[:500]
+            save()
+            raise
         for r in results:
             state.attempts[r.client_id] = state.attempts.get(r.client_id, 0) + 1
             state.passes[r.client_id] = state.passes.get(r.client_id, 0) + int(r.passed)
+            state.seconds += r.duration_sec or 0.0
         state.analyzed += [r.clip_id for r in batch]
         state.accepted += sorted(r.clip_id for r in results if r.passed)
         state.iteration += 1
-        path.write_text(json.dumps(asdict(state)))
-    path.write_text(json.dumps(asdict(state)))
+        save()
+    save()
     return state

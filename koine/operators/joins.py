@@ -34,7 +34,7 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "clip_id") -> DataFrame:
 
 def reusable(rows: DataFrame, prior: DataFrame, pipeline_hash: str) -> DataFrame:
     """rows(path, row_index, text_raw) with `reuse`: whether a prior row of the same place, text and pipeline settled it."""
-    known = prior.where(F.col("disposition").isin("hard_rejected", "eligible", "selected", "reserve")).select(
+    known = prior.where(F.col("disposition").isin(*SETTLED)).select(
         F.col("path"), F.col("row_index"), F.col("text_raw").alias("__text"), F.col("pipeline_hash").alias("__hash"), F.col("clip_id").alias("prior_clip_id")
     )
     same = (F.col("__text").eqNullSafe(F.col("text_raw"))) & (F.col("__hash") == pipeline_hash)
@@ -42,6 +42,25 @@ def reusable(rows: DataFrame, prior: DataFrame, pipeline_hash: str) -> DataFrame
     return out.withColumn("prior_clip_id", F.when(F.col("reuse"), F.col("prior_clip_id"))).drop("__text", "__hash")
 
 
+#: Dispositions of rows that an analysis settled.
+SETTLED = ("hard_rejected", "eligible", "selected", "reserve")
+
+
+def reusable_by_id(rows: DataFrame, prior: DataFrame) -> DataFrame:
+    """rows(clip_id) with `reuse`: whether a prior row of the clip settled it; for a part of a catalog analysed anew."""
+    known = prior.where(F.col("disposition").isin(*SETTLED)).select("clip_id", F.lit(True).alias("__known")).distinct()
+    return rows.join(known, "clip_id", "left").withColumn("reuse", F.coalesce("__known", F.lit(False))).drop("__known")
+
+
+def reusable_index(rows: DataFrame, prior: DataFrame) -> DataFrame:
+    """rows(source_path, source_row_index, sentence, audio_sha256) with `reuse`: whether the index before has the place with
+    the same sentence and recording. A missing recording was missing before."""
+    known = prior.select("source_path", "source_row_index", F.col("sentence").alias("__sentence"), F.nullif("audio_sha256", F.lit("")).alias("__sha"), F.col("clip_id").alias("prior_clip_id"))
+    same = F.col("__sentence").eqNullSafe(F.col("sentence")) & F.col("__sha").eqNullSafe(F.nullif("audio_sha256", F.lit("")))
+    out = rows.join(known, ["source_path", "source_row_index"], "left").withColumn("reuse", F.col("prior_clip_id").isNotNull() & same)
+    return out.withColumn("prior_clip_id", F.when(F.col("reuse"), F.col("prior_clip_id"))).drop("__sentence", "__sha")
+
+
 def manifest_phonemes(clips: DataFrame, manifest: DataFrame, policy: str = "skip") -> DataFrame:
     """Clips with the phonemes of an alignment manifest; those without are left or rejected by policy."""
     joined = clips.join(manifest.select("source_path", F.col("phonemes").alias("aligned_phonemes")), "source_path", "left")

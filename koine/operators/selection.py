@@ -12,6 +12,7 @@ import math
 import warnings
 from collections import Counter
 from dataclasses import asdict, dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,9 @@ class Weights:
     tolerance: float = 0.02
     local_search_steps: int = 200
     acoustic: float = 0.0
+    exchanges: tuple[str, ...] = ("1v1",)
+    families: dict[str, float] = field(default_factory=dict)
+    taus: dict[str, float] = field(default_factory=dict)
 
 
 def coverage_constraints(targets: DataFrame, keys: DataFrame, index_counts: DataFrame | None = None) -> DataFrame:
@@ -152,17 +156,35 @@ def reserve(clips: list[dict], constraints: dict[str, dict], ledger: Ledger) ->
 
 
 class Utility:
-    """Diminishing utility of tokens, with each clip's distinct ones."""
-
-    def __init__(self, targets: dict[str, float], temperature: float):
-        self.targets, self.t, self.counts = targets, temperature if temperature > 0 else 1.0, Counter()
+    """Diminishing utility of tokens, with each clip's distinct ones. A family (what stands before a token's colon) may
+    have a weight of its own and a temperature of its own; a weight of 0 leaves it out."""
+
+    def __init__(self, targets: dict[str, float], temperature: float, weights: dict[str, float] | None = None, taus: dict[str, float] | None = None):
+        family = lambda x: x.split(":", 1)[0]
+        weighted = {x: w * (weights or {}).get(family(x), 1.0) for x, w in targets.items()}
+        self.targets, self.counts = {x: w for x, w in weighted.items() if w > 0}, Counter()
+        usual = temperature if temperature > 0 else 1.0
+        own = {f: t if t > 0 else 1.0 for f, t in (taus or {}).items()}
+        self.t = {x: own.get(family(x), usual) for x in self.targets}
+
+    def worth(self, x: str) -> float:
+        """What one more of a token adds."""
+        n = self.t[x] + self.counts[x]
+        return self.targets[x] * math.log((n + 1) / n)
 
     def gain(self, tokens) -> float:
-        return math.fsum(self.targets[x] * math.log((self.t + self.counts[x] + 1) / (self.t + self.counts[x])) for x in tokens if x in self.targets)
+        return math.fsum(self.worth(x) for x in tokens if x in self.targets)
 
     def gains(self) -> dict[str, float]:
-        """What one more of each token adds."""
-        return {x: w * math.log((self.t + self.counts[x] + 1) / (self.t + self.counts[x])) for x, w in self.targets.items()}
+        return {x: self.worth(x) for x in self.targets}
+
+    def explained(self, tokens, most: int = 5) -> dict:
+        """The gain of a clip's tokens by family, and the `most` tokens that add most."""
+        parts = sorted(((self.worth(x), x) for x in tokens if x in self.targets), key=lambda p: (-p[0], p[1]))
+        families: dict[str, float] = {}
+        for w, x in parts:
+            families[x.split(":", 1)[0]] = families.get(x.split(":", 1)[0], 0.0) + w
+        return {"families": families, "reasons": [[x, w] for w, x in parts[:most]]}
 
     def put(self, tokens, by: int = 1) -> None:
         for x in tokens:
@@ -173,14 +195,14 @@ class Utility:
         lost, back = 0.0, {}
         for x in tokens:
             if x in self.targets:
-                n, w = self.counts[x], self.targets[x]
-                now, less = w * math.log((self.t + n + 1) / (self.t + n)), w * math.log((self.t + n) / (self.t + n - 1))
+                n, w = self.t[x] + self.counts[x], self.targets[x]
+                now, less = w * math.log((n + 1) / n), w * math.log(n / (n - 1))
                 lost += less
                 back[x] = less - now
         return lost, back
 
     def value(self) -> float:
-        return math.fsum(self.targets[x] * math.log(1 + n / self.t) for x, n in self.counts.items() if x in self.targets and n > 0)
+        return math.fsum(self.targets[x] * math.log(1 + n / self.t[x]) for x, n in self.counts.items() if x in self.targets and n > 0)
 
 
 class Diversity:
@@ -246,73 +268,126 @@ def fill(clips: list[dict], ledger: Ledger, utility: Utility, taken: set[int], u
 
 
 def improve(clips: list[dict], chosen: set[int], pool: list[int], fixed: set[int], ledger: Ledger, utility: Utility, until: float, weights: Weights) -> int:
-    """Exchange a chosen clip for one outside while that adds utility and keeps every limit, the duration and what was
-    reserved. pool is all that may come in. A step budget, not a clock: results repeat. Returns the number of exchanges."""
+    """Exchange chosen clips for ones outside while that adds utility and keeps every limit, the duration and what was
+    reserved: one for one, and where that adds nothing one for two or two for one if `exchanges` names them. pool is all
+    that may come in. A step budget, not a clock: results repeat. Returns the number of exchanges."""
     moves = 0
     for _ in range(weights.local_search_steps if chosen - fixed else 0):
         gain_of = utility.gains()
         gains = sorted(((math.fsum(gain_of[x] for x in clips[j]["tokens"] if x in gain_of), j) for j in pool if j not in chosen), key=lambda x: (-x[0], clips[x[1]]["clip_id"]))
-        best, rank = None, 1e-9
-        for i in sorted(chosen - fixed, key=lambda i: clips[i]["clip_id"]):
-            a = clips[i]
-            lost, back = utility.given_up(a["tokens"])
-            slack = sum(back.values())
-            ledger.put(a, -1)
-            for gain, j in gains:
-                if gain + slack - lost <= rank:  # no later one can do better
-                    break
-                b = clips[j]
-                total = gain - lost + sum(back[x] for x in back.keys() & set(b["tokens"]))
-                if total > rank and abs(ledger.total + b["duration"] - until) <= weights.tolerance * until and ledger.admits(b):
-                    best, rank = (i, j), total
-            ledger.put(a)
+        free = sorted(chosen - fixed, key=lambda i: clips[i]["clip_id"])
+        best = None
+        for pattern in ("1v1", "1v2", "2v1"):
+            if best is None and pattern in weights.exchanges:
+                best = _best_exchange(clips, pattern, free, gains, ledger, utility, until, weights)
         if best is None:
             break
-        i, j = best
-        for k, by in ((i, -1), (j, 1)):
-            utility.put(clips[k]["tokens"], by)
-            ledger.put(clips[k], by)
-        chosen.remove(i)
-        chosen.add(j)
+        for gone, by in ((best[0], -1), (best[1], 1)):
+            for k in gone:
+                utility.put(clips[k]["tokens"], by)
+                ledger.put(clips[k], by)
+        chosen -= set(best[0])
+        chosen |= set(best[1])
         moves += 1
     return moves
 
 
+def _best_exchange(clips, pattern: str, free: list[int], gains: list[tuple[float, int]], ledger: Ledger, utility: Utility, until: float, weights: Weights):
+    """The exchange of a pattern that adds most, as (out, in), or None. gains: (gain, clip) falling; what goes out gives
+    back at most its slack, so the search ends where no later clip can do better."""
+    best, rank = None, 1e-9
+    leaving = [(i,) for i in free] if pattern[0] == "1" else list(combinations(free, 2))
+    for out in leaving:
+        lost, slack = 0.0, 0.0
+        for i in out:
+            less, back = utility.given_up(clips[i]["tokens"])
+            lost, slack = lost + less, slack + sum(back.values())
+            utility.put(clips[i]["tokens"], -1)
+            ledger.put(clips[i], -1)
+        for n, (gain, j) in enumerate(gains):
+            if (1 + (pattern[2] == "2")) * gain + slack - lost <= rank:
+                break
+            first, seconds = utility.gain(clips[j]["tokens"]), gains[n + 1 :] if pattern[2] == "2" else [(0.0, None)]
+            if not ledger.admits(clips[j]):
+                continue
+            utility.put(clips[j]["tokens"])
+            ledger.put(clips[j])
+            for more, k in seconds:
+                if gain + more + slack - lost <= rank:
+                    break
+                total = first - lost + (utility.gain(clips[k]["tokens"]) if k is not None else 0.0)
+                length = ledger.total + (clips[k]["duration"] if k is not None else 0.0)
+                if total > rank and abs(length - until) <= weights.tolerance * until and (k is None or ledger.admits(clips[k])):
+                    best, rank = (out, (j,) if k is None else (j, k)), total
+            utility.put(clips[j]["tokens"], -1)
+            ledger.put(clips[j], -1)
+        for i in out:
+            utility.put(clips[i]["tokens"])
+            ledger.put(clips[i])
+    return best
+
+
 PLAN_FIELDS = "bucket string, clip_id string, disposition string, selection_score double, selection_rank long, positive_contributions string, penalties string, selected_reason string, reserve_reason string"
 
 
+def _with_shares(pool: DataFrame, targets: DataFrame, constraints: DataFrame | None) -> DataFrame:
+    """Candidates with the shares of their tokens and the needs of their features beside them, joined by Spark: nothing
+    the size of a vocabulary goes to the driver or to all tasks."""
+    tokens = pool.select("clip_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    shares = targets.select(F.concat_ws(":", "family", "token").alias("token"), "target")
+    valued = tokens.join(shares, "token").groupBy("clip_id").agg(F.collect_list(F.struct("token", "target")).alias("shares"))
+    rows = pool.drop("tokens").join(valued, "clip_id", "left")
+    if constraints is None:
+        return rows.drop("keys").withColumn("needs", F.lit(None).cast("array<struct<feature:string,least:long,weight:double>>"))
+    weight = F.col("weight") if "weight" in constraints.columns else F.lit(1.0)
+    least = constraints.where("required and effective_minimum > 0").select("feature", F.col("effective_minimum").cast("long").alias("least"), weight.cast("double").alias("weight"))
+    keys = pool.select("clip_id", F.explode(F.array_distinct("keys")).alias("feature")).join(least, "feature")
+    needs = keys.groupBy("clip_id").agg(F.collect_list(F.struct("feature", "least", "weight")).alias("needs"))
+    return rows.drop("keys").join(needs, "clip_id", "left")
+
+
 def select(candidates: DataFrame, targets: DataFrame, until: dict[str, float], limits: Limits = Limits(), constraints: DataFrame | None = None, weights: Weights = Weights()) -> DataFrame:
     """Selected and reserve clips of each bucket, ranked.
 
     candidates: bucket, clip_id, speaker_id, duration_sec, quality_score, tokens ARRAY<STRING> (family:token), keys
     ARRAY<STRING> (coverage features), groups MAP<STRING,STRING>, override_action, and vector ARRAY<DOUBLE> if acoustic
-    diversity has a weight. targets(family, token, target) and
-    constraints(feature, required, effective_minimum) are bounded by the vocabulary and go to the driver. A bucket is
-    one task: its clips come as integers' worth of a row each, about a million at most.
+    diversity has a weight. targets(family, token, target) and constraints(feature, required, effective_minimum and
+    perhaps weight) are joined to the candidates that have them. A bucket is one task, as the choice is sequential: its
+    clips come as a narrow row each, about a million at most; `choose` takes larger ones another way.
     """
-    spark = candidates.sparkSession
-    shares = {f"{r.family}:{r.token}": r.target for r in targets.collect()}
-    wanted = {r.feature: {"required": r.required, "effective_minimum": r.effective_minimum} for r in constraints.collect()} if constraints is not None else {}
-    shared = spark.sparkContext.broadcast((shares, wanted))
     pool = candidates.where("coalesce(override_action, '') <> 'hard_reject'")
+    rows = _with_shares(pool, targets, constraints)
 
     def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        shares, wanted = shared.value
         pdf = pdf.sort_values("clip_id")
+        listed = lambda x: [] if x is None else list(x)
+        shares = {p["token"]: p["target"] for x in pdf["shares"] for p in listed(x)}
+        wanted = {p["feature"]: {"required": True, "effective_minimum": p["least"], "weight": p["weight"]} for x in pdf["needs"] for p in listed(x)}
         clips = [
             {"clip_id": r.clip_id, "speaker": r.speaker_id or "", "duration": float(r.duration_sec or 0.0), "quality": None if pd.isna(r.quality_score) else float(r.quality_score),
-             "tokens": sorted(set(r.tokens)), "keys": set(r.keys), "groups": dict(r.groups or {}), "action": r.override_action}
+             "tokens": sorted(p["token"] for p in listed(r.shares)), "keys": {p["feature"] for p in listed(r.needs)}, "groups": dict(r.groups or {}), "action": r.override_action}
             for r in pdf.itertuples()
         ]
         vectors = np.array([list(v) for v in pdf["vector"]], dtype=np.float64) if "vector" in pdf and weights.acoustic else None
         return pd.DataFrame(run_kernel(key[0], clips, shares, wanted, until.get(key[0], 0.0), limits, weights, vectors), columns=[x.split()[0] for x in PLAN_FIELDS.split(", ")])
 
-    return pool.groupBy("bucket").applyInPandas(kernel, PLAN_FIELDS)
+    return rows.groupBy("bucket").applyInPandas(kernel, PLAN_FIELDS)
+
+
+def choose(candidates: DataFrame, targets: DataFrame, until: dict[str, float], limits: Limits = Limits(), constraints: DataFrame | None = None, weights: Weights = Weights(), most: int = 500_000) -> DataFrame:
+    """`select` for buckets of at most `most` candidates, `select_distributed` for larger ones."""
+    sizes = {r.bucket: r["count"] for r in candidates.groupBy("bucket").count().collect()}  # a row a split
+    large = sorted(b for b, n in sizes.items() if n > most)
+    plan = select(candidates.where(~F.col("bucket").isin(large)) if large else candidates, targets, until, limits, constraints, weights)
+    for bucket in large:
+        own = select_distributed(candidates.where(F.col("bucket") == bucket), targets, until.get(bucket, 0.0), -(-sizes[bucket] // most), limits, weights, constraints)
+        plan = plan.unionByName(own.withColumn("bucket", F.lit(bucket)))
+    return plan
 
 
 def run_kernel(bucket: str, clips: list[dict], shares: dict[str, float], wanted: dict[str, dict], until: float, limits: Limits, weights: Weights, vectors: np.ndarray | None = None) -> list[tuple]:
     """Forced clips, reservation, filling, local search; then the reserve by score."""
-    ledger, utility, diversity = Ledger(limits), Utility(shares, weights.temperature), Diversity(vectors, weights.acoustic)
+    ledger, utility, diversity = Ledger(limits), Utility(shares, weights.temperature, weights.families, weights.taus), Diversity(vectors, weights.acoustic)
     barred = {i for i, c in enumerate(clips) if c["action"] in ("force_exclude", "return_to_reserve")}
     order: list[tuple[int, float, str]] = []
     for i, c in enumerate(clips):
@@ -337,9 +412,17 @@ def run_kernel(bucket: str, clips: list[dict], shares: dict[str, float], wanted:
     outside = [i for i in range(len(clips)) if i not in chosen and i not in barred]
     improve(clips, chosen, outside, fixed, ledger, utility, until, weights)
     order = [x for x in order if x[0] in chosen] + [(i, utility.gain(clips[i]["tokens"]), "exchange") for i in sorted(chosen - {x[0] for x in order})]
-    rows = [
-        (bucket, clips[i]["clip_id"], "selected", s, n, json.dumps({"score": s}), json.dumps({}), why, None) for n, (i, s, why) in enumerate(order, 1)
-    ]
+    rows, told, speakers = [], Utility(shares, weights.temperature, weights.families, weights.taus), set()
+    for n, (i, s, why) in enumerate(order, 1):
+        c = clips[i]
+        parts = {"score": s} | told.explained(c["tokens"])
+        if weights.speaker_bonus and c["speaker"] not in speakers:
+            parts["speaker_diversity"] = weights.speaker_bonus
+        if weights.quality_bonus and c["quality"] is not None:
+            parts["quality"] = weights.quality_bonus * c["quality"] / 100
+        told.put(c["tokens"])
+        speakers.add(c["speaker"])
+        rows.append((bucket, c["clip_id"], "selected", s, n, json.dumps(parts, ensure_ascii=False), json.dumps({}), why, None))
     rest = sorted(((-utility.gain(c["tokens"]), c["clip_id"], i) for i, c in enumerate(clips) if i not in chosen))
     for s, name, i in rest:
         reason = "barred by an override" if i in barred else "not needed" if ledger.admits(clips[i]) else "limits"
@@ -361,8 +444,9 @@ def select_distributed(
     forced = F.coalesce(F.col("override_action") == "force_include", F.lit(False))
     first = pool.where(forced)
     if constraints is not None:
-        needed = [r.feature for r in constraints.where("required and effective_minimum > 0").select("feature").collect()]  # bounded by the vocabulary
-        first = pool.where(forced | F.arrays_overlap("keys", F.array(*map(F.lit, needed)).cast("array<string>")))
+        needed = constraints.where("required and effective_minimum > 0").select("feature")
+        holding = pool.select("clip_id", F.explode("keys").alias("feature")).join(needed, "feature", "left_semi").select("clip_id")
+        first = pool.join(holding.unionByName(pool.where(forced).select("clip_id")).distinct(), "clip_id", "left_semi")
     core = cut(select(first, targets, {"all": 0.0}, limits, constraints, weights), "core")
     told = core.where("disposition = 'reserve'").select("penalties").first()
     ahead = core.where("disposition = 'selected'").select("clip_id", F.col("selection_rank").alias("r"), F.col("selection_score").alias("s"), F.col("selected_reason").alias("why"), F.col("positive_contributions").alias("p"))
@@ -378,24 +462,34 @@ def select_distributed(
     names = [x.split()[0] for x in PLAN_FIELDS.split(", ")]
     plan = cut(last.withColumns({c: F.coalesce(F.col(x), F.col(c)) for c, x in known.items()}).select(*names), "plan")
 
-    ledger, utility = Ledger(limits), Utility({f"{r.family}:{r.token}": r.target for r in targets.collect()}, weights.temperature)
-    for r in pool.join(plan.select("clip_id"), "clip_id", "left_semi").toLocalIterator():  # bounded by the duration
+    chosen = pool.join(plan.select("clip_id"), "clip_id", "left_semi")
+    ledger = Ledger(limits)
+    for r in chosen.select("speaker_id", "duration_sec", "quality_score", "groups").toLocalIterator():  # bounded by the duration
         ledger.put(_plain(r.speaker_id, r.duration_sec, r.quality_score, r.groups))
-        utility.put(set(r.tokens))
-    shared = spark.sparkContext.broadcast((ledger, utility, told.penalties if told else json.dumps({"blocked": []})))
+    shared = spark.sparkContext.broadcast((ledger, told.penalties if told else json.dumps({"blocked": []})))
+
+    # what one more of each token adds to what was selected, and so each other clip's score
+    family = lambda t: F.substring_index(t, ":", 1)
+    by_family = lambda of, usual: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in sorted(of.items()) for x in p]), family(F.col("token"))), F.lit(usual)) if of else F.lit(usual)
+    counts = chosen.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    at = F.coalesce("n", F.lit(0)) + by_family(weights.taus, weights.temperature if weights.temperature > 0 else 1.0)
+    worth = targets.select(F.concat_ws(":", "family", "token").alias("token"), "target").join(counts, "token", "left")
+    worth = worth.select("token", (F.col("target") * by_family(weights.families, 1.0) * F.log((at + 1) / at)).alias("worth"))
+    left = pool.join(plan.select("clip_id"), "clip_id", "left_anti")
+    gains = left.select("clip_id", F.explode(F.array_distinct("tokens")).alias("token")).join(worth, "token").groupBy("clip_id").agg(F.sum("worth").alias("gain"))
+    left = left.select("clip_id", "speaker_id", "duration_sec", "quality_score", "groups", "override_action").join(gains, "clip_id", "left")
 
     def reserved(frames):
-        ledger, utility, penalties = shared.value
+        ledger, penalties = shared.value
         for pdf in frames:
             rows = []
             for r in pdf.itertuples(index=False):
                 barred = r.override_action in ("force_exclude", "return_to_reserve")
                 admitted = ledger.admits(_plain(r.speaker_id, r.duration_sec, r.quality_score, r.groups))
                 reason = "barred by an override" if barred else "not needed" if admitted else "limits"
-                rows.append(("all", r.clip_id, "reserve", utility.gain(sorted(set(r.tokens))), None, json.dumps({}), penalties, None, reason))
+                rows.append(("all", r.clip_id, "reserve", 0.0 if pd.isna(r.gain) else r.gain, None, json.dumps({}), penalties, None, reason))
             yield pd.DataFrame(rows, columns=names)
 
-    left = pool.join(plan.select("clip_id"), "clip_id", "left_anti").select("clip_id", "speaker_id", "duration_sec", "quality_score", "tokens", "groups", "override_action")
     return plan.unionByName(left.mapInPandas(reserved, PLAN_FIELDS))
 
 

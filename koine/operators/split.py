@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPLITS = ("train", "validation", "test")
+SPLITS = ("train", "val", "test")
 
 
 def assign_speakers(durations: dict[str, float], protected: set[str], ratios: dict[str, float], seed: int = 0) -> dict[str, str]:
@@ -35,56 +35,85 @@ def unseen_speaker(clips: DataFrame, protected: DataFrame, ratios: dict[str, flo
     return clips.sparkSession.createDataFrame(sorted(assigned.items()), "speaker_id string, split string")
 
 
-def assign_clips(rows: list[dict], critical: set[str], ratios: dict[str, float], dimensions: tuple[str, ...], seed: int = 0) -> dict[str, str]:
-    """Each clip, in a seeded order, to the split with the largest deficit that leaks nothing along the dimensions.
+def assign_clips(rows: list[dict], ratios: dict[str, float], policies: dict[str, str], seed: int = 0, least: int = 1) -> tuple[dict[str, str], list[str]]:
+    """Each clip, in a seeded order, to the split with the largest deficit that leaks nothing; and warnings.
 
-    Clips with a critical feature prefer train. A clip that leaks everywhere joins the split that holds its keys. Each
-    key's splits are kept, so the work is linear in clips. In the end a split without clips gets one from the largest.
+    rows: clip_id, duration, critical (the clip's critical features), a key or None for each dimension of policies: forbid,
+    forbid_for_test or allow. Clips with a critical feature prefer train. A clip that leaks everywhere goes to train with
+    a warning. Each key's splits are kept, so the work is linear in clips. In the end a critical feature that train has
+    less than `least` times gets its first clip from another split.
     """
-    total = sum(r["duration"] for r in rows)
+    total, warnings = sum(r["duration"] for r in rows), []
     have = {s: 0.0 for s in ratios}
-    where: dict[tuple[str, str], Counter] = defaultdict(Counter)
+    where: dict[tuple[str, str], set] = defaultdict(set)
+    active = {d: p for d, p in policies.items() if p != "allow"}
     order = sorted(rows, key=lambda r: r["clip_id"])
     random.Random(seed).shuffle(order)
     out: dict[str, str] = {}
+    trained = Counter()
+
+    def leaks(r: dict, split: str) -> bool:
+        for d, policy in active.items():
+            held = where[d, r[d]] | {split} if r[d] else ()
+            if len(held) > 1 and (policy == "forbid" or "test" in held):
+                return True
+        return False
+
     for r in order:
-        keys = [(d, r[d]) for d in dimensions if r[d]]
-        bound = Counter()
-        for k in keys:
-            bound.update(where[k])
-        allowed = [s for s in ratios if not (set(bound) - {s})] or [max(bound, key=lambda s: (bound[s], s))]
-        split = max(allowed, key=lambda s: (1e6 * (s == "train" and bool(critical & r["features"])) + ratios[s] * total - have[s], s == "train", s))
+        open_ = [s for s in ratios if (ratios[s] > 0 or s == "train") and not leaks(r, s)]
+        if not open_:
+            warnings.append(f"{r['clip_id']} leaks wherever it goes: it goes to train")
+        split = min(open_ or ["train"], key=lambda s: (-(1e6 * (s == "train" and bool(r["critical"])) + ratios[s] * total - have[s] - r["duration"]), s))
         out[r["clip_id"]] = split
         have[split] += r["duration"]
-        for k in keys:
-            where[k][split] += 1
-    for s in ratios:
-        if ratios[s] > 0 and s not in out.values():
-            counts = Counter(out.values())
-            donor, n = counts.most_common(1)[0]
-            free = [r for r in order if out[r["clip_id"]] == donor and all(sum(where[d, r[d]].values()) == 1 for d in dimensions if r[d])]
-            if n > 1 and free:
-                out[free[-1]["clip_id"]] = s
-    return out
+        for d in active:
+            if r[d]:
+                where[d, r[d]].add(split)
+        if split == "train":
+            trained.update(r["critical"])
+    holders = defaultdict(list)
+    for r in order:
+        for f in r["critical"]:
+            holders[f].append(r["clip_id"])
+    for f in sorted(holders):
+        if trained[f] < least:
+            donor = next((i for i in holders[f] if out[i] != "train"), None)
+            if donor is None:
+                warnings.append(f"train has {trained[f]} clips with {f}, of {least} that it needs")
+            else:
+                out[donor] = "train"
+                trained[f] += 1
+    return out, warnings
 
 
-def seen_speaker(clips: DataFrame, critical: DataFrame, ratios: dict[str, float], dimensions=("audio_sha256", "sentence_id", "text_norm"), seed: int = 0) -> DataFrame:
-    """clip_id, split. clips: clip_id, duration_sec, features ARRAY<STRING>, dimensions. The assignment is sequential and
-    runs in one task over narrow rows: keys as 64-bit hashes."""
-    rare = {f"{r.feature_type}:{r.feature}" for r in critical.collect()}
-    shared = clips.sparkSession.sparkContext.broadcast(rare)
-    keys = [F.when(F.col(d).isNotNull() & (F.col(d) != ""), F.xxhash64(d).cast("string")).alias(d) for d in dimensions]
-    narrow = clips.select(F.lit(0).alias("all"), "clip_id", F.coalesce("duration_sec", F.lit(0.0)).alias("duration"), "features", *keys)
+#: The usual policies against leaks between splits, by column.
+POLICIES = {"audio_sha256": "forbid", "sentence_id": "forbid", "text_norm": "forbid"}
+
+
+def seen_speaker(clips: DataFrame, critical: DataFrame, ratios: dict[str, float], policies: dict[str, str] = POLICIES, seed: int = 0, least: int = 1) -> DataFrame:
+    """clip_id, split, warning. clips: clip_id, duration_sec, features ARRAY<STRING> and the policies' columns.
+
+    Spark finds each clip's critical features by a join, so that a task of its own sees narrow rows: keys as 64-bit
+    hashes, and of features only the critical ones. The rule is sequential over all clips, one task takes them.
+    """
+    rare = critical.select(F.concat_ws(":", "feature_type", "feature").alias("feature")).distinct()
+    held = clips.select("clip_id", F.explode(F.array_distinct("features")).alias("feature")).join(rare, "feature")
+    held = held.groupBy("clip_id").agg(F.collect_list(F.xxhash64("feature")).alias("critical"))
+    keys = [F.when(F.col(d).isNotNull() & (F.col(d) != ""), F.xxhash64(d).cast("string")).alias(d) for d in policies]
+    narrow = clips.select(F.lit(0).alias("all"), "clip_id", F.coalesce("duration_sec", F.lit(0.0)).alias("duration"), *keys).join(held, "clip_id", "left")
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [r._asdict() | {"features": set(r.features)} for r in pdf.itertuples(index=False)]
-        return pd.DataFrame(sorted(assign_clips(rows, shared.value, ratios, tuple(dimensions), seed).items()), columns=["clip_id", "split"])
+        rows = [r._asdict() | {"critical": [] if r.critical is None else sorted(r.critical)} for r in pdf.itertuples(index=False)]
+        assigned, warnings = assign_clips(rows, ratios, policies, seed, least)
+        told = {w.split(" ", 1)[0]: w for w in warnings}
+        return pd.DataFrame([(i, s, told.get(i)) for i, s in sorted(assigned.items())], columns=["clip_id", "split", "warning"])
 
-    return narrow.groupBy("all").applyInPandas(kernel, "clip_id string, split string")
+    return narrow.groupBy("all").applyInPandas(kernel, "clip_id string, split string, warning string")
 
 
 def single_speaker(clips: DataFrame, ratios: dict[str, float], seed: int = 0) -> DataFrame:
-    return seen_speaker(clips, clips.sparkSession.createDataFrame([], "feature_type string, feature string"), ratios, ("audio_sha256", "text_norm"), seed)
+    none = clips.sparkSession.createDataFrame([], "feature_type string, feature string")
+    return seen_speaker(clips, none, ratios, {"audio_sha256": "forbid", "text_norm": "forbid"}, seed)
 
 
 def by_utterances(counts: dict[str, int], ratios: dict[str, float], seed: int = 0) -> dict[str, str]:
@@ -93,7 +122,7 @@ def by_utterances(counts: dict[str, int], ratios: dict[str, float], seed: int =
     random.Random(seed).shuffle(names)
     out, have = {}, Counter()
     for s in names:
-        split = next((x for x in ("test", "validation") if have[x] + counts[s] <= ratios.get(x, 0) * total), "train")
+        split = next((x for x in ("test", "val") if have[x] + counts[s] <= ratios.get(x, 0) * total), "train")
         out[s] = split
         have[split] += counts[s]
     return out

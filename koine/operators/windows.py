@@ -47,6 +47,12 @@ def vote_winners(votes: DataFrame) -> DataFrame:
     )
 
 
+def top_votes(votes: DataFrame, most: int = 5) -> DataFrame:
+    """src, place, dst, votes of each source's best targets."""
+    w = Window.partitionBy("src").orderBy(F.desc("votes"), "dst")
+    return votes.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("src", "place", "dst", "votes")
+
+
 def merge_suggestions(base: DataFrame, found: DataFrame, overwrite: bool = False) -> DataFrame:
     """base(src, dst) with found(src, dst): missing entries are filled, known ones kept or overwritten."""
     joined = base.withColumnRenamed("dst", "old").join(found.select("src", F.col("dst").alias("new")), "src", "full")
@@ -60,7 +66,7 @@ def random_split(rows: DataFrame, train: float, validation: float, seed: int = 0
     n = rows.count()
     a, b = int(n * train), int(n * train) + int(n * validation)
     place = F.col("__place")
-    split = F.when(place <= a, "train").when(place <= b, "validation").otherwise("test")
+    split = F.when(place <= a, "train").when(place <= b, "val").otherwise("test")
     return numbered(rows, [F.xxhash64(F.lit(seed), "clip_id"), "clip_id"], "__place").withColumn("split", split).drop("__place")
 
 

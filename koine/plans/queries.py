@@ -342,11 +342,11 @@ def speaker_constraint_audit(spark, sf):
     return rounded(reports.speaker_audit(clips(spark, sf).where("doc_id % 2 = 0"), 24, 4000.0, 3000.0), "value")
 
 
-SPLIT = ", split AS (SELECT *, CASE doc_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM clips)"
+SPLIT = ", split AS (SELECT *, CASE doc_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split FROM clips)"
 
 
 def split_clips(spark, sf) -> DataFrame:
-    part = F.when(F.col("doc_id") % 10 == 0, "test").when(F.col("doc_id") % 10 == 1, "validation").otherwise("train")
+    part = F.when(F.col("doc_id") % 10 == 0, "test").when(F.col("doc_id") % 10 == 1, "val").otherwise("train")
     return clips(spark, sf).withColumn("split", part)
 
 
@@ -474,9 +474,9 @@ def plan_join_metadata(spark, sf):
     return rounded(joins.plan_with_clips(plan, rows).select("clip_id", "selection_rank", "speaker_id", "duration_sec"), "duration_sec")
 
 
-@query(f"WITH {CLIPS} SELECT clip_id, CASE speaker_id WHEN 'src1' THEN 'test' WHEN 'src2' THEN 'validation' ELSE 'train' END AS split FROM clips")
+@query(f"WITH {CLIPS} SELECT clip_id, CASE speaker_id WHEN 'src1' THEN 'test' WHEN 'src2' THEN 'val' ELSE 'train' END AS split FROM clips")
 def split_assignment_default(spark, sf):
-    known = spark.createDataFrame([("src1", "test"), ("src2", "validation")], "speaker_id string, split string")
+    known = spark.createDataFrame([("src1", "test"), ("src2", "val")], "speaker_id string, split string")
     return joins.with_split(clips(spark, sf), known).select("clip_id", "split")
 
 
@@ -795,14 +795,14 @@ def split_unseen_speaker(spark, sf):
     rows = clips(spark, sf)
     held = phones(spark, sf)
     protected = agg.protected_speakers(held, agg.critical_features(agg.feature_counts(held)))
-    return split.unseen_speaker(rows, protected, {"train": 0.8, "validation": 0.1, "test": 0.1})
+    return split.unseen_speaker(rows, protected, {"train": 0.8, "val": 0.1, "test": 0.1})
 
 
 @query()
 def split_seen_speaker(spark, sf):
     rows = clips(spark, sf).withColumn("features", F.transform("phones", lambda t: F.concat(F.lit("phone:"), t)))
     few = agg.critical_features(agg.feature_counts(phones(spark, sf)))
-    return split.seen_speaker(rows, few, {"train": 0.8, "validation": 0.1, "test": 0.1}, ("audio_sha256", "text_norm"))
+    return split.seen_speaker(rows, few, {"train": 0.8, "val": 0.1, "test": 0.1}, {"audio_sha256": "forbid", "text_norm": "forbid_for_test"}).select("clip_id", "split")
 
 
 @query()

@@ -18,7 +18,8 @@ CLIPS = _schema(
 )
 FEATURE_COUNTS = _schema(feature_type=_S, feature=_S, count=_L, speaker_count=_L, utterance_count=_L)
 SPEAKER_STATS = _schema(speaker_id=_S, n_clips=_L, n_eligible=_L, duration_sec_sum=_D, mean_quality=_D)
-DUPLICATE_GROUPS = _schema(group_id=_S, kind=_S, clip_ids=_A, size=_L)
+DUPLICATE_GROUPS = _schema(group_id=_S, kind=_S, key=_S, size=_L)
+DUPLICATE_MEMBERS = _schema(group_id=_S, kind=_S, size=_L, part=_L, items=_A)
 CHEAP_QUALITY = _schema(decode_ok=T.BooleanType(), peak=_D, rms=_D, clipping_ratio=_D, silence_ratio=_D)
 #: One row for each clip of the coverage index.
 INDEX = _schema(

@@ -89,13 +89,36 @@ def report_csv(path: str, rows: Sequence[Mapping]) -> None:
             w.writerows(rows)
 
 
+#: Columns of the list of rejected clips.
+REJECTS = ("clip_id", "speaker_id", "normalized_relative_source_path", "text_norm", "duration_sec", "reject_reason")
+
+
 def rejects(clips: DataFrame, path: str) -> None:
-    clips.where("reject_reason is not null").select("clip_id", "reject_reason").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """Rejected clips appended to a folder of CSV files, each with its header, in the order of their ids."""
+    rows = clips.where("reject_reason is not null").select(*[c for c in REJECTS if c in clips.columns])
+    rows.orderBy("clip_id").write.mode("append").option("header", True).csv(path)
+
+
+def split_plan(path: str, protocol: str, assigned: DataFrame, ratios: Mapping[str, float], warnings: Sequence[str] = ()) -> None:
+    """A plan of splits as JSON beside a table: what is bounded in the one, a row a speaker or clip in the other."""
+    kind = "clip" if "clip_id" in assigned.columns else "speaker"
+    parquet(assigned, f"{path}.parquet", assigned.schema)
+    write_json(f"{path}.json", {"protocol": protocol, "assigns": kind, "ratios": dict(ratios), "warnings": list(warnings)})
+
+
+def one_line(text):
+    """No tabs or line breaks, which part fields and rows."""
+    return F.trim(F.regexp_replace(text, r"[\t\r\n]+", " "))
 
 
 def ljspeech(rows: DataFrame) -> DataFrame:
-    """audio_path, normalised and raw text, tab-separated; the raw one falls back on the other."""
-    return rows.orderBy("clip_id").select(F.concat_ws("\t", "audio_path", "text_norm", F.coalesce("text_raw", "text_norm")).alias("value"))
+    """audio_path, normalised and raw text, tab-separated; the raw one falls back on the other. A row without a path or a
+    normalised text is an error."""
+    bad = rows.where("audio_path is null or trim(coalesce(text_norm, '')) = ''").select("clip_id").limit(5).collect()
+    if bad:
+        raise ValueError(f"clips without a path or a text: {[r.clip_id for r in bad]}")
+    raw = F.coalesce(F.nullif(F.trim("text_raw"), F.lit("")), F.col("text_norm"))
+    return rows.orderBy("clip_id").select(F.concat_ws("\t", "audio_path", one_line(F.col("text_norm")), one_line(raw)).alias("value"))
 
 
 def ljspeech_metadata(rows: DataFrame) -> DataFrame:
@@ -108,6 +131,13 @@ def utterances(rows: DataFrame) -> DataFrame:
     return rows.withColumn("text", text).where("clip_id is not null and text is not null")
 
 
+def left_out(rows: DataFrame) -> dict[str, int]:
+    """How many rows a trainer's list leaves out, and why: for its warnings."""
+    missing = F.trim(F.coalesce("text_norm", "text_raw", F.lit(""))) == ""
+    n = rows.agg(F.count_if(F.col("clip_id").isNull()).alias("without an id"), F.count_if(missing).alias("without a text")).first().asDict()
+    return {k: v for k, v in n.items() if v}
+
+
 def piper(rows: DataFrame) -> DataFrame:
     """id|text of one speaker, id|speaker|text of several."""
     some = utterances(rows)
@@ -152,6 +182,54 @@ def place_audio(rows: DataFrame, folder: str, mode: str = "copy") -> None:
     rows.select("clip_id", "source").foreachPartition(put)
 
 
+def write_audio(rows: DataFrame, folder: str) -> None:
+    """Each row's content at folder/clip_id.wav, on a file system that all machines share; rows without content go."""
+    os.makedirs(folder, exist_ok=True)
+
+    def put(part):
+        for r in part:
+            with open(f"{folder}/{r.clip_id}.wav.partial", "wb") as f:
+                f.write(r.content)
+            os.replace(f"{folder}/{r.clip_id}.wav.partial", f"{folder}/{r.clip_id}.wav")
+
+    rows.where("content is not null").select("clip_id", "content").foreachPartition(put)
+
+
+#: Columns of a coverage audit's table.
+AUDIT = (
+    "feature_family", "feature", "configured_minimum", "configured_desired", "index_candidate_count", "eligible_candidate_count", "eligible_speaker_count", "effective_minimum", "effective_desired",
+    "selected_count", "selected_speaker_count", "status", "failure_reason",
+)
+
+
+def coverage_audit(folder: str, audit: DataFrame, plan: DataFrame | None = None, missing: DataFrame | None = None, acoustic: Mapping | None = None) -> dict:
+    """An audit's files: coverage-audit.json and .csv, coverage-contributions.jsonl of the plan's selected clips,
+    missing-features.json, acoustic-diversity-summary.json if there is one. Tables are streamed, a partition at a time.
+    Returns the summary: features by status."""
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    rows = audit.select(*AUDIT).orderBy("feature_family", "feature")
+    summary = {r.status: r.n for r in audit.groupBy("status").agg(F.count("*").alias("n")).collect()}  # a row a status
+    with open(f"{folder}/coverage-audit.csv", "w", encoding="utf-8", newline="") as table, open(f"{folder}/coverage-audit.json", "w", encoding="utf-8") as f:
+        w = csv.writer(table)
+        w.writerow(AUDIT)
+        f.write('{"summary": ' + json.dumps(summary, sort_keys=True) + ', "features": [')
+        for i, r in enumerate(rows.toLocalIterator()):
+            w.writerow(r)
+            f.write(", " * bool(i) + json.dumps(r.asDict(), ensure_ascii=False))
+        f.write("]}\n")
+    if plan is not None:
+        chosen = plan.where("disposition = 'selected'").orderBy("selection_rank", "clip_id")
+        one_file(chosen.select(F.to_json(F.struct("clip_id", F.col("selected_reason").alias("selection_phase"), "positive_contributions", "selection_score")).alias("value")), f"{folder}/coverage-contributions.jsonl")
+    if missing is not None:
+        with open(f"{folder}/missing-features.json", "w", encoding="utf-8") as f:
+            f.write('{"missing_features": [')
+            f.writelines(", " * bool(i) + json.dumps(r.asDict(), ensure_ascii=False) for i, r in enumerate(missing.orderBy("feature").toLocalIterator()))
+            f.write("]}\n")
+    if acoustic is not None:
+        write_json(f"{folder}/acoustic-diversity-summary.json", dict(acoustic))
+    return summary
+
+
 def markdown_report(title: str, tables: Mapping[str, Sequence[Mapping]]) -> str:
     out = [f"# {title}"]
     for name, rows in tables.items():

@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from koine.schema import CLIPS, INDEX, PLAN
+from koine.scratch import numbered
 
+#: Columns that a clip needs, what an override may ask for, marks of silence.
 REQUIRED = ("client_id", "path", "sentence")
 ACTIONS = ("force_include", "force_exclude", "hard_reject", "return_to_reserve")
+SILENT = ("", "sp", "sil", "eps", "silence", "<eps>", "<sil>", "<unk>")
 
 
 def clip_tsv(spark: SparkSession, path: str, skip_incomplete: bool = True) -> DataFrame:
@@ -78,28 +81,56 @@ def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", order)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """n, line of text files, numbered from 1 in the order of their paths and lines; read in splits, whatever their size."""
+    lines = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", F.col("value").alias("line"))
+    return numbered(lines.withColumn("at", F.monotonically_increasing_id()), ["file_path", "file_block_start", "at"], "n").select("n", "line")
+
+
 def overrides_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """clip_id, action, reason; lines that are blank or begin with # are skipped, the last of a clip wins. A bad line
-    raises with its number: numbers are given to the lines as one file's reader sees them."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
-    lines = lines.where(~F.trim("line").startswith("#") & (F.trim("line") != ""))
+    raises with its number."""
+    lines = numbered_lines(spark, path).where(~F.trim("line").startswith("#") & (F.trim("line") != ""))
     rows = lines.select("n", F.from_json("line", "clip_id string, action string, reason string").alias("r")).select("n", "r.*")
     bad = rows.where(F.col("clip_id").isNull() | ~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False))).orderBy("n").limit(1).collect()
     if bad:
-        raise ValueError(f"{path}: line {bad[0].n + 1} is no override")
+        raise ValueError(f"{path}: line {bad[0].n} is no override")
     return last_wins(rows, "clip_id", "n")
 
 
 def phoneme_manifest(spark: SparkSession, path: str) -> DataFrame:
     """source_path, phonemes; the last of a path wins; a line without either raises."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).where("trim(line) <> ''")
+    lines = numbered_lines(spark, path).where("trim(line) <> ''")
     rows = lines.select("n", F.from_json("line", "source_path string, phonemes string").alias("r")).select("n", "r.*")
     bad = rows.where("source_path is null or phonemes is null").orderBy("n").limit(1).collect()
     if bad:
-        raise ValueError(f"{path}: line {bad[0].n + 1} has no source_path and phonemes")
+        raise ValueError(f"{path}: line {bad[0].n} has no source_path and phonemes")
     return last_wins(rows, "source_path", "n")
 
 
+def split_plan(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
+    """A plan of splits that sinks.split_plan wrote: its settings and the table of what it assigns."""
+    return json.loads(Path(f"{path}.json").read_text(encoding="utf-8")), spark.read.parquet(f"{path}.parquet")
+
+
+def run_manifest(folder: str) -> dict:
+    """The manifest of a run: its own, else the catalog's; an empty one where there is none."""
+    for name in ("run_manifest.json", "catalog/manifest.json"):
+        if (path := Path(folder) / name).exists():
+            return json.loads(path.read_text(encoding="utf-8"))
+    return {}
+
+
+def progress_after(events: DataFrame, after: int, most: int = 500) -> DataFrame:
+    """The next events of a progress log: those with an id beyond `after`, oldest first, a page of them."""
+    return events.where(F.col("id") > after).orderBy("id").limit(most)
+
+
+def newest_first(jobs: DataFrame, offset: int = 0, most: int = 50, by: str = "created_at", key: str = "job_id") -> DataFrame:
+    """A page of jobs, the newest first."""
+    return jobs.orderBy(F.desc(by), F.desc(key)).offset(offset).limit(most)
+
+
 def selected_ids(spark: SparkSession, folder: str) -> DataFrame:
     """clip_id of what a run selected: its plan, or its metadata."""
     plan = Path(folder) / "plans" / "selection_plan.parquet"
@@ -111,11 +142,10 @@ def selected_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def textgrid_phones(spark: SparkSession, path: str) -> DataFrame:
     """path, phones of TextGrid files: the marks of the first interval tier whose name has `phones`, without silences."""
-    silent = ("", "sp", "sil", "eps", "silence", "<eps>", "<sil>", "<unk>")
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     tiers = F.filter(F.split("value", r"item\s*\[\d+\]:"), lambda t: t.rlike(r'class\s*=\s*"IntervalTier"') & t.rlike(r'(?i)name\s*=\s*"[^"]*phones[^"]*"'))
     marks = F.regexp_extract_all(F.get(tiers, F.lit(0)), F.lit(r'text\s*=\s*"([^"]*)"'), 1)
-    kept = F.filter(F.transform(marks, lambda m: F.trim(m)), lambda m: ~F.lower(m).isin(*silent))
+    kept = F.filter(F.transform(marks, lambda m: F.trim(m)), lambda m: ~F.lower(m).isin(*SILENT))
     return files.select("path", F.coalesce(kept, F.array().cast("array<string>")).alias("phones"))
 
 

@@ -32,7 +32,7 @@ def corpus(tmp_path_factory):
 @pytest.fixture
 def config(corpus, tmp_path):
     return b.Config(tsv=str(corpus / "validated.tsv"), audio=str(corpus / "clips"), work=str(tmp_path / "work"), output=str(tmp_path / "out"), locale="en", hours=0.008,
-                    chain=[{"type": "normalize", "mode": "peak", "target": -3.0}], ratios={"train": 0.6, "validation": 0.2, "test": 0.2}, limits={"max_clips_per_speaker": 4}, targets={"phoneme:number": 3})
+                    chain=[{"type": "normalize", "mode": "peak", "target": -3.0}], ratios={"train": 0.6, "val": 0.2, "test": 0.2}, limits={"max_clips_per_speaker": 4}, targets={"phoneme:number": 3})
 
 
 def test_tsv(spark, corpus):
@@ -60,6 +60,15 @@ def test_build_and_resume(spark, config):
     meta = [json.loads(x) for x in open(f"{config.output}/metadata.jsonl")]
     assert {m["clip_id"] for m in meta} == set(chosen.clip_id)
     assert len(open(f"{config.output}/piper.txt").read().splitlines()) == len(meta)
+    assert set(meta[0]) == {"utt_id", "audio_path", *b.METADATA} and all(m["split"] for m in meta)
+    assert {f"{m['clip_id']}.wav" for m in meta} == {p.name for p in __import__("pathlib").Path(config.output, "wavs").glob("*.wav")}
+    assert sum(len(open(f"{config.output}/metadata.{s}.jsonl").readlines()) for s in ("train", "val", "test")) == len(meta)
+    audit = json.load(open(f"{config.work}/audit/coverage-audit.json"))
+    assert manifest["coverage"] == audit["summary"] and [f["feature"] for f in audit["features"]] == ["phoneme:number"]
+    assert len(open(f"{config.work}/audit/coverage-contributions.jsonl").readlines()) == len(meta)
+    assert json.load(open(f"{config.work}/audit/missing-features.json"))["missing_features"] == []
+    told = json.loads(chosen.positive_contributions.iloc[0])
+    assert len(told["reasons"]) == 5 and set(told["families"]) == {"phone", "biphone", "triphone"}
     again = b.build(spark, config)
     assert again["stages"]["analyze"]["skipped"] and again["stages"]["select"]["skipped"] and again["counts"] == manifest["counts"]
     config.hours = 0.004
@@ -71,7 +80,7 @@ def test_seen_speaker_protocol_and_overrides(spark, config, tmp_path):
     config.protocol = "seen_speaker"
     clips = b.sinks.fixed_columns(b.analyze(spark, config), b.CLIPS).cache()
     splits = b.plan_split(clips, config)
-    assert {r.split for r in splits.collect()} == {"train", "validation", "test"}
+    assert {r.split for r in splits.collect()} == {"train"}, "each clip has a number that only its speaker says"
     names = sorted(r.clip_id for r in clips.where("disposition = 'eligible'").collect())
     path = tmp_path / "overrides.jsonl"
     path.write_text(f'# by hand\n\n{{"clip_id": "{names[0]}", "action": "hard_reject"}}\n{{"clip_id": "{names[1]}", "action": "hard_reject"}}\n{{"clip_id": "{names[1]}", "action": "force_include"}}\n{{"clip_id": "{names[2]}", "action": "force_exclude"}}\n')
@@ -83,6 +92,48 @@ def test_seen_speaker_protocol_and_overrides(spark, config, tmp_path):
         tables.overrides_jsonl(spark, str(path))
 
 
+def test_settled_rows_are_taken_up(spark, config):
+    first = b.cut(b.analyze(spark, config), "first")
+    marked = first.withColumn("analyzed_at", b.F.when(b.F.col("source_row_index") % 2 == 0, "before").otherwise(b.F.col("analyzed_at")))
+    marked = marked.withColumn("text_raw", b.F.when(b.F.col("source_row_index") == 4, "another text").otherwise(b.F.col("text_raw")))
+    again = {r.source_row_index: r for r in b.analyze(spark, config, marked.where("source_row_index % 2 = 0")).collect()}
+    assert len(again) == 41 and {n for n, r in again.items() if r.analyzed_at == "before"} == {n for n in again if n % 2 == 0 and n != 4}
+    config.chain = []
+    assert not any(r.analyzed_at == "before" for r in b.analyze(spark, config, marked).collect())
+    index = b.cut(b.coverage_index(spark, config), "index")
+    old = index.where("source_row_index < 10").withColumn("duration_sec", b.F.lit(-1.0)).withColumn("sentence", b.F.when(b.F.col("source_row_index") == 3, "other").otherwise(b.F.col("sentence")))
+    got = {r.source_row_index: r.duration_sec for r in b.coverage_index(spark, config, old).collect()}
+    assert len(got) == 41 and {n for n, d in got.items() if d == -1.0} == set(range(10)) - {3}
+    part = b.joins.reusable_by_id(first.select("clip_id"), first.where("source_row_index < 5")).groupBy("reuse").count().collect()
+    assert {r.reuse: r["count"] for r in part} == {True: 5, False: 36}
+
+
+def test_gates_before_and_after(spark, config):
+    config.early, config.gate = {"duration": True}, {"max_duration_sec": 1.5}
+    reasons = {r.reject_reason for r in b.analyze(spark, config).collect()}
+    assert "early_gate_duration" in reasons and "gate_duration" not in reasons
+    config.early, config.gate, config.asr = {}, {}, {"backend": "mock", "mock_mode": "mismatch_char", "max_cer": 0.01}
+    rows = b.analyze(spark, config).collect()
+    assert {r.reject_reason for r in rows} == {"asr_cer", "audio_missing", "audio_error: EOFError"} or sum(r.reject_reason == "asr_cer" for r in rows) == 39
+    config.asr["mock_mode"], config.reading = "echo", "words"
+    usable = b.analyze(spark, config).where("reject_reason is null").collect()
+    assert len(usable) == 39 and all("|" in r.phonemes.split() and "|" not in r.biphones[0] and r.feature_source == "words" for r in usable)
+
+
+def test_policy_of_coverage(spark, config):
+    config.targets = {"phoneme:nowhere": 2}
+    clips = b.cut(b.analyze(spark, config), "clips")
+    plan = b.cut(b.select(clips, b.plan_split(clips, config), config), "plan")
+    summary, missing = b.coverage_reports(clips, plan, config, f"{config.work}/audit")
+    assert summary == {"not_present_in_index": 1} and missing == 1
+    config.coverage_policy = "fail"
+    with pytest.raises(ValueError, match="1 features"):
+        b.coverage_reports(clips, plan, config, f"{config.work}/audit")
+    config.coverage_policy = "no"
+    with pytest.raises(ValueError):
+        config.lint()
+
+
 def test_rescue_and_second_pass(spark, config):
     config.gate = {"max_duration_sec": 1.5}
     config.rescue = [{"type": "resample", "target": 4000}, {"type": "trim_silence"}]
@@ -118,6 +169,20 @@ def test_cli(spark, config, tmp_path, capsys):
     assert main(["coverage-plan", "--config", str(path), "--input", str(tmp_path / "index")]) == 0
     shown = json.loads(capsys.readouterr().out)
     assert shown["deficits"][0]["deficit"] == 3 and len(shown["batch"]) == 3
+    assert main(["coverage-run", "--config", str(path), "--input", str(tmp_path / "index")]) == 0
+    shown = json.loads(capsys.readouterr().out)
+    assert shown["stop"] == "complete" and shown["accepted"] >= 3
+    assert main(["coverage-report", "--config", str(path), "--input", str(tmp_path / "index"), "--output", str(tmp_path / "standing.csv")]) == 0
+    shown = json.loads(capsys.readouterr().out)
+    assert shown["features"][0]["status"] == "satisfied" and shown["top_reasons"] == [] and "phoneme:number" in (tmp_path / "standing.csv").read_text()
+    assert main(["phonemize", "--text", "Ab Cd"]) == 0 and capsys.readouterr().out.splitlines()[-1] == "ab | cd"
+    path.write_text(json.dumps(vars(config)))
+    assert main(["metadata-jsonl-to-validated-tsv", "--input", f"{config.output}/metadata.jsonl", "--output", str(tmp_path / "again.tsv")]) == 0
+    assert tables.clip_tsv(spark, str(tmp_path / "again.tsv")).count() == len(open(f"{config.output}/metadata.jsonl").readlines())
+    assert main(["secondary", "--config", str(path), "--input", config.output, "--output", str(tmp_path / "second")]) == 0
+    assert json.loads(capsys.readouterr().out)["passed"] == len(open(tmp_path / "second" / "metadata.jsonl").readlines())
+    assert main(["preprocess", "--config", str(path)]) == 0 and json.loads(capsys.readouterr().out)["rejected"]["audio_missing"] == 1
+    assert spark.read.option("header", True).csv(f"{config.work}/rejects").count() == 2
     with pytest.raises(ValueError):
         bad = tmp_path / "bad.json"
         bad.write_text('{"no_such": 1}')

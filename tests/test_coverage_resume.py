@@ -12,10 +12,10 @@ def test_a_resumed_loop_keeps_what_was_accepted(spark, tmp_path):
     targets = spark.createDataFrame(cov.target_rows({"phoneme:a": 6, "phoneme:b": 6}), schema)  # all clips are needed
     analyze = lambda batch: batch.selectExpr("clip_id", "true as passed")
     config, path = cov.PlannerConfig(min_batch=4, max_batch=4), tmp_path / "s.json"
-    half = cov.run_loop(index, targets, analyze, str(path), 1, config=config)
-    assert half.stop == "max_iterations" and 0 < len(half.accepted) < 12 and sorted(half.accepted) == sorted(half.analyzed)
+    half = cov.run_loop(index, targets, analyze, str(path), cov.LoopLimits(max_iterations=1), config=config)
+    assert half.stop == "iteration_limit_reached" and 0 < len(half.accepted) < 12 and sorted(half.accepted) == sorted(half.analyzed)
     state = cov.run_loop(index, targets, analyze, str(path), config=config)
-    assert state.stop == "satisfied" and len(state.accepted) == len(set(state.analyzed)) == 12
+    assert state.stop == "complete" and len(state.accepted) == len(set(state.analyzed)) == 12
     fewer = spark.createDataFrame(cov.target_rows({"phoneme:a": 5}), schema)
     for args in ((index.where("clip_id <> 'c03'"), targets), (index, fewer)):
         with pytest.raises(ValueError):

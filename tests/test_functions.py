@@ -25,13 +25,13 @@ def test_japanese(spark):
     assert reason("あいう", "en") == "text_locale" and reason("abc", "ja") == "text_not_japanese" and reason("あ", "ja-JP") == "text_length" and reason("あい", "JA") is None
     assert one(spark, text.morae(F.col("t")), t="きゃ っと ー") == ["きゃ", "っ", "と", "ー"]
     assert one(spark, text.utterance_type(F.col("t")), t="本当か ") == "interrogative"
-    labels = ["x/E:1_2/F:3_1#", "x/F:3_1", "x/F:12_0", "none"]
-    assert one(spark, text.accent_phrase_lengths(F.col("a")), a=labels) == ["3", "12"] and one(spark, text.accent_nuclei(F.col("a")), a=labels) == ["1", "0"]
+    labels = ["x-y/E:1_2!0_x-2/F:3_1#", "x/F:3_1", "z/F:12_0#", "none", "q-r/E:1_2/F:0_1#"]
+    assert one(spark, text.accent_phrase_lengths(F.col("a")), a=labels) == ["3", "12"] and one(spark, text.accent_nuclei(F.col("a")), a=labels) == ["nucleus@x:p1_n2"]
 
 
 def test_token_lists(spark):
     assert one(spark, tokens.split_tokens(F.col("t")), t=" a\tb  c ") == ["a", "b", "c"] and one(spark, tokens.split_tokens(F.lit(None).cast("string")), t="") == []
-    assert one(spark, tokens.phones(F.col("t")), t="SIL a Pau b | bos BOS") == ["a", "b", "bos"]
+    assert one(spark, tokens.phones(F.col("t")), t="SIL a Pau b | bos BOS") == ["a", "b", "bos", "BOS"]
     assert one(spark, tokens.ngrams(F.col("a"), 3), a=["x", "y"]) == [] and one(spark, tokens.ngrams(F.col("a"), 2), a=["x", "y", "z"]) == ["x-y", "y-z"]
     assert one(spark, tokens.positioned(F.col("t")), t="a b c | d | | e f") == ["a@word_initial", "b@word_medial", "c@word_final", "d@word_initial", "d@word_final", "e@word_initial", "f@word_final"]
     assert one(spark, tokens.boundary_marks(F.col("t")), t="SIL a | sil | pau") == ["sil", "|", "pau"]
@@ -80,7 +80,12 @@ def test_gates(spark):
     for want, k in cases.items():
         assert reason(**k) == want
     assert reason(trailing_silence_sec=0.3) == "gate_quality_tier_b" and reason(snr_db=None) is None
-    assert one(spark, quality.early_gate_reason(m(trailing_silence_sec=3.0, snr_db=6.0), F.lit(10), F.lit(1), gate), t=1) is None
+    early = quality.EarlyGate(snr=True, chars_per_sec=True, mora_duration=True).reason(gate)
+    bundle = {"duration_sec": 2.0, "silence_ratio": 0.9, "trailing_silence_sec": 3.0, "snr_db": 6.0, "clipping_ratio": 1.0, "dc_offset": 0.5}
+    assert early(bundle, 10, 1) is None and early(bundle | {"duration_sec": 90.0}, 10) == "early_gate_duration" and early(bundle | {"snr_db": 1.0}, 10) == "early_gate_snr"
+    assert early(bundle | {"snr_db": None}, 1) == "early_gate_text_audio_low" and early(bundle, 90) == "early_gate_text_audio_high" and early(bundle, 10, 50) == "early_gate_text_audio_mora"
+    every = quality.EarlyGate(False, True, False, True, True).reason(gate)
+    assert every(bundle, 0) == "early_gate_silence" and every(bundle | {"silence_ratio": 0.0}, 0) == "early_gate_clipping" and every(bundle | {"silence_ratio": 0.0, "clipping_ratio": 0.0}, 0) == "early_gate_dc"
     assert quality.Gate(max_silence_ratio=0.3).merged({"max_silence_ratio": 0.9, "min_duration_sec": 1.0}, {"tier_mode": "off"}) == quality.Gate(max_silence_ratio=0.3, min_duration_sec=1.0, tier_mode="off")
 
 
@@ -103,3 +108,34 @@ def test_distance_by_bit_vectors_is_the_table():
             for j, y in enumerate(b, 1):
                 row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
         assert tokens.distance(a, b) == row[-1] == tokens.distance("".join(a), "".join(b))
+
+
+def test_linguistic_features(spark):
+    from koine.functions.features import linguistic_features
+
+    labels = ["xx^sil-k+o=n/A:0/E:5_2!0_xx-3/F:5_2#0_0", "a^b-c/E:xx_xx!xx/F:0_1#0", "xx^sil-k+o=n/E:5_2!0_xx-3/F:7_1#0_0"]
+    df = spark.createDataFrame([("なに？", "n a SP | n i pau", "きゃりー なに", 2.0, labels), (None, None, None, None, None)], "t string, p string, k string, d double, l array<string>")
+    f = linguistic_features(F.col("t"), F.col("p"), F.col("k"), F.col("d"), F.col("l"), down_weight=["SP", "i"])
+    a, b = [r.f for r in df.select(f.alias("f")).collect()]
+    assert a.phones == ["n", "a", "n", "i"] and a.biphones == ["n-a", "a-n", "n-i"] and a.triphones == ["n-a-n", "a-n-i"]
+    assert a.morae == ["きゃ", "り", "ー", "な", "に"] and a.mora_bigrams[0] == "きゃ-り" and a.mora_count == 5 and a.length_band == "4-7"
+    assert a.rate == 2.5 and a.rate_band == "slow" and a.utterance_type == "interrogative" and a.pause_marks == ["sp", "|", "pau"] and a.down_weighted == ["sp", "i"]
+    assert a.accent_nuclei == ["nucleus@xx^sil:p5_n3"] and a.accent_phrase_length_bands == ["5-7", "5-7"]
+    assert b.phones == [] and b.morae == [] and b.mora_count == 0 and b.rate is None and b.utterance_type is None and b.accent_nuclei == []
+
+
+def test_marks_that_are_phones(spark):
+    df = spark.createDataFrame([("BOS a EOS sil",)], "p string")
+    assert df.select(tokens.phones(F.col("p"))).first()[0] == ["BOS", "a", "EOS"]
+
+
+def test_readings_and_transcripts(spark):
+    from koine.functions import backends
+
+    df = spark.createDataFrame([("Ab cd",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(backends.phonemes(F.col("t"))).collect()] == ["ab | cd", None, None]
+    said = lambda mode: [r[0] for r in df.select(backends.mock_transcript(F.col("t"), mode)).collect()]
+    assert said("echo") == ["Ab cd", "", ""] and said("mismatch_char") == ["Ab cd＠", "＠", "＠"] and said("empty") == ["", "", ""]
+    for call in (lambda: backends.phonemes(F.col("t"), "no"), lambda: backends.transcripts(F.col("t"), "no"), lambda: backends.mock_transcript(F.col("t"), "no")):
+        with pytest.raises(ValueError):
+            call()

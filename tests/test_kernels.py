@@ -144,6 +144,66 @@ def test_lazy_batches_are_greedy(seed):
     assert [c for c, _ in got] == want
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_bounded_batches_stop_before_they_could_differ(seed):
+    rng = random.Random(seed)
+    clips = [{"clip_id": f"c{i:03}", "speaker": f"s{rng.randrange(5)}", "text": "", "keys": [f"f{rng.randrange(12)}" for _ in range(3)], "rate": rng.random()} for i in range(120)]
+    gains, config = {f"f{i}": (rng.randint(1, 6), rng.random()) for i in range(10)}, cov.PlannerConfig()
+    want = cov.pick_batch(clips, gains, 15, config)
+    first = lambda c: math.fsum(gains[f][1] for f in c["keys"] if f in gains) * c["rate"]
+    order = sorted(clips, key=lambda c: (-first(c), c["clip_id"]))
+    for n in (5, 20, 60):
+        got = cov.pick_batch(order[:n], gains, 15, config, first(order[n - 1]))
+        assert got == want[: len(got)]
+    assert cov.pick_batch(order, gains, 15, config, None) == want
+
+
+@pytest.mark.parametrize("pattern", ["1v2", "2v1"])
+def test_exchanges_of_pairs(pattern):
+    w = sel.Weights(tolerance=0.15, exchanges=("1v1", pattern))
+    shares, moved = {f"phone:{c}": 0.1 for c in "abcdefghij"}, 0
+    for seed in range(6):
+        clips = clips_of(seed, 24)
+        results = []
+        for weights in (sel.Weights(tolerance=0.15), w):
+            ledger, utility, chosen = sel.Ledger(sel.Limits(max_clips_per_speaker=5)), sel.Utility(shares, 1.0), set(range(6))
+            for i in chosen:
+                ledger.put(clips[i])
+                utility.put(clips[i]["tokens"])
+            total = ledger.total
+            sel.improve(clips, chosen, list(range(6, 24)), {0}, ledger, utility, total, weights)
+            assert 0 in chosen and abs(ledger.total - total) <= 0.15 * total + 1e-9
+            again = sel.Utility(shares, 1.0)
+            for i in chosen:
+                again.put(clips[i]["tokens"])
+            assert math.isclose(again.value(), utility.value(), abs_tol=1e-9)
+            results.append((utility.value(), len(chosen)))
+        assert results[1][0] >= results[0][0] - 1e-9
+        moved += results[1] != results[0]
+    assert moved or pattern == "2v1"
+
+
+@pytest.mark.parametrize("pattern, start", [("2v1", {0, 1}), ("1v2", {2})])
+def test_an_exchange_that_only_pairs_can_make(pattern, start):
+    clip = lambda name, seconds, tokens: {"clip_id": name, "speaker": "s", "duration": seconds, "quality": None, "tokens": tokens, "keys": set(), "groups": {}, "action": None}
+    more = ["t:c"] if pattern == "2v1" else []
+    clips = [clip("p", 1.0, ["t:a"]), clip("q", 1.0, ["t:b"] if more else ["t:b", "t:d"]), clip("z", 2.0, ["t:a", "t:b", *more])]
+    for exchanges, moves in ((("1v1",), 0), (("1v1", pattern), 1)):
+        ledger, utility, chosen = sel.Ledger(sel.Limits()), sel.Utility({f"t:{x}": 1.0 for x in "abcd"}, 1.0), set(start)
+        for i in chosen:
+            ledger.put(clips[i])
+            utility.put(clips[i]["tokens"])
+        assert sel.improve(clips, chosen, [i for i in range(3) if i not in start], set(), ledger, utility, 2.0, sel.Weights(exchanges=exchanges)) == moves
+        assert chosen == ({0, 1, 2} - start if moves else start) and ledger.total == 2.0
+
+
+def test_families_have_weights_and_temperatures():
+    u = sel.Utility({"phone:a": 0.5, "biphone:a-b": 0.5, "mora:x": 1.0}, 1.0, {"biphone": 2.0, "mora": 0.0}, {"biphone": 4.0})
+    assert math.isclose(u.gain(["phone:a", "biphone:a-b", "mora:x"]), 0.5 * math.log(2) + 1.0 * math.log(5 / 4))
+    told = u.explained(["phone:a", "biphone:a-b", "mora:x"])
+    assert told["reasons"][0][0] == "phone:a" and set(told["families"]) == {"phone", "biphone"}
+
+
 def test_acoustic_diversity():
     import numpy as np
 
@@ -164,24 +224,56 @@ def test_batch_sizes():
 
 def test_speaker_split():
     durations = {f"s{i}": 10.0 + i for i in range(20)}
-    ratios = {"train": 0.8, "validation": 0.1, "test": 0.1}
+    ratios = {"train": 0.8, "val": 0.1, "test": 0.1}
     out = sp.assign_speakers(durations, {"s3", "s4", "zz"}, ratios, 1)
     assert set(out) == set(durations) and out["s3"] == out["s4"] == "train" and out == sp.assign_speakers(durations, {"s4", "s3"}, ratios, 1)
     got = Counter()
     for s, x in out.items():
         got[x] += durations[s]
     assert all(abs(got[x] / sum(durations.values()) - r) < 0.1 for x, r in ratios.items())
-    assert set(sp.by_utterances({f"s{i}": 5 for i in range(20)}, ratios).values()) == {"train", "validation", "test"}
+    assert set(sp.by_utterances({f"s{i}": 5 for i in range(20)}, ratios).values()) == {"train", "val", "test"}
+
+
+def split_rows(seed=2):
+    rng = random.Random(seed)
+    return [{"clip_id": f"c{i}", "duration": 1.0, "audio": f"a{rng.randrange(150)}", "text": f"t{rng.randrange(200)}", "critical": ["rare"] if i % 50 == 0 else []} for i in range(200)]
+
+
+RATIOS = {"train": 0.8, "val": 0.1, "test": 0.1}
 
 
 def test_clip_split_leaks_nothing():
-    rng = random.Random(2)
-    rows = [{"clip_id": f"c{i}", "duration": 1.0, "audio": f"a{rng.randrange(150)}", "text": f"t{rng.randrange(200)}", "features": {"rare"} if i % 50 == 0 else set()} for i in range(200)]
-    out = sp.assign_clips(rows, {"rare"}, {"train": 0.8, "validation": 0.1, "test": 0.1}, ("audio",), 3)
+    rows = split_rows()
+    out, warnings = sp.assign_clips(rows, RATIOS, {"audio": "forbid"}, 3)
     where = {}
     for r in rows:
         assert where.setdefault(r["audio"], out[r["clip_id"]]) == out[r["clip_id"]]
-    assert Counter(out.values()).keys() == {"train", "validation", "test"} and out["c0"] == "train"
+    assert Counter(out.values()).keys() == {"train", "val", "test"} and out["c0"] == "train" and not warnings
+
+
+def test_clip_split_policies():
+    rows = split_rows(7)
+    out, _ = sp.assign_clips(rows, RATIOS, {"text": "forbid_for_test", "audio": "allow"}, 1)
+    held = {}
+    for r in rows:
+        held.setdefault(r["text"], set()).add(out[r["clip_id"]])
+    assert all(len(s) == 1 or "test" not in s for s in held.values()) and any(s == {"train", "val"} for s in held.values())
+    both = [{"clip_id": "a", "duration": 9.0, "audio": "x", "text": "p", "critical": []}, {"clip_id": "b", "duration": 1.0, "audio": "y", "text": "q", "critical": []}, {"clip_id": "c", "duration": 1.0, "audio": "x", "text": "q", "critical": []}]
+    found, warnings = {}, []
+    for seed in range(20):  # a and b apart, c tied to both: train, with a warning
+        found, warnings = sp.assign_clips(both, {"train": 0.5, "val": 0.5, "test": 0.0}, {"audio": "forbid", "text": "forbid"}, seed)
+        if warnings:
+            break
+    assert warnings and warnings[0].startswith("c ") and found["c"] == "train"
+
+
+def test_clip_split_repairs_what_train_lacks():
+    rows = [{"clip_id": f"c{i}", "duration": 1.0, "key": "same" if i < 2 else None, "critical": ["f"] if i == 1 else []} for i in range(40)]
+    for seed in range(10):
+        out, _ = sp.assign_clips(rows, RATIOS, {"key": "forbid"}, seed)
+        assert out["c1"] == "train"
+    out, warnings = sp.assign_clips(rows, RATIOS, {}, 0, least=2)
+    assert out["c1"] == "train" and warnings == ["train has 1 clips with f, of 2 that it needs"]
 
 
 def test_coverage_loop(spark, tmp_path):
@@ -191,12 +283,23 @@ def test_coverage_loop(spark, tmp_path):
     analyze = lambda batch: batch.selectExpr("clip_id", "cast(substring(clip_id, 2) as int) % 2 = 0 as passed")
     config = cov.PlannerConfig(min_batch=4, max_batch=6)
     state = cov.run_loop(index, targets, analyze, str(tmp_path / "s.json"), config=config)
-    assert state.stop == "satisfied" and state.iteration >= 2 and len(set(state.analyzed)) == len(state.analyzed)
+    assert state.stop == "complete" and state.iteration >= 2 and len(set(state.analyzed)) == len(state.analyzed)
     assert not any(int(c[1:]) % 3 == 2 for c in state.analyzed), "clips that help nothing aren't analysed"
     assert cov.run_loop(index, targets, analyze, str(tmp_path / "t.json"), config=config, dry_run=True).stop == "dry_run"
     never = lambda batch: batch.selectExpr("clip_id", "false as passed")
     assert cov.run_loop(index, targets, never, str(tmp_path / "u.json"), config=config).stop == "candidate_exhausted"
-    assert cov.run_loop(index, targets, never, str(tmp_path / "v.json"), 1, config=config).stop == "max_iterations"
+    assert cov.run_loop(index, targets, never, str(tmp_path / "w.json"), cov.LoopLimits(max_audio_hours=1e-4), config=config).stop == "analysis_budget_exceeded"
+    assert cov.run_loop(index, targets, never, str(tmp_path / "x.json"), config=config, cancelled=lambda: True).stop == "cancelled"
+    many = spark.createDataFrame(cov.target_rows({"phoneme:a": 50}), targets.schema)
+    assert cov.run_loop(index, many, analyze, str(tmp_path / "y.json"), config=config).stop in ("unreachable", "candidate_exhausted")
+
+    def broken(batch):
+        raise OSError("no disk")
+
+    with pytest.raises(OSError):
+        cov.run_loop(index, targets, broken, str(tmp_path / "z.json"), config=config)
+    assert '"stop": "failed"' in (tmp_path / "z.json").read_text()
+    assert cov.run_loop(index, targets, never, str(tmp_path / "v.json"), cov.LoopLimits(max_iterations=1), config=config).stop == "iteration_limit_reached"
 
 
 def test_distributed_selection_is_close(spark):

@@ -62,7 +62,7 @@ def test_distances(spark):
 
 @pytest.mark.parametrize("policy, leaks", [("forbid", 3), ("forbid_for_test", 2), ("allow", 0)])
 def test_leakage_policies(spark, policy, leaks):
-    clips = spark.createDataFrame([("1", "train", "a"), ("2", "validation", "a"), ("3", "train", "b"), ("4", "test", "b"), ("5", "test", "c"), ("6", "train", "c"), ("7", "train", None), ("8", "test", None), ("9", "train", ""), ("10", "test", "")], "clip_id string, split string, audio_sha256 string")
+    clips = spark.createDataFrame([("1", "train", "a"), ("2", "val", "a"), ("3", "train", "b"), ("4", "test", "b"), ("5", "test", "c"), ("6", "train", "c"), ("7", "train", None), ("8", "test", None), ("9", "train", ""), ("10", "test", "")], "clip_id string, split string, audio_sha256 string")
     found = reports.leakage(clips, {"audio": policy}, {"audio": "audio_sha256"})
     assert found.count() == leaks
     members = reports.leaking_clips(clips, found, {"audio": "audio_sha256"}).collect()
@@ -99,7 +99,7 @@ def test_votes_and_caps(spark):
     ranked = windows.reserve_ranking(rows, 0.4, 7).orderBy("reserve_rank").collect()
     assert [r.clip_id for r in ranked[:2]] == ["2", "3"] and sorted(r.clip_id for r in ranked[2:]) == ["1", "4", "5"] and [r.reserve_rank for r in ranked] == [1, 2, 3, 4, 5]
     parts = windows.random_split(spark.range(50).selectExpr("cast(id as string) as clip_id"), 0.8, 0.1, 3)
-    assert rows_of(parts.groupBy("split").count()) == [("test", 5), ("train", 40), ("validation", 5)]
+    assert rows_of(parts.groupBy("split").count()) == [("test", 5), ("train", 40), ("val", 5)]
 
 
 def test_dispositions(spark):

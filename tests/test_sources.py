@@ -93,3 +93,41 @@ def test_streams(spark, tmp_path):
         (tmp_path / "clips" / f"{n}.json").write_text("\n".join(lines))
         progress.upsert_catalog(clips, str(tmp_path / "table"), str(tmp_path / "cp"), clips.schema).awaitTermination()
     assert {(r.clip_id, r.disposition) for r in spark.read.parquet(str(tmp_path / "table")).collect()} == {("a", "reserve"), ("b", "eligible")}
+
+
+def test_plans_manifests_and_pages(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "train"), ("b", "test")], "clip_id string, split string")
+    sinks.split_plan(str(tmp_path / "plan"), "seen_speaker", rows, {"train": 0.5, "test": 0.5}, ["w"])
+    settings, table = tables.split_plan(spark, str(tmp_path / "plan"))
+    assert settings == {"protocol": "seen_speaker", "assigns": "clip", "ratios": {"train": 0.5, "test": 0.5}, "warnings": ["w"]} and sorted(map(tuple, table.collect())) == [("a", "train"), ("b", "test")]
+    assert tables.run_manifest(str(tmp_path)) == {}
+    (tmp_path / "catalog").mkdir()
+    (tmp_path / "catalog" / "manifest.json").write_text('{"a": 1}')
+    assert tables.run_manifest(str(tmp_path)) == {"a": 1}
+    (tmp_path / "run_manifest.json").write_text('{"b": 2}')
+    assert tables.run_manifest(str(tmp_path)) == {"b": 2}
+    jobs = spark.createDataFrame([(f"j{i}", i % 5, i) for i in range(12)], "job_id string, created_at long, id long")
+    assert [r.job_id for r in tables.newest_first(jobs, 1, 2).collect()] == ["j4", "j8"]
+    assert [r.id for r in tables.progress_after(jobs, 7, 3).collect()] == [8, 9, 10]
+
+
+def test_ljspeech_lines(spark):
+    rows = spark.createDataFrame([("b", "b.wav", "x\ty", None), ("a", "a.wav", "n", "r\nr")], "clip_id string, audio_path string, text_norm string, text_raw string")
+    assert [r.value for r in sinks.ljspeech(rows).collect()] == ["a.wav\tn\tr r", "b.wav\tx y\tx y"]
+    with pytest.raises(ValueError):
+        sinks.ljspeech(rows.withColumn("text_norm", tables.F.lit(None).cast("string")))
+    assert sinks.left_out(rows.withColumn("text_norm", tables.F.lit(" ")).withColumn("text_raw", tables.F.lit(None).cast("string"))) == {"without a text": 2}
+
+
+def test_a_catalog_that_cannot_be_read_is_no_new_catalog(spark, tmp_path):
+    from koine.streaming import progress
+
+    schema = CLIPS
+    (tmp_path / "in").mkdir()
+    spark.createDataFrame([("a", "2024")], "clip_id string, analyzed_at string").write.mode("overwrite").parquet(str(tmp_path / "in"))
+    (tmp_path / "catalog.parquet").mkdir()
+    (tmp_path / "catalog.parquet" / "part.parquet").write_text("broken")
+    stream = sinks.fixed_columns(spark.readStream.schema("clip_id string, analyzed_at string").parquet(str(tmp_path / "in")), schema)
+    with pytest.raises(Exception):
+        progress.upsert_catalog(stream, str(tmp_path / "catalog.parquet"), str(tmp_path / "check"), schema).awaitTermination()
+    assert (tmp_path / "catalog.parquet" / "part.parquet").read_text() == "broken"

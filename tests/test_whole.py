@@ -94,10 +94,10 @@ def test_splits_see_all_critical_features(spark, sf, texts):
             held.setdefault(w, set()).add(f"src{i % 3}")
     critical = {w for w, s in held.items() if len(s) == 1}
     rows = [
-        {"clip_id": r.clip_id, "duration": r.duration_sec, "features": set(r.phones), "audio": r.audio_sha256, "text": r.text_norm} for r in clips(spark, sf).collect()
+        {"clip_id": r.clip_id, "duration": r.duration_sec, "critical": sorted(set(r.phones) & critical), "audio": r.audio_sha256, "text": r.text_norm} for r in clips(spark, sf).collect()
     ]
-    ratios = {"train": 0.8, "validation": 0.1, "test": 0.1}
-    want = split.assign_clips(rows, critical, ratios, ("audio", "text"))
+    ratios = {"train": 0.8, "val": 0.1, "test": 0.1}
+    want, _ = split.assign_clips(rows, ratios, {"audio": "forbid", "text": "forbid_for_test"})
     assert {r.clip_id: r.split for r in core.QUERIES["split_seen_speaker"](spark, sf).collect()} == want
     protected = {s for w in critical for s in held[w]}
     durations = Counter()
