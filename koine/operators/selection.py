@@ -296,8 +296,22 @@ def _best_exchange(clips, pattern: str, free: list[int], gains: list[tuple[float
     """The exchange of a pattern that adds most, as (out, in), or None. gains: (gain, clip) falling; what goes out gives
     back at most its slack, so the search ends where no later clip can do better."""
     best, rank = None, 1e-9
-    leaving = [(i,) for i in free] if pattern[0] == "1" else list(combinations(free, 2))
-    for out in leaving:
+    if pattern == "1v1":  # what is given back depends on the shared tokens alone
+        for i in free:
+            a = clips[i]
+            lost, back = utility.given_up(a["tokens"])
+            slack = sum(back.values())
+            ledger.put(a, -1)
+            for gain, j in gains:
+                if gain + slack - lost <= rank:
+                    break
+                b = clips[j]
+                total = gain - lost + sum(back[x] for x in back.keys() & set(b["tokens"]))
+                if total > rank and abs(ledger.total + b["duration"] - until) <= weights.tolerance * until and ledger.admits(b):
+                    best, rank = ((i,), (j,)), total
+            ledger.put(a)
+        return best
+    for out in [(i,) for i in free] if pattern[0] == "1" else combinations(free, 2):
         lost, slack = 0.0, 0.0
         for i in out:
             less, back = utility.given_up(clips[i]["tokens"])
@@ -426,7 +440,8 @@ def run_kernel(bucket: str, clips: list[dict], shares: dict[str, float], wanted:
     rest = sorted(((-utility.gain(c["tokens"]), c["clip_id"], i) for i, c in enumerate(clips) if i not in chosen))
     for s, name, i in rest:
         reason = "barred by an override" if i in barred else "not needed" if ledger.admits(clips[i]) else "limits"
-        rows.append((bucket, name, "reserve", -s, None, json.dumps({}), json.dumps({"blocked": sorted(blocked)}), None, reason))
+        held_up = sorted(blocked & clips[i]["keys"])
+        rows.append((bucket, name, "reserve", -s, None, json.dumps({}), json.dumps({"blocked": held_up} if held_up else {}), None, reason))
     return rows
 
 
@@ -448,7 +463,7 @@ def select_distributed(
         holding = pool.select("clip_id", F.explode("keys").alias("feature")).join(needed, "feature", "left_semi").select("clip_id")
         first = pool.join(holding.unionByName(pool.where(forced).select("clip_id")).distinct(), "clip_id", "left_semi")
     core = cut(select(first, targets, {"all": 0.0}, limits, constraints, weights), "core")
-    told = core.where("disposition = 'reserve'").select("penalties").first()
+    told = core.where("disposition = 'reserve'").select("clip_id", "penalties")
     ahead = core.where("disposition = 'selected'").select("clip_id", F.col("selection_rank").alias("r"), F.col("selection_score").alias("s"), F.col("selected_reason").alias("why"), F.col("positive_contributions").alias("p"))
 
     rest = pool.join(ahead.select("clip_id"), "clip_id", "left_anti")
@@ -466,7 +481,7 @@ def select_distributed(
     ledger = Ledger(limits)
     for r in chosen.select("speaker_id", "duration_sec", "quality_score", "groups").toLocalIterator():  # bounded by the duration
         ledger.put(_plain(r.speaker_id, r.duration_sec, r.quality_score, r.groups))
-    shared = spark.sparkContext.broadcast((ledger, told.penalties if told else json.dumps({"blocked": []})))
+    shared = spark.sparkContext.broadcast(ledger)
 
     # what one more of each token adds to what was selected, and so each other clip's score
     family = lambda t: F.substring_index(t, ":", 1)
@@ -477,17 +492,17 @@ def select_distributed(
     worth = worth.select("token", (F.col("target") * by_family(weights.families, 1.0) * F.log((at + 1) / at)).alias("worth"))
     left = pool.join(plan.select("clip_id"), "clip_id", "left_anti")
     gains = left.select("clip_id", F.explode(F.array_distinct("tokens")).alias("token")).join(worth, "token").groupBy("clip_id").agg(F.sum("worth").alias("gain"))
-    left = left.select("clip_id", "speaker_id", "duration_sec", "quality_score", "groups", "override_action").join(gains, "clip_id", "left")
+    left = left.select("clip_id", "speaker_id", "duration_sec", "quality_score", "groups", "override_action").join(gains, "clip_id", "left").join(told, "clip_id", "left")
 
     def reserved(frames):
-        ledger, penalties = shared.value
+        ledger = shared.value
         for pdf in frames:
             rows = []
             for r in pdf.itertuples(index=False):
                 barred = r.override_action in ("force_exclude", "return_to_reserve")
                 admitted = ledger.admits(_plain(r.speaker_id, r.duration_sec, r.quality_score, r.groups))
                 reason = "barred by an override" if barred else "not needed" if admitted else "limits"
-                rows.append(("all", r.clip_id, "reserve", 0.0 if pd.isna(r.gain) else r.gain, None, json.dumps({}), penalties, None, reason))
+                rows.append(("all", r.clip_id, "reserve", 0.0 if pd.isna(r.gain) else r.gain, None, json.dumps({}), r.penalties or json.dumps({}), None, reason))
             yield pd.DataFrame(rows, columns=names)
 
     return plan.unionByName(left.mapInPandas(reserved, PLAN_FIELDS))

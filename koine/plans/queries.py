@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from koine.functions import quality, scoring, text, tokens
+from koine.audio import metrics
+from koine.functions import features, quality, scoring, text, tokens
 from koine.operators import aggregates as agg
 from koine.operators import coverage, filters, joins, reports, selection, split, windows
 from koine.plans.testdata import ALL_INCIDENCE, CLIPS, INCIDENCE, NGRAMS, clips, table, with_ngrams
+from koine.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -747,6 +752,213 @@ def ljspeech_rows(spark, sf):
     return rows.select(F.concat("clip_id", F.lit(".wav")).alias("audio_path"), text.pipe_safe(F.col("text_norm")).alias("text_norm"), text.pipe_safe(F.col("text_raw")).alias("text_raw"))
 
 
+# --- smaller operators -----------------------------------------------------------------------------------------------
+PLAIN = "regexp_replace(text, '[^ -~\t\n\r]', '?', 'g')"
+
+
+@query(f"SELECT conv_id, turn, trim(regexp_replace({PLAIN}, '[ \t\n\r]+', ' ', 'g'), ' ') AS norm FROM conversations")
+def normalized_text(spark, sf):
+    """Compatibility forms and white space; on ASCII, where the oracle's functions say the same."""
+    plain = F.regexp_replace("text", "[^ -~\t\n\r]", "?")
+    return table(spark, sf, "conversations").select("conv_id", "turn", text.normalize_text(plain).alias("norm"))
+
+
+MARKED = f"""WITH {CLIPS}, m AS (SELECT clip_id, string_split(regexp_replace(regexp_replace(phonemes, '[.]', ' | ', 'g'), ',', ' PAU ', 'g'), ' ') AS t FROM clips),
+t AS (SELECT clip_id, unnest(t) AS token, unnest(range(len(t))) AS i FROM m)"""
+
+
+def marked(spark, sf) -> DataFrame:
+    """Clips with full stops as word marks and commas as pauses."""
+    return clips(spark, sf).withColumn("marked", F.regexp_replace(F.regexp_replace("phonemes", "[.]", " | "), ",", " PAU "))
+
+
+def _in_order(name: str, pick: str) -> str:
+    return f"""{MARKED}, f AS (SELECT clip_id, {name} AS token, min(i) AS i FROM t WHERE {pick} GROUP BY 1, 2)
+SELECT clip_id, coalesce(string_agg(token, ' ' ORDER BY f.i), '') AS found FROM (SELECT clip_id FROM clips) LEFT JOIN f USING (clip_id) GROUP BY 1"""
+
+
+@query(_in_order("lower(token)", "lower(token) IN ('sil', 'pau', 'sp', '|')"))
+def boundary_marks(spark, sf):
+    return marked(spark, sf).select("clip_id", F.array_join(tokens.boundary_marks(F.col("marked")), " ").alias("found"))
+
+
+@query(_in_order("CASE WHEN token = 'PAU' THEN 'pau' ELSE token END", "token IN ('PAU', 'the', 'of')"))
+def down_weighted_tokens(spark, sf):
+    return marked(spark, sf).select("clip_id", F.array_join(tokens.down_weighted(F.col("marked"), ["pau", "the", "of"]), " ").alias("found"))
+
+
+@query("""SELECT k, CASE WHEN head = 'phone' THEN 'phoneme' ELSE head END AS family, regexp_replace(k, '^[^:]*:', '') AS token, count(*) AS n
+FROM (SELECT k, CASE WHEN contains(k, ':') THEN split_part(k, ':', 1) ELSE 'phoneme' END AS head FROM (
+  SELECT CASE user_id % 3 WHEN 0 THEN 'phone:' || event_type WHEN 1 THEN 'mora:' || event_type || ':' || CAST(user_id AS VARCHAR) ELSE event_type END AS k FROM events)) GROUP BY 1, 2, 3""")
+def key_parts(spark, sf):
+    n = F.col("user_id") % 3
+    key = F.when(n == 0, F.concat(F.lit("phone:"), "event_type")).when(n == 1, F.concat(F.lit("mora:"), "event_type", F.lit(":"), F.col("user_id").cast("string"))).otherwise(F.col("event_type"))
+    rows = table(spark, sf, "events").select(key.alias("k"))
+    return rows.groupBy("k", tokens.family_of(F.col("k")).alias("family"), tokens.token_of(F.col("k")).alias("token")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, array_to_string([m[i] || '-' || m[i + 1] FOR i IN range(1, len(m))], ' ') AS bigrams FROM (SELECT page_id, regexp_extract_all(regexp_replace(url, '\\s+', '', 'g'), '.') AS m FROM pages)")
+def mora_bigrams(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.array_join(tokens.ngrams(text.morae(F.col("url")), 2), " ").alias("bigrams"))
+
+
+@query("""WITH k AS (SELECT conv_id, turn, repeat('かな漢ー', CAST(turn % 7 AS INTEGER)) || text AS x FROM conversations)
+SELECT conv_id, turn, round(CASE WHEN length(x) > 0 THEN length(regexp_replace(x, '[^\\x{3040}-\\x{309F}\\x{30A0}-\\x{30FF}\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}々〆〇]', '', 'g')) / length(x) ELSE 0 END, 9) AS ratio FROM k""")
+def script_ratio(spark, sf):
+    x = F.concat(F.expr("repeat('かな漢ー', cast(turn % 7 as int))"), "text")
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.round(text.japanese_ratio(x), 9).alias("ratio"))
+
+
+@query(f"WITH {CLIPS}, q AS (SELECT clip_id, quality_score, CASE doc_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'B' WHEN 2 THEN 'c' END AS quality_tier FROM clips) SELECT clip_id FROM q WHERE quality_score >= 50 AND coalesce(upper(quality_tier), 'UNKNOWN') IN ('A', 'UNKNOWN')")
+def partition_filters(spark, sf):
+    n = F.col("doc_id") % 4
+    rows = clips(spark, sf).withColumn("quality_tier", F.when(n == 0, "a").when(n == 1, "B").when(n == 2, "c"))
+    return filters.partition_filter(rows, min_quality=50.0, tiers=["a", "unknown"]).select("clip_id")
+
+
+@query(f"WITH {CLIPS} SELECT clip_id, CASE WHEN doc_id % 3 = 0 THEN lang || ' x' END AS aligned_phonemes, CASE WHEN doc_id % 3 <> 0 THEN 'alignment_missing' END AS alignment_reason FROM clips")
+def manifest_join(spark, sf):
+    rows = clips(spark, sf).withColumn("source_path", F.col("clip_id"))
+    aligned = rows.where("doc_id % 3 = 0").select("source_path", F.concat("lang", F.lit(" x")).alias("phonemes"))
+    return joins.manifest_phonemes(rows, aligned, "reject").select("clip_id", "aligned_phonemes", "alignment_reason")
+
+
+@query(f"WITH {KEYS} SELECT feature, count(DISTINCT clip_id) AS selected_count, count(DISTINCT speaker_id) AS selected_speaker_count FROM keys WHERE CAST(clip_id AS BIGINT) % 5 < 2 GROUP BY 1")
+def coverage_of_keys(spark, sf):
+    rows = keyed(spark, sf)
+    return agg.selected_coverage(rows.select("clip_id", "speaker_id", F.explode("feature_keys").alias("feature")), rows.where("doc_id % 5 < 2"))
+
+
+@query(f"WITH {KEYS}, got AS (SELECT feature, count(*) AS accepted FROM keys WHERE CAST(clip_id AS BIGINT) % 7 = 1 GROUP BY 1), short AS (SELECT feature FROM wanted LEFT JOIN got USING (feature) WHERE target > coalesce(accepted, 0)) SELECT DISTINCT clip_id FROM keys WHERE feature IN (FROM short) AND CAST(clip_id AS BIGINT) % 7 <> 1 AND CAST(clip_id AS BIGINT) % 29 <> 0")
+def candidate_union(spark, sf):
+    index = index_of(spark, sf)
+    done = index.where("doc_id % 7 = 1")
+    return filters.useful(index, joins.deficits(wanted(index), agg.coverage_counts(done)), done).select("clip_id")
+
+
+@query(f"{NEAREST} SELECT vec_id, round(0.3 / (1 + distance), 6) AS penalty FROM d")
+def redundancy_penalty(spark, sf):
+    return nearest(spark, sf).select("vec_id", F.round(scoring.redundancy(F.col("distance"), 0.3), 6).alias("penalty"))
+
+
+FRAMES = "frames AS (SELECT vec_id, s, list_sum(list_transform(list_slice(v, s + 1, s + 8), lambda x: x * x)) / 8 AS e FROM (SELECT vec_id, embedding::DOUBLE[] AS v, unnest(range(0, 64 - 8 + 1, 4)) AS s FROM embeddings))"
+SMALL_FRAMES = metrics.Frames(frame_ms=8.0, hop_ms=4.0, silence_floor=0.6)
+
+
+def waves(spark, sf, name: str, measured) -> DataFrame:
+    """A measure of each vector as a waveform of 1000 samples a second, in Arrow batches."""
+
+    @F.pandas_udf(T.DoubleType())
+    def udf(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: measured(np.asarray(v, dtype=np.float64)))
+
+    return table(spark, sf, "embeddings").select("vec_id", F.round(udf("embedding"), 6).alias(name))
+
+
+@query(f"WITH {FRAMES}, p AS (SELECT vec_id, quantile_cont(e + 1e-12, 0.15) AS noise, quantile_cont(e + 1e-12, 0.6) AS signal FROM frames GROUP BY 1) SELECT vec_id, round(CASE WHEN signal > noise THEN 10 * log10(signal / noise) END, 6) AS snr FROM p")
+def wave_snr(spark, sf):
+    return waves(spark, sf, "snr", lambda v: metrics.snr_db(v, 1000, SMALL_FRAMES))
+
+
+@query(f"WITH {FRAMES}, r AS (SELECT vec_id, sqrt(e + 1e-18) AS rms FROM frames WHERE s < 56), t AS (SELECT vec_id, max(rms) AS top FROM r GROUP BY 1) SELECT vec_id, round(avg(CASE WHEN rms < 0.6 * (top + 1e-12) THEN 1.0 ELSE 0.0 END), 6) AS share FROM r JOIN t USING (vec_id) GROUP BY 1")
+def wave_silence(spark, sf):
+    return waves(spark, sf, "share", lambda v: metrics.silence(v, 1000, SMALL_FRAMES)[0])
+
+
+@query(f"WITH {CLIPS}{VOTES} SELECT src, n AS place, dst, votes FROM ranked WHERE n <= 5")
+def vote_top5(spark, sf):
+    return windows.top_votes(_votes(spark, sf)).withColumn("place", F.col("place").cast("long"))
+
+
+def jobs(spark, sf) -> DataFrame:
+    return table(spark, sf, "events").select(F.col("event_id").alias("job_id"), F.col("ts").alias("created_at"), F.col("event_type").alias("status"))
+
+
+@query("SELECT event_id AS job_id, event_type AS status FROM events ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 20")
+def newest_jobs_page(spark, sf):
+    return tables.newest_first(jobs(spark, sf), 20, 50).select("job_id", "status")
+
+
+@query("SELECT event_id AS job_id, event_type AS status FROM events ORDER BY ts DESC, event_id DESC LIMIT 10")
+def recent_jobs(spark, sf):
+    return agg.recent_jobs(jobs(spark, sf)).select("job_id", "status")
+
+
+@query("SELECT event_id AS id, event_type FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 500")
+def progress_page(spark, sf):
+    return tables.progress_after(table(spark, sf, "events").withColumnRenamed("event_id", "id"), 100).select("id", "event_type")
+
+
+@query(f"WITH {CLIPS} SELECT clip_id, doc_id % 4 = 1 AS reuse FROM clips")
+def partial_reuse(spark, sf):
+    rows = clips(spark, sf)
+    prior = rows.where("doc_id % 4 < 2").withColumn("disposition", F.when(F.col("doc_id") % 4 == 1, F.col("disposition")).otherwise("pending"))
+    return joins.reusable_by_id(rows.select("clip_id"), prior).select("clip_id", "reuse")
+
+
+@query(f"WITH {CLIPS} SELECT clip_id, doc_id % 2 = 0 AND doc_id % 5 <> 0 AND doc_id % 3 <> 1 AS reuse FROM clips")
+def index_reuse(spark, sf):
+    n = F.col("doc_id")
+    rows = clips(spark, sf).select("clip_id", "doc_id", F.col("clip_id").alias("source_path"), n.alias("source_row_index"), F.col("text_raw").alias("sentence"), F.when(n % 3 == 0, F.lit("")).otherwise(F.col("audio_sha256")).alias("audio_sha256"))
+    old = rows.where("doc_id % 2 = 0").withColumn("sentence", F.when(n % 5 == 0, "other").otherwise(F.col("sentence")))
+    old = old.withColumn("audio_sha256", F.when(n % 3 == 0, F.lit(None)).when(n % 3 == 1, "other").otherwise(F.col("audio_sha256")))
+    return joins.reusable_index(rows, old).select("clip_id", "reuse")
+
+
+@query(f"""WITH {CLIPS}, n AS (SELECT clip_id, len(phones) AS phones, greatest(0, len(phones) - 2) AS triphones, length(sentence_id) AS morae, length(sentence_id) / duration_sec AS r, text_raw FROM clips)
+SELECT clip_id, phones, triphones, morae, CASE WHEN morae <= 3 THEN '1-3' WHEN morae <= 7 THEN '4-7' WHEN morae <= 15 THEN '8-15' ELSE '16+' END AS length_band,
+  CASE WHEN r < 5 THEN 'slow' WHEN r <= 9 THEN 'normal' ELSE 'fast' END AS rate_band, CASE WHEN regexp_matches(rtrim(text_raw), '[？?か]$') THEN 'interrogative' ELSE 'declarative' END AS kind FROM n""")
+def feature_bundle(spark, sf):
+    rows = clips(spark, sf)
+    f = features.linguistic_features(F.col("text_raw"), F.col("phonemes"), F.col("sentence_id"), F.col("duration_sec"), excluded=("sil",)).alias("f")
+    sizes = [F.size(f"f.{c}").alias(c) for c in ("phones", "triphones", "morae")]
+    return rows.select("clip_id", f).select("clip_id", *sizes, "f.length_band", "f.rate_band", F.col("f.utterance_type").alias("kind"))
+
+
+@query(f"""WITH {TURNS}, d AS (SELECT conv_id, turn, length(b) AS n, length(b) / greatest(length(a), 1) AS ratio, CASE WHEN greatest(length(a), length(b)) = 0 THEN 0 ELSE levenshtein(a, b) / greatest(length(a), length(b)) END AS cer FROM turns WHERE b IS NOT NULL)
+SELECT conv_id, turn, CASE WHEN n < 1 THEN 'asr_too_short' WHEN ratio < 0.5 OR ratio > 2 THEN 'asr_length_ratio' WHEN cer > 0.7 THEN 'asr_cer' END AS reason FROM d""")
+def transcript_gate(spark, sf):
+    gate, none = quality.AsrGate(max_cer=0.7), F.lit(None).cast("double")
+    reason = quality.asr_reason(F.col("b"), F.col("a"), none, F.col("cer"), None, F.lit(True), gate)
+    return turns(spark, sf).withColumn("cer", tokens.char_error_rate(F.col("a"), F.col("b"))).select("conv_id", "turn", reason.alias("reason"))
+
+
+@query("""WITH d AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'eligible' WHEN 1 THEN 'selected' WHEN 2 THEN 'reserve' WHEN 3 THEN 'hard_rejected' END AS disposition FROM documents)
+SELECT coalesce(disposition, '') AS disposition, count(*) FILTER (WHERE coalesce(disposition, 'eligible') IN ('eligible', 'selected')) AS splittable, count(*) FILTER (WHERE coalesce(disposition, '') IN ('eligible', 'selected', 'reserve', '')) AS selectable,
+  count(*) FILTER (WHERE disposition IN ('eligible', 'selected')) AS counted, count(*) FILTER (WHERE disposition IN ('eligible', 'selected', 'reserve')) AS accepted FROM d GROUP BY 1""")
+def disposition_sets(spark, sf):
+    n, d = F.col("doc_id") % 5, F.col("disposition")
+    rows = table(spark, sf, "documents").select(F.when(n == 0, "eligible").when(n == 1, "selected").when(n == 2, "reserve").when(n == 3, "hard_rejected").alias("disposition"))
+    sets = {"splittable": filters.splittable(d), "selectable": filters.selectable(d), "counted": filters.counted(d), "accepted": filters.accepted(d)}
+    return rows.groupBy(F.coalesce("disposition", F.lit("")).alias("disposition")).agg(*[F.count_if(c).alias(k) for k, c in sets.items()])
+
+
+@query(f"WITH {CLIPS} SELECT 'all' AS client_id, count(*) AS n FROM clips WHERE speaker_id IN ('src1', 'src2')")
+def merged_speaker(spark, sf):
+    rows = clips(spark, sf).withColumnsRenamed({"speaker_id": "client_id"})
+    return filters.prepare(rows, ["src1", "src2"], merge_into="all").groupBy("client_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {CLIPS} SELECT speaker_id, count(*) AS utterances FROM clips WHERE disposition = 'eligible' GROUP BY 1")
+def utterances_by_speaker(spark, sf):
+    return agg.speaker_stats(clips(spark, sf)).where("n_eligible > 0").select("speaker_id", F.col("n_eligible").alias("utterances"))
+
+
+@query(f"WITH {CLIPS} SELECT path FROM (SELECT clip_id || '.mp3' AS path, doc_id FROM clips ORDER BY path LIMIT 5000) WHERE doc_id % 2 = 1")
+def missing_recordings(spark, sf):
+    """Of the first 5000 paths, which is what this look at a sample takes, those without a file."""
+    rows = clips(spark, sf).select(F.concat("clip_id", F.lit(".mp3")).alias("path"), "doc_id")
+    return tables.missing_audio(rows, rows.where("doc_id % 2 = 0").select(F.concat(F.lit("/a/b/"), "path").alias("path")))
+
+
+@query("SELECT event_id, CASE WHEN p IS NULL OR p = '' THEN 'mfa_missing' WHEN d / greatest(n, m) > 0.34 THEN 'mfa_token_mismatch' END AS reason FROM (SELECT event_id, p, levenshtein(p, q) AS d, length(p) AS n, length(q) AS m FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'abc' WHEN 1 THEN 'abd' WHEN 2 THEN 'xyz' END AS p, 'abc' AS q FROM events))")
+def aligner_rejects(spark, sf):
+    n = F.col("event_id") % 4
+    letters = lambda x: F.array(*map(F.lit, x))
+    predicted = F.when(n == 0, letters("abc")).when(n == 1, letters("abd")).when(n == 2, letters("xyz"))
+    return table(spark, sf, "events").select("event_id", quality.aligner_reason(predicted, letters("abc"), "mfa", 0.34).alias("reason"))
+
+
 # --- sequential choices ----------------------------------------------------------------------------------------------
 def _candidates(spark, sf) -> DataFrame:
     """Clips of one bucket for each language, with what the kernel needs of them."""
