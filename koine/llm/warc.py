@@ -38,7 +38,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     times the one with the largest record_id. status: `missing` without one, `changed` where both sides have an etag
     and they differ, or, one side lacking it, both have modified and they differ; else `resolved`. Headers are the
     original's, with those permitted for a 304 taken from the revisit; null unless resolved. A null URL or time
-    resolves to nothing. Other columns are ignored. Repeated rows are resolved each. Empty table: no rows.
+    resolves to nothing. Other columns are ignored. Repeated rows are resolved each; of responses with one record_id the
+    headers are those that come first as JSON. Empty table: no rows.
     """
     full = ~F.coalesce("revisit", F.lit(False))
     base = records.select(
@@ -58,7 +59,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     before = last.join(asked, ["canonical_url", "range"], "full").withColumn("far", F.max("last").over(across)).select("canonical_url", "range", "far")
     usable = F.col("canonical_url").isNotNull() & F.col("captured").isNotNull()
     out = revisits.join(before, ["canonical_url", "range"], "left").withColumn("original", F.when(usable, F.coalesce("near", "far")))
-    texts = base.filter("full").select(F.col("record_id").alias("__id"), F.col("headers").alias("__headers")).dropDuplicates(["__id"])
+    first = F.min_by("headers", F.coalesce(F.to_json("headers"), F.lit("")))  # of repeated ids always the same one
+    texts = base.filter("full").groupBy(F.col("record_id").alias("__id")).agg(first.alias("__headers"))
     out = out.withColumn("__key", F.coalesce("original.record_id", F.xxhash64("record_id")))  # rows without one don't meet in one task
     out = out.join(texts, (F.col("__key") == F.col("__id")) & F.col("original").isNotNull(), "left")
     by_etag = F.col("etag").isNotNull() & F.col("original.etag").isNotNull()

@@ -41,3 +41,12 @@ def test_round_trip_with_odd_rows(spark):
     back = bpe.decode_documents(out, PATH)
     assert sorted((r.doc_id if r.doc_id is not None else -1, bytes(r.bytes).decode()) for r in back.collect()) == sorted((i if i is not None else -1, t or "") for i, t in rows)
     assert bpe.token_digests(docs.limit(0), PATH).count() == 0
+
+
+def test_very_long_texts_match_the_library(library):
+    import random
+
+    rng = random.Random(6)
+    words = ["the", "naïve", "北京大学", "x1y2", "--", "don't", "🙂", "\n\n", "A" * 40]
+    long = " ".join(rng.choice(words) for _ in range(40000))
+    assert ids([long, "", long[::-1]]) == [library.encode_ordinary(long), [], library.encode_ordinary(long[::-1])]

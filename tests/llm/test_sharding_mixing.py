@@ -80,3 +80,12 @@ def test_mixing(spark):
     mixed = mixing.mix_sources(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in out) and mixed.where("size <> 1 or copies <> 7").isEmpty()
     assert mixing.mixing_report(docs.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    long = "word " * 400000
+    docs = spark.createDataFrame([(1, long, "a"), (2, long, "a"), (3, "x", "b"), (4, None, None)], "doc_id long, text string, source string")
+    out = {r.doc_id: r for r in sharding.shard_documents(docs).collect()}
+    assert out[1]["size"] == len(long) + 8 and out[1].text_crc32 == zlib.crc32(long.encode()) and len({r.shard for r in out.values()}) == 4
+    mixed = {r.doc_id: (r["size"], r.taken) for r in mixing.mixing_report(docs).collect()}
+    assert mixed[1][0] == 400000 and mixed[1][1] in (0, 400000, 800000) and mixed[4] == (0, 0)

@@ -99,3 +99,15 @@ def test_refined_segments_and_digests():
         assert sorted((int(o), int(a) + k) for o, a, n in zip(found.row, found.at, found.count) for k in range(n)) == [(i, k) for i, t in enumerate(texts) for k in range(len(t) - 99)]
         names = dict(zip(cut, sd.digests(found).tolist()))
         assert len(set(names.values())) == len(names) and [names[c] for c in cut] == sd.digests(found).tolist()
+
+
+def test_what_stays_of_each_text(spark):
+    import random as r
+
+    rng = r.Random(12)
+    shared = "".join(rng.choice("abcdeé ") for _ in range(300))
+    rows = [(i, "".join(rng.choice("fghij ") for _ in range(rng.randrange(200))) + (shared if i % 3 else "") + str(i)) for i in range(12)] + [(20, None), (21, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'c' as kept", "1 as rk", "2 as doc")
+    got = sd.remove_repeats(docs).collect()
+    assert sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(bytes(x.kept_bytes)).hexdigest()) for x in got) == sorted(brute([(i, t or "") for i, t in rows]))
+    assert {x.doc_id: x.text for x in got} == dict(rows) and sum(x.n_removed for x in got) > 1500

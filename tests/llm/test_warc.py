@@ -49,3 +49,28 @@ def test_matches_brute_force(spark):
     got = sorted((tuple(r) for r in warc.resolve_revisits(df).collect()), key=repr)
     assert sorted(map(repr, [(*r[:5], r[5] and sorted(r[5].items())) for r in got])) == sorted(map(repr, [(*r[:5], r[5] and sorted(r[5].items())) for r in brute(rows)]))
     assert warc.resolve_revisits(df.limit(0)).count() == 0
+
+
+SCHEMA = "record_id long, url string, captured long, revisit boolean, etag string, modified string, headers map<string,string>, payload string"
+
+
+def test_repeated_ids_ties_and_long_values(spark):
+    long = "x" * 200000
+    rows = [
+        (1, "a.com/" + long, 1, False, None, "m", {"server": "b"}, "one"), (1, "a.com/" + long, 1, False, None, "m", {"server": "a"}, "two"),
+        (2, "a.com/" + long, 5, False, None, "m2", {"server": long}, "three"), (3, "a.com/" + long, 5, False, None, "m2", {"server": "c"}, "four"),
+        (10, "http://www.a.com/" + long, 3, True, None, "m", {"date": "d", "server": "no"}, None), (11, "a.com/" + long, 9, True, None, "m2", None, None), (12, "a.com/" + long, 9, True, None, "other", None, None),
+    ]
+    for n in (1, 4):
+        df = spark.createDataFrame(rows, SCHEMA).repartition(n)
+        got = {r.record_id: (r.original_id, r.status, r.headers) for r in warc.resolve_revisits(df).collect()}
+        assert got == {10: (1, "resolved", {"server": "a", "date": "d"}), 11: (3, "resolved", {"server": "c"}), 12: (3, "changed", None)}
+    assert sorted(tuple(r) for r in warc.resolved_payloads(df).collect()) == [(10, "one"), (10, "two"), (11, "four")]
+
+
+def test_captures_of_pages(spark):
+    pages = spark.createDataFrame([(10, "a.com", "body"), (11, "b.com", None), (11, "b.com", None)], "page_id long, url string, html string").selectExpr("*", "1 as etag")
+    log = {(r.record_id, r.captured, r.revisit, r.headers["content-length"]) for r in warc.captures_of(pages).collect()}
+    assert log == {(40, 20, False, "4"), (41, 2021, True, "0"), (42, 19, True, "0"), (44, 22, False, "0"), (45, 2023, True, "0")}
+    out = {(r.record_id, r.original_id, r.status, r.content_length) for r in warc.revisit_report(pages).collect()}
+    assert out == {(41, 40, "resolved", "4"), (42, None, "missing", None), (45, 44, "resolved", "0")}
