@@ -16,8 +16,8 @@ from koine.llm.common import cut, ranked, with_totals
 
 #: Hub buckets by document buckets in which ranks are taken.
 BUCKETS = 64
-#: Members of a hub that share a salt in joins.
-SALT = 512
+#: Members of a hub that share a salt in joins; parts in which a hub is counted.
+SALT, SALTS = 512, 32
 
 
 def balanced_label_propagation(docs: DataFrame, links: DataFrame, shards: int = 24, rounds: int = 6) -> DataFrame:
@@ -28,7 +28,7 @@ def balanced_label_propagation(docs: DataFrame, links: DataFrame, shards: int =
     Empty docs: no rows. Ties between shards go to the smaller hash of (hub, shard).
     """
     spark = docs.sparkSession
-    counted = with_totals(links.select("node", "hub"), ["hub"], "node", {"k": F.count("*")}, {"n": F.sum("k")})
+    counted = with_totals(links.select("node", "hub"), ["hub"], "node", {"k": F.count("*")}, {"n": F.sum("k")}, SALTS)
     linked = (
         counted.filter("n > 1")
         .groupBy("node")
