@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from koine.llm import bpe, exact_dedup, fingerprints, minhash, mixing, sharding, substring_dedup, token_counts, toxicity, warc
+from koine.llm import bpe, exact_dedup, fingerprints, minhash, mixing, sharding, substring_dedup, token_counts, toxicity, warc, whitening
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -17,6 +17,7 @@ def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 _documents, _labels, _pages = _table("documents"), _table("labels"), _table("pages")
+_conversations, _embeddings = _table("conversations"), _table("embeddings")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +60,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(_documents(spark, sf_dir))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_report(_embeddings(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op5_warc": warc.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
