@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from koine.llm import bpe, exact_dedup, fingerprints, minhash, mixing, sharding, substring_dedup, token_counts, toxicity, warc, whitening
+from koine.llm import bpe, exact_dedup, fingerprints, minhash, mixing, sharding, substring_dedup, token_counts, toxicity, url_filter, warc, whitening
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -60,6 +60,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(_documents(spark, sf_dir))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_report(_pages(spark, sf_dir))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitening_report(_embeddings(spark, sf_dir))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_url_filter": op11_url_filter,
     "op13_whitening": op13_whitening,
 }
 
