@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from koine.llm import bpe, exact_dedup, fingerprints, minhash, mixing, sharding, substring_dedup, token_counts, toxicity, url_filter, warc, whitening
+from koine.llm import bpe, conversations, exact_dedup, fingerprints, minhash, mixing, sharding, substring_dedup, token_counts, toxicity, url_filter, warc, whitening
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -64,6 +64,10 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_report(_pages(spark, sf_dir))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(_conversations(spark, sf_dir))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitening_report(_embeddings(spark, sf_dir))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_url_filter": op11_url_filter,
+    "op12_conversations": op12_conversations,
     "op13_whitening": op13_whitening,
 }
 
