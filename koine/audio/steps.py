@@ -6,39 +6,33 @@ Steps that need a model (denoisers, restoration, bandwidth extension) are looked
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from koine.audio.arrays import robust_line, runs
+from koine.audio.edge import edge_clicks
 from koine.audio.metrics import METRICS, decode, encode_wav, frame_rms, measure
+from koine.audio.models import BATCHED, run_model
+from koine.audio.noise import centred_spans, lip_noise_spans, lip_noise_suppress, spectral_subtract, wpe
 
 #: Steps that need a model: name to (samples, rate, parameters) to samples. Register one to use it.
 BACKENDS: dict[str, Callable[[np.ndarray, int, dict], np.ndarray]] = {}
 MODEL_STEPS = ("dasheng", "sgmse", "wpe_deepfilternet", "sidon", "hifigan_bwe")
 
 
+#: Bytes of decoded samples that a chain works on at a time.
+LOT = 128 << 20
+
+
 class Rejected(Exception):
     """A step found that the recording can't be used; its text is the reason."""
 
 
 # --- helpers ---------------------------------------------------------------------------------------------------------
-def runs(mask: np.ndarray) -> np.ndarray:
-    """Start and end of each run of true values."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-    return edges.reshape(-1, 2)
-
-
-def short_runs(mask: np.ndarray, most: int) -> np.ndarray:
-    """The mask without its runs longer than `most`."""
-    out = np.zeros_like(mask)
-    for a, b in runs(mask):
-        out[a:b] = b - a <= most
-    return out
-
-
 def merged(intervals: np.ndarray, gap: int, pad: int, n: int) -> list[tuple[int, int]]:
     """Intervals padded, kept inside [0, n) and joined where they are at most `gap` apart."""
     out: list[tuple[int, int]] = []
@@ -62,25 +56,6 @@ def fill_hole(y: np.ndarray, a: int, b: int, kind: str = "cubic") -> None:
         y[a:b] = np.linspace(left, right, b - a + 2)[1:-1]
 
 
-def stft(y: np.ndarray, size: int, hop: int) -> np.ndarray:
-    """Centred short-time spectra with a Hann window: frames by bins."""
-    padded = np.pad(y, size // 2, mode="reflect" if len(y) > size // 2 else "constant")
-    n = 1 + max(0, len(padded) - size) // hop
-    window = np.hanning(size + 1)[:-1]
-    frames = np.stack([padded[i * hop : i * hop + size] for i in range(n)])
-    return np.fft.rfft(frames * window, axis=1)
-
-
-def istft(spectra: np.ndarray, size: int, hop: int, length: int) -> np.ndarray:
-    window = np.hanning(size + 1)[:-1]
-    out, norm = np.zeros(hop * (len(spectra) - 1) + size), np.zeros(hop * (len(spectra) - 1) + size)
-    for i, f in enumerate(np.fft.irfft(spectra, size, axis=1)):
-        out[i * hop : i * hop + size] += f * window
-        norm[i * hop : i * hop + size] += window**2
-    whole = (out / np.maximum(norm, 1e-8))[size // 2 :]
-    return np.pad(whole, (0, max(0, length - len(whole))))[:length]
-
-
 def _ms(rate: int, ms: float) -> int:
     return max(1, int(rate * ms / 1000))
 
@@ -209,51 +184,6 @@ def butterworth(y: np.ndarray, rate: int, cutoff: float, kind: str, order: int =
     return x[edge : edge + len(y)].astype(np.float32)
 
 
-def spectral_subtract(y: np.ndarray, rate: int, size: int = 1024, hop: int = 256, amount: float = 1.0, floor: float = 0.05, profile: str = "quiet", seconds: float = 0.2, percentile: float = 10.0) -> np.ndarray:
-    """Subtract a noise profile from the magnitudes: the lead, the trail, or the quietest frames."""
-    s = stft(y.astype(np.float64), size, hop)
-    mag = np.abs(s)
-    n = max(1, int(seconds * rate / hop))
-    energy = mag.sum(axis=1)
-    noisy = {"lead": mag[:n], "trail": mag[-n:], "quiet": mag[energy <= np.percentile(energy, percentile)]}[profile]
-    noise = noisy.mean(axis=0)
-    kept = np.maximum(mag - amount * noise, floor * mag)
-    return istft(s * kept / np.maximum(mag, 1e-12), size, hop, len(y)).astype(np.float32)
-
-
-def lip_noise_suppress(y: np.ndarray, rate: int, low: float = 1500.0, ratio: float = 4.0, most_ms: float = 30.0, keep: float = 0.2, size: int = 512, hop: int = 128) -> np.ndarray:
-    """Attenuate short bursts above a frequency that stand out of the median of their surroundings."""
-    s = stft(y.astype(np.float64), size, hop)
-    band = np.fft.rfftfreq(size, 1 / rate) >= low
-    energy = np.abs(s[:, band]).sum(axis=1)
-    width = 2 * (max(1, int(0.15 * rate / hop)) // 2) + 1
-    around = np.median(np.lib.stride_tricks.sliding_window_view(np.pad(energy, width // 2), width), axis=1)
-    burst = short_runs(energy > ratio * np.maximum(around, 1e-9), max(1, int(most_ms * rate / 1000 / hop)))
-    s[np.ix_(burst, band)] *= keep
-    return istft(s, size, hop, len(y)).astype(np.float32)
-
-
-def lip_noise_repair(y: np.ndarray, rate: int, frame_ms: float = 4.0, crest: float = 4.0, crossing: float = 0.3, most_ms: float = 15.0, kind: str = "cubic") -> np.ndarray:
-    """Replace short frames that are peaked, restless and rising against those before by interpolation."""
-    n = _ms(rate, frame_ms)
-    if len(y) < 4 * n:
-        return y
-    frames = y[: len(y) // n * n].reshape(-1, n).astype(np.float64)
-    rms = np.sqrt((frames**2).mean(axis=1) + 1e-18)
-    peaked = np.abs(frames).max(axis=1) / rms
-    restless = (np.diff(np.signbit(frames), axis=1) != 0).mean(axis=1)
-    rising = rms / np.maximum(np.append(rms[:1], rms[:-1]), 1e-9)
-    odd = short_runs(((peaked > crest) & (rising > 1.5)) | ((restless > crossing) & (rising > 3)), max(1, int(most_ms / frame_ms)))
-    out = y.copy()
-    for a, b in merged(runs(odd) * n, 0, 0, len(y)):
-        fill_hole(out, a, b, kind)
-    return out
-
-
-#: Fixed value: a median deviation times this estimates a standard deviation.
-MAD = 1.4826
-
-
 def diff_click_repair(
     y: np.ndarray, rate: int, first: float = 9.0, second: float | None = 8.0, both: bool = False, min_jump: float | None = None,
     gap_ms: float = 0.35, pad_ms: float = 1.5, most_ms: float = 20.0, most: int = 256, kind: str = "cubic",
@@ -269,66 +199,29 @@ def diff_click_repair(
     x = y.astype(np.float64)
     jumps = np.abs(np.diff(x))
 
-    def outliers(d: np.ndarray, k: float, least: float = 0.0) -> np.ndarray:
-        """Samples that a difference beyond the threshold touches."""
-        middle = np.median(d)
-        hit = d > max(middle + k * MAD * (np.median(np.abs(d - middle)) + 1e-20), least)
-        return np.convolve(hit, np.ones(len(x) - len(d) + 1)) > 0.5
-
-    mask = outliers(jumps, first, (min_jump or 0.0) * np.abs(x).max())
+    touched = lambda hit: np.convolve(hit, np.ones(len(x) - len(hit) + 1)) > 0.5  # noqa: E731  samples that a difference reaches
+    mask = touched(jumps > max(robust_line(jumps, first), (min_jump or 0.0) * np.abs(x).max()))
     if second is not None:
-        bends = outliers(np.abs(np.diff(x, n=2)), second)
-        mask = mask & bends if both else mask | bends
-    found, widest = [], max(4, round(most_ms * rate / 1000))
-    for a, b in merged(runs(mask), round(gap_ms * rate / 1000), 0, len(y)):
-        a, b = max(0, a - round(pad_ms * rate / 1000)), min(len(y), b + round(pad_ms * rate / 1000))
-        if b - a > widest:
-            a = max(0, (a + b) // 2 - widest // 2)
-            b = min(len(y), a + widest)
-            a = max(0, b - widest)
-        found.append((a, b))
-    found = merged(np.array(found).reshape(-1, 2), 0, 0, len(y))
-    if 0 < most < len(found):
-        found = sorted(found, key=lambda x: -jumps[max(0, x[0] - 1) : x[1]].max(initial=0.0))[:most]
+        bends = np.abs(np.diff(x, n=2))
+        mask = (np.logical_and if both else np.logical_or)(mask, touched(bends > robust_line(bends, second)))
+    samples = lambda ms: round(ms * rate / 1000)
+    spans = np.array(merged(runs(mask), samples(gap_ms), 0, len(y)), dtype=np.int64).reshape(-1, 2)
+    spans = np.clip(spans + [-samples(pad_ms), samples(pad_ms)], 0, len(y))
+    spans = centred_spans(spans, spans.sum(axis=1) // 2, max(4, samples(most_ms)), len(y))
+    found = merged(spans, 0, 0, len(y))
+    strongest = np.argsort([-jumps[max(0, a - 1) : b].max(initial=0.0) for a, b in found], kind="stable")
+    found = [found[k] for k in strongest[: most or None]]
     out = y.copy()
     for a, b in found:
         fill_hole(out, a, b, kind)
     return out
 
 
-def edge_click(y: np.ndarray, rate: int, window_ms: float = 250.0, ratio: float = 3.0, voice_floor: float = 0.1, action: str = "mute", fade_ms: float = 5.0, sides: str = "both") -> np.ndarray:
-    """Remove a transient at an edge that is apart from the voice: mute it, fade it, or mute and trim to the voice."""
-    out = y.copy()
-    step = _ms(rate, 5.0)
-
-    def lead(x: np.ndarray) -> int:
-        """Samples before the voice that hold a click, else 0."""
-        head = np.abs(x[: len(x) // step * step]).reshape(-1, step).max(axis=1)
-        if len(head) < 8:
-            return 0
-        rms = np.sqrt((x[: len(head) * step].astype(np.float64) ** 2).reshape(-1, step).mean(axis=1))
-        voiced = rms > voice_floor * np.percentile(rms, 95)
-        long = [r for r in runs(voiced) if r[1] - r[0] >= 6]
-        onset = long[0][0] if long else 0
-        part = head[: min(onset, int(window_ms / 5))]
-        return int(onset * step) if len(part) and part.max() > ratio * (np.median(part) + 1e-4) else 0
-
-    def treat(x: np.ndarray) -> np.ndarray:
-        n = lead(x)
-        if not n:
-            return x
-        fade = min(n, _ms(rate, fade_ms))
-        if action == "fade":
-            x[:n] *= np.linspace(0, 1, n) ** 2
-        else:
-            x[: n - fade] = 0
-            x[n - fade : n] *= np.linspace(0, 1, fade)
-        return x[n - fade :] if action == "mute_then_trim" else x
-
-    if sides in ("both", "leading"):
-        out = treat(out)
-    if sides in ("both", "trailing"):
-        out = treat(out[::-1].copy())[::-1].copy()
+def lip_noise_repair(y: np.ndarray, rate: int, kind: str = "linear", **rules) -> np.ndarray:
+    """Replace short transients (lip_noise_spans) by interpolation."""
+    out = y.astype(np.float32).copy()
+    for a, b in lip_noise_spans(y, rate, **rules):
+        fill_hole(out, a, b, kind)
     return out
 
 
@@ -347,7 +240,8 @@ STEPS: dict[str, Callable[[np.ndarray, int, dict], tuple[np.ndarray, int]]] = {
     "lip_noise_suppress": _plain(lip_noise_suppress),
     "lip_noise_repair": _plain(lip_noise_repair),
     "diff_click_repair": _plain(diff_click_repair),
-    "edge_click": _plain(edge_click),
+    "edge_click": _plain(lambda y, rate, **p: edge_clicks(y, rate, **p).y),
+    "wpe": _plain(wpe),
 }
 
 
@@ -358,6 +252,11 @@ def denoise(y: np.ndarray, rate: int, p: dict) -> tuple[np.ndarray, int]:
         return y, rate
     if backend == "spectral_subtract":
         return spectral_subtract(y, rate, **rest), rate
+    if backend == "wpe_deepfilternet":  # the first half needs no model
+        y = wpe(y, rate, **rest.pop("wpe", {}))
+    if backend in BATCHED:
+        bounds = {k: rest.pop(k) for k in ("most_bytes", "chunk_sec", "overlap_sec") if k in rest}
+        return run_model(BATCHED[backend], [y], rate, rest, **bounds)[0], rate
     if backend not in BACKENDS:
         raise ValueError(f"no backend named {backend!r} is registered")
     return BACKENDS[backend](y, rate, rest), rate
@@ -374,20 +273,58 @@ def compiled(chain: Sequence[dict], skip_denoise: bool = False) -> list[dict]:
         steps = [{"type": "decode"}, *steps]
     late = [s for s in steps if s["type"] == "edge_click" and s.get("post_spectral")]
     steps = [s for s in steps if s not in late]
-    spectral = [i for i, s in enumerate(steps) if s["type"] in ("denoise", "lip_noise_suppress", *MODEL_STEPS)]
+    spectral = [i for i, s in enumerate(steps) if s["type"] in ("denoise", "lip_noise_suppress", "wpe", *MODEL_STEPS)]
     at = spectral[-1] + 1 if spectral else len(steps)
     return steps[:at] + late + steps[at:]
 
 
-def run(y: np.ndarray, rate: int, chain: Sequence[dict]) -> tuple[np.ndarray, int]:
+def _backend(step: dict) -> str:
+    return step.get("backend", "none") if step["type"] == "denoise" else step["type"] if step["type"] in MODEL_STEPS else "none"
+
+
+def run_all(items: Sequence[tuple[np.ndarray, int]], chain: Sequence[dict]) -> list[tuple[np.ndarray, int] | Exception]:
+    """Recordings through the chain, each with its samples and rate or with what went wrong. A step of a registered batch
+    model takes all recordings of one rate together; a batch that fails is taken up one by one."""
+    out: list = list(items)
+
+    def each(places, f) -> None:
+        for i in places:
+            try:
+                out[i] = f(*out[i])
+            except Exception as e:  # one bad recording doesn't stop the others
+                out[i] = e
+
     for step in chain:
-        p = {k: v for k, v in step.items() if k not in ("type", "post_spectral")}
-        kind = step["type"]
-        if kind == "denoise" or kind in MODEL_STEPS:
-            y, rate = denoise(y, rate, p if kind == "denoise" else {"backend": kind, **p})
-        else:
-            y, rate = STEPS[kind](y, rate, p)
-    return y, rate
+        kind, p = step["type"], {k: v for k, v in step.items() if k not in ("type", "post_spectral")}
+        good, name = [i for i, x in enumerate(out) if not isinstance(x, Exception)], _backend(step)
+        if name == "none" and kind != "denoise":
+            each(good, lambda y, rate: STEPS[kind](y, rate, p))
+            continue
+        alone = lambda y, rate: denoise(y, rate, {**p, "backend": name})
+        if name not in BATCHED:
+            each(good, alone)
+            continue
+        bounds = {k: p[k] for k in ("most_bytes", "chunk_sec", "overlap_sec") if k in p}
+        rest = {k: v for k, v in p.items() if k not in (*bounds, "backend", "wpe")}
+        rates = {i: out[i][1] for i in good}
+        for rate in sorted(set(rates.values())):
+            own = [i for i in good if rates[i] == rate]
+            try:
+                before = [wpe(out[i][0], rate, **p.get("wpe", {})) if name == "wpe_deepfilternet" else out[i][0] for i in own]
+                after = run_model(BATCHED[name], before, rate, rest, **bounds)
+            except Exception:
+                each(own, alone)
+            else:
+                for i, y in zip(own, after, strict=True):
+                    out[i] = (y, rate)
+    return out
+
+
+def run(y: np.ndarray, rate: int, chain: Sequence[dict]) -> tuple[np.ndarray, int]:
+    done = run_all([(y, rate)], chain)[0]
+    if isinstance(done, Exception):
+        raise done
+    return done
 
 
 _METRIC_NAMES = [x.split()[0] for x in METRICS.split(", ")]
@@ -399,28 +336,43 @@ PROCESSED = T.StructType(
 def process_udf(chain: Sequence[dict], skip_denoise: bool = False, early: Callable[[dict, int], str | None] | None = None):
     """Columns of recordings' contents and their texts' lengths to (content, reason, m): processed with its measures, or
     why not. A recording is decoded once; `early` may turn it down by its measures before the chain."""
-    steps = compiled(chain, skip_denoise)
+    steps, none = compiled(chain, skip_denoise), dict.fromkeys(_METRIC_NAMES)
 
-    def one(content: bytes, letters: int) -> tuple:
-        y, rate = decode(content)
+    def opened(content, letters: int):
+        y, rate = decode(bytes(content))
         if early and (reason := early(measure(y, rate), letters)):
             raise Rejected(reason)
-        y, rate = run(y, rate, steps)
-        written = encode_wav(y, rate)
+        return y, rate
+
+    def told(x) -> tuple:
+        if isinstance(x, Exception):
+            return None, str(x) if isinstance(x, Rejected) else f"audio_error: {type(x).__name__}", none
+        written = encode_wav(*x)
         return written, None, measure(*decode(written))
 
     @F.pandas_udf(PROCESSED)
-    def udf(content: pd.Series, letters: pd.Series) -> pd.DataFrame:
-        out, none = [], dict.fromkeys(_METRIC_NAMES)
-        for c, n in zip(content, letters, strict=True):
-            try:
-                out.append(one(bytes(c), n) if c is not None else (None, None, none))
-            except Rejected as e:
-                out.append((None, str(e), none))
-            except Exception as e:  # one bad recording doesn't stop a batch
-                out.append((None, f"audio_error: {type(e).__name__}", none))
-        measures = pd.DataFrame([m for _, _, m in out], columns=_METRIC_NAMES)
-        return pd.DataFrame({"content": [c for c, _, _ in out], "reason": [r for _, r, _ in out], "m": measures.to_dict("records")})
+    def udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for content, letters in batches:
+            out: list[tuple] = [(None, None, none)] * len(content)
+            places, lot, held = [], [], 0
+            for i, (c, n) in enumerate(zip(content, letters, strict=True)):
+                if c is None:
+                    continue
+                try:
+                    lot.append(opened(c, n))
+                except Exception as e:
+                    out[i] = told(e)
+                    continue
+                places.append(i)
+                held += lot[-1][0].nbytes
+                if held >= LOT:
+                    for k, x in zip(places, run_all(lot, steps), strict=True):
+                        out[k] = told(x)
+                    places, lot, held = [], [], 0
+            for k, x in zip(places, run_all(lot, steps), strict=True):
+                out[k] = told(x)
+            measures = pd.DataFrame([m for _, _, m in out], columns=_METRIC_NAMES)
+            yield pd.DataFrame({"content": [c for c, _, _ in out], "reason": [r for _, r, _ in out], "m": measures.to_dict("records")})
 
     return lambda content, letters=F.lit(0): udf(content, letters)
 
