@@ -8,6 +8,7 @@ import subprocess
 import wave
 from collections.abc import Callable
 from dataclasses import dataclass
+from urllib.request import url2pathname
 
 import numpy as np
 import pandas as pd
@@ -166,6 +167,22 @@ METRICS = "duration_sec double, silence_ratio double, trailing_silence_sec doubl
 CHEAP = "decode_ok boolean, peak double, rms double, clipping_ratio double, silence_ratio double"
 
 
+def bytes_of(x) -> bytes:
+    """A recording's bytes: as they are, or read in the worker from a URI that pyarrow knows or a path that all workers share."""
+    if not isinstance(x, str):
+        return bytes(x)
+    if x.startswith("file:"):
+        x = url2pathname(x.removeprefix("file:")) if not x.startswith("file://") else url2pathname(x.removeprefix("file://"))
+    if "://" in x:
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(x)
+        with system.open_input_stream(path) as f:
+            return f.read()
+    with open(x, "rb") as f:
+        return f.read()
+
+
 def _measured(measure_one, fields: str):
     pairs = [x.split() for x in fields.split(", ")]
     names = [name for name, _ in pairs]
@@ -176,7 +193,7 @@ def _measured(measure_one, fields: str):
         rows = []
         for c in content:
             try:
-                rows.append(measure_one(*decode(bytes(c))))
+                rows.append(measure_one(*decode(bytes_of(c))))
             except Exception:  # a recording that can't be decoded has no measures
                 rows.append(dict.fromkeys(names) | ({"decode_ok": False} if "decode_ok" in names else {}))
         return pd.DataFrame(rows, columns=names)
@@ -184,6 +201,6 @@ def _measured(measure_one, fields: str):
     return udf
 
 
-#: Columns of recordings' contents to structs of measures.
+#: Columns of recordings, contents or URIs, to structs of measures.
 metrics_udf = _measured(measure, METRICS)
 cheap_udf = _measured(cheap, CHEAP)

@@ -10,14 +10,18 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from koine.audio.arrays import robust_line, runs
 from koine.audio.edge import edge_clicks
-from koine.audio.metrics import METRICS, decode, encode_wav, frame_rms, measure
+from koine.audio.metrics import METRICS, bytes_of, decode, encode_wav, frame_rms, measure
 from koine.audio.models import BATCHED, run_model
 from koine.audio.noise import centred_spans, lip_noise_spans, lip_noise_suppress, spectral_subtract, wpe
+from koine.scratch import ship
 
 #: Steps that need a model: name to (samples, rate, parameters) to samples. Register one to use it.
 BACKENDS: dict[str, Callable[[np.ndarray, int, dict], np.ndarray]] = {}
@@ -333,50 +337,83 @@ PROCESSED = T.StructType(
 )
 
 
-def process_udf(chain: Sequence[dict], skip_denoise: bool = False, early: Callable[[dict, int], str | None] | None = None):
-    """Columns of recordings' contents and their texts' lengths to (content, reason, m): processed with its measures, or
-    why not. A recording is decoded once; `early` may turn it down by its measures before the chain."""
+def _processor(chain: Sequence[dict], skip_denoise: bool, early, keep: bool):
+    """A function of recordings and their texts' lengths, in order, to ((content, reason, measures), bytes) as they are done,
+    in lots of at most about LOT bytes of samples."""
     steps, none = compiled(chain, skip_denoise), dict.fromkeys(_METRIC_NAMES)
 
-    def opened(content, letters: int):
-        y, rate = decode(bytes(content))
+    def opened(x, letters: int):
+        y, rate = decode(bytes_of(x))
         if early and (reason := early(measure(y, rate), letters)):
             raise Rejected(reason)
         return y, rate
 
     def told(x) -> tuple:
+        if x is None:
+            return None, None, none
         if isinstance(x, Exception):
             return None, str(x) if isinstance(x, Rejected) else f"audio_error: {type(x).__name__}", none
         written = encode_wav(*x)
-        return written, None, measure(*decode(written))
+        return written if keep else None, None, measure(*decode(written))
+
+    def process(rows) -> Iterator[list[tuple]]:
+        lot, held = [], 0
+
+        def done() -> list[tuple]:
+            good = [i for i, x in enumerate(lot) if isinstance(x, tuple)]
+            for i, x in zip(good, run_all([lot[i] for i in good], steps), strict=True):
+                lot[i] = x
+            return [told(x) for x in lot]
+
+        for x, letters in rows:
+            try:
+                lot.append(None if x is None else opened(x, letters))
+            except Exception as e:  # one bad recording doesn't stop the others
+                lot.append(e)
+            held += lot[-1][0].nbytes if isinstance(lot[-1], tuple) else 0
+            if held >= LOT:
+                yield done()
+                lot, held = [], 0
+        if lot:
+            yield done()
+
+    return process
+
+
+def process_udf(chain: Sequence[dict], skip_denoise: bool = False, early: Callable[[dict, int], str | None] | None = None):
+    """Columns of recordings (contents or URIs) and their texts' lengths to (content, reason, m): processed with its measures, or
+    why not. A recording is decoded once; `early` may turn it down by its measures before the chain. An Arrow batch is
+    given back whole; processed() bounds what it gives back by bytes."""
+    process = _processor(chain, skip_denoise, early, True)
 
     @F.pandas_udf(PROCESSED)
-    def udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for content, letters in batches:
-            out: list[tuple] = [(None, None, none)] * len(content)
-            places, lot, held = [], [], 0
-            for i, (c, n) in enumerate(zip(content, letters, strict=True)):
-                if c is None:
-                    continue
-                try:
-                    lot.append(opened(c, n))
-                except Exception as e:
-                    out[i] = told(e)
-                    continue
-                places.append(i)
-                held += lot[-1][0].nbytes
-                if held >= LOT:
-                    for k, x in zip(places, run_all(lot, steps), strict=True):
-                        out[k] = told(x)
-                    places, lot, held = [], [], 0
-            for k, x in zip(places, run_all(lot, steps), strict=True):
-                out[k] = told(x)
-            measures = pd.DataFrame([m for _, _, m in out], columns=_METRIC_NAMES)
-            yield pd.DataFrame({"content": [c for c, _, _ in out], "reason": [r for _, r, _ in out], "m": measures.to_dict("records")})
+    def udf(content: pd.Series, letters: pd.Series) -> pd.DataFrame:
+        out = [x for lot in process(zip(content, letters, strict=True)) for x in lot]
+        measures = pd.DataFrame([m for _, _, m in out], columns=_METRIC_NAMES)
+        return pd.DataFrame({"content": [c for c, _, _ in out], "reason": [r for _, r, _ in out], "m": measures.to_dict("records")})
 
     return lambda content, letters=F.lit(0): udf(content, letters)
 
 
+def processed(df: DataFrame, recording: str, chain: Sequence[dict], name: str = "processed", letters: str | None = None, skip_denoise: bool = False, early=None, keep: bool = True) -> DataFrame:
+    """df with a struct `name` of (content, reason, m), as process_udf; recording and letters name columns of df. Rows come and go in
+    Arrow batches cut where about LOT bytes of samples are reached, whatever their number. Without `keep` the contents
+    stay behind."""
+    ship(df.sparkSession)
+    process, kind = _processor(chain, skip_denoise, early, keep), to_arrow_type(PROCESSED)
+
+    def through(batches):
+        for b in batches:
+            sizes = b.column(letters).to_pylist() if letters else [0] * b.num_rows
+            at = 0
+            for lot in process(zip(b.column(recording).to_pylist(), sizes, strict=True)):
+                made = pa.array([{"content": c, "reason": r, "m": m} for c, r, m in lot], kind)
+                yield pa.record_batch([*b.slice(at, len(lot)).columns, made], names=[*b.schema.names, name])
+                at += len(lot)
+
+    return df.mapInArrow(through, T.StructType([*df.schema.fields, T.StructField(name, PROCESSED)]))
+
+
 def level_db(y: np.ndarray, rate: int) -> np.ndarray:
     """Frame levels in decibels."""
     return 20 * np.log10(np.maximum(frame_rms(y, rate), 1e-9))

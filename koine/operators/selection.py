@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from koine.functions.scoring import marginal, redundancy, vector_distance
-from koine.scratch import appended, cut, summed_before
+from koine.scratch import appended, cut, ship, summed_before
 
 
 @dataclass(frozen=True)
@@ -534,6 +534,7 @@ def select(candidates: DataFrame, targets: DataFrame, until: dict[str, float], l
     tokens, speakers, groups and seconds go over ranges of one sort, so no task holds a bucket, a token or a speaker. Near
     clips of one round aren't held apart by acoustic diversity; those of different rounds are.
     """
+    ship(candidates.sparkSession)
     pool, kinds = _pool(candidates, limits, bool(weights.acoustic))
     rounds = _Rounds(pool, kinds, until, limits, weights)
     token = F.col("token")

@@ -19,7 +19,7 @@ from koine.operators import aggregates as agg
 from koine.operators import filters, joins, reports, selection, split
 from koine.operators.coverage import target_rows
 from koine.schema import CLIPS, INDEX
-from koine.scratch import cut
+from koine.scratch import cut, ship
 from koine.sources import tables
 
 
@@ -107,6 +107,7 @@ def clip_id(release, path, row_index, audio, raw):
 
 
 def scan(spark: SparkSession, c: Config) -> DataFrame:
+    ship(spark)
     rows = tables.clip_tsv(spark, c.tsv)
     return filters.prepare(rows, c.speakers, c.axes, c.min_up_votes, c.max_down_votes)
 
@@ -128,25 +129,25 @@ def _analyzed(spark: SparkSession, c: Config, rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("text_norm", text.normalize_for_tts(F.col("sentence")))
     locale = F.col("locale") if "locale" in rows.columns else F.lit(None).cast("string")
     rows = rows.withColumn("text_reason", text.text_reason(F.col("text_norm"), locale, c.locale, *c.text_length, c.japanese_ratio))
-    files = tables.audio_files(spark, c.audio).withColumn("name", F.regexp_extract("path", "[^/]+$", 0)).select("name", "content", "audio_sha256")
-    joined = rows.withColumn("name", F.regexp_extract("path", "[^/]+$", 0)).join(files, "name", "left")
-    usable = F.col("text_reason").isNull() & F.col("content").isNotNull()
+    joined = tables.with_recordings(rows, tables.recordings(spark, c.audio))
+    if c.alignments:  # all joins come before recordings are read
+        joined = joins.manifest_phonemes(joined.withColumn("source_path", F.col("path")), tables.phoneme_manifest(spark, c.alignments), c.alignment_policy)
     early = quality.EarlyGate(**c.early).reason(gate) if c.early else None
     morae = text.morae(F.col("text_norm"))
-    joined = joined.withColumn("processed", steps.process_udf(c.chain, early=early)(F.when(usable, F.col("content")), F.length("text_norm")))
+    joined = joined.withColumns({"usable": F.when(F.col("text_reason").isNull(), F.col("recording")), "letters": F.length("text_norm")})
+    joined = steps.processed(joined, "usable", c.chain, letters="letters", early=early, keep=bool(c.rescue or c.asr))
     judged = lambda: quality.gate_reason(F.col("processed.m"), F.length("text_norm"), F.size(morae) if gate.min_sec_per_mora else None, gate)
     if c.rescue:  # what the gate turns down gets a second chain and is judged by that
         failed = judged().isNotNull() & F.col("processed.content").isNotNull()
-        again = steps.process_udf(c.rescue)(F.when(failed, F.col("processed.content")))
-        joined = joined.withColumn("failed", failed).withColumn("again", again).withColumn("processed", F.when(F.col("failed"), F.col("again")).otherwise(F.col("processed")))
+        joined = joined.withColumn("failed", F.when(failed, F.col("processed.content")))
+        joined = steps.processed(joined, "failed", c.rescue, "again", keep=bool(c.asr)).withColumn("processed", F.when(F.col("failed").isNotNull(), F.col("again")).otherwise(F.col("processed")))
     joined = joined.withColumn("m", F.col("processed.m"))
     reason = F.coalesce(
-        F.col("text_reason"), F.when(F.col("content").isNull(), "audio_missing"), F.col("processed.reason"), F.when(F.col("m.duration_sec").isNull(), "audio_error"), judged(),
+        F.col("text_reason"), F.when(F.col("recording").isNull(), "audio_missing"), F.col("processed.reason"), F.when(F.col("m.duration_sec").isNull(), "audio_error"), judged(),
         _heard(c, F.col("processed.content"), F.col("text_norm")),
     )
     spoken = tokens.split_tokens(backends.phonemes(F.col("text_norm"), c.reading)) if c.reading else tokens.split_tokens(F.lower("text_norm"))
     if c.alignments:
-        joined = joins.manifest_phonemes(joined.withColumn("source_path", F.col("path")), tables.phoneme_manifest(spark, c.alignments), c.alignment_policy)
         spoken, reason = F.when(F.col("aligned_phonemes").isNotNull(), tokens.split_tokens(F.col("aligned_phonemes"))).otherwise(spoken), F.coalesce(reason, F.col("alignment_reason"))
     source = F.when(F.col("aligned_phonemes").isNotNull(), "alignment").otherwise(c.reading or "words") if c.alignments else F.lit(c.reading or "words")
     joined = joined.withColumn("spoken", spoken).withColumn("reason", reason)
@@ -190,22 +191,21 @@ def coverage_index(spark: SparkSession, c: Config, prior: DataFrame | None = Non
     """The coverage index: features of every clip by its text, and cheap signs of its recording. Rows of an index before
     with the same place, sentence and recording are taken up."""
     rows = scan(spark, c)
-    files = tables.audio_files(spark, c.audio).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "content", "audio_sha256")
-    joined = rows.withColumn("name", F.regexp_extract("path", "[^/]+$", 0)).join(files, "name", "left")
+    joined = tables.with_recordings(rows, tables.recordings(spark, c.audio))
     kept = None
     if prior is not None:
         places = joined.select(F.col("path").alias("source_path"), F.col("row_index").alias("source_row_index"), "sentence", "audio_sha256")
         known = cut(joins.reusable_index(places, prior).where("reuse").select("source_path", "source_row_index", F.col("prior_clip_id").alias("clip_id")), "indexed")
         kept = prior.join(known.select("clip_id"), "clip_id", "left_semi")
         joined = joined.join(known, (F.col("path") == F.col("source_path")) & (F.col("row_index") == F.col("source_row_index")), "left_anti")
-    joined = joined.withColumn("text_norm", text.normalize_for_tts(F.col("sentence"))).withColumn("cheap_quality", metrics.cheap_udf("content")).withColumn("m", metrics.metrics_udf("content"))
+    joined = joined.withColumn("text_norm", text.normalize_for_tts(F.col("sentence"))).withColumn("cheap_quality", metrics.cheap_udf("recording")).withColumn("m", metrics.metrics_udf("recording"))
     phones = tokens.split_tokens(F.lower("text_norm"))
     keys = F.flatten(F.array(tokens.keys_of("phoneme", phones), tokens.keys_of("mora", text.morae(F.col("text_norm"))), tokens.keys_of("biphone", tokens.biphones_with_ends(phones))))
     votes = lambda n: (F.expr(f"try_cast(trim({n}) as long)") if n in rows.columns else F.lit(None).cast("long")).alias(n)
     out = joined.select(
         clip_id(F.lit(c.release), F.col("path"), F.col("row_index"), F.col("audio_sha256"), F.col("sentence")).alias("clip_id"), F.col("path").alias("source_path"), F.col("row_index").alias("source_row_index"),
         "client_id", "sentence", F.col("text_norm").alias("normalized_text"), F.col("m.duration_sec").alias("duration_sec"), votes("up_votes"), votes("down_votes"), "audio_sha256", keys.alias("feature_keys"),
-        "cheap_quality", F.col("content").isNull().alias("invalidated"),
+        "cheap_quality", F.col("recording").isNull().alias("invalidated"),
     )
     out = sinks.fixed_columns(out, INDEX)
     return out if kept is None else sinks.fixed_columns(kept, INDEX).unionByName(out)
@@ -281,9 +281,8 @@ def materialize(clips: DataFrame, plan: DataFrame, c: Config) -> None:
     sinks.one_file(sinks.piper(rows), f"{staging}/piper.txt")
     sinks.one_file(sinks.style_bert(rows), f"{staging}/esd.list")
     if c.audio:
-        name = F.regexp_extract("normalized_relative_source_path", "[^/]+$", 0).alias("name")
-        files = tables.audio_files(clips.sparkSession, c.audio).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "content")
-        found = rows.select("clip_id", name).join(files, "name").select("clip_id", steps.process_udf(c.chain)(F.col("content"))["content"].alias("content"))
+        found = tables.with_recordings(rows.select("clip_id", F.col("normalized_relative_source_path").alias("path")), tables.recordings(clips.sparkSession, c.audio)).where("recording is not null")
+        found = steps.processed(found.select("clip_id", "recording"), "recording", c.chain).select("clip_id", "processed.content")
         sinks.write_audio(found, f"{staging}/wavs")
     sinks.publish(staging, c.output)
 

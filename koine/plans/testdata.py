@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from koine.functions.text import collapse_ascii
 from koine.functions.tokens import ngrams
-from koine.scratch import spread
+from koine.scratch import ship, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

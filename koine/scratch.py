@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,14 @@ from pyspark.sql import functions as F
 _written: list[tuple[SparkSession, str]] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it; a cluster without a shared folder gets it by
+    --py-files instead. For whatever runs functions of this package in workers."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; one of our own only where that is unset and all runs on one machine."""
     if not (named := spark.conf.get("spark.checkpoint.dir", None)):

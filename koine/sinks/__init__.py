@@ -22,19 +22,23 @@ def fixed_columns(df: DataFrame, schema) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
 
+def recovered(target: str) -> None:
+    """After a publication that was cut off between its two renames the folder before is put back."""
+    if os.path.exists(f"{target}.old") and not os.path.exists(target):
+        os.replace(f"{target}.old", target)
+
+
 def publish(staging: str, target: str) -> None:
-    """Put a finished folder in its place; the one before is kept until that has worked."""
-    old = f"{target}.old"
-    shutil.rmtree(old, ignore_errors=True)
+    """Put a finished folder in its place; the one before is kept beside it until that has worked."""
+    recovered(target)
+    shutil.rmtree(f"{target}.old", ignore_errors=True)
     if os.path.exists(target):
-        os.replace(target, old)
+        os.replace(target, f"{target}.old")
     try:
         os.replace(staging, target)
-    except OSError:
-        if os.path.exists(old):
-            os.replace(old, target)
-        raise
-    shutil.rmtree(old, ignore_errors=True)
+    finally:
+        recovered(target)
+    shutil.rmtree(f"{target}.old", ignore_errors=True)
 
 
 def parquet(df: DataFrame, path: str, schema=None) -> None:

@@ -162,6 +162,26 @@ def audio_files(spark: SparkSession, folder: str, content: bool = True) -> DataF
     return files.select("path", "length", "content", F.sha2("content", 256).alias("audio_sha256")) if content else files.select("path", "length")
 
 
+def recordings(spark: SparkSession, folder: str) -> DataFrame:
+    """relative, name, recording (a URI) and audio_sha256 of the files below a folder. Contents are hashed where they are read; what
+    needs them later reads them by their URI, so they go through no exchange."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    root = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    files = audio_files(spark, folder)
+    return files.select(F.substring("path", len(root) + 2, 1 << 20).alias("relative"), F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.col("path").alias("recording"), "audio_sha256")
+
+
+def with_recordings(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """rows(path, ...) with recording and audio_sha256, null where there is none: the file at the row's path below the folder, or else
+    the only file there of its name. Of two files of one name in two folders neither is taken for the other."""
+    path = F.regexp_replace(F.replace("path", F.lit("\\"), F.lit("/")), "^(\\./|/)+", "")
+    exact = rows.withColumn("__at", path).join(files.select(F.col("relative").alias("__at"), "recording", "audio_sha256"), "__at", "left")
+    alone = files.groupBy("name").agg(F.count("*").alias("n"), F.first("recording").alias("__recording"), F.first("audio_sha256").alias("__sha")).where("n = 1")
+    missing = F.when(F.col("recording").isNull(), F.regexp_extract("__at", "[^/]+$", 0))
+    out = exact.withColumn("__name", missing).join(alone.select(F.col("name").alias("__name"), "__recording", "__sha"), "__name", "left")
+    return out.select(*rows.columns, F.coalesce("recording", "__recording").alias("recording"), F.coalesce("audio_sha256", "__sha").alias("audio_sha256"))
+
+
 def missing_audio(clips: DataFrame, files: DataFrame, most: int = 5000) -> DataFrame:
     """Paths among the first rows that no file has: a look at a sample, as its report says."""
     have = files.select(F.regexp_extract("path", "[^/]+$", 0).alias("name")).distinct()

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from koine.operators.joins import upsert
-from koine.sinks import parquet
+from koine.sinks.versioned import Catalog
 
 EVENTS = "job_id string, ts timestamp, stage string, status string, done long, total long"
 
@@ -30,15 +29,10 @@ def latest(events: DataFrame) -> DataFrame:
 
 
 def upsert_catalog(clips: DataFrame, path: str, checkpoint: str, schema) -> StreamingQuery:
-    """Merge analysed clips into a catalog, a micro-batch at a time; the newest row of a clip wins. A batch that is
-    repeated after a failure merges to the same table."""
+    """Merge analysed clips into a catalog in versions, a micro-batch at a time; the newest row of a clip wins. A batch
+    rewrites the buckets that it touches; one that is repeated after a failure merges to the same table."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        newest = batch.groupBy("clip_id").agg(F.max(F.struct("analyzed_at", F.struct(*batch.columns).alias("row"))).alias("m")).select("m.row.*")
-        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        known = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
-        old = spark.read.schema(schema).parquet(path) if known else spark.createDataFrame([], schema)  # a catalog that can't be read is an error
-        parquet(upsert(old, newest), path, schema)
+        Catalog(batch.sparkSession, path, schema).merge(batch)
 
     return clips.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from koine.sinks.versioned import Catalog
 from koine import sinks
 from koine.schema import CLIPS
 from koine.sources import tables
@@ -92,7 +93,7 @@ def test_streams(spark, tmp_path):
     for n, lines in enumerate((['{"clip_id":"a","disposition":"eligible","analyzed_at":"1"}'], ['{"clip_id":"a","disposition":"reserve","analyzed_at":"2"}', '{"clip_id":"b","disposition":"eligible","analyzed_at":"2"}'])):
         (tmp_path / "clips" / f"{n}.json").write_text("\n".join(lines))
         progress.upsert_catalog(clips, str(tmp_path / "table"), str(tmp_path / "cp"), clips.schema).awaitTermination()
-    assert {(r.clip_id, r.disposition) for r in spark.read.parquet(str(tmp_path / "table")).collect()} == {("a", "reserve"), ("b", "eligible")}
+    assert {(r.clip_id, r.disposition) for r in Catalog(spark, str(tmp_path / "table"), clips.schema).read().collect()} == {("a", "reserve"), ("b", "eligible")}
 
 
 def test_plans_manifests_and_pages(spark, tmp_path):
