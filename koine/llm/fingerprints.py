@@ -6,7 +6,7 @@ the hash of any span, and a binary search over spans the longest common extensio
 A fingerprint keeps the prefix array at places that the text itself chooses: those where the hash of the next few code
 points ends in enough zero bits, so a passage has the same places wherever it stands. Every place has a level, the
 number of these bits; a text keeps the lowest level with at most KEPT places, and two texts meet at the higher of their
-levels. Their likeness is the share of the longer text in passages that both have: from a place where both have the
+levels. Where windows repeat, as in a word said over and over, places are told from the start of that run. Their likeness is the share of the longer text in passages that both have: from a place where both have the
 same span, the longest common extension is found by binary search over the kept prefixes, and the longest is taken.
 So edits cost the spans they touch, wherever they are, and a passage that moves is found.
 """
@@ -29,6 +29,8 @@ PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
 #: Code points that choose a place, places kept (until levels end), highest level, bits of the step from place to place.
 WINDOW, KEPT, TOP, STEP_BITS = 8, 64, 15, 29
+#: Windows in a row that repeat at a period of at most PERIOD, at least: such a run has places of its own.
+RUN, PERIOD = 32, 256
 #: Code points of a common passage that count, at least; a quarter of a shorter text.
 PASSAGE = 12
 
@@ -66,6 +68,8 @@ class PrefixHashes:
     def __init__(self, text: str):
         codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
         self.n = len(codes)
+        if self.n >= 1 << STEP_BITS:
+            raise ValueError(f"a text has {self.n} code points; fingerprints hold less than 2**{STEP_BITS}")
         _POWERS.reach(self.n + 1)
         self.prefix, self.mark = [], None
         for up, p in zip(_POWERS.up, PRIMES, strict=True):
@@ -83,12 +87,21 @@ class PrefixHashes:
         start, stop = np.asarray(start), np.asarray(stop)
         return [self.span(k, start, stop) for k in range(len(PRIMES))]
 
+    @cached_property
+    def windows(self) -> np.ndarray:
+        """The hash of the next span of each place."""
+        full = max(0, self.n - WINDOW + 1)  # places with a whole window
+        return np.concatenate([self.span(0, slice(0, full), slice(WINDOW, WINDOW + full)), _windows(self.n, self.span, full, self.n)])
+
+    @cached_property
+    def chosen(self) -> np.ndarray:
+        """The level of each place by its window alone."""
+        return _levels_of(self.windows)
+
     @cached_property
     def levels(self) -> np.ndarray:
         """The level of each place."""
-        full = max(0, self.n - WINDOW + 1)  # places with a whole window
-        most = _levels_of(self.span(0, slice(0, full), slice(WINDOW, WINDOW + full)))
-        return np.concatenate([most, _levels(self.n, self.span, full, self.n)])
+        return _with_runs(self.chosen, self.windows)
 
     def equal(self, a: int, other: PrefixHashes, b: int, length: int) -> bool:
         """Whether the spans of this length at a here and at b there agree."""
@@ -112,10 +125,46 @@ def _levels_of(hashes: np.ndarray) -> np.ndarray:
     return np.where(x == 0, TOP, np.frexp(low)[1] - 1).astype(np.int64)
 
 
-def _levels(n: int, span, first: int, last: int) -> np.ndarray:
-    """The levels of places from first to last of a text of n code points, by the hash of the next span."""
+def _windows(n: int, span, first: int, last: int) -> np.ndarray:
+    """The hashes of the next spans of places from first to last of a text of n code points."""
     start = np.arange(first, last)
-    return _levels_of(span(0, start, np.minimum(start + WINDOW, n)))
+    return span(0, start, np.minimum(start + WINDOW, n))
+
+
+def _periods(windows: np.ndarray) -> list[int]:
+    """Periods of at most PERIOD at which RUN windows in a row, or more, repeat; of multiples the smallest.
+
+    Of RUN windows in a row two are on a grid of RUN / 2: a period at which these two repeat is looked at, no others.
+    """
+    grid = np.arange(0, len(windows), RUN // 2)
+    before = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(PERIOD, 1 << 63, dtype=np.uint64), windows]), PERIOD)
+    found = np.zeros(PERIOD, dtype=bool)
+    for at in range(0, len(grid), 2048):
+        own = grid[at : at + 2049]
+        hits = before[own] == windows[own][:, None]
+        found |= (hits[1:] & hits[:-1]).any(axis=0)
+    out: list[int] = []
+    for p in sorted((PERIOD - np.flatnonzero(found)).tolist()):
+        if not any(p % q == 0 for q in out):
+            out.append(p)
+    return out
+
+
+def _with_runs(levels: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Levels, but in runs of repeating windows, which all have one of few levels, the zero bits of the distance from the
+    run's start: as many places of each level as elsewhere, and the same ones wherever the run stands."""
+    if len(windows) <= RUN or not (periods := _periods(windows)):
+        return levels
+    inside = np.zeros(len(windows), dtype=bool)
+    for p in periods:
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], (windows[p:] == windows[:-p]).astype(np.int8), [0]]))).reshape(-1, 2) + p
+        for a, b in edges[edges[:, 1] - edges[:, 0] >= RUN]:
+            inside[a:b] = True
+    out = levels.copy()
+    for a, b in np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))).reshape(-1, 2):
+        far = np.arange(1, b - a + 1)
+        out[a:b] = np.minimum(TOP, np.frexp((far & -far).astype(np.float64))[1] - 1)
+    return out
 
 
 def _string(n: int, whole: list[int], levels: np.ndarray, span) -> str:
@@ -148,7 +197,9 @@ def joined_fingerprint(a: PrefixHashes, head: int, b: PrefixHashes, more: int) -
         return (left + right * _POWERS.up[k][by]) % np.uint64(PRIMES[k])
 
     x, y = max(0, head - WINDOW + 1), max(0, more - WINDOW + 1)
-    levels = np.concatenate([a.levels[:x], _levels(n, span, x, head), b.levels[:y], _levels(n, span, head + y, n)])
+    joint, end = _windows(n, span, x, head), _windows(n, span, head + y, n)
+    levels = np.concatenate([a.chosen[:x], _levels_of(joint), b.chosen[:y], _levels_of(end)])
+    levels = _with_runs(levels, np.concatenate([a.windows[:x], joint, b.windows[:y], end]))
     return _string(n, [int(span(k, 0, n)) for k in range(len(PRIMES))], levels, span)
 
 

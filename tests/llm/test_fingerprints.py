@@ -2,6 +2,7 @@ import functools
 import hashlib
 import random
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -15,6 +16,28 @@ def mark(t):
     return fp.fingerprint(fp.PrefixHashes(t))
 
 
+def _ruled(text, levels):
+    """Levels with those of runs of repeating windows by the definition: all periods, place by place."""
+    windows, inside = [text[i : i + fp.WINDOW] for i in range(len(text))], [False] * len(text)
+    for p in range(1, fp.PERIOD + 1):
+        i = p
+        while i < len(text):
+            j = i
+            while j < len(text) and windows[j] == windows[j - p]:
+                j += 1
+            if j - i >= fp.RUN:
+                inside[i:j] = [True] * (j - i)
+            i = max(j, i + 1)
+    out, start = list(levels), 0
+    for i in range(len(text)):
+        if not inside[i]:
+            start = i + 1
+            continue
+        far = i - start + 1
+        out[i] = min(fp.TOP, (far & -far).bit_length() - 1)
+    return out
+
+
 @given(words, words, st.integers(0, 40), st.integers(0, 40))
 def test_extension_matches_a_plain_comparison(a, b, i, j):
     i, j = min(i, len(a)), min(j, len(b))
@@ -46,6 +69,7 @@ def plain_places(text):
         x ^= x >> 32
         x = (x * 0xD6E8FEB86659FD93 % 2**64) >> (64 - fp.TOP)
         levels.append(fp.TOP if x == 0 else (x & -x).bit_length() - 1)
+    levels = _ruled(text, levels)
     for level in range(fp.TOP + 1):
         at = [i for i in range(1, len(text)) if levels[i] >= level]
         if len(at) <= fp.KEPT or level == fp.TOP:
@@ -148,3 +172,25 @@ def test_documents_match_brute_force(spark):
         for lots in (None, 1, 3):
             got = [tuple(r) for r in fp.fingerprint_documents(docs, lots).collect()]
             assert sorted(got, key=repr) == want
+
+
+def test_repeated_words_have_places():
+    rng = random.Random(1)
+    other = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    line = "".join(rng.choice("abcdefgh ") for _ in range(90)) + "\n"
+    for text in ("Und " * 649, "a" * 2000, "la la la li " * 300, line * 60, other[:500] + "Und " * 500 + other[500:900], "Und " * 8, "Un" * 33, "Und " * 30):
+        own, following = fp.PrefixHashes(text), fp.PrefixHashes(other)
+        assert own.levels.tolist() == _ruled(text, own.chosen.tolist())
+        half = own.n // 2
+        edited = text[: own.n - half] + other[:half]
+        mark = fp.joined_fingerprint(own, own.n - half, following, min(half, following.n))
+        assert mark == fp.fingerprint(fp.PrefixHashes(edited))
+        assert fp.likeness(fp.fingerprint(own), mark) > 0.3, text[:20]
+        assert fp.likeness(fp.fingerprint(own), fp.fingerprint(following)) < (0.1 if not text.startswith(other[:9]) else 0.35)
+    assert fp._periods(fp.PrefixHashes(other).windows) == [] and fp._periods(fp.PrefixHashes("Und " * 200).windows) == [4]
+
+
+def test_texts_beyond_the_limit_are_an_error(monkeypatch):
+    monkeypatch.setattr(fp, "STEP_BITS", 4)
+    with pytest.raises(ValueError):
+        fp.PrefixHashes("x" * 16)
