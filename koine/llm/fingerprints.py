@@ -30,7 +30,7 @@ BASES = (911382323, 972663749)
 #: Code points that choose a place, places kept (until levels end), highest level, bits of the step from place to place.
 WINDOW, KEPT, TOP, STEP_BITS = 8, 64, 15, 29
 #: Windows in a row that repeat at a period of at most PERIOD, at least: such a run has places of its own.
-RUN, PERIOD = 32, 256
+RUN, PERIOD = 16, 256
 #: Code points of a common passage that count, at least; a quarter of a shorter text.
 PASSAGE = 12
 
@@ -132,22 +132,24 @@ def _windows(n: int, span, first: int, last: int) -> np.ndarray:
 
 
 def _periods(windows: np.ndarray) -> list[int]:
-    """Periods of at most PERIOD at which RUN windows in a row, or more, repeat; of multiples the smallest.
+    """Periods of at most PERIOD at which RUN windows in a row, or more, repeat; of those that divide one another the smallest.
 
     Of RUN windows in a row two are on a grid of RUN / 2: a period at which these two repeat is looked at, no others.
     """
     grid = np.arange(0, len(windows), RUN // 2)
     before = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(PERIOD, 1 << 63, dtype=np.uint64), windows]), PERIOD)
-    found = np.zeros(PERIOD, dtype=bool)
+    out: set[int] = set()
     for at in range(0, len(grid), 2048):
         own = grid[at : at + 2049]
         hits = before[own] == windows[own][:, None]
-        found |= (hits[1:] & hits[:-1]).any(axis=0)
-    out: list[int] = []
-    for p in sorted((PERIOD - np.flatnonzero(found)).tolist()):
-        if not any(p % q == 0 for q in out):
-            out.append(p)
-    return out
+        both = hits[1:] & hits[:-1]
+        both = both[both.any(axis=1)][:, ::-1]  # column p - 1 is period p
+        for p in (np.flatnonzero(both.any(axis=0)) + 1).tolist():
+            if p not in out:
+                smaller = [q - 1 for q in range(1, p // 2 + 1) if p % q == 0]
+                if (both[:, p - 1] & ~both[:, smaller].any(axis=1)).any():
+                    out.add(p)
+    return sorted(out)
 
 
 def _with_runs(levels: np.ndarray, windows: np.ndarray) -> np.ndarray:

@@ -178,7 +178,7 @@ def test_repeated_words_have_places():
     rng = random.Random(1)
     other = "".join(rng.choice("abcdefgh ") for _ in range(3000))
     line = "".join(rng.choice("abcdefgh ") for _ in range(90)) + "\n"
-    for text in ("Und " * 649, "a" * 2000, "la la la li " * 300, line * 60, other[:500] + "Und " * 500 + other[500:900], "Und " * 8, "Un" * 33, "Und " * 30):
+    for text in ("Und " * 649, "a" * 2000, "la la la li " * 300, line * 60, other[:500] + "Und " * 500 + other[500:900], "Und " * 8, "Un" * 33, "Adododo " * 220 + "&" * 40, "Und " * 30):
         own, following = fp.PrefixHashes(text), fp.PrefixHashes(other)
         assert own.levels.tolist() == _ruled(text, own.chosen.tolist())
         half = own.n // 2
