@@ -12,10 +12,13 @@ from koine.functions.tokens import split_tokens
 from koine.scratch import chunked, summed_before
 
 
-def incidence(clips: DataFrame, families: Mapping[str, Column]) -> DataFrame:
+def incidence(clips: DataFrame, families: Mapping[str, Column], mark: bool = True) -> DataFrame:
     """A row for each token of each family of each clip: one scan, one generator. `first` marks one row of each token of a
     clip, so that clips can be counted without shuffling their ids. Tokens are sorted for it: a search of the list for
-    each of its tokens would be quadratic in a text's length."""
+    each of its tokens would be quadratic in a text's length. Without `mark` neither is done."""
+    if not mark:
+        entries = F.array(*[F.struct(F.lit(name).alias("family"), tokens.alias("tokens")) for name, tokens in families.items()])
+        return clips.select("clip_id", "speaker_id", F.explode(entries).alias("e")).select("clip_id", "speaker_id", "e.family", F.explode("e.tokens").alias("token"))
     entries = F.array(*[F.struct(F.lit(name).alias("family"), F.sort_array(tokens).alias("tokens")) for name, tokens in families.items()])
     rows = clips.select("clip_id", "speaker_id", F.explode(entries).alias("e")).select("clip_id", "speaker_id", "e.family", "e.tokens")
     is_first = lambda t, i: t.isNotNull() & ~t.eqNullSafe(F.get("tokens", i - 1))
@@ -32,11 +35,12 @@ def feature_counts(rows: DataFrame) -> DataFrame:
     """Occurrences, distinct speakers (a missing one counts as one) and clips of each token of an incidence table.
 
     Counted by speaker first, map-side: what is shuffled is a row for each token and speaker of a task, whatever the
-    number of clips. Clips are rows of the catalog, where an id occurs once.
+    number of clips. Clips are rows of the catalog, where an id occurs once; rows without `first` have no count of clips.
     """
-    by = rows.groupBy("family", "token", F.coalesce("speaker_id", F.lit("")).alias("speaker")).agg(F.count("*").alias("n"), F.count_if("first").alias("clips"))
-    out = by.groupBy("family", "token").agg(F.sum("n").alias("count"), F.count("*").alias("speaker_count"), F.sum("clips").alias("utterance_count"))
-    return out.select(F.col("family").alias("feature_type"), F.col("token").alias("feature"), "count", "speaker_count", "utterance_count")
+    marked = ["first"] if "first" in rows.columns else []
+    by = rows.groupBy("family", "token", F.coalesce("speaker_id", F.lit("")).alias("speaker")).agg(F.count("*").alias("n"), *[F.count_if(c).alias("clips") for c in marked])
+    out = by.groupBy("family", "token").agg(F.sum("n").alias("count"), F.count("*").alias("speaker_count"), *[F.sum("clips").alias("utterance_count") for _ in marked])
+    return out.withColumnsRenamed({"family": "feature_type", "token": "feature"})
 
 
 def approximate_counts(rows: DataFrame, error: float = 0.02) -> DataFrame:
@@ -103,8 +107,11 @@ def target_distribution(counts: DataFrame, alpha: float = 0.5) -> DataFrame:
 
 
 def target_table(rows: DataFrame, alpha: float = 0.5, min_count: int = 1, min_speakers: int = 1) -> DataFrame:
-    """The target distribution of tokens with enough support; the mask comes after the normalisation."""
-    shares = target_distribution(pool_counts(rows), alpha).join(speaker_support(rows), ["family", "token"])
+    """The target distribution of tokens with enough support; the mask comes after the normalisation. Occurrences and speakers
+    are counted in one pass, by speaker first."""
+    by = rows.groupBy("family", "token", "speaker_id").agg(F.count("*").alias("n"))
+    counts = by.groupBy("family", "token").agg(F.sum("n").alias("count"), F.count("speaker_id").alias("speakers"))
+    shares = target_distribution(counts, alpha)
     return shares.where((F.col("count") >= min_count) & (F.col("speakers") >= min_speakers))
 
 

@@ -39,8 +39,8 @@ def chunks(sql: str, keys: str, item: str, where: str = "true") -> str:
   SELECT *, (row_number() OVER (PARTITION BY {keys} ORDER BY {item}) - 1) // 1000 AS part FROM ({sql}) WHERE {where}) GROUP BY ALL"""
 
 
-def phones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agg.incidence(clips(spark, sf_dir), {"phone": F.col("phones")})
+def phones(spark: SparkSession, sf_dir: str, mark: bool = False) -> DataFrame:
+    return agg.incidence(clips(spark, sf_dir), {"phone": F.col("phones")}, mark)
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -53,7 +53,7 @@ COUNTS = """SELECT family AS feature_type, token AS feature, count(*) AS count,
 # --- aggregation -----------------------------------------------------------------------------------------------------
 @query(f"WITH {INCIDENCE} {COUNTS}")
 def feature_counts(spark, sf):
-    return agg.feature_counts(phones(spark, sf))
+    return agg.feature_counts(phones(spark, sf, True))
 
 
 @query(f"WITH {ALL_INCIDENCE} {COUNTS}")
@@ -63,7 +63,7 @@ def feature_counts_ngrams(spark, sf):
 
 @query(f"WITH {CLIPS} SELECT speaker_id, count(*) AS n_clips, count(*) FILTER (WHERE disposition = 'eligible') AS n_eligible, round(sum(coalesce(duration_sec, 0)), 6) AS duration_sec_sum, round(avg(quality_score), 6) AS mean_quality FROM clips GROUP BY 1")
 def speaker_stats(spark, sf):
-    return rounded(agg.speaker_stats(clips(spark, sf)), "duration_sec_sum", "mean_quality")
+    return rounded(agg.speaker_stats(clips(spark, sf, deal=False)), "duration_sec_sum", "mean_quality")
 
 
 KEYED = """, keyed AS (
@@ -93,7 +93,7 @@ def duplicate_groups_text_sha(spark, sf):
 
 @query(f"WITH {INCIDENCE} " + chunks("SELECT DISTINCT family, token, clip_id FROM inc", "family, token", "clip_id"))
 def phone_index(spark, sf):
-    return joins.inverted_index(phones(spark, sf)).withColumn("items", F.array_join("items", ","))
+    return joins.inverted_index(phones(spark, sf, True)).withColumn("items", F.array_join("items", ","))
 
 
 @query(f"WITH {INCIDENCE} SELECT family, token, count(*) AS count FROM inc GROUP BY 1, 2")
@@ -112,7 +112,7 @@ targets AS (SELECT *, pow(count, 0.5) / sum(pow(count, 0.5)) OVER (PARTITION BY
 
 @query(f"WITH {ALL_INCIDENCE}{TARGETS} SELECT family, token, count, round(target, 9) AS target FROM targets")
 def target_distribution(spark, sf):
-    rows = agg.incidence(with_ngrams(clips(spark, sf)), agg.catalog_families())
+    rows = agg.incidence(with_ngrams(clips(spark, sf)), agg.catalog_families(), False)
     return agg.target_distribution(agg.pool_counts(rows)).withColumn("target", F.round("target", 9))
 
 
@@ -294,13 +294,13 @@ LOST = "coalesce(len(phones), 0) + coalesce(len(biphones), 0) + coalesce(len(tri
 
 @query(f"WITH {NGRAMS} SELECT coalesce(nullif(reject_reason, ''), 'unknown') AS reason, count(*) AS clips, CAST(sum({LOST}) AS BIGINT) AS lost_features FROM grams WHERE disposition = 'hard_rejected' GROUP BY 1")
 def rejection_summary(spark, sf):
-    return reports.rejection_summary(with_ngrams(clips(spark, sf)))
+    return reports.rejection_summary(with_ngrams(clips(spark, sf, deal=False)))
 
 
 @query(f"WITH {INCIDENCE} SELECT token, count(*) AS lost FROM inc JOIN clips USING (clip_id) WHERE disposition = 'hard_rejected' GROUP BY 1")
 def lost_feature_counts(spark, sf):
     rejected = clips(spark, sf).where("disposition = 'hard_rejected'")
-    return agg.incidence(rejected, {"phone": F.col("phones")}).groupBy("token").agg(F.count("*").alias("lost"))
+    return agg.incidence(rejected, {"phone": F.col("phones")}, False).groupBy("token").agg(F.count("*").alias("lost"))
 
 
 JS = "CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END"
@@ -308,13 +308,13 @@ JS = "CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q >
 
 @query(f"WITH {ALL_INCIDENCE}, c AS (SELECT family, token, count(*) AS n FROM inc GROUP BY 1, 2), s AS (SELECT family, n / sum(n) OVER (PARTITION BY family) AS p, 1.0 / count(*) OVER (PARTITION BY family) AS q FROM c) SELECT family, round(sqrt(greatest(0, sum(({JS}) / 2))), 6) AS js_distance FROM s GROUP BY 1")
 def js_distance_to_uniform(spark, sf):
-    rows = agg.incidence(with_ngrams(clips(spark, sf)), agg.catalog_families())
+    rows = agg.incidence(with_ngrams(clips(spark, sf)), agg.catalog_families(), False)
     return rounded(reports.js_to_uniform(agg.pool_counts(rows)), "js_distance")
 
 
 @query(f"WITH {ALL_INCIDENCE}, c AS (SELECT family, token, count(*) AS n FROM inc GROUP BY 1, 2) SELECT family, count(*) AS tokens, CAST(sum(n) AS BIGINT) AS occurrences FROM c GROUP BY 1")
 def coverage_summary(spark, sf):
-    rows = agg.incidence(with_ngrams(clips(spark, sf)), agg.catalog_families())
+    rows = agg.incidence(with_ngrams(clips(spark, sf)), agg.catalog_families(), False)
     return reports.coverage_summary(agg.pool_counts(rows)).drop("js_distance")
 
 
@@ -410,26 +410,26 @@ def protected_speakers(spark, sf):
 
 @query(f"WITH {CLIPS} SELECT speaker_id, round(sum(duration_sec), 6) AS duration_sec FROM clips WHERE disposition IN ('eligible', 'selected') GROUP BY 1")
 def speaker_durations(spark, sf):
-    rows = clips(spark, sf).where(filters.splittable(F.col("disposition")))
+    rows = clips(spark, sf, deal=False).where(filters.splittable(F.col("disposition")))
     return rounded(rows.groupBy("speaker_id").agg(F.sum("duration_sec").alias("duration_sec")), "duration_sec")
 
 
 # --- filters and joins -----------------------------------------------------------------------------------------------
 @query(f"WITH {CLIPS} SELECT clip_id FROM clips WHERE lang IN ('en', 'de') AND up_votes >= 2 AND down_votes <= 1")
 def metadata_filter(spark, sf):
-    return filters.by_metadata(clips(spark, sf), {"lang": [" EN", "de "]}, 2, 1).select("clip_id")
+    return filters.by_metadata(clips(spark, sf, deal=False), {"lang": [" EN", "de "]}, 2, 1).select("clip_id")
 
 
 @query(f"WITH {CLIPS}, v AS (SELECT clip_id, CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN NULL ELSE lang END AS variant FROM clips) SELECT clip_id FROM v WHERE coalesce(variant, '') IN ('', 'fr')")
 def metadata_filter_blank(spark, sf):
     n = F.col("doc_id") % 4
-    rows = clips(spark, sf).withColumn("variant", F.when(n == 0, "").when(n != 1, F.col("lang")))
+    rows = clips(spark, sf, deal=False).withColumn("variant", F.when(n == 0, "").when(n != 1, F.col("lang")))
     return filters.by_metadata(rows, {"variant": ["", "fr"]}).select("clip_id")
 
 
 @query(f"WITH {CLIPS} SELECT clip_id FROM clips WHERE speaker_id IN ('src1', 'src7')")
 def speaker_filter(spark, sf):
-    return filters.by_speakers(clips(spark, sf), ["src1 ", "src7"], "speaker_id").select("clip_id")
+    return filters.by_speakers(clips(spark, sf, deal=False), ["src1 ", "src7"], "speaker_id").select("clip_id")
 
 
 @query(f"WITH {CLIPS} SELECT clip_id, CASE WHEN lang NOT LIKE 'en%' THEN 'text_locale' WHEN length(text_norm) < 20 OR length(text_norm) > 900 THEN 'text_length' END AS reason FROM clips")
@@ -439,7 +439,7 @@ def text_validation_reason(spark, sf):
 
 @query(f"WITH {CLIPS} SELECT clip_id FROM clips WHERE lang LIKE 'f%'")
 def locale_filter(spark, sf):
-    return clips(spark, sf).where(text.locale_passes(F.col("lang"), "F")).select("clip_id")
+    return clips(spark, sf, deal=False).where(text.locale_passes(F.col("lang"), "F")).select("clip_id")
 
 
 @query(f"WITH {CLIPS}, m AS (SELECT clip_id, speaker_id FROM clips WHERE lang = 'en' AND (contains(text_norm, 'the') OR contains(clip_id, 'the') OR contains(speaker_id, 'the'))) SELECT clip_id, speaker_id, (SELECT count(*) FROM m) AS total FROM m ORDER BY clip_id LIMIT 50 OFFSET 20")
@@ -452,14 +452,14 @@ OVERRIDES = ", overrides AS (SELECT clip_id, CASE doc_id % 30 WHEN 0 THEN 'hard_
 
 @query(f"WITH {CLIPS}{OVERRIDES} SELECT clip_id, action AS override_action FROM clips LEFT JOIN overrides USING (clip_id) WHERE coalesce(action, '') <> 'hard_reject'")
 def override_apply(spark, sf):
-    rows, n = clips(spark, sf), F.col("doc_id") % 30
+    rows, n = clips(spark, sf, deal=False), F.col("doc_id") % 30
     actions = rows.where("doc_id % 10 = 0").select("clip_id", F.when(n == 0, "hard_reject").when(n == 10, "force_exclude").otherwise("force_include").alias("action"))
     return joins.apply_overrides(rows, actions).where("coalesce(override_action, '') <> 'hard_reject'").select("clip_id", "override_action")
 
 
 @query(f"WITH {CLIPS} SELECT clip_id, disposition FROM clips WHERE doc_id % 3 <> 0 AND doc_id % 2 = 0 UNION ALL SELECT clip_id, 'reserve' FROM clips WHERE doc_id % 3 = 0")
 def catalog_upsert(spark, sf):
-    rows = clips(spark, sf).select("clip_id", "doc_id", "disposition")
+    rows = clips(spark, sf, deal=False).select("clip_id", "doc_id", "disposition")
     new = rows.where("doc_id % 3 = 0").withColumn("disposition", F.lit("reserve"))
     return joins.upsert(rows.where("doc_id % 2 = 0"), new).select("clip_id", "disposition")
 
@@ -474,7 +474,7 @@ def analyze_reuse(spark, sf):
 
 @query(f"WITH {CLIPS} SELECT clip_id, CAST(doc_id AS BIGINT) AS selection_rank, speaker_id, round(duration_sec, 6) AS duration_sec FROM clips WHERE doc_id % 4 = 0")
 def plan_join_metadata(spark, sf):
-    rows = clips(spark, sf)
+    rows = clips(spark, sf, deal=False)
     plan = rows.where("doc_id % 4 = 0").select("clip_id", F.col("doc_id").alias("selection_rank"))
     return rounded(joins.plan_with_clips(plan, rows).select("clip_id", "selection_rank", "speaker_id", "duration_sec"), "duration_sec")
 
@@ -482,25 +482,25 @@ def plan_join_metadata(spark, sf):
 @query(f"WITH {CLIPS} SELECT clip_id, CASE speaker_id WHEN 'src1' THEN 'test' WHEN 'src2' THEN 'val' ELSE 'train' END AS split FROM clips")
 def split_assignment_default(spark, sf):
     known = spark.createDataFrame([("src1", "test"), ("src2", "val")], "speaker_id string, split string")
-    return joins.with_split(clips(spark, sf), known).select("clip_id", "split")
+    return joins.with_split(clips(spark, sf, deal=False), known).select("clip_id", "split")
 
 
 @query(f"WITH {CLIPS} SELECT clip_id, speaker_id FROM clips WHERE clip_id IN (SELECT clip_id FROM clips WHERE doc_id % 9 = 2)")
 def semi_selected(spark, sf):
-    rows = clips(spark, sf)
+    rows = clips(spark, sf, deal=False)
     return rows.join(rows.where("doc_id % 9 = 2").select("clip_id"), "clip_id", "left_semi").select("clip_id", "speaker_id")
 
 
 # --- windows and sets ------------------------------------------------------------------------------------------------
 @query(f"WITH {CLIPS} SELECT clip_id, speaker_id FROM (SELECT *, row_number() OVER (PARTITION BY speaker_id ORDER BY clip_id) AS n FROM clips WHERE disposition = 'eligible') WHERE n <= 5")
 def per_speaker_cap(spark, sf):
-    rows = clips(spark, sf).where("disposition = 'eligible'")
+    rows = clips(spark, sf, deal=False).where("disposition = 'eligible'")
     return windows.cap(rows, ["speaker_id"], [F.col("clip_id")], 5).select("clip_id", "speaker_id")
 
 
 @query(f"WITH {CLIPS} SELECT clip_id FROM (SELECT clip_id, row_number() OVER (PARTITION BY audio_sha256 ORDER BY duration_sec DESC, clip_id) AS n FROM clips) WHERE n <= 1")
 def duplicate_cap(spark, sf):
-    return windows.duplicate_cap(clips(spark, sf), "audio_sha256", "duration_sec", 1).select("clip_id")
+    return windows.duplicate_cap(clips(spark, sf, deal=False), "audio_sha256", "duration_sec", 1).select("clip_id")
 
 
 @query("SELECT l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lineitem) WHERE before < 500")
@@ -511,7 +511,7 @@ def running_duration_prefix(spark, sf):
 
 @query(f"WITH {CLIPS}, r AS (SELECT clip_id, row_number() OVER (ORDER BY duration_sec DESC, clip_id) AS n, count(*) OVER () AS total FROM clips) SELECT clip_id, n AS reserve_rank FROM r WHERE n <= round_even(total * 0.2, 0)")
 def reserve_topk(spark, sf):
-    rows = clips(spark, sf).select("clip_id", F.col("duration_sec").alias("score"))
+    rows = clips(spark, sf, deal=False).select("clip_id", F.col("duration_sec").alias("score"))
     return windows.reserve_ranking(rows, 0.2).where("in_head").select("clip_id", F.col("reserve_rank").cast("long").alias("reserve_rank"))
 
 
@@ -536,7 +536,7 @@ def vote_ambiguous(spark, sf):
 
 @query(f"WITH {CLIPS} SELECT speaker_id, min(doc_id) AS doc_id FROM clips GROUP BY 1 ORDER BY 2 LIMIT 7")
 def first_distinct_ids(spark, sf):
-    return windows.first_ids(clips(spark, sf), "speaker_id", "doc_id", 7)
+    return windows.first_ids(clips(spark, sf, deal=False), "speaker_id", "doc_id", 7)
 
 
 @query(f"WITH {CLIPS} SELECT clip_id, clip_id AS path FROM clips WHERE lang = 'en' ORDER BY clip_id LIMIT 40")
@@ -941,7 +941,7 @@ def merged_speaker(spark, sf):
 
 @query(f"WITH {CLIPS} SELECT speaker_id, count(*) AS utterances FROM clips WHERE disposition = 'eligible' GROUP BY 1")
 def utterances_by_speaker(spark, sf):
-    return agg.speaker_stats(clips(spark, sf)).where("n_eligible > 0").select("speaker_id", F.col("n_eligible").alias("utterances"))
+    return agg.speaker_stats(clips(spark, sf, deal=False)).where("n_eligible > 0").select("speaker_id", F.col("n_eligible").alias("utterances"))
 
 
 @query(f"WITH {CLIPS} SELECT path FROM (SELECT clip_id || '.mp3' AS path, doc_id FROM clips ORDER BY path LIMIT 5000) WHERE doc_id % 2 = 1")
@@ -1006,7 +1006,7 @@ def plan_batch(spark, sf):
 def _many_speakers(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Clips of 97 speakers, and those of them who have a beginning of words that no other has."""
     rows = clips(spark, sf).withColumn("speaker_id", F.concat(F.lit("p"), (F.col("doc_id") % 97).cast("string")))
-    held = agg.incidence(rows, {"phone": F.transform("phones", lambda t: F.substring(t, 1, 3))})
+    held = agg.incidence(rows, {"phone": F.transform("phones", lambda t: F.substring(t, 1, 3))}, False)
     return rows, agg.protected_speakers(held, agg.critical_features(agg.feature_counts(held)))
 
 
@@ -1020,7 +1020,7 @@ def split_unseen_speaker(spark, sf):
 def split_seen_speaker(spark, sf):
     """Beginnings of words that one source alone has are critical."""
     rows = clips(spark, sf).withColumn("features", F.transform("phones", lambda t: F.concat(F.lit("phone:"), F.substring(t, 1, 4))))
-    held = agg.incidence(rows, {"phone": F.transform("phones", lambda t: F.substring(t, 1, 4))})
+    held = agg.incidence(rows, {"phone": F.transform("phones", lambda t: F.substring(t, 1, 4))}, False)
     few = agg.critical_features(agg.feature_counts(held))
     return split.seen_speaker(rows, few, {"train": 0.8, "val": 0.1, "test": 0.1}, {"audio_sha256": "forbid", "text_norm": "forbid_for_test"}).select("clip_id", "split")
 
@@ -1032,7 +1032,7 @@ def local_search(spark, sf):
 
 @query(f"WITH {CLIPS}, p AS (SELECT clip_id, row_number() OVER (ORDER BY md5('0:' || clip_id), clip_id) AS n, count(*) OVER () AS total FROM clips) SELECT clip_id, CASE WHEN n <= floor(total * 0.8) THEN 'train' WHEN n <= floor(total * 0.8) + floor(total * 0.1) THEN 'val' ELSE 'test' END AS split FROM p")
 def random_split(spark, sf):
-    return windows.random_split(clips(spark, sf).select("clip_id"), 0.8, 0.1)
+    return windows.random_split(clips(spark, sf, deal=False).select("clip_id"), 0.8, 0.1)
 
 
 @query()

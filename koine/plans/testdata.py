@@ -15,13 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as clips: source as speaker, words as phones, labels as quality and disposition."""
+def clips(spark: SparkSession, sf_dir: str, deal: bool = True) -> DataFrame:
+    """Documents as clips: source as speaker, words as phones, labels as quality and disposition. Dealt anew to all cores
+    unless only narrow columns are wanted."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     norm = collapse_ascii(F.col("text"))
     toxic, short = F.coalesce(F.col("toxic"), F.lit(0)) == 1, F.col("n_chars") < 20
     phones = F.filter(F.split(norm, " "), lambda t: t != "")
-    return spread(docs).join(labels, "doc_id", "left").select(
+    return (spread(docs) if deal else docs).join(labels, "doc_id", "left").select(
         F.col("doc_id").cast("string").alias("clip_id"),
         "doc_id",
         F.col("source").alias("speaker_id"),

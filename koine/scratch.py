@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a key that a window takes at most.
+WINDOW_ROWS = 100_000
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -97,8 +100,13 @@ def summed_before(df: DataFrame, keys: list[str], order: list, value: Column, na
     """For each row the sum of `value` over the rows of its keys before it in the order; 0 for the first.
 
     A key's rows may lie in several ranges of the sort: sums within (key, range) are shifted by those of the ranges
-    before, so no task holds a hot key. Keys may be null.
+    before, so no task holds a hot key. Keys may be null. Where no key has more than WINDOW_ROWS rows a window for each does the
+    same, without a written table.
     """
+    largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= WINDOW_ROWS:
+        own = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(name, F.coalesce(F.sum(value).over(own), F.lit(0).cast(df.select(F.sum(value).alias("s")).schema[0].dataType)))
     rows = placed(df.withColumn("__value", value), [*map(F.col, keys), *order])
     before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     ranges = rows.groupBy(*keys, "__part").agg(F.sum("__value").alias("s"))

@@ -38,7 +38,9 @@ def test_duplicate_groups(spark):
     assert all(len(g) == 16 for g in groups) and {r.group_id: len(r["items"]) for r in agg.duplicate_members(clips).collect()} == groups
 
 
-def test_lists_in_chunks_and_sums_before(spark):
+@pytest.mark.parametrize("rows", [0, 100_000])
+def test_lists_in_chunks_and_sums_before(spark, monkeypatch, rows):
+    monkeypatch.setattr(scratch, "WINDOW_ROWS", rows)
     rows = [("a" if i % 3 else None, f"i{i:03}", i) for i in range(250)] + [("b", "z", 1)]
     df = spark.createDataFrame(rows, "k string, item string, n long").repartition(7)
     got = {(r.k, r.part): r["items"] for r in scratch.chunked(df, ["k"], "item", 40).collect()}
