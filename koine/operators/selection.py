@@ -13,6 +13,7 @@ from dataclasses import asdict, dataclass, field
 from functools import cached_property
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -164,46 +165,79 @@ def improve(clips: list[dict], chosen: set[int], pool: list[int], fixed: set[int
     """Exchange chosen clips for ones outside while that adds utility and keeps every limit, the duration and what was
     reserved: one for one, and where that adds nothing one for two or two for one if `exchanges` names them. pool is all
     that may come in. A step budget, not a clock: results repeat. Returns the number of exchanges."""
-    moves = 0
+    table, moves = _Tokens(clips, sorted(chosen | set(pool)), utility), 0
     for _ in range(weights.local_search_steps if chosen - fixed else 0):
-        gain_of = utility.gains()
-        gains = sorted(((math.fsum(gain_of[x] for x in clips[j]["tokens"] if x in gain_of), j) for j in pool if j not in chosen), key=lambda x: (-x[0], clips[x[1]]["clip_id"]))
         free = sorted(chosen - fixed, key=lambda i: clips[i]["clip_id"])
-        best = None
-        for pattern in ("1v1", "1v2", "2v1"):
-            if best is None and pattern in weights.exchanges:
-                best = _best_exchange(clips, pattern, free, gains, ledger, utility, until, weights)
+        outside = sorted((j for j in pool if j not in chosen), key=lambda j: clips[j]["clip_id"])
+        best = table.exchange(free, outside, ledger, until, weights.tolerance) if "1v1" in weights.exchanges else None
+        if best is None and {"1v2", "2v1"} & set(weights.exchanges):
+            gain_of = utility.gains()
+            gains = sorted(((math.fsum(gain_of[x] for x in clips[j]["tokens"] if x in gain_of), j) for j in outside), key=lambda x: (-x[0], clips[x[1]]["clip_id"]))
+            for pattern in ("1v2", "2v1"):
+                if best is None and pattern in weights.exchanges:
+                    best = _best_exchange(clips, pattern, free, gains, ledger, utility, until, weights)
         if best is None:
             break
         for gone, by in ((best[0], -1), (best[1], 1)):
             for k in gone:
                 utility.put(clips[k]["tokens"], by)
                 ledger.put(clips[k], by)
+                table.put(k, by)
         chosen -= set(best[0])
         chosen |= set(best[1])
         moves += 1
     return moves
 
 
-def _best_exchange(clips, pattern: str, free: list[int], gains: list[tuple[float, int]], ledger: Ledger, utility: Utility, until: float, weights: Weights):
-    """The exchange of a pattern that adds most, as (out, in), or None. gains: (gain, clip) falling; what goes out gives
-    back at most its slack, so the search ends where no later clip can do better."""
-    best, rank = None, 1e-9
-    if pattern == "1v1":  # what is given back depends on the shared tokens alone
+class _Tokens:
+    """Tokens of a working set's clips as numbers, with what each is worth now: gains of all clips are sums over one array."""
+
+    def __init__(self, clips: list[dict], places: list[int], utility: Utility):
+        self.clips = clips
+        names = sorted({x for i in places for x in clips[i]["tokens"] if x in utility.targets})
+        at = {x: k for k, x in enumerate(names)}
+        self.own = {i: np.array([at[x] for x in clips[i]["tokens"] if x in at], dtype=np.int64) for i in places}
+        self.weight, self.t, self.counts = (np.array([f(x) for x in names], dtype=np.float64) for f in (utility.targets.get, utility.t.get, lambda x: utility.counts[x]))
+
+    def put(self, i: int, by: int) -> None:
+        self.counts[self.own[i]] += by
+
+    def exchange(self, free: list[int], outside: list[int], ledger: Ledger, until: float, tolerance: float):
+        """The exchange of one clip for one that adds most, as ((out,), (in,)), or None."""
+        if not free or not outside:
+            return None
+        n = self.t + self.counts
+        more = self.weight * np.log((n + 1) / n)
+        less = np.where(self.counts > 0, self.weight * np.log(n / np.maximum(n - 1, 1e-300)), 0.0)
+        end = len(self.weight)  # a place worth nothing: no clip's list is empty
+        flat = np.concatenate([np.append(self.own[j], end) for j in outside])
+        starts = np.concatenate([[0], np.cumsum([len(self.own[j]) + 1 for j in outside])[:-1]])
+        gains = np.add.reduceat(np.append(more, 0.0)[flat], starts)
+        best, rank, back = None, 1e-9, np.zeros(end + 1)
         for i in free:
-            a = clips[i]
-            lost, back = utility.given_up(a["tokens"])
-            slack = sum(back.values())
-            ledger.put(a, -1)
-            for gain, j in gains:
-                if gain + slack - lost <= rank:
+            own = self.own[i]
+            lost, shared = less[own].sum(), less[own] - more[own]
+            if gains.max() + shared.sum() - lost <= rank:
+                continue
+            back[own] = shared
+            total = gains - lost + np.add.reduceat(back[flat], starts)
+            back[own] = 0.0
+            ledger.put(self.clips[i], -1)
+            for k in np.argsort(-total, kind="stable"):
+                if total[k] <= rank:
+                    break
+                b = self.clips[outside[k]]
+                if abs(ledger.total + b["duration"] - until) <= tolerance * until and ledger.admits(b):
+                    best, rank = ((i,), (outside[k],)), total[k]
                     break
-                b = clips[j]
-                total = gain - lost + sum(back[x] for x in back.keys() & set(b["tokens"]))
-                if total > rank and abs(ledger.total + b["duration"] - until) <= weights.tolerance * until and ledger.admits(b):
-                    best, rank = ((i,), (j,)), total
-            ledger.put(a)
+            ledger.put(self.clips[i])
         return best
+
+
+def _best_exchange(clips, pattern: str, free: list[int], gains: list[tuple[float, int]], ledger: Ledger, utility: Utility, until: float, weights: Weights):
+    """The exchange of a pattern with pairs that adds most, as (out, in), or None. gains: (gain, clip) falling; what goes out gives
+    back at most its slack, so the search ends where no later clip can do better."""
+    best, rank = None, 1e-9
     for out in [(i,) for i in free] if pattern[0] == "1" else combinations(free, 2):
         lost, slack = 0.0, 0.0
         for i in out:
