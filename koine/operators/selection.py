@@ -270,7 +270,7 @@ def _best_exchange(clips, pattern: str, free: list[int], gains: list[tuple[float
 
 PLAN_FIELDS = "bucket string, clip_id string, disposition string, selection_score double, selection_rank long, positive_contributions string, penalties string, selected_reason string, reserve_reason string"
 #: Clips of a round score at least this share of the best, by phase; a round looks at FIRST of them and as many as were taken before.
-SHARE, FIRST = {"coverage": 0.2, "utility": 0.5}, 32
+SHARE, FIRST = {"coverage": 0.75, "utility": 0.5}, 32
 #: Working sets of the local search: chosen clips that cost least to give up, clips outside that would add most.
 FREE, OUTSIDE = 200, 1000
 #: Decimals of scores, so that the order of a sum's parts doesn't decide ties.
