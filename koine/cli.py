@@ -35,7 +35,12 @@ def _catalog(spark, c):
 def _scan(spark, c, a):
     rows = b.scan(spark, c)
     stats = tables.tsv_stats(spark, c.tsv)
-    _show(stats | {"selected": rows.count(), "clients": rows.select("client_id").distinct().count(), "physical_lines": tables.physical_lines(spark, c.tsv)})
+    whole, lines = tables.clip_tsv(spark, c.tsv), tables.physical_lines(spark, c.tsv)
+    n, named = rows.count(), filters.prepare(whole, c.speakers).count() if c.speakers else stats["rows_ok"]
+    told = agg.scan_warnings(bool(c.speakers), named, bool(c.axes), n, stats["rows_ok"], lines)
+    looked_at = agg.samples_by(rows, "client_id", "path").where("place = 1").orderBy("client_id").limit(15)  # to look at
+    samples = [r.asDict() for r in looked_at.select("client_id", "path").collect()]
+    _show(stats | {"selected": n, "clients": rows.select("client_id").distinct().count(), "physical_lines": lines, "warnings": told, "samples": samples})
 
 
 def _analyze(spark, c, a):
@@ -118,6 +123,8 @@ def _manifest(spark, c, a):
 
 def _export(spark, c, a):
     rows = joins.plan_with_clips(_plan(spark, c).where("disposition = 'selected'"), _catalog(spark, c)).withColumn("audio_path", F.concat("clip_id", F.lit(".wav")))
+    if a.packaging:
+        return _show(sinks.style_bert_packs(rows, a.output, a.packaging))
     layout = {"piper": sinks.piper, "style-bert": sinks.style_bert, "ljspeech": sinks.ljspeech, "ljspeech-metadata": sinks.ljspeech_metadata}[a.layout]
     sinks.one_file(layout(rows), a.output)
 
@@ -185,7 +192,11 @@ def _preprocess(spark, c, a):
     usable = clips.where("disposition = 'eligible'").withColumn("audio_path", F.concat("clip_id", F.lit(".wav")))
     Path(c.work).mkdir(parents=True, exist_ok=True)
     sinks.one_file(sinks.ljspeech(usable), f"{c.work}/ljspeech.tsv")
-    _show({"rejected": {r.reason: r.clips for r in reports.rejection_summary(clips).collect()}, "usable": usable.count(), "settings": c.hash()})
+    rejected = clips.where("reject_reason is not null")
+    samples: dict[str, list[str]] = {}
+    for r in agg.samples_by(rejected, "reject_reason", "clip_id", ["text_norm"]).orderBy("reject_reason", "place").collect():  # five a reason
+        samples.setdefault(r.reject_reason, []).append(f"{r.clip_id}: {r.text_norm}")
+    _show({"samples": samples, "rejected": {r.reason: r.clips for r in reports.rejection_summary(clips).collect()}, "usable": usable.count(), "settings": c.hash()})
 
 
 def _benchmark(spark, c, a):
@@ -255,6 +266,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--contains")
     p.add_argument("--text", default="")
     p.add_argument("--layout", default="piper")
+    p.add_argument("--packaging", choices=("single_model", "per_speaker"))
     p.add_argument("--max-iterations", type=int, default=50)
     p.add_argument("--max-clips", type=int, default=10_000)
     p.add_argument("--max-hours", type=float, default=100.0)

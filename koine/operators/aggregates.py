@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from koine.functions.tokens import split_tokens
@@ -153,6 +153,29 @@ def scan_summary(clips: DataFrame) -> DataFrame:
     )
 
 
+def samples_by(rows: DataFrame, by: str, key: str, columns: Sequence[str] = (), most: int = 5, seed: int = 0) -> DataFrame:
+    """by, place, key, columns of at most `most` rows of each group: those with the least md5(seed:key), which is the same
+    choice for every partitioning. Each task keeps `most` rows of a group before the shuffle, so a hot group costs no more than others.
+    Groups may be null; rows without a key aren't chosen, a repeated key counts each time."""
+    told = [F.col(c) for c in columns]
+    w = Window.partitionBy(by).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key, *told)
+    ranked = rows.where(F.col(key).isNotNull()).select(by, key, *told).withColumn("place", F.row_number().over(w))
+    return ranked.where(F.col("place") <= most).select(by, F.col("place").cast("long").alias("place"), key, *told)
+
+
+def scan_warnings(named: bool, after_speakers: int, filtered: bool, after_metadata: int, rows: int, physical_lines: int | None = None) -> list[str]:
+    """What a look at a clip table should tell: speakers named but not found, axes that leave nothing, more lines than
+    rows. named, filtered: whether speakers and axes were asked for."""
+    out = []
+    if named and not after_speakers:
+        out.append("none of the speakers named is in the table: their ids change from release to release")
+    if filtered and rows and not after_metadata:
+        out.append("the metadata filters leave no row: an empty cell passes only where the empty value is listed")
+    if rows and physical_lines is not None and physical_lines - 1 > rows:
+        out.append("the table has more lines than rows: quoted fields hold line breaks, so line numbers and searches by line mislead")
+    return out
+
+
 def status_histogram(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(F.col(column).alias("status")).agg(F.count("*").alias("n"))
 

@@ -95,14 +95,14 @@ def nearest_vectors(rows: DataFrame, key: str, vector: str, queries: DataFrame |
         best = np.full(len(ids), np.inf)
         for start in range(0, len(others), 4 * block):
             some = others.iloc[start : start + 4 * block]
-            best = np.minimum(best, _nearest(ids, a, some["id"].to_numpy(), np.stack(list(some["v"])).astype(np.float64)))
+            best = np.minimum(best, nearest_rows(ids, a, some["id"].to_numpy(), np.stack(list(some["v"])).astype(np.float64)))
         return pd.DataFrame({"id": ids, "distance": best})
 
     met = both.groupBy("b", "s").cogroup(blocks.groupBy("b", "s")).applyInPandas(kernel, f"id {kind}, distance double")
     return met.where(F.col("distance") < float("inf")).groupBy(F.col("id").alias(key)).agg(F.min("distance").alias("distance"))
 
 
-def _nearest(ids: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray) -> np.ndarray:
+def nearest_rows(ids: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distance of each row of a to the nearest row of b with another id."""
     here, there = ~np.isnan(a), ~np.isnan(b)
     x, y = np.where(here, a, 0.0), np.where(there, b, 0.0)
@@ -113,5 +113,8 @@ def _nearest(ids: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray) -
     close &= np.isfinite(squares)
     i, j = np.nonzero(close)
     out = np.full(len(a), np.inf)
-    np.minimum.at(out, i, np.sqrt(np.nansum((a[i] - b[j]) ** 2, axis=1)))
+    step = max(1, (1 << 22) // max(1, a.shape[1]))  # copies are all alike: many pairs
+    for at in range(0, len(i), step):
+        some = slice(at, at + step)
+        np.minimum.at(out, i[some], np.sqrt(np.nansum((a[i[some]] - b[j[some]]) ** 2, axis=1)))
     return out

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from koine import sinks
-from koine.audio import metrics, steps
+from koine.audio import align, metrics, steps
 from koine.functions import backends, quality, text, tokens
 from koine.operators import aggregates as agg
 from koine.operators import filters, joins, reports, selection, split
@@ -26,7 +26,7 @@ from koine.sources import tables
 #: Version of the settings.
 SCHEMA_VERSION = 1
 #: Settings that the analysis of a clip depends on: with the same ones a clip is taken from the catalog before.
-ANALYSIS = ("release", "locale", "text_length", "japanese_ratio", "chain", "rescue", "early", "gate", "reading", "asr", "alignments", "alignment_policy")
+ANALYSIS = ("release", "locale", "text_length", "japanese_ratio", "chain", "rescue", "early", "gate", "reading", "asr", "aligner", "alignments", "alignment_policy")
 
 
 @dataclass
@@ -50,6 +50,7 @@ class Config:
     early: dict[str, bool] = field(default_factory=dict)
     reading: str = ""
     asr: dict = field(default_factory=dict)
+    aligner: dict = field(default_factory=dict)
     alignments: str = ""
     alignment_policy: str = "skip"
     exchanges: list[str] = field(default_factory=lambda: ["1v1"])
@@ -135,23 +136,32 @@ def _analyzed(spark: SparkSession, c: Config, rows: DataFrame) -> DataFrame:
     early = quality.EarlyGate(**c.early).reason(gate) if c.early else None
     morae = text.morae(F.col("text_norm"))
     joined = joined.withColumns({"usable": F.when(F.col("text_reason").isNull(), F.col("recording")), "letters": F.length("text_norm")})
-    joined = steps.processed(joined, "usable", c.chain, letters="letters", early=early, keep=bool(c.rescue or c.asr))
+    joined = steps.processed(joined, "usable", c.chain, letters="letters", early=early, keep=bool(c.rescue or c.asr or c.aligner))
     judged = lambda: quality.gate_reason(F.col("processed.m"), F.length("text_norm"), F.size(morae) if gate.min_sec_per_mora else None, gate)
     if c.rescue:  # what the gate turns down gets a second chain and is judged by that
         failed = judged().isNotNull() & F.col("processed.content").isNotNull()
         joined = joined.withColumn("failed", F.when(failed, F.col("processed.content")))
-        joined = steps.processed(joined, "failed", c.rescue, "again", keep=bool(c.asr)).withColumn("processed", F.when(F.col("failed").isNotNull(), F.col("again")).otherwise(F.col("processed")))
+        joined = steps.processed(joined, "failed", c.rescue, "again", keep=bool(c.asr or c.aligner)).withColumn("processed", F.when(F.col("failed").isNotNull(), F.col("again")).otherwise(F.col("processed")))
     joined = joined.withColumn("m", F.col("processed.m"))
+    if c.asr:
+        joined = joined.withColumn("heard", _heard(c, F.col("processed.content"), F.col("text_norm")))
     reason = F.coalesce(
         F.col("text_reason"), F.when(F.col("recording").isNull(), "audio_missing"), F.col("processed.reason"), F.when(F.col("m.duration_sec").isNull(), "audio_error"), judged(),
-        _heard(c, F.col("processed.content"), F.col("text_norm")),
+        _asr_reason(c, F.col("processed.content"), F.col("text_norm")),
     )
-    spoken = tokens.split_tokens(backends.phonemes(F.col("text_norm"), c.reading)) if c.reading else tokens.split_tokens(F.lower("text_norm"))
+    if c.asr.get("sync_text") or c.asr.get("hypothesis_phonemes"):
+        joined, reason = _written_back(c, joined.withColumn("reason", reason))
+    read = F.col("read_as") if c.asr.get("hypothesis_phonemes") or c.asr.get("sync_text") else F.col("text_norm")
+    spoken = tokens.split_tokens(backends.phonemes(read, c.reading)) if c.reading else tokens.split_tokens(F.lower(read))
     if c.alignments:
         spoken, reason = F.when(F.col("aligned_phonemes").isNotNull(), tokens.split_tokens(F.col("aligned_phonemes"))).otherwise(spoken), F.coalesce(reason, F.col("alignment_reason"))
     source = F.when(F.col("aligned_phonemes").isNotNull(), "alignment").otherwise(c.reading or "words") if c.alignments else F.lit(c.reading or "words")
     joined = joined.withColumn("spoken", spoken).withColumn("reason", reason)
     phones = F.filter("spoken", lambda t: ~tokens.is_excluded(t))
+    if c.asr.get("hypothesis_phonemes"):
+        joined = joined.withColumn("reason", F.coalesce("reason", F.when((F.coalesce(F.size("spoken"), F.lit(-1)) <= 0), "asr_hypothesis_phonemize_failed")))
+    if c.aligner:
+        joined = _aligned(c, joined.withColumn("phones", phones))
     out = joined.select(
         clip_id(F.lit(c.release), F.col("path"), F.col("row_index"), F.col("audio_sha256"), F.col("sentence")).alias("clip_id"),
         F.lit(c.release).alias("source_release"), F.col("row_index").alias("source_row_index"), F.replace("path", F.lit("\\"), F.lit("/")).alias("normalized_relative_source_path"),
@@ -167,15 +177,38 @@ def _analyzed(spark: SparkSession, c: Config, rows: DataFrame) -> DataFrame:
 
 
 def _heard(c: Config, content, told):
-    """The transcription gate's reason; asr: backend (a registered one, or mock with mock_mode) and limits."""
+    """What a transcriber hears; asr: backend (a registered one, or mock with mock_mode)."""
+    return backends.mock_transcript(told, c.asr.get("mock_mode", "echo")) if c.asr["backend"] == "mock" else backends.transcripts(content, c.asr["backend"])
+
+
+def _asr_reason(c: Config, content, told):
+    """The transcription gate's reason, under the limits in asr."""
     if not c.asr:
         return F.lit(None).cast("string")
-    limits = {k: v for k, v in c.asr.items() if k not in ("backend", "mock_mode")}
-    heard = backends.mock_transcript(told, c.asr.get("mock_mode", "echo")) if c.asr["backend"] == "mock" else backends.transcripts(content, c.asr["backend"])
-    none = F.lit(None).cast("double")
+    limits = {k: v for k, v in c.asr.items() if k not in ("backend", "mock_mode", "sync_text", "hypothesis_phonemes")}
+    heard, none = F.col("heard"), F.lit(None).cast("double")
     return quality.asr_reason(heard, told, none, tokens.char_error_rate(heard, told), None, content.isNotNull(), quality.AsrGate(**limits))
 
 
+def _written_back(c: Config, rows: DataFrame):
+    """Clips that pass every gate take what was heard: as their text (sync_text), as what their phonemes are read from
+    (hypothesis_phonemes), or as both; others keep their own. read_as is what phonemes are read from."""
+    passed = F.col("reason").isNull() & F.col("heard").isNotNull()
+    heard = F.when(passed, text.normalize_for_tts(F.col("heard")))
+    rows = rows.withColumn("read_as", F.coalesce(heard, F.col("text_norm")) if c.asr.get("hypothesis_phonemes") else F.col("text_norm"))
+    return rows.withColumn("text_norm", F.coalesce(heard, F.col("text_norm")) if c.asr.get("sync_text") else F.col("text_norm")), F.col("reason")
+
+
+def _aligned(c: Config, rows: DataFrame) -> DataFrame:
+    """Clips that passed all gates are aligned with their phones; aligner: backend, a registered model of emissions, the
+    least mean log probability (min_score) of a token that counts as found, and the error rate that is let pass (max_rate)."""
+    passed = F.when(F.col("reason").isNull(), F.col("processed.content"))
+    rows = align.aligned(rows.withColumn("passed", passed), "passed", "phones", c.aligner["backend"])
+    found = F.transform(F.filter("aligned", lambda s: s.score >= c.aligner.get("min_score", float("-inf"))), lambda s: s.token)
+    why = quality.aligner_reason(found, F.col("phones"), "nfa", c.aligner.get("max_rate", 0.0))
+    return rows.withColumn("reason", F.coalesce("reason", F.when(F.size("phones") > 0, why))).drop("passed")
+
+
 def secondary(rows: DataFrame, chain: list[dict], gate: quality.Gate) -> DataFrame:
     """A second pass over finished clips (clip_id, content, text_norm, quality_score): processed again and gated again.
     The first pass's score stays as primary_quality_score; reasons begin with `secondary_`."""

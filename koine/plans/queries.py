@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from koine.audio import metrics
+from koine.audio import align, metrics
 from koine.functions import features, quality, scoring, text, tokens
 from koine.operators import aggregates as agg
-from koine.operators import coverage, filters, joins, reports, selection, split, windows
+from koine.operators import coverage, filters, joins, neighbors, reports, selection, split, windows
 from koine.plans.testdata import ALL_INCIDENCE, CLIPS, INCIDENCE, NGRAMS, clips, table, with_ngrams
 from koine.sources import tables
 
@@ -633,8 +633,8 @@ def char_error_rate(spark, sf):
 
 @query()
 def char_error_rate_whole(spark, sf):
-    """Each whole document against itself without its first three characters."""
-    rows = clips(spark, sf).withColumn("x", F.regexp_replace("text_norm", "[^ -~]", "?"))
+    """Each whole document against itself without its first three characters, in its own script."""
+    rows = clips(spark, sf).withColumn("x", F.col("text_norm"))
     return rounded(rows.select("clip_id", tokens.char_error_rate(F.col("x"), F.expr("substring(x, 4)")).alias("cer")), "cer")
 
 
@@ -646,14 +646,29 @@ def token_error_rate(spark, sf):
 
 
 # --- recording quality -----------------------------------------------------------------------------------------------
-SIGNS = "signs AS (SELECT vec_id, CASE WHEN vec_id % 7 <> 0 THEN (vec_id % 31)::DOUBLE END AS snr, (vec_id % 70) / 101.0::DOUBLE AS silence, (vec_id % 5) / 400.0 AS clipping, (vec_id % 250) / 10.0 AS duration FROM embeddings)"
+FRAMES = "frames AS (SELECT vec_id, s, list_sum(list_transform(list_slice(v, s + 1, s + 8), lambda x: x * x)) / 8 AS e FROM (SELECT vec_id, embedding::DOUBLE[] AS v, unnest(range(0, 64 - 8 + 1, 4)) AS s FROM embeddings))"
+SMALL_FRAMES = metrics.Frames(frame_ms=8.0, hop_ms=4.0, silence_floor=0.6)
+
+
+#: Measures of each vector as a waveform of 16 samples a second; samples from 0.3 on count as clipped, those above 0 as letters.
+SIGNS = f"""{FRAMES}, pw AS (SELECT vec_id, quantile_cont(e + 1e-12, 0.15) AS noise, quantile_cont(e + 1e-12, 0.6) AS signal FROM frames GROUP BY 1),
+levels AS (SELECT vec_id, sqrt(e + 1e-18) AS rms FROM frames WHERE s < 56), tops AS (SELECT vec_id, max(rms) AS top FROM levels GROUP BY 1),
+still AS (SELECT vec_id, avg(CASE WHEN rms < 0.6 * (top + 1e-12) THEN 1.0 ELSE 0.0 END) AS silence FROM levels JOIN tops USING (vec_id) GROUP BY 1),
+signs AS (SELECT vec_id, CASE WHEN signal > noise THEN 10 * log10(signal / noise) END AS snr, silence, len(list_filter(embedding, lambda x: abs(x::DOUBLE) >= 0.3)) / len(embedding) AS clipping,
+  len(embedding) / 16 AS duration, len(list_filter(embedding, lambda x: x > 0)) AS letters FROM embeddings JOIN pw USING (vec_id) JOIN still USING (vec_id))"""
 
 
 def signs(spark, sf) -> DataFrame:
-    n = F.col("vec_id")
-    return table(spark, sf, "embeddings").select(
-        "vec_id", F.when(n % 7 != 0, (n % 31).cast("double")).alias("snr"), ((n % 70) / 101.0).alias("silence"), ((n % 5) / 400.0).alias("clipping"), ((n % 250) / 10.0).alias("duration")
-    )
+    frames = metrics.Frames(frame_ms=500.0, hop_ms=250.0, silence_floor=SMALL_FRAMES.silence_floor)
+
+    @F.pandas_udf("snr double, silence double, duration double")
+    def measured(vectors: pd.Series) -> pd.DataFrame:
+        found = [metrics.measure(np.asarray(v, dtype=np.float64), 16, frames) for v in vectors]
+        return pd.DataFrame({"snr": [m["snr_db"] for m in found], "silence": [m["silence_ratio"] for m in found], "duration": [m["duration_sec"] for m in found]}, dtype="float64")
+
+    share = F.size(F.filter("embedding", lambda x: F.abs(x.cast("double")) >= 0.3)) / F.size("embedding")
+    rows = table(spark, sf, "embeddings").select("vec_id", measured("embedding").alias("m"), share.alias("clipping"), F.size(F.filter("embedding", lambda x: x > 0)).alias("letters"))
+    return rows.select("vec_id", "m.*", "clipping", "letters")
 
 
 @query(f"WITH {SIGNS} SELECT vec_id, round(CASE WHEN snr IS NULL THEN 22.0 ELSE 50.0 * greatest(0, least(1, (snr - 3) / 22.0)) END + 35.0 * greatest(0, least(1, (0.6 - silence) / 0.6)) + 15.0 * greatest(0, least(1, (0.01 - clipping) / 0.01)), 2) AS score FROM signs")
@@ -665,19 +680,24 @@ def quality_score(spark, sf):
 TIER = "CASE WHEN snr IS NOT NULL THEN CASE WHEN snr >= 20 AND silence <= 0.35 AND clipping <= 0.001 THEN 'A' WHEN snr >= 12 AND silence <= 0.5 THEN 'B' ELSE 'C' END WHEN clipping <= 0.001 AND silence <= 0.3 THEN 'A' WHEN silence <= 0.5 THEN 'B' ELSE 'C' END"
 
 
-@query(f"WITH {SIGNS} SELECT vec_id, {TIER} AS tier FROM signs")
+LOW_TIER = TIER.replace("snr >= 20", "snr >= 3.5").replace("snr >= 12", "snr >= 2.5").replace("clipping <= 0.001", "clipping <= 0.02")
+
+
+@query(f"WITH {SIGNS} SELECT vec_id, {LOW_TIER} AS tier FROM signs")
 def quality_tier(spark, sf):
-    return signs(spark, sf).select("vec_id", quality.quality_tier(F.col("snr"), F.col("silence"), F.col("clipping")).alias("tier"))
+    """Tiers under limits that noise-like vectors can meet."""
+    gate = quality.Gate(a_min_snr_db=3.5, b_min_snr_db=2.5, a_max_clipping_ratio=0.02)
+    return signs(spark, sf).select("vec_id", quality.quality_tier(F.col("snr"), F.col("silence"), F.col("clipping"), gate=gate).alias("tier"))
 
 
-@query(f"""WITH {SIGNS} SELECT vec_id, CASE WHEN duration < 0.5 OR duration > 20 THEN 'gate_duration' WHEN silence > 0.6 THEN 'gate_silence' WHEN snr < 5 THEN 'gate_snr' WHEN clipping > 0.01 THEN 'gate_clipping'
-  WHEN 90 / duration < 5 THEN 'gate_text_audio_low' WHEN 90 / duration > 30 THEN 'gate_text_audio_high' WHEN {TIER} = 'C' THEN 'gate_quality_tier_c' END AS reason FROM signs""")
+@query(f"""WITH {SIGNS} SELECT vec_id, CASE WHEN duration < 0.5 OR duration > 20 THEN 'gate_duration' WHEN silence > 0.3 THEN 'gate_silence' WHEN snr < 3 THEN 'gate_snr' WHEN clipping > 0.02 THEN 'gate_clipping'
+  WHEN letters / duration < 7 THEN 'gate_text_audio_low' WHEN letters / duration > 9.1 THEN 'gate_text_audio_high' WHEN {TIER.replace('snr >= 12', 'snr >= 4')} = 'C' THEN 'gate_quality_tier_c' END AS reason FROM signs""")
 def gate_reason(spark, sf):
     metrics = F.struct(
         F.col("duration").alias("duration_sec"), F.col("silence").alias("silence_ratio"), F.lit(0.0).alias("trailing_silence_sec"), F.col("snr").alias("snr_db"), F.col("clipping").alias("clipping_ratio"), F.lit(0.0).alias("dc_offset")
     )
-    gate = quality.Gate(min_estimated_snr_db=5.0, min_chars_per_sec=5.0, max_chars_per_sec=30.0, tier_mode="reject_c")
-    return signs(spark, sf).select("vec_id", quality.gate_reason(metrics, F.lit(90), None, gate).alias("reason"))
+    gate = quality.Gate(max_silence_ratio=0.3, min_estimated_snr_db=3.0, max_clipping_ratio=0.02, min_chars_per_sec=7.0, max_chars_per_sec=9.1, tier_mode="reject_c", b_min_snr_db=4.0)
+    return signs(spark, sf).select("vec_id", quality.gate_reason(metrics, F.col("letters"), None, gate).alias("reason"))
 
 
 VECTORS = "e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS dim FROM embeddings)"
@@ -719,6 +739,12 @@ def nearest_neighbor(spark, sf):
     return rounded(nearest(spark, sf), "distance")
 
 
+@query(f"{NEAREST.replace('WHERE vec_id % 100 = 0', '')} SELECT vec_id, round(distance, 6) AS distance FROM d")
+def nearest_all(spark, sf):
+    """The nearest other vector of every vector."""
+    return rounded(neighbors.nearest_all(table(spark, sf, "embeddings"), "vec_id", "embedding"), "distance")
+
+
 @query(f"{NEAREST} SELECT round(avg(distance), 6) AS mean, round(quantile_cont(distance, 0.5), 6) AS median FROM d")
 def nn_summary(spark, sf):
     return rounded(nearest(spark, sf).agg(F.avg("distance").alias("mean"), F.percentile("distance", 0.5).alias("median")), "mean", "median")
@@ -763,6 +789,12 @@ def normalized_text(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", text.normalize_text(plain).alias("norm"))
 
 
+@query()
+def normalized_text_whole(spark, sf):
+    """Whole texts of documents in their own scripts, compatibility forms and all."""
+    return table(spark, sf, "documents").select("doc_id", F.sha2(text.normalize_text(F.col("text")), 256).alias("sha256"))
+
+
 MARKED = f"""WITH {CLIPS}, m AS (SELECT clip_id, string_split(regexp_replace(regexp_replace(phonemes, '[.]', ' | ', 'g'), ',', ' PAU ', 'g'), ' ') AS t FROM clips),
 t AS (SELECT clip_id, unnest(t) AS token, unnest(range(len(t))) AS i FROM m)"""
 
@@ -841,10 +873,6 @@ def redundancy_penalty(spark, sf):
     return nearest(spark, sf).select("vec_id", F.round(scoring.redundancy(F.col("distance"), 0.3), 6).alias("penalty"))
 
 
-FRAMES = "frames AS (SELECT vec_id, s, list_sum(list_transform(list_slice(v, s + 1, s + 8), lambda x: x * x)) / 8 AS e FROM (SELECT vec_id, embedding::DOUBLE[] AS v, unnest(range(0, 64 - 8 + 1, 4)) AS s FROM embeddings))"
-SMALL_FRAMES = metrics.Frames(frame_ms=8.0, hop_ms=4.0, silence_floor=0.6)
-
-
 def waves(spark, sf, name: str, measured) -> DataFrame:
     """A measure of each vector as a waveform of 1000 samples a second, in Arrow batches."""
 
@@ -951,12 +979,52 @@ def missing_recordings(spark, sf):
     return tables.missing_audio(rows, rows.where("doc_id % 2 = 0").select(F.concat(F.lit("/a/b/"), "path").alias("path")))
 
 
-@query("SELECT event_id, CASE WHEN p IS NULL OR p = '' THEN 'mfa_missing' WHEN d / greatest(n, m) > 0.34 THEN 'mfa_token_mismatch' END AS reason FROM (SELECT event_id, p, levenshtein(p, q) AS d, length(p) AS n, length(q) AS m FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'abc' WHEN 1 THEN 'abd' WHEN 2 THEN 'xyz' END AS p, 'abc' AS q FROM events))")
+HEARD = """f AS (SELECT vec_id, i, embedding[4 * i + 1 : 4 * i + 4] AS e FROM embeddings, (SELECT unnest(range(16)) AS i)),
+tops AS (SELECT vec_id, i, list_position(e, list_max(e)) - 1 AS t FROM f), runs AS (SELECT *, lag(t) OVER (PARTITION BY vec_id ORDER BY i) AS before FROM tops),
+heard AS (SELECT vec_id, coalesce(string_agg(t::VARCHAR, '' ORDER BY i) FILTER (WHERE t > 0 AND t IS DISTINCT FROM before), '') AS p FROM runs GROUP BY 1),
+words AS (SELECT vec_id, label, p, (1 + label % 3)::VARCHAR || (1 + (label // 3) % 3)::VARCHAR || (1 + (label + 1) % 3)::VARCHAR AS q FROM heard JOIN embeddings USING (vec_id))"""
+
+
+def heard(spark, sf) -> DataFrame:
+    """A vector as 16 frames of a blank and three tokens, and a word of three tokens from its label."""
+    n = F.col("label").cast("int")
+    frames = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice("embedding", 4 * i + 1, 4))
+    word = F.array(1 + n % 3, 1 + F.floor(n / 3).cast("int") % 3, 1 + (n + 1) % 3)
+    return table(spark, sf, "embeddings").select("vec_id", frames.alias("frames"), word.alias("word"))
+
+
+@query(f"WITH {HEARD} SELECT vec_id, p AS tokens FROM words")
+def best_path_tokens(spark, sf):
+    return heard(spark, sf).select("vec_id", F.array_join(align.best_path(F.col("frames")), "").alias("tokens"))
+
+
+@query(f"WITH {HEARD} SELECT vec_id, CASE WHEN p = '' THEN 'nfa_missing' WHEN levenshtein(p, q) / greatest(length(p), length(q)) > 0.65 THEN 'nfa_token_mismatch' END AS reason FROM words")
 def aligner_rejects(spark, sf):
-    n = F.col("event_id") % 4
-    letters = lambda x: F.array(*map(F.lit, x))
-    predicted = F.when(n == 0, letters("abc")).when(n == 1, letters("abd")).when(n == 2, letters("xyz"))
-    return table(spark, sf, "events").select("event_id", quality.aligner_reason(predicted, letters("abc"), "mfa", 0.34).alias("reason"))
+    """What is heard by itself against the word that should be there."""
+    names = lambda c: F.transform(c, lambda t: t.cast("string"))
+    return heard(spark, sf).select("vec_id", quality.aligner_reason(names(align.best_path(F.col("frames"))), names(F.col("word")), "nfa", 0.65).alias("reason"))
+
+
+@query()
+def forced_alignment(spark, sf):
+    """Where the tokens of each vector's word lie on the best path; the entries count as log probabilities."""
+    spans = F.explode(align.alignment(F.col("frames"), F.col("word")))
+    return heard(spark, sf).select("vec_id", spans.alias("s")).select("vec_id", "s.token", "s.first", "s.last", F.round("s.score", 6).alias("score"))
+
+
+def _samples(by: str, where: str = "true") -> str:
+    return f"""WITH {CLIPS}, r AS (SELECT {by}, clip_id, row_number() OVER (PARTITION BY {by} ORDER BY md5('0:' || clip_id), clip_id) AS place FROM clips WHERE {where}) SELECT * FROM r WHERE place <= 5"""
+
+
+@query(_samples("speaker_id"))
+def scan_samples(spark, sf):
+    """Five clips of each speaker, the feature being a sample to look at."""
+    return agg.samples_by(clips(spark, sf, deal=False), "speaker_id", "clip_id")
+
+
+@query(_samples("reject_reason", "reject_reason IS NOT NULL"))
+def rejection_samples(spark, sf):
+    return agg.samples_by(clips(spark, sf, deal=False).where("reject_reason is not null"), "reject_reason", "clip_id")
 
 
 # --- sequential choices ----------------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ import os
 import shutil
 from collections.abc import Iterable, Mapping, Sequence
 from pathlib import Path
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,11 +78,20 @@ def jsonl(df: DataFrame, path: str) -> None:
 
 
 def one_file(df: DataFrame, path: str, column: str = "value") -> None:
-    """Lines of a column in the order of df into one file, streamed through the driver a partition at a time."""
-    partial = f"{path}.partial"
-    with open(partial, "w", encoding="utf-8", newline="\n") as f:
-        f.writelines(f"{r[0]}\n" for r in df.select(column).toLocalIterator())
-    os.replace(partial, path)
+    """Lines of a column in the order of df as one file: tasks write their parts beside it on a file system that all
+    machines share, and the parts are put together as bytes. Lines must not hold line breaks."""
+    parts = f"{path}.parts"
+    df.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(Path(parts).absolute().as_uri())
+    _together(Path(parts), path)
+    shutil.rmtree(parts)
+
+
+def _together(parts: Path, path: str) -> None:
+    with open(f"{path}.partial", "wb") as out:
+        for part in sorted(parts.glob("part-*")):
+            with open(part, "rb") as f:
+                shutil.copyfileobj(f, out)
+    os.replace(f"{path}.partial", path)
 
 
 def report_csv(path: str, rows: Sequence[Mapping]) -> None:
@@ -157,6 +167,33 @@ def style_bert(rows: DataFrame, language: str = "JP") -> DataFrame:
     return some.orderBy("clip_id").select("speaker_id", line.alias("value"))
 
 
+def style_bert_packs(rows: DataFrame, folder: str, packaging: str = "single_model", model: str = "model", language: str = "JP", mode: str = "copy") -> dict[str, int]:
+    """Data/MODEL/esd.list of all clips, or Data/SPEAKER/esd.list of each speaker's, in the order of their ids; returns the
+    clips of each. Rows with a `source` have that file placed at raw/CLIP.wav beside it. Signs that can't be in a name of a
+    folder become `_`, and a speaker without an id is `unknown`; speakers whose names become equal share a folder.
+
+    Lists are written over ranges of (pack, clip), so one speaker's may be as long as all of them.
+    """
+    if packaging not in ("single_model", "per_speaker"):
+        raise ValueError(f"packaging must be single_model or per_speaker, not {packaging!r}")
+    safe = F.regexp_replace(F.coalesce(F.nullif(F.trim("speaker_id"), F.lit("")), F.lit("unknown")), r"[^\p{L}\p{N}_.-]|^[.]+", "_")
+    pack = safe if packaging == "per_speaker" else F.lit(model)
+    some = utterances(rows).withColumn("pack", pack)
+    line = F.concat_ws("|", F.concat("clip_id", F.lit(".wav")), pipe_safe(F.coalesce("speaker_id", F.lit(""))), pipe_safe(F.lit(language)), pipe_safe(F.col("text")))
+    parts = Path(folder).absolute() / "esd.parts"
+    lines = some.select("pack", "clip_id", line.alias("value"), F.col("pack").alias("folder")).repartitionByRange("pack", "clip_id").sortWithinPartitions("folder", "clip_id")
+    lines.select("value", "folder").write.mode("overwrite").partitionBy("folder").text(parts.as_uri())
+    counts = {r.pack: r.n for r in some.groupBy("pack").agg(F.count("*").alias("n")).collect()}  # a row a list
+    for name in counts:
+        Path(folder, "Data", name, "raw").mkdir(parents=True, exist_ok=True)
+    for found in parts.glob("folder=*"):
+        _together(found, str(Path(folder, "Data", unquote(found.name.removeprefix("folder=")), "esd.list")))
+    shutil.rmtree(parts)
+    if "source" in rows.columns:
+        place_audio(some.select(F.concat("pack", F.lit("/raw/"), "clip_id").alias("clip_id"), "source"), f"{folder}/Data", mode)
+    return counts
+
+
 def partitioned(rows: DataFrame, path: str, bucket, dry_run: bool = False) -> dict[str, int]:
     """Rows into a folder for each bucket; returns their counts."""
     named = rows.withColumn("bucket", bucket)
