@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from koine.operators.windows import nearest_rows, nearest_vectors
 from koine.scratch import cut, ship, summed_before
 
-#: Candidates that meet one block in one task.
-ASKED = 4096
+#: Numbers of the vectors that meet in one task, on either side.
+NUMBERS = 1 << 20
 
 
 def nearest_all(rows: DataFrame, key: str, vector: str, pivots: int = 1024, block: int = 512) -> DataFrame:
@@ -22,7 +22,9 @@ def nearest_all(rows: DataFrame, key: str, vector: str, pivots: int = 1024, bloc
     A vector belongs to the cell of its nearest pivot; cells are cut into blocks of at most `block` rows by the distance to
     it. Its own block gives an upper bound. Another cell, and then another block, is met only where the triangle
     inequality leaves room for something nearer, so the result is that of comparing all. Copies find each other in their own block
-    and go no further. Pivots are at most `pivots`, and at most the square root of the rows.
+    and go no further. Blocks lie together in parts, and a vector goes to a part once, however many of its blocks it meets.
+    Pivots are at most `pivots`, and at most the square root of the rows. Vectors without clusters leave the inequality
+    nothing to rule out: then all meet all, in parts.
 
     The inequality needs whole vectors. Those of another length than most have, or with entries that are null or not
     finite, are compared over the places that both have: in blocks, with all. Rows without a key or without a vector have
@@ -37,7 +39,7 @@ def nearest_all(rows: DataFrame, key: str, vector: str, pivots: int = 1024, bloc
     if not lengths:
         return all_rows.select(F.col("id").alias(key), F.lit(0.0).alias("distance"))
     whole = (F.size("v") == lengths[0].n) & ~F.exists("v", F.isnan)
-    found = _whole(all_rows.where(whole), kind, pivots, block)
+    found = _whole(all_rows.where(whole), kind, pivots, block, max(1, lengths[0].n))
     width = max(r.n for r in lengths)
     padded = F.concat("v", F.array_repeat(F.lit(float("nan")), F.lit(width) - F.size("v"))).alias("v")
     odd = all_rows.where(~whole).select("id", padded)
@@ -61,8 +63,8 @@ def _room(*vectors: np.ndarray) -> float:
     return 3e-6 * max(float(np.sqrt((v * v).sum(axis=1).max(initial=0.0))) for v in vectors)
 
 
-def _whole(rows: DataFrame, kind: str, pivots: int, block: int) -> DataFrame:
-    n = rows.count()
+def _whole(rows: DataFrame, kind: str, pivots: int, block: int, width: int) -> DataFrame:
+    n, most = rows.count(), max(block, NUMBERS // width)
     many = max(1, min(pivots, int(np.ceil(np.sqrt(n)))))
     chosen = rows.orderBy(F.xxhash64("id"), "id").limit(many).collect()  # at most `pivots` vectors
     if not chosen:
@@ -79,57 +81,63 @@ def _whole(rows: DataFrame, kind: str, pivots: int, block: int) -> DataFrame:
                 cell = d.argmin(axis=1)
                 yield part.assign(cell=cell.astype("int32"), r=d[np.arange(len(part)), cell])
 
-    fields = f"id {kind}, v array<double>"
-    in_cells = cut(rows.mapInPandas(to_cells, f"{fields}, cell int, r double"), "cells")
+    fields = f"id {kind}, v array<double>, cell int, r double"
+    in_cells = cut(rows.mapInPandas(to_cells, fields), "cells")
     at = summed_before(in_cells, ["cell"], [F.col("r"), F.col("id")], F.lit(1).cast("long"), "place")
-    blocks = cut(at.withColumn("b", F.floor(F.col("place") / block)).drop("place"), "blocks")
+    blocks = at.withColumn("b", F.floor(F.col("place") / block)).drop("place").withColumn("row", F.monotonically_increasing_id())
+    blocks = cut(blocks, "blocks")  # rows keep their numbers
 
     def own(some: pd.DataFrame) -> pd.DataFrame:
         v, ids = _stacked(some["v"]), some["id"].to_numpy()
-        return some.assign(bound=nearest_rows(ids, v, ids, v))
+        return some.assign(bound=nearest_rows(ids, v, ids, v))[["id", "v", "cell", "r", "row", "bound"]]
 
-    bounded = cut(blocks.groupBy("cell", "b").applyInPandas(own, f"{fields}, cell int, r double, b long, bound double"), "bounded")
-    ranges = cut(blocks.groupBy("cell", "b").agg(F.min("r").alias("low"), F.max("r").alias("high")), "ranges")
+    bounded = cut(blocks.groupBy("cell", "b").applyInPandas(own, f"{fields}, row long, bound double"), "bounded")
+    sizes = blocks.groupBy("cell", "b").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.count("*").alias("n"))
+    in_parts = summed_before(cut(sizes, "sizes"), [], [F.col("cell"), F.col("b")], F.col("n"), "before")
+    ranges = cut(in_parts.select("cell", "b", "low", "high", F.floor(F.col("before") / most).alias("part")), "ranges")
     low, high = np.full(len(points), np.inf), np.full(len(points), -np.inf)
     for c in ranges.groupBy("cell").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():  # a row a pivot
         low[c.cell], high[c.cell] = c.low, c.high
 
     def to_meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in batches:
-            for at in range(0, len(some), 256):
-                part = some.iloc[at : at + 256]
+            for at in range(0, len(some), 1024):
+                part = some.iloc[at : at + 1024]
                 v = _stacked(part["v"]) - middle
                 d, room = _distances(v, points), _room(v, points)
                 r, bound = part["r"].to_numpy()[:, None], part["bound"].to_numpy()[:, None]
                 least = np.maximum(np.maximum(d - high, low - d), (d - r) / 2)  # the last: nearer to that pivot than to its own
-                i, j = np.nonzero((least <= bound + room) & (high >= 0))
-                near = part.iloc[i][["id", "v", "bound", "b"]].assign(home=part["cell"].to_numpy()[i], cell=j.astype("int32"), d=d[i, j], room=room)
-                for start in range(0, len(near), 4096):
-                    yield near.iloc[start : start + 4096]
-
-    open_ = bounded.where("bound > 0")  # nothing is nearer than a copy
-    cells = open_.mapInPandas(to_meet, f"{fields}, bound double, b long, home int, cell int, d double, room double")
-    reach = (F.col("d") - F.col("high") <= F.col("bound") + F.col("room")) & (F.col("low") - F.col("d") <= F.col("bound") + F.col("room"))
-    met = cells.withColumnRenamed("b", "own").join(ranges, "cell").where(reach & ~((F.col("home") == F.col("cell")) & (F.col("own") == F.col("b"))))
-    met = cut(met.select("id", "v", "cell", "b"), "met")
-    return _meet(met, blocks, kind).unionByName(bounded.where(F.col("bound") < float("inf")).select("id", F.col("bound").alias("distance")))
-
-
-def _meet(met: DataFrame, blocks: DataFrame, kind: str) -> DataFrame:
-    """id, distance of each candidate to the nearest row of the block that it meets; a block that many meet is met in parts."""
-    parts = met.groupBy("cell", "b").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("parts"))
-    part = lambda of: F.pmod(F.xxhash64(of), F.col("parts")).cast("int").alias("part")
-    asked = met.join(parts, ["cell", "b"]).select("id", "v", "cell", "b", part("v"))
-    there = blocks.join(parts, ["cell", "b"]).select("id", "v", "cell", "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-
-    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+                near = (least <= bound + room) & (high >= 0)
+                cells, ds = [np.nonzero(x)[0].astype("int32") for x in near], [x[y] for x, y in zip(d, near, strict=True)]
+                yield pd.DataFrame({"row": part["row"].to_numpy(), "reach": part["bound"].to_numpy() + room, "cells": cells, "ds": ds})
+
+    open_ = bounded.where("bound > 0").select("row", "id", "v", "r", "bound")  # nothing is nearer than a copy
+    cells = open_.select("row", "v", "r", "bound").mapInPandas(to_meet, "row long, reach double, cells array<int>, ds array<double>")
+    cells = cells.select("row", "reach", F.explode(F.arrays_zip("cells", "ds")).alias("x")).select("row", "reach", F.col("x.cells").alias("cell"), F.col("x.ds").alias("d"))
+    left = (F.col("d") - F.col("high") <= F.col("reach")) & (F.col("low") - F.col("d") <= F.col("reach"))
+    met = cut(cells.join(ranges, "cell").where(left).select("row", "part").distinct(), "met")
+
+    shares = met.groupBy("part").agg(F.ceil(F.count("*") / most).cast("int").alias("shares"))
+    share = F.pmod(F.xxhash64("row"), F.col("shares")).cast("int").alias("share")
+    asked = met.join(shares, "part").select("row", "part", share).join(open_, "row").select("part", "share", "id", "v", "bound")
+    there = blocks.join(ranges.select("cell", "b", "part"), ["cell", "b"]).join(shares, "part")
+    there = there.select("part", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "id", "v", "cell", "b", "r")
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        """Each vector against the blocks that its bound, which falls from block to block, leaves."""
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "distance": []})
-        other, v, ids, out = b["id"].to_numpy(), _stacked(b["v"]), a["id"].to_numpy(), np.full(len(a), np.inf)
-        for at in range(0, len(a), 1024):
-            out[at : at + 1024] = nearest_rows(ids[at : at + 1024], _stacked(a["v"].iloc[at : at + 1024]), other, v)
-        return pd.DataFrame({"id": ids, "distance": out})
-
-    keys = ["cell", "b", "part"]
-    found = asked.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInPandas(kernel, f"id {kind}, distance double")
-    return found.where(F.col("distance") < float("inf"))
+        ids, v, best = a["id"].to_numpy(), _stacked(a["v"]), a["bound"].to_numpy(dtype=np.float64, copy=True)
+        from_middle = v - middle
+        room = _room(from_middle, points)
+        for (cell, _), some in b.groupby(["cell", "b"]):
+            d, r = _distances(from_middle, points[cell : cell + 1])[:, 0], some["r"].to_numpy()
+            open_rows = np.nonzero((d - r.max() <= best + room) & (r.min() - d <= best + room))[0]
+            other, w = some["id"].to_numpy(), _stacked(some["v"])
+            for at in range(0, len(open_rows), 1024):
+                i = open_rows[at : at + 1024]
+                best[i] = np.minimum(best[i], nearest_rows(ids[i], v[i], other, w))
+        return pd.DataFrame({"id": ids, "distance": best})
+
+    nearer = asked.groupBy("part", "share").cogroup(there.groupBy("part", "share")).applyInPandas(meet, f"id {kind}, distance double")
+    return nearer.unionByName(bounded.select("id", F.col("bound").alias("distance"))).where(F.col("distance") < float("inf"))

@@ -57,12 +57,19 @@ def test_empty_and_alone(spark):
     assert found(spark, []) == {} and found(spark, [(1, [1.0, 2.0])]) == {} and found(spark, [(1, None)]) == {}
 
 
+def test_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "NUMBERS", 60)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 6)]) for i in range(100)]
+    assert found(spark, rows, block=6) == pytest.approx(plain(rows), abs=1e-9)
+
+
 def test_few_meetings_on_clusters(spark, monkeypatch):
-    """Rows that meet another block, for twice and four times the rows in twice and four times the clusters."""
-    sent = []
-    meet = neighbors._meet
-    monkeypatch.setattr(neighbors, "_meet", lambda met, blocks, kind: (sent.append(met.count()), meet(met, blocks, kind))[1])
+    """Vectors sent to parts, for twice and four times the rows in as many clusters: no more than N log N."""
+    sent, written = [], neighbors.cut
+    monkeypatch.setattr(neighbors, "cut", lambda df, name: (sent.append(df.count()) if name == "met" else None, written(df, name))[1])
+    monkeypatch.setattr(neighbors, "NUMBERS", 6 * 64)
     sizes = (300, 600, 1200)
     for n in sizes:
-        found(spark, clustered(n, n // 30), block=64)
+        found(spark, clustered(n, n // 30), block=32)
     assert all(s <= n * np.log2(n) for s, n in zip(sent, sizes, strict=True)), sent
