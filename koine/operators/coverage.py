@@ -7,10 +7,11 @@ import heapq
 import json
 import math
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from koine.operators.aggregates import coverage_counts
 from koine.operators.filters import useful
 from koine.operators.joins import deficits as short_of
 from koine.operators.reports import status_of_plan
-from koine.scratch import cut
+from koine.scratch import cut, ship
 
 
 @dataclass(frozen=True)
@@ -64,13 +65,18 @@ def pass_column(overall: float, config: PlannerConfig) -> Column:
     return pass_probability(rate, F.col("cheap_quality"), F.col("duration_sec"), F.col("up_votes"), F.col("down_votes"), config.min_probability, config.max_probability)
 
 
+def pass_rates(index: DataFrame, stats: DataFrame, overall: float, config: PlannerConfig = PlannerConfig()) -> DataFrame:
+    """The index with each clip's probability to pass and its cost."""
+    rows = index.join(stats.withColumnRenamed("speaker_id", "client_id"), "client_id", "left")
+    cost = F.greatest(analysis_cost(F.col("duration_sec"), config.cost_base, config.cost_per_second), F.lit(1e-6))
+    return rows.withColumns({"probability": pass_column(overall, config), "cost": cost})
+
+
 def first_scores(index: DataFrame, gains: DataFrame, stats: DataFrame, overall: float, config: PlannerConfig = PlannerConfig()) -> DataFrame:
     """clip_id, score and its parts of each clip before a batch has any: probability * gain / cost."""
     keys = index.select("clip_id", F.explode(F.array_distinct("feature_keys")).alias("feature"))
     gain = keys.join(gains.where("gain > 0"), "feature").groupBy("clip_id").agg(F.sum("gain").alias("gain"))
-    rows = index.join(gain, "clip_id").join(stats.withColumnRenamed("speaker_id", "client_id"), "client_id", "left")
-    cost = F.greatest(analysis_cost(F.col("duration_sec"), config.cost_base, config.cost_per_second), F.lit(1e-6))
-    rows = rows.select("clip_id", "client_id", "gain", pass_column(overall, config).alias("probability"), cost.alias("cost"))
+    rows = pass_rates(index.join(gain, "clip_id"), stats, overall, config).select("clip_id", "client_id", "gain", "probability", "cost")
     return rows.withColumn("score", F.col("probability") * F.col("gain") / F.col("cost"))
 
 
@@ -81,15 +87,23 @@ def batch_size(required_deficit: int, rate: float, candidates: int, config: Plan
     return min(candidates, max(config.min_batch, min(config.max_batch, wanted)))
 
 
-def pick_batch(clips: list[dict], gains: dict[str, tuple[int, float]], size: int, config: PlannerConfig, rest: float | None = None) -> list[tuple[str, float]]:
+def pick_batch(clips: list[dict], gains: dict[str, tuple[int, float]], size: int, config: PlannerConfig, rest: float | None = None, before: Iterable[dict] = ()) -> list[tuple[str, float]]:
     """Greedy batch: a picked clip lowers its features' deficits, and the scores of its speaker and text.
 
-    Scores only fall, so a candidate whose fresh score is still on top is the best; ties by clip_id. gains: deficit and
-    gain at that deficit by feature. clips: clip_id, speaker, text, keys, rate (probability / cost). rest: a bound on the
-    first scores of candidates that aren't here; picking ends where one of them might be the better.
+    Scores only fall, so a candidate whose fresh score is still on top is the best; ties, to seven digits, by clip_id.
+    gains: deficit and gain at that deficit by feature. clips: clip_id, speaker, text, keys, rate (probability / cost).
+    before: clips that the batch has already. rest: a bound on the scores of candidates that aren't here; picking ends
+    where one of them might be the better, but not before the first pick: the best of `clips` must be the best of all.
     """
     left, speakers, texts = {f: d for f, (d, _) in gains.items()}, Counter(), Counter()
 
+    def put(c: dict) -> None:
+        speakers[c["speaker"]] += 1
+        texts[c["text"]] += 1
+        for f in c["keys"]:
+            if left.get(f, 0) > 0:
+                left[f] -= 1
+
     def score(c: dict) -> float:
         if speakers[c["speaker"]] >= config.max_per_speaker:
             return 0.0
@@ -99,7 +113,10 @@ def pick_batch(clips: list[dict], gains: dict[str, tuple[int, float]], size: int
             spread *= 1 + texts[c["text"]] * config.text_penalty
         return gain * c["rate"] / spread
 
-    heap = [(-s, c["clip_id"], i) for i, c in enumerate(clips) if (s := score(c)) > 0]
+    for c in before:
+        put(c)
+    rank = lambda s: -float(np.float32(s))
+    heap = [(rank(s), c["clip_id"], i) for i, c in enumerate(clips) if (s := score(c)) > 0]
     heapq.heapify(heap)
     out = []
     while heap and len(out) < size:
@@ -107,17 +124,13 @@ def pick_batch(clips: list[dict], gains: dict[str, tuple[int, float]], size: int
         fresh = score(clips[i])
         if fresh <= 0:
             continue
-        if heap and (-fresh, name) > heap[0][:2]:
-            heapq.heappush(heap, (-fresh, name, i))
+        if heap and (rank(fresh), name) > heap[0][:2]:
+            heapq.heappush(heap, (rank(fresh), name, i))
             continue
-        if rest is not None and fresh <= rest * (1 + 1e-9):
+        if out and rest is not None and fresh <= rest * (1 + 1e-6):
             break
         out.append((name, fresh))
-        speakers[clips[i]["speaker"]] += 1
-        texts[clips[i]["text"]] += 1
-        for f in clips[i]["keys"]:
-            if left.get(f, 0) > 0:
-                left[f] -= 1
+        put(clips[i])
     return out
 
 
@@ -125,20 +138,47 @@ def _batch_kernel(size: int, config: PlannerConfig, rest: float | None):
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         known = {k["feature"]: (k["deficit"], k["gain"]) for keys in pdf["keys"] for k in keys}
         rows = pdf.sort_values("clip_id").itertuples(index=False)
-        clips = [{"clip_id": r.clip_id, "speaker": r.speaker, "text": r.text, "rate": r.rate, "keys": sorted(k["feature"] for k in r.keys)} for r in rows]
-        picked = pick_batch(clips, known, size, config, rest)
-        return pd.DataFrame([(n, c, s) for n, (c, s) in enumerate(picked, 1)], columns=["rank", "clip_id", "score"])
+        clips = [{"clip_id": r.clip_id, "speaker": r.speaker, "text": r.text, "rate": r.rate, "keys": sorted(k["feature"] for k in r.keys), "had": r.had} for r in rows]
+        before = [c for c in clips if c["had"]]
+        picked = pick_batch([c for c in clips if not c["had"]], known, size - len(before), config, rest, before)
+        return pd.DataFrame([(n, c, s) for n, (c, s) in enumerate(picked, len(before) + 1)], columns=["rank", "clip_id", "score"])
 
     return kernel
 
 
+def scores_after(clips: DataFrame, held: DataFrame, picked: DataFrame, config: PlannerConfig = PlannerConfig()) -> DataFrame:
+    """clip_id, score of the clips that still add something once those of picked(clip_id), a batch at most, are in.
+
+    clips: clip_id, speaker, text (null for none), rate; held: clip_id, feature, deficit, gain of their features.
+    """
+    own = clips.join(F.broadcast(picked), "clip_id", "left_semi")
+    taken = held.join(F.broadcast(picked), "clip_id", "left_semi").groupBy("feature").agg(F.count("*").alias("taken"))
+    left = F.greatest(F.col("deficit") - F.coalesce("taken", F.lit(0)), F.lit(0))
+    gain = held.join(taken, "feature", "left").groupBy("clip_id").agg(F.sum(F.col("gain") * left / F.col("deficit")).alias("gain"))
+    speakers = F.broadcast(own.groupBy("speaker").agg(F.count("*").alias("of_speaker")))  # at most a row a picked clip
+    texts = F.broadcast(own.where("text is not null").groupBy("text").agg(F.count("*").alias("of_text")))
+    rows = clips.join(F.broadcast(picked), "clip_id", "left_anti").join(speakers, "speaker", "left").join(texts, "text", "left").na.fill(0, ["of_speaker", "of_text"])
+    spread = (1 + F.col("of_speaker") * config.speaker_penalty) * (1 + F.col("of_text") * config.text_penalty)
+    rows = rows.where(F.col("of_speaker") < config.max_per_speaker).join(gain, "clip_id")
+    return rows.select("clip_id", (F.col("gain") * F.col("rate") / spread).alias("score")).where("score > 0")
+
+
+#: Candidates that a round of plan_batch compares in one task.
+WORKING_SET = 4000
+
+
 def plan_batch(
-    index: DataFrame, targets: DataFrame, counts: DataFrame, analyzed: DataFrame, stats: DataFrame, config: PlannerConfig = PlannerConfig(), size: int | None = None, at_first: int | None = None
+    index: DataFrame, targets: DataFrame, counts: DataFrame, analyzed: DataFrame, stats: DataFrame, config: PlannerConfig = PlannerConfig(), size: int | None = None, working_set: int = WORKING_SET
 ) -> DataFrame:
-    """rank, clip_id, score of the next batch. All candidates are scored in Spark; scores only fall as clips are picked,
-    so the best few thousand, `at_first`, decide as long as the pick is above what the others had at first. Where it
-    isn't, four times as many are taken: the batch is that of all candidates, and no task holds them all unless all are
-    needed. Gains go to that task for the features of its clips only."""
+    """rank, clip_id, score of the next batch: the greedy one among all candidates, in rounds.
+
+    A round scores every candidate as the clips picked so far leave it, and picks among the best `working_set` as long as
+    the pick is above what the best of the others had; scores only fall, so none of those can be better. A round picks at
+    least its best clip: the batch is the same for every working set, and no task ever holds more rows than that and
+    the batch. Texts are compared by their hashes; a missing speaker counts as one.
+    """
+    spark = index.sparkSession
+    ship(spark)
     short = cut(short_of(targets.withColumnRenamed("desired", "target"), counts), "short")
     open_ = cut(useful(index, short, analyzed), "open")  # read several times below
     gains = cut(feature_gains(short, coverage_counts(open_), config).where("gain > 0"), "gains")
@@ -147,22 +187,25 @@ def plan_batch(
     if size is None:
         need = short.where("required").agg(F.sum("deficit")).first()[0] or 0
         size = batch_size(need, overall, open_.count(), config)
-    scored = cut(first_scores(open_, gains, stats, overall, config).select("clip_id", F.col("client_id").alias("speaker"), (F.col("probability") / F.col("cost")).alias("rate"), "score"), "scored")
-    n, most = scored.count(), at_first or max(2000, 20 * size)
-    spark = index.sparkSession
-    while True:
-        best = cut(scored.orderBy(F.desc("score"), "clip_id").limit(most), "best")
-        rest = best.agg(F.min("score")).first()[0] if n > most else None
-        rows = best.join(open_.select("clip_id", F.col("normalized_text").alias("text"), F.array_distinct("feature_keys").alias("keys")), "clip_id")
-        keys = rows.select("clip_id", F.explode("keys").alias("feature")).join(gains, "feature")
-        keys = keys.groupBy("clip_id").agg(F.collect_list(F.struct("feature", "deficit", "gain")).alias("keys"))
-        narrow = rows.drop("keys", "score").join(keys, "clip_id").withColumn("all", F.lit(0))
-
-        fields = "rank long, clip_id string, score double"
-        picked = [tuple(r) for r in narrow.groupBy("all").applyInPandas(_batch_kernel(size, config, rest), fields).collect()]  # a batch
-        if len(picked) >= size or rest is None:
-            return spark.createDataFrame(sorted(picked), fields)
-        most *= 4
+    keys = open_.select("clip_id", F.explode(F.array_distinct("feature_keys")).alias("feature"))
+    held = cut(keys.join(gains.select("feature", "deficit", "gain"), "feature"), "held")
+    text, speaker = F.when(F.col("normalized_text") != "", F.sha2("normalized_text", 256)), F.coalesce("client_id", F.lit(""))
+    rate = F.col("probability") / F.col("cost")
+    clips = cut(pass_rates(open_, stats, overall, config).select("clip_id", speaker.alias("speaker"), text.alias("text"), rate.alias("rate")), "rates")
+
+    fields, picked = "rank long, clip_id string, score double", []
+    while len(picked) < size:
+        had = spark.createDataFrame([(c,) for _, c, _ in picked], "clip_id string")
+        best = scores_after(clips, held, had, config).orderBy(F.col("score").cast("float").desc(), "clip_id").limit(working_set + 1).collect()
+        rest = best[working_set].score if len(best) > working_set else None
+        of = spark.createDataFrame([(r.clip_id, False) for r in best[:working_set]] + [(c, True) for _, c, _ in picked], "clip_id string, had boolean")
+        lists = held.join(F.broadcast(of), "clip_id").groupBy("clip_id").agg(F.collect_list(F.struct("feature", "deficit", "gain")).alias("keys"))
+        rows = clips.join(F.broadcast(of), "clip_id").join(lists, "clip_id").withColumn("all", F.lit(0))
+        new = [tuple(r) for r in rows.groupBy("all").applyInPandas(_batch_kernel(size, config, rest), fields).collect()]  # a batch
+        picked += sorted(new)
+        if not new or rest is None:
+            break
+    return spark.createDataFrame(picked, fields)
 
 
 @dataclass
