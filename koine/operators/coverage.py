@@ -180,18 +180,21 @@ def plan_batch(
     spark = index.sparkSession
     ship(spark)
     short = cut(short_of(targets.withColumnRenamed("desired", "target"), counts), "short")
-    open_ = cut(useful(index, short, analyzed), "open")  # read several times below
-    gains = cut(feature_gains(short, coverage_counts(open_), config).where("gain > 0"), "gains")
+    valid = index.where(~F.coalesce("invalidated", F.lit(False)))
+    keys = valid.select("clip_id", F.array_distinct("feature_keys").alias("keys")).join(analyzed.select("clip_id"), "clip_id", "left_anti").select("clip_id", F.explode("keys").alias("feature"))
+    helps = cut(keys.join(short.where("deficit > 0").select("feature"), "feature"), "helps")
+    pool = helps.groupBy("feature").agg(F.count("*").alias("count"))
+    gains = cut(feature_gains(short, pool, config).where("gain > 0").select("feature", "deficit", "gain"), "gains")
+    held = cut(helps.join(gains, "feature"), "held")
     tried = stats.agg(F.sum("attempts"), F.sum("passes")).first()
     overall = tried[1] / tried[0] if tried[0] else config.default_rate
     if size is None:
         need = short.where("required").agg(F.sum("deficit")).first()[0] or 0
-        size = batch_size(need, overall, open_.count(), config)
-    keys = open_.select("clip_id", F.explode(F.array_distinct("feature_keys")).alias("feature"))
-    held = cut(keys.join(gains.select("feature", "deficit", "gain"), "feature"), "held")
-    text, speaker = F.when(F.col("normalized_text") != "", F.sha2("normalized_text", 256)), F.coalesce("client_id", F.lit(""))
-    rate = F.col("probability") / F.col("cost")
-    clips = cut(pass_rates(open_, stats, overall, config).select("clip_id", speaker.alias("speaker"), text.alias("text"), rate.alias("rate")), "rates")
+        size = batch_size(need, overall, helps.select("clip_id").distinct().count(), config)
+    text = F.when(F.col("normalized_text") != "", F.sha2("normalized_text", 256)).alias("text")
+    narrow = valid.select("clip_id", "client_id", text, "duration_sec", "up_votes", "down_votes", "cheap_quality")
+    rate, speaker = F.col("probability") / F.col("cost"), F.coalesce("client_id", F.lit(""))
+    clips = cut(pass_rates(narrow, stats, overall, config).select("clip_id", speaker.alias("speaker"), "text", rate.alias("rate")), "rates")
 
     fields, picked = "rank long, clip_id string, score double", []
     while len(picked) < size:
