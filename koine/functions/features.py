@@ -31,3 +31,34 @@ def linguistic_features(
         "rate": rate, "rate_band": F.when(rate.isNotNull(), text.rate_band(rate)), "utterance_type": F.when(spoken, text.utterance_type(sentence)), "down_weighted": tokens.down_weighted(phonemes, down_weight),
     }
     return F.struct(*[c.alias(k) for k, c in fields.items()])
+
+
+#: Families that a selection may count, with the field of linguistic_features that each is read from.
+FAMILIES = {
+    "phone": "phones", "biphone": "biphones", "triphone": "triphones", "mora": "morae", "mora_bigram": "mora_bigrams", "full_context": "labels", "accent_nucleus": "accent_nuclei",
+    "accent_phrase_length": "accent_phrase_length_bands", "pause_boundary": "pause_marks", "sentence_length_band": "length_band", "speaking_rate_band": "rate_band",
+    "interrogative_declarative": "utterance_type",
+}
+#: Those of them that a split may count.
+SPLIT_FAMILIES = ("phone", "biphone", "triphone", "mora", "mora_bigram", "full_context")
+#: Families with one value a clip.
+SINGLE = ("sentence_length_band", "speaking_rate_band", "interrogative_declarative")
+
+
+def family_tokens(names: Sequence[str], allowed: Sequence[str] = tuple(FAMILIES)) -> dict[str, Column]:
+    """Token lists of catalog clips by family, in the order of names; a clip without any of a family has an empty list.
+    Names that aren't allowed, or come twice, raise ValueError."""
+    if bad := [n for i, n in enumerate(names) if n not in allowed or n in names[:i]]:
+        raise ValueError(f"families must be distinct ones of {', '.join(allowed)}, not {bad}")
+    none = F.array().cast("array<string>")
+    found = linguistic_features(F.col("text_norm"), F.col("phonemes"), F.col("text_norm"), F.col("duration_sec"), F.col("fullcontext_labels"))
+
+    def tokens_of(name: str) -> Column:
+        if name == "full_context":
+            return F.coalesce("fullcontext_labels", none)
+        if name == "mora":
+            return F.coalesce("moras", none)
+        value = found.getField(FAMILIES[name])
+        return F.array_compact(F.array(value)) if name in SINGLE else F.array_compact(F.coalesce(value, none))
+
+    return {name: tokens_of(name) for name in names}

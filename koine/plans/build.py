@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from koine import sinks
 from koine.audio import align, metrics, steps
-from koine.functions import backends, quality, text, tokens
+from koine.functions import backends, features, quality, text, tokens
 from koine.operators import aggregates as agg
 from koine.operators import filters, joins, reports, selection, split
 from koine.operators.coverage import target_rows
@@ -54,6 +54,8 @@ class Config:
     alignments: str = ""
     alignment_policy: str = "skip"
     exchanges: list[str] = field(default_factory=lambda: ["1v1"])
+    families: list[str] = field(default_factory=lambda: ["phone", "biphone", "triphone"])
+    split_families: list[str] = field(default_factory=lambda: ["phone"])
     family_weights: dict[str, float] = field(default_factory=dict)
     family_taus: dict[str, float] = field(default_factory=dict)
     coverage_policy: str = "warn"
@@ -253,12 +255,13 @@ def analyze_some(spark: SparkSession, c: Config, index: DataFrame, ids: DataFram
 def plan_split(clips: DataFrame, c: Config) -> DataFrame:
     """clip_id, split of every clip that may be split."""
     usable = clips.where(filters.splittable(F.col("disposition")))
-    rows = agg.incidence(usable, {"phone": tokens.split_tokens(F.col("phonemes"))})
+    families = features.family_tokens(c.split_families, features.SPLIT_FAMILIES)
+    rows = agg.incidence(usable, families)
     critical = agg.critical_features(agg.feature_counts(rows))
     if c.protocol == "unseen_speaker":
         assigned = split.unseen_speaker(usable, agg.protected_speakers(rows, critical), c.ratios, c.seed)
         return joins.with_split(usable, assigned).select("clip_id", "split")
-    marked = usable.withColumn("features", F.transform(tokens.split_tokens(F.col("phonemes")), lambda t: F.concat(F.lit("phone:"), t)))
+    marked = usable.withColumn("features", F.flatten(F.array(*[tokens.keys_of(f, x) for f, x in families.items()])))
     if c.protocol == "single_speaker":
         return split.single_speaker(marked, c.ratios, c.seed).select("clip_id", "split")
     columns = {"audio": "audio_sha256", "sentence": "sentence_id", "text": "text_norm"}
@@ -271,7 +274,7 @@ def select(clips: DataFrame, splits: DataFrame, c: Config, overrides: DataFrame
     pool = clips.where(filters.selectable(F.col("disposition"))).drop("split").join(splits, "clip_id")
     pool = joins.apply_overrides(pool, overrides) if overrides is not None else pool.withColumn("override_action", F.lit(None).cast("string"))
     first = c.protocol == "unseen_speaker"
-    families = {"phone": tokens.split_tokens(F.col("phonemes")), "biphone": F.col("biphones"), "triphone": F.col("triphones")}
+    families = features.family_tokens(c.families)
     keyed = F.flatten(F.array(*[tokens.keys_of(f, x) for f, x in families.items()]))
     groups = F.create_map(F.lit("exact_audio"), F.col("audio_sha256"), F.lit("same_normalized_text"), F.col("text_norm"))
     rows = pool.select(
