@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from koine.functions.tokens import split_tokens
@@ -26,19 +26,22 @@ def js_distance(left: DataFrame, right: DataFrame, by: list[str], key: str, valu
     return both.groupBy(*by).agg(F.sqrt(F.greatest(F.lit(0.0), F.sum((part("p") + part("q")) / 2))).alias("js_distance"))
 
 
-def js_to_uniform(counts: DataFrame) -> DataFrame:
-    """How far each family's counts(family, token, count) are from equal ones: no join on tokens, as both sides have them."""
-    totals = counts.groupBy("family").agg(F.sum("count").alias("__t"), F.count("*").alias("__n"))  # a row a family
-    shares = counts.join(totals, "family").select("family", F.when(F.col("__t") > 0, F.col("count") / F.col("__t")).otherwise(0.0).alias("p"), (1 / F.col("__n")).alias("q"))
-    m = (F.col("p") + F.col("q")) / 2
-    part = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / m)).otherwise(0.0)
-    return shares.groupBy("family").agg(F.sqrt(F.greatest(F.lit(0.0), F.sum((part("p") + part("q")) / 2))).alias("js_distance"))
+def coverage_summary(counts: DataFrame) -> DataFrame:
+    """family, tokens, occurrences and js_distance of counts(family, token, count): how far each family's are from equal ones.
 
+    All of it is told from how many tokens have each count, which a single pass over the counts gives; there are few of those.
+    """
+    alike = counts.groupBy("family", "count").agg(F.count("*").alias("k"))
+    total = Window.partitionBy("family")
+    alike = alike.withColumns({"__t": F.sum(F.col("k") * F.col("count")).over(total), "__n": F.sum("k").over(total)})
+    p, q = F.when(F.col("__t") > 0, F.col("count") / F.col("__t")).otherwise(0.0), 1 / F.col("__n")
+    part = lambda x: F.when(x > 0, x * F.log(x / ((p + q) / 2))).otherwise(0.0)
+    distance = F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("k") * (part(p) + part(q)) / 2)))
+    return alike.groupBy("family").agg(F.sum("k").alias("tokens"), F.sum(F.col("k") * F.col("count")).alias("occurrences"), distance.alias("js_distance"))
 
-def coverage_summary(counts: DataFrame) -> DataFrame:
-    """Tokens, occurrences and distance to equal counts of each family."""
-    sums = counts.groupBy("family").agg(F.count("*").alias("tokens"), F.sum("count").alias("occurrences"))
-    return sums.join(js_to_uniform(counts), "family")
+
+def js_to_uniform(counts: DataFrame) -> DataFrame:
+    return coverage_summary(counts).select("family", "js_distance")
 
 
 def rejection_summary(clips: DataFrame, lists: tuple[str, ...] = ("biphones", "triphones", "moras")) -> DataFrame:
