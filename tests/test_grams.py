@@ -3,6 +3,8 @@
 import math
 from collections import Counter
 
+from koine import scratch
+from koine.functions import tokens
 from koine.operators import aggregates as agg
 from koine.operators import reports
 
@@ -23,3 +25,34 @@ def test_summary_of_counts_reads_them_once(spark):
     want = math.sqrt(sum(x / 7 * math.log(x / 7 / y) + math.log(1 / 3 / y) / 3 for x, y in zip((1, 3, 3), m)) / 2)
     assert (got["f"].tokens, got["f"].occurrences, got["g"].js_distance) == (3, 7, 0) and abs(got["f"].js_distance - want) < 1e-12
     assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_counts_of_catalog_families(spark):
+    rows = [("c1", "s", "a b a", ["x"], ["l"]), ("c2", None, "a b", ["x", "x"], [None, "l"]), ("c3", "s", "", [], [])]
+    clips = spark.createDataFrame(rows, "clip_id string, speaker_id string, phonemes string, moras array<string>, fullcontext_labels array<string>")
+    clips = clips.withColumn("phones", agg.split_tokens(agg.F.col("phonemes"))).withColumns({f"{n}phones": tokens.ngrams(agg.F.col("phones"), k) for n, k in (("bi", 2), ("tri", 3))})
+    key = lambda df: sorted(map(str, df.collect()))
+    got = agg.catalog_feature_counts(clips)
+    assert key(got) == key(agg.feature_counts(agg.incidence(clips, agg.catalog_families())))
+    assert {(r.feature_type, r.feature): (r["count"], r.speaker_count, r.utterance_count) for r in got.collect()}["biphone", "a-b"] == (2, 2, 2)
+
+
+def test_large_keys_alone_take_the_written_sort(spark, monkeypatch):
+    """Keys of few rows are summed by windows though another key has many."""
+    monkeypatch.setattr(scratch, "WINDOW_ROWS", 50)
+    sorted_rows, placed = [], scratch.placed
+    monkeypatch.setattr(scratch, "placed", lambda df, order: sorted_rows.append(df.count()) or placed(df, order))
+    rows = [(None if i < 60 else "hot" if i < 130 else f"k{i % 7}", i) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, i int").repartition(5)
+    got = {r.i: r.n for r in scratch.summed_before(df, ["k"], [agg.F.col("i")], agg.F.col("i"), "n").collect()}
+    assert got == {i: sum(j for h, j in rows if h == k and j < i) for k, i in rows} and sorted_rows == [130]
+    lists = {(r.k, r.part): r["items"] for r in scratch.chunked(df, ["k"], "i", 40).collect()}
+    assert lists[None, 1] == list(range(40, 60)) and lists["hot", 0] == list(range(60, 100)) and sum(map(len, lists.values())) == 200
+
+
+def test_pairs_are_counted_where_they_are_made(spark, tmp_path):
+    """One shuffle of whole lists (and one that deals the table anew), none of pairs."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["proportional_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(clip_id") == 1 and "hashpartitioning(clip_id#" in plan and "src" not in plan.split("hashpartitioning(clip_id")[1].split("\n")[0]
