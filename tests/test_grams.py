@@ -6,7 +6,7 @@ from collections import Counter
 from koine import scratch
 from koine.functions import tokens
 from koine.operators import aggregates as agg
-from koine.operators import reports
+from koine.operators import filters, reports, selection
 
 
 def test_runs_are_counted_as_strings(spark):
@@ -56,3 +56,24 @@ def test_pairs_are_counted_where_they_are_made(spark, tmp_path):
 
     plan = entry.queries()["proportional_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(clip_id") == 1 and "hashpartitioning(clip_id#" in plan and "src" not in plan.split("hashpartitioning(clip_id")[1].split("\n")[0]
+
+
+def test_coverage_by_feature_is_one_pass(spark):
+    """Against the operators that count distinct ids; a missing speaker counts as none there too."""
+    rows = [(f"c{i}", None if i % 5 == 0 else f"s{i % 4}", i, "eligible" if i % 3 else None if i % 2 else "hard_rejected", [f"f{k}" for k in range(8) if (i * 7 + k) % 4 == 0]) for i in range(60)]
+    clips = spark.createDataFrame(rows, "clip_id string, speaker_id string, i int, disposition string, feature_keys array<string>")
+    eligible, selected = filters.counted(agg.F.col("disposition")), agg.F.col("i") % 3 == 1
+    got = agg.coverage_by_feature(clips, eligible, selected)
+    keys = clips.where(eligible).select("clip_id", "speaker_id", agg.F.explode("feature_keys").alias("feature"))
+    targets = clips.select(agg.F.explode("feature_keys").alias("feature")).distinct().select("feature", agg.F.lit(2).alias("minimum"), agg.F.lit(3).alias("desired"), agg.F.lit(True).alias("required"))
+    want = selection.coverage_constraints(targets, keys, agg.coverage_counts(clips)).join(agg.selected_coverage(keys, clips.where(selected)), "feature", "left")
+    want = want.na.fill(0, ["selected_count", "selected_speaker_count"]).select(got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 8
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString() and "clip_id" not in got._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+
+
+def test_first_scores_of_distinct_tokens(spark):
+    rows = spark.createDataFrame([("c", "f", "a"), ("c", "f", "b"), ("d", "f", "a")], "clip_id string, family string, token string")
+    targets = spark.createDataFrame([("f", "a", 0.25), ("f", "b", 0.75)], "family string, token string, target double")
+    twice = selection.first_scores(rows.unionByName(rows), targets).collect()
+    assert sorted(map(tuple, selection.first_scores(rows, targets, distinct=True).collect())) == sorted(map(tuple, twice))
