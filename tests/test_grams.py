@@ -1,10 +1,13 @@
 """Runs of neighbours counted by what follows each pair, and reports that count once."""
 
 import math
+import unicodedata
 from collections import Counter
 
+import pyarrow as pa
+
 from koine import scratch
-from koine.functions import tokens
+from koine.functions import text, tokens
 from koine.operators import aggregates as agg
 from koine.operators import filters, reports, selection
 
@@ -77,3 +80,20 @@ def test_first_scores_of_distinct_tokens(spark):
     targets = spark.createDataFrame([("f", "a", 0.25), ("f", "b", 0.75)], "family string, token string, target double")
     twice = selection.first_scores(rows.unionByName(rows), targets).collect()
     assert sorted(map(tuple, selection.first_scores(rows, targets, distinct=True).collect())) == sorted(map(tuple, twice))
+
+
+def test_compatibility_forms_are_unpacked_a_few_at_a_time(spark):
+    seen, normalize = [], unicodedata.normalize
+    texts = [None, "", "plain", "ﬁ Ａ", "é"] * 40
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(text.compatible(agg.F.col("t"))).collect()]
+    assert got == [None if t is None else normalize("NFKC", t) for t in texts]
+
+    class Slices:
+        def __len__(self):
+            return 150
+
+        def slice(self, i, n):
+            seen.append(n)
+            return pa.array(["ﬁ"] * min(n, 150 - i))
+
+    assert text.nfkc_udf.func(Slices()).to_pylist() == ["fi"] * 150 and seen == [text.STEP] * 3
