@@ -97,3 +97,10 @@ def test_compatibility_forms_are_unpacked_a_few_at_a_time(spark):
             return pa.array(["ﬁ"] * min(n, 150 - i))
 
     assert text.nfkc_udf.func(Slices()).to_pylist() == ["fi"] * 150 and seen == [text.STEP] * 3
+
+
+def test_shares_of_a_family_are_not_dealt_by_family(spark):
+    counts = spark.createDataFrame([("f", f"t{i}", i) for i in range(9)] + [("g", "x", 4)], "family string, token string, count long")
+    out = agg.target_distribution(counts)
+    assert {r.token: r.target for r in out.collect()}["x"] == 1.0
+    assert "SortMergeJoin" not in out._jdf.queryExecution().sparkPlan().toString()
