@@ -146,20 +146,30 @@ def _batch_kernel(size: int, config: PlannerConfig, rest: float | None):
     return kernel
 
 
-def scores_after(clips: DataFrame, held: DataFrame, picked: DataFrame, config: PlannerConfig = PlannerConfig()) -> DataFrame:
+def scores_after(clips: DataFrame, held: DataFrame, picked: DataFrame, config: PlannerConfig = PlannerConfig(), first: bool = False) -> DataFrame:
     """clip_id, score of the clips that still add something once those of picked(clip_id), a batch at most, are in.
 
-    clips: clip_id, speaker, text (null for none), rate; held: clip_id, feature, deficit, gain of their features.
+    clips: clip_id, speaker, text (null for none), rate; held: clip_id, feature, deficit, gain of their features. With `first`,
+    clips have a column first, their gain before anything is picked: then only rows of features that picked clips have, of which a
+    batch has few, are summed anew, and no others are shuffled.
     """
     own = clips.join(F.broadcast(picked), "clip_id", "left_semi")
     taken = held.join(F.broadcast(picked), "clip_id", "left_semi").groupBy("feature").agg(F.count("*").alias("taken"))
     left = F.greatest(F.col("deficit") - F.coalesce("taken", F.lit(0)), F.lit(0))
-    gain = held.join(taken, "feature", "left").groupBy("clip_id").agg(F.sum(F.col("gain") * left / F.col("deficit")).alias("gain"))
+    if first:
+        lost = held.join(F.broadcast(taken), "feature").groupBy("clip_id").agg(F.sum(F.col("gain") * F.least("taken", "deficit") / F.col("deficit")).alias("lost"))
+    else:
+        gain = held.join(taken, "feature", "left").groupBy("clip_id").agg(F.sum(F.col("gain") * left / F.col("deficit")).alias("gain"))
     speakers = F.broadcast(own.groupBy("speaker").agg(F.count("*").alias("of_speaker")))  # at most a row a picked clip
     texts = F.broadcast(own.where("text is not null").groupBy("text").agg(F.count("*").alias("of_text")))
     rows = clips.join(F.broadcast(picked), "clip_id", "left_anti").join(speakers, "speaker", "left").join(texts, "text", "left").na.fill(0, ["of_speaker", "of_text"])
     spread = (1 + F.col("of_speaker") * config.speaker_penalty) * (1 + F.col("of_text") * config.text_penalty)
-    rows = rows.where(F.col("of_speaker") < config.max_per_speaker).join(gain, "clip_id")
+    rows = rows.where(F.col("of_speaker") < config.max_per_speaker)
+    if first:  # what is lost of a gain to the last digit was all of it
+        rest = F.col("first") - F.coalesce("lost", F.lit(0.0))
+        rows = rows.join(lost, "clip_id", "left").withColumn("gain", F.when(rest > F.col("first") * 1e-12, rest).otherwise(0.0))
+    else:
+        rows = rows.join(gain, "clip_id")
     return rows.select("clip_id", (F.col("gain") * F.col("rate") / spread).alias("score")).where("score > 0")
 
 
@@ -194,12 +204,13 @@ def plan_batch(
     text = F.when(F.col("normalized_text") != "", F.sha2("normalized_text", 256)).alias("text")
     narrow = valid.select("clip_id", "client_id", text, "duration_sec", "up_votes", "down_votes", "cheap_quality")
     rate, speaker = F.col("probability") / F.col("cost"), F.coalesce("client_id", F.lit(""))
-    clips = cut(pass_rates(narrow, stats, overall, config).select("clip_id", speaker.alias("speaker"), "text", rate.alias("rate")), "rates")
+    first = held.groupBy("clip_id").agg(F.sum("gain").alias("first"))
+    clips = cut(pass_rates(narrow.join(first, "clip_id"), stats, overall, config).select("clip_id", speaker.alias("speaker"), "text", rate.alias("rate"), "first"), "rates")
 
     fields, picked = "rank long, clip_id string, score double", []
     while len(picked) < size:
         had = spark.createDataFrame([(c,) for _, c, _ in picked], "clip_id string")
-        best = scores_after(clips, held, had, config).orderBy(F.col("score").cast("float").desc(), "clip_id").limit(working_set + 1).collect()
+        best = scores_after(clips, held, had, config, True).orderBy(F.col("score").cast("float").desc(), "clip_id").limit(working_set + 1).collect()
         rest = best[working_set].score if len(best) > working_set else None
         of = spark.createDataFrame([(r.clip_id, False) for r in best[:working_set]] + [(c, True) for _, c, _ in picked], "clip_id string, had boolean")
         lists = held.join(F.broadcast(of), "clip_id").groupBy("clip_id").agg(F.collect_list(F.struct("feature", "deficit", "gain")).alias("keys"))

@@ -53,6 +53,18 @@ def test_scores_after_a_batch_are_those_of_the_pick(spark):
         assert (top.clip_id, top.score) == (want[n][0], pytest.approx(want[n][1]))
 
 
+def test_gains_less_what_the_picked_clips_take_give_the_same_scores(spark):
+    """Also where a clip's features are all taken, which leaves it nothing, not what rounding leaves."""
+    clips = spark.createDataFrame([(f"c{i}", f"s{i}", None, 0.5) for i in range(6)], "clip_id string, speaker string, text string, rate double")
+    rows = [(f"c{i}", f"f{k}", 1 + k % 2, 0.1 * (1 + k)) for i in range(6) for k in range(6) if (i + k) % 3 < 2]
+    held = spark.createDataFrame(rows, "clip_id string, feature string, deficit long, gain double")
+    known = clips.join(held.groupBy("clip_id").agg(cov.F.sum("gain").alias("first")), "clip_id")
+    for names in ([], ["c0"], ["c0", "c1"], ["c0", "c1", "c2", "c3"]):
+        had = spark.createDataFrame([(c,) for c in names], "clip_id string")
+        whole, less = ({r.clip_id: r.score for r in cov.scores_after(c, held, had, cov.PlannerConfig(), *more).collect()} for c, more in ((clips, ()), (known, (True,))))
+        assert less == pytest.approx(whole) and (len(names) < 4 or not less)
+
+
 def test_ties_go_by_id_and_ends_are_empty(spark):
     index = index_of(spark, 12, 5, same=True)
     targets = [("phoneme:a", 4, 4, True)]
