@@ -30,7 +30,9 @@ S_LETTER, S_NUMBER, S_OTHER, S_SHORT, S_LONG, S_INNER, S_PREFIX, S_ALONE = range
 #: a contraction that lacks one or two letters.
 CLOSED, LETTERS, NUMBERS, OTHERS, BLANKS, PREFIXED, LACKS_ONE, LACKS_TWO = range(8)
 #: Bytes of a piece up to which its ids are cached, and pieces in the cache before it starts anew.
-CACHED_BYTES, CACHED_PIECES = 64, 400_000
+CACHED_BYTES, CACHED_PIECES = 64, 100_000
+#: Bytes of text that a worker takes apart at once: its arrays are a few dozen times that.
+SLICE = 1 << 19
 BLOCK = 64
 
 
@@ -242,7 +244,7 @@ def _encode(path: str, digests: bool):
     def run(batches):
         pieces, decoded = codec(path)
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, most=SLICE):
                 rows = encode_texts(texts_of(part), pieces)
                 ids = [b"".join(row) for row in rows]
                 n = pa.array([len(x) // 4 for x in ids], type=pa.int64())
