@@ -4,7 +4,8 @@ The pattern that splits text is a small automaton over classes of code points. E
 (its class and what follows it), each symbol a function from state to state. Functions compose associatively, so
 their products along the text come from a blocked scan over ids of the automaton's transition monoid; the state
 before a code point says whether a piece starts there. No regular expression runs. Pieces are slices of the
-bytes, merged once and cached; the slices' offsets in the stream of ids stay, and decoding goes by them.
+bytes, cached with their ids; those of a slice of text that the cache lacks are merged side by side, a merge of
+each a round. The pieces' offsets in the stream of ids stay, and decoding goes by them.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ CACHED_BYTES, CACHED_PIECES = 64, 100_000
 #: Bytes of text that a worker takes apart at once: its arrays are a few dozen times that.
 SLICE = 1 << 19
 BLOCK = 64
+#: Pieces that are merged side by side at most; what a pair has that is no token.
+LOT, NONE = 1 << 13, np.iinfo(np.int32).max
 
 
 def _step(state: int, symbol: int) -> tuple[int, bool]:
@@ -186,29 +189,106 @@ class _Pieces(dict):
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        pairs = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None:
+                    pairs[left << 32 | right] = rank
+        keys = np.array([*pairs, np.iinfo(np.int64).max], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.merged = keys[order], np.array([*pairs.values(), NONE], dtype=np.int32)[order]
+        self.of_bytes = self.pair(np.repeat(self.single, 256), np.tile(self.single, 256))
+
+    def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The token that two make, also its rank; NONE where they make none."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.merged[at], NONE)
+
+    def ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece; what the cache lacks is told once."""
+        if len(self) >= CACHED_PIECES:
+            self.clear()
+        known = list(map(self.get, pieces))
+        new = dict.fromkeys([p for p, ids in zip(pieces, known, strict=True) if ids is None])
+        short = []
+        for p in new:
+            if (rank := self.ranks.get(p)) is not None:
+                new[p] = rank.to_bytes(4, "little")
+            elif len(p) <= CACHED_BYTES:
+                short.append(p)
+            else:
+                new[p] = np.array(merge(p, self.ranks), dtype="<u4").tobytes()
+        new.update(zip(short, self._merge_all(short), strict=True))
+        self.update((p, ids) for p, ids in new.items() if len(p) <= CACHED_BYTES)
+        return [new[p] if ids is None else ids for p, ids in zip(pieces, known, strict=True)]
+
+    def _merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces of at most CACHED_BYTES, in their order; those of similar length side by side."""
+        sizes = np.array(list(map(len, pieces)), dtype=np.int64)
+        data = np.frombuffer(b"".join(pieces) + bytes(CACHED_BYTES), dtype=np.uint8)
+        first, out, width = np.cumsum(sizes) - sizes, [b""] * len(pieces), 8
+        while width // 2 < CACHED_BYTES:
+            alike = np.flatnonzero((sizes <= width) & (sizes > (width // 2 if width > 8 else 0)))
+            for at in range(0, len(alike), LOT):
+                lot = alike[at : at + LOT]
+                ids, n = self._merge_lot(data[first[lot][:, None] + np.arange(width)], sizes[lot])
+                stream = ids[np.arange(width) < n[:, None]].astype("<u4").tobytes()
+                for i, (a, b) in zip(lot.tolist(), pairwise([0, *(4 * np.cumsum(n)).tolist()]), strict=True):
+                    out[i] = stream[a:b]
+            width *= 2
+        return out
 
-    def __missing__(self, piece: bytes) -> bytes:
-        ids = np.array(merge(piece, self.ranks), dtype="<u4").tobytes()
-        if len(piece) <= CACHED_BYTES:
-            if len(self) >= CACHED_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
-class _Decoded(dict):
-    """Ids of a piece to its bytes; bounded."""
+    def _merge_lot(self, rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a piece a row and how many they are. rows: the bytes of each, whatever after the first n.
+
+        Each round merges the pair of the lowest rank of each row, the leftmost of several; a row without one leaves.
+        """
+        place = np.arange(rows.shape[1])
+        ids, pairs = self.single[rows], np.full(rows.shape, NONE, dtype=np.int32)
+        pairs[:, :-1] = self.of_bytes[rows[:, :-1].astype(np.int32) << 8 | rows[:, 1:]]
+        pairs[place >= n[:, None] - 1] = NONE
+        out, counts, left = np.zeros_like(ids), np.zeros_like(n), np.arange(len(n))
+        while True:
+            i = pairs.argmin(axis=1)
+            low = pairs[np.arange(len(i)), i]
+            if (ended := low == NONE).any():
+                out[left[ended]], counts[left[ended]] = ids[ended], n[ended]
+                left, ids, pairs, n, i, low = (x[~ended] for x in (left, ids, pairs, n, i, low))
+            if not len(left):
+                return out, counts
+            row, later = np.arange(len(i)), place[:-1] > i[:, None]
+            for x in (ids, pairs):
+                np.copyto(x[:, :-1], x[:, 1:].copy(), where=later)
+            pairs[:, -1] = NONE
+            ids[row, i] = low
+            n = n - 1
+            pairs[row, i] = NONE
+            h = np.flatnonzero(i + 1 < n)
+            pairs[h, i[h]] = self.pair(low[h], ids[h, i[h] + 1])
+            h = np.flatnonzero(i)
+            pairs[h, i[h] - 1] = self.pair(ids[h, i[h] - 1], low[h])
+
+
+class _Tokens:
+    """The bytes of all tokens in one array."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.tokens: dict[int, bytes] = {i: b for b, i in ranks.items()}
-
-    def __missing__(self, ids: bytes) -> bytes:
-        piece = b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
-        if len(ids) <= 4 * CACHED_BYTES:
-            if len(self) >= CACHED_PIECES:
-                self.clear()
-            self[ids] = piece
-        return piece
+        size = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        size[list(ranks.values())] = list(map(len, ranks))
+        self.known, self.size = size > 0, size
+        self.first = np.cumsum(size) - size
+        self.data = np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), dtype=np.uint8)
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes of a stream of ids, cut after each of `ends`."""
+        if len(ids) and (ids.max() >= len(self.size) or not self.known[ids].all()):
+            raise KeyError("an id that is no token's")
+        size = self.size[ids]
+        after = np.cumsum(size)
+        data = self.data[np.arange(size.sum()) + np.repeat(self.first[ids] - after + size, size)].tobytes()
+        return [data[a:b] for a, b in pairwise([0, *np.append(0, after)[ends].tolist()])]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -217,9 +297,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> tuple[_Pieces, _Decoded]:
+def codec(path: str) -> tuple[_Pieces, _Tokens]:
     ranks = read_ranks(path)
-    return _Pieces(ranks), _Decoded(ranks)
+    return _Pieces(ranks), _Tokens(ranks)
 
 
 def encode_texts(texts: list[str], pieces: _Pieces) -> list[list[bytes]]:
@@ -235,28 +315,28 @@ def encode_texts(texts: list[str], pieces: _Pieces) -> list[list[bytes]]:
         width = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
         offsets = (np.cumsum(width) - width)[begins]
     cuts = [*offsets.tolist(), len(data)]
-    encoded = [pieces[data[a:b]] for a, b in pairwise(cuts)]
+    encoded = pieces.ids_of([data[a:b] for a, b in pairwise(cuts)]) if data else []
     at = np.searchsorted(begins, np.append(first, len(codes))).tolist()
     return [encoded[a:b] for a, b in pairwise(at)]
 
 
 def _encode(path: str, digests: bool):
     def run(batches):
-        pieces, decoded = codec(path)
+        pieces, tokens = codec(path)
         for batch in batches:
             for part in text_slices(batch, most=SLICE):
                 rows = encode_texts(texts_of(part), pieces)
                 ids = [b"".join(row) for row in rows]
-                n = pa.array([len(x) // 4 for x in ids], type=pa.int64())
+                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+                back = tokens.decode(np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(n))
                 if digests:
-                    back = [b"".join(map(decoded.__getitem__, row)) for row in rows]
                     hashes = [pa.array([hashlib.sha256(x).hexdigest() for x in column]) for column in (ids, back)]
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, *hashes], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), *hashes], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
-                    tokens = pa.array([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in ids], type=pa.list_(pa.int32()))
+                    lists = pa.array([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in ids], type=pa.list_(pa.int32()))
                     ends = [np.cumsum([len(p) // 4 for p in row], dtype=np.int64).astype(np.int32) for row in rows]
-                    intact = pa.array([b"".join(map(decoded.__getitem__, row)) == t.encode() for row, t in zip(rows, texts_of(part), strict=True)])
-                    columns = [part.column("doc_id"), n, tokens, pa.array(ends, type=pa.list_(pa.int32())), intact]
+                    intact = pa.array([x == t.encode() for x, t in zip(back, texts_of(part), strict=True)])
+                    columns = [part.column("doc_id"), pa.array(n), lists, pa.array(ends, type=pa.list_(pa.int32())), intact]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "piece_ends", "intact"])
 
     return run
@@ -285,12 +365,11 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        decoded = codec(path)[1]
+        tokens = codec(path)[1]
         for batch in batches:
             out = []
             for ids, ends in zip(batch.column("ids").to_pylist(), batch.column("piece_ends").to_pylist(), strict=True):
-                stream = np.array(ids or [], dtype="<u4").tobytes()
-                out.append(b"".join(decoded[stream[4 * a : 4 * b]] for a, b in pairwise([0, *(ends or [])])))
+                out.append(b"".join(tokens.decode(np.array(ids or [], dtype=np.int64), np.array(ends or [], dtype=np.int64))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, type=pa.binary())], ["doc_id", "bytes"])
 
     return encoded.select("doc_id", "ids", "piece_ends").mapInArrow(run, f"doc_id {kind}, bytes binary")

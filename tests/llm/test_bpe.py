@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -50,3 +53,43 @@ def test_very_long_texts_match_the_library(library):
     words = ["the", "naïve", "北京大学", "x1y2", "--", "don't", "🙂", "\n\n", "A" * 40]
     long = " ".join(rng.choice(words) for _ in range(40000))
     assert ids([long, "", long[::-1]]) == [library.encode_ordinary(long), [], library.encode_ordinary(long[::-1])]
+
+
+def words(n, most, seed=8):
+    rng = random.Random(seed)
+    return ["".join(rng.choice("aabcdeinorstéß北🙂") for _ in range(rng.randint(1, most))) for _ in range(n)]
+
+
+def test_new_pieces_are_merged_side_by_side(library, monkeypatch):
+    monkeypatch.setattr(bpe, "merge", None)  # one by one: only for pieces that aren't cached
+    texts = [" ".join(words(3000, 14, i)) for i in range(3)]
+    assert ids(texts) == [library.encode_ordinary(t) for t in texts]
+
+
+def test_side_by_side_equals_one_by_one_at_every_length(monkeypatch):
+    monkeypatch.setattr(bpe, "LOT", 7)
+    pieces = bpe.codec(PATH)[0]
+    every = [w.encode()[:n] for n in range(1, bpe.CACHED_BYTES + 1) for w in ["a" * n, "ab" * n, " the" * n, *(x * n for x in words(4, 9, n))]]
+    assert {len(p) for p in every} == set(range(1, bpe.CACHED_BYTES + 1))
+
+    found = [np.frombuffer(x, dtype="<u4").tolist() for x in pieces._merge_all(every)]
+    whole = [p in pieces.ranks for p in every]
+    assert [x for x, w in zip(found, whole, strict=True) if not w] == [bpe.merge(p, pieces.ranks) for p, w in zip(every, whole, strict=True) if not w]
+
+
+def test_the_cache_starts_anew_and_keeps_no_long_pieces(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_PIECES", 50)
+    pieces = bpe._Pieces(bpe.read_ranks(PATH))
+    for i in range(5):
+        texts = [" ".join(words(60, 20, i)), "x" * 70 + " " + "x" * 70 + " a"]
+        assert [np.frombuffer(b"".join(row), dtype="<u4").tolist() for row in bpe.encode_texts(texts, pieces)] == [library.encode_ordinary(t) for t in texts]
+        assert max(map(len, pieces)) <= bpe.CACHED_BYTES and len(pieces) <= 50 + 70
+
+
+def test_tokens_of_ranks_with_gaps_are_decoded_and_others_refused():
+    tokens = bpe._Tokens({b"a": 5, b"bcd": 2, b"e": 9})
+    assert tokens.decode(np.array([2, 5, 9, 2]), np.array([0, 1, 1, 4])) == [b"", b"bcd", b"", b"aebcd"]
+    assert tokens.decode(np.array([], dtype=np.int64), np.array([], dtype=np.int64)) == []
+    for bad in (3, 10):
+        with pytest.raises(KeyError):
+            tokens.decode(np.array([5, bad]), np.array([2]))
