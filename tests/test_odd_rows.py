@@ -27,7 +27,7 @@ def odd(tmp_path_factory):
     return str(out)
 
 
-@pytest.mark.parametrize("name", ["length_band"])
+@pytest.mark.parametrize("name", ["length_band", "feature_bundle", "utterance_type"])
 def test_odd_rows(spark, odd, name):
     db = duckdb.connect()
     for t in ("documents", "labels", "conversations"):
