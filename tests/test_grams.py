@@ -104,3 +104,10 @@ def test_shares_of_a_family_are_not_dealt_by_family(spark):
     out = agg.target_distribution(counts)
     assert {r.token: r.target for r in out.collect()}["x"] == 1.0
     assert "SortMergeJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_tokens_of_one_family_are_unpacked_once(spark):
+    clips = spark.createDataFrame([("c", "s", ["a", "b", "a"]), ("d", None, []), ("e", "s", None)], "clip_id string, speaker_id string, phones array<string>")
+    rows = agg.incidence(clips, {"phone": agg.F.col("phones")}, False)
+    assert sorted(map(tuple, rows.collect())) == [("c", "s", "phone", "a"), ("c", "s", "phone", "a"), ("c", "s", "phone", "b")]
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Generate explode") == 1

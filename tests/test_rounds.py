@@ -136,3 +136,20 @@ def test_scarce_keys_are_summed_once_and_tokens_stay_where_they_are(spark, monke
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
     assert plans[0] == plans[1] and sum(r[1] == "selected" for r in plans[0]) > 3
     assert scored and not any("hashpartitioning(key" in p for p in scored)
+
+
+def test_tokens_of_candidates_are_read_once(spark):
+    """Clips that hold a token are counted by the keys that the pool has, not from the texts again."""
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def told(tokens):
+        seen.add(1)
+        return tokens
+
+    clips = clips_of(3, 8)
+    rows = frame(spark, clips).withColumn("tokens", told.asNondeterministic()("tokens"))
+    plan = sel.select(rows, targets(spark), {"b": 5.0}, weights=sel.Weights(local_search_steps=0)).collect()
+    assert len(plan) == 8 == seen.value and any(r.disposition == "selected" for r in plan)
