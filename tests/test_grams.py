@@ -9,7 +9,7 @@ import pyarrow as pa
 from koine import scratch
 from koine.functions import text, tokens
 from koine.operators import aggregates as agg
-from koine.operators import filters, reports, selection
+from koine.operators import filters, grams, reports, selection
 
 
 def test_runs_are_counted_as_strings(spark):
@@ -111,3 +111,29 @@ def test_tokens_of_one_family_are_unpacked_once(spark):
     rows = agg.incidence(clips, {"phone": agg.F.col("phones")}, False)
     assert sorted(map(tuple, rows.collect())) == [("c", "s", "phone", "a"), ("c", "s", "phone", "a"), ("c", "s", "phone", "b")]
     assert rows._jdf.queryExecution().executedPlan().toString().count("Generate explode") == 1
+
+
+def test_runs_travel_as_numbers_of_words(spark, monkeypatch):
+    """The same counts for any share of words with a number, any lot and any number of buckets; few strings are shuffled."""
+    import random
+
+    rng = random.Random(4)
+    words = ["a", "b", "c", "d", "e", "f-g", "-", "\u00e9", ""]
+    rows = [(f"c{i}", rng.choice([None, "s", "t", ""]), [rng.choice(words) for _ in range(rng.choice([0, 1, 2, 3, 9, 40]))]) for i in range(60)] + [("n", "s", None)]
+    clips = spark.createDataFrame(rows, "clip_id string, speaker_id string, phones array<string>").repartition(3)
+    seen: dict = {}
+    for clip, speaker, phones in rows:
+        for n, name in ((2, "biphone"), (3, "triphone")):
+            for i in range(len(phones or []) - n + 1):
+                of = seen.setdefault((name, "-".join(phones[i : i + n])), [0, set(), set()])
+                of[0], of[1], of[2] = of[0] + 1, of[1] | {speaker or ""}, of[2] | {clip}
+    want = {k: (n, len(s), len(c)) for k, (n, s, c) in seen.items()}
+    counts = clips.select(agg.F.explode("phones").alias("token")).groupBy("token").agg(agg.F.count("*").alias("count"))
+    for known, step, places in ((1_000_000, 2_000_000, 1_000_000), (3, 7, 50), (0, 100, 200)):
+        monkeypatch.setattr(grams, "WORDS", known)
+        monkeypatch.setattr(grams, "STEP", step)
+        monkeypatch.setattr(grams, "PLACES", places)
+        got = grams.runs(clips, counts, "phones", ("biphone", "triphone"), "-", "speaker_id").collect()
+        assert {(r.family, r.token): (r["count"], r.speaker_count, r.utterance_count) for r in got} == want and len(got) == len(want)
+        plain = agg.gram_counts(clips).collect()
+        assert {(r.family, r.token): r["count"] for r in plain} == {k: n for k, (n, _, _) in want.items()} and len(plain) == len(want)
