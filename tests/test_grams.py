@@ -137,3 +137,22 @@ def test_runs_travel_as_numbers_of_words(spark, monkeypatch):
         assert {(r.family, r.token): (r["count"], r.speaker_count, r.utterance_count) for r in got} == want and len(got) == len(want)
         plain = agg.gram_counts(clips).collect()
         assert {(r.family, r.token): r["count"] for r in plain} == {k: n for k, (n, _, _) in want.items()} and len(plain) == len(want)
+
+
+def test_counts_of_runs_are_written_packed(spark, monkeypatch):
+    """target_distribution reads its counts twice: what is written for it has runs as numbers, and as strings only those of a
+    word that holds the glue."""
+    import __spark_entry__ as entry
+
+    written, cut = [], scratch.cut
+
+    def told(df, name):
+        written.append(cut(df, name))
+        return written[-1]
+
+    for module in (scratch, agg, grams):
+        monkeypatch.setattr(module, "cut", told, raising=False)
+    out = entry.queries()["target_distribution"](spark, "/root/testdata/sf0.001")
+    runs = out.where("family in ('biphone', 'triphone')").count()
+    strings = [t.where("family in ('biphone', 'triphone')" if "family" in t.columns else "token is not null").count() for t in written if "token" in t.columns]
+    assert runs > 1000 and strings and sum(strings) < runs / 4
