@@ -153,3 +153,14 @@ def test_tokens_of_candidates_are_read_once(spark):
     rows = frame(spark, clips).withColumn("tokens", told.asNondeterministic()("tokens"))
     plan = sel.select(rows, targets(spark), {"b": 5.0}, weights=sel.Weights(local_search_steps=0)).collect()
     assert len(plan) == 8 == seen.value and any(r.disposition == "selected" for r in plan)
+
+
+def test_gains_of_a_round_are_sums_over_one_array(spark):
+    """Empty lists, keys without a worth and keys of later rounds that are worth nothing add nothing."""
+    rows = [(0, [5, -7, 9]), (1, []), (2, [1]), (3, [9]), (4, None), (5, [-7, 2])]
+    keyed = spark.createDataFrame(rows, "cid long, keys array<long>").repartition(2)
+    worth = spark.createDataFrame([(9, 0.5), (-7, 0.25), (5, 1.0)], "key long, worth double")
+    places = sel._Places(keyed, worth)
+    assert {r.cid: r.worth for r in places.sums(worth).collect()} == {0: 1.75, 3: 0.5, 5: 0.25}
+    assert {r.cid: r.worth for r in places.sums(worth.where("key > 5")).collect()} == {0: 0.5, 3: 0.5}
+    assert sel._Places(keyed, worth.where("key > 9")).sums(worth.where("key > 9")).collect() == []
